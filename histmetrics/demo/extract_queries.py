@@ -42,7 +42,8 @@ def _(spark, sf):
     "csv_reference_facts",
     f"""SELECT version_id, source, target, 'security_csv_ref' AS kind, 'security/line_' || {_PATH} || '.csv' AS file_path,
         CAST(line AS INTEGER) AS line, 'security csv ref -> ' || target || part || CAST(l_partkey % 200 AS VARCHAR) AS detail
-        FROM (SELECT *, unnest(range(2, l_linenumber + 2)) AS line FROM x_ship), (VALUES ('.model_'), ('.group_')) t(part)""",
+        FROM x_ship JOIN (SELECT range AS line FROM range(2, 9)) ON line < l_linenumber + 2,
+        (VALUES ('.model_'), ('.group_')) t(part)""",
 )
 def _(spark, sf):
     return references.csv_reference_facts(frames.csv_files(spark, sf))

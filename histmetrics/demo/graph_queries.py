@@ -238,7 +238,7 @@ def _(spark, sf):
     f"""SELECT version_id, module, class_name, field, coalesce(own, inherited) AS comodel FROM
         (SELECT version_id, module, class_name, field, comodel AS own FROM {_FIELD}) FULL JOIN
         (SELECT version_id, t.module, t.class_name, field, max_by(comodel, model) AS inherited FROM {_TARGET} t JOIN
-         (SELECT version_id, model, field, max_by(comodel, module || '|' || class_name || '|') AS comodel
+         (SELECT version_id, model, field, list(comodel ORDER BY module, class_name, line)[-1] AS comodel
           FROM {_FIELD} JOIN {_TARGET} USING (version_id, module, class_name) GROUP BY ALL)
          USING (version_id, model) GROUP BY ALL)
         USING (version_id, module, class_name, field)""",

@@ -203,11 +203,11 @@ def _(spark, sf):
 @query(
     "file_timeseries",
     """SELECT version_order, version_id, cognitive_median AS value FROM x_file JOIN x_version USING (version_id)
-       WHERE module = 'Brand_4' AND relative_path = 'economy/size_11'""",
+       WHERE module = 'Brand_2' AND relative_path = 'economy/size_11'""",
 )
 def _(spark, sf):
     return series.file_timeseries(
-        frames.file_metric(spark, sf), frames.versions(spark, sf), "Brand_4", "economy/size_11", "cognitive", "median"
+        frames.file_metric(spark, sf), frames.versions(spark, sf), "Brand_2", "economy/size_11", "cognitive", "median"
     )
 
 

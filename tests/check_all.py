@@ -32,6 +32,8 @@ def main() -> int:
                 told = f"ok ({len(df.collect())} rows, no oracle)"
         except Exception as error:
             told = f"ERROR {type(error).__name__}: {str(error)[:600]}"
+            if "Fatal" in told or "Internal" in told:
+                con = connect(sf)
         bad += not told.startswith("ok")
         print(f"{name:36s} {time.time() - begin:6.2f}s  {told}", flush=True)
     print(f"{len(names) - bad}/{len(names)} ok")
