@@ -32,8 +32,22 @@ PRIORITY_KIND = {
 }
 
 
+# Tables that may come as one unsplittable file, with the columns to spread them by.
+SPREAD = {
+    "lineitem": ("l_orderkey", "l_partkey", "l_suppkey"),
+    "orders": ("o_orderkey",),
+    "documents": ("doc_id",),
+    "events": ("event_id",),
+}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """One of the driver's tables; spread out only if it has fewer splits than there are cores."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in SPREAD and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, *SPREAD[name])
+    return df
 
 
 def _lookup(pairs: dict[str, str], key: Column) -> Column:
@@ -98,16 +112,10 @@ def module_line_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def module_aggregate(spark: SparkSession, sf: str) -> DataFrame:
-    counts = measures.line_count_map(module_line_counts(spark, sf))
-    files = (
-        lines(spark, sf)
-        .groupBy("version_id", "module", "relative_path")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("version_id", "module")
-        .agg(F.count(F.lit(1)).alias("python_file_count"))
-    )
+    per_file = measures.line_counts(lines(spark, sf), keys=measures.ENTITY_FILE)
+    counts = measures.line_count_map(measures.roll_up_line_counts(per_file))
     dist = measures.module_distributions(observations(spark, sf))
-    return measures.assemble_module_aggregates(counts, dist, files)
+    return measures.assemble_module_aggregates(counts, dist, "file_count")
 
 
 def file_lines(spark: SparkSession, sf: str) -> DataFrame:

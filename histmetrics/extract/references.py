@@ -138,6 +138,7 @@ _ID = re.compile(EXTERNAL_ID)
 
 def read_csv(text: str | None) -> Iterator[tuple]:
     """``(line, xml_id)``: ids in every cell after the header; records count, from 2."""
+    csv.field_size_limit(max(csv.field_size_limit(), len(text or "")))
     records = csv.reader(io.StringIO(text or "", newline=""))
     try:
         filled = (r for r in records if r)

@@ -19,18 +19,17 @@ def file_name(path: Column | str) -> Column:
     return F.substring_index(_col(path), "/", -1)
 
 
+# Folders and names that make a file a test.
+TEST_FILE = (
+    r"(^|/)(tests|__tests__)(/|$)"
+    r"|(^|/)(?i:test_[^/]*)$"
+    r"|(?i:_test[.]py|[.]test[.]js|[.]spec[.]js)$"
+)
+
+
 def is_test_path(path: Column | str) -> Column:
     """In a ``tests`` folder, or named like a test."""
-    parts = F.split(_col(path), "/")
-    name = F.lower(file_name(path))
-    return (
-        F.array_contains(parts, "tests")
-        | F.array_contains(parts, "__tests__")
-        | name.startswith("test_")
-        | name.endswith("_test.py")
-        | name.endswith(".test.js")
-        | name.endswith(".spec.js")
-    )
+    return _col(path).rlike(TEST_FILE)
 
 
 def line_category(path: Column | str) -> Column:

@@ -15,20 +15,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from histmetrics.functions.catalog import FAMILIES, LINE_CATEGORIES
-from histmetrics.functions.text import file_name, is_test_path, line_category
+from histmetrics.functions.text import TEST_FILE, line_category
 
 STATS = ("count", "mean", "median", "p95", "max")
 ENTITY_FILE = ("version_id", "module", "relative_path")
 ENTITY_MODULE = ("version_id", "module")
 
-# Value ranges per factor e: a range spans 0.4 % of its values' size.
-RANGES_PER_E = 256
+# Value ranges per factor e: a range spans 3 % of its values' size.
+RANGES_PER_E = 32
 
 
 def _value_range(v: Column) -> Column:
     """A whole number that never falls as ``v`` rises (log1p is semi-monotonic)."""
     up = F.floor(F.log1p(F.abs(v)) * RANGES_PER_E)
-    return F.when(v >= 0, up).otherwise(-up - 1).cast("long")
+    return F.coalesce(F.when(v >= 0, up).otherwise(-up - 1), F.lit(0)).cast("long")
 
 
 def value_histogram(
@@ -52,14 +52,18 @@ def distribution_of(histogram: DataFrame, keys: Sequence[str]) -> DataFrame:
     is the value at position ``ceil(0.95 n)`` of the sorted values.
     """
     keys = list(keys)
-    counted = histogram.withColumn("_range", _value_range(F.col("value")))
+    # One shuffle of the histogram serves both of its uses below: the same
+    # filters and a range that is never NULL keep the two plans identical.
+    for key in (*keys, "value"):
+        histogram = histogram.where(F.col(key).isNotNull())
+    counted = histogram.withColumn("_range", _value_range(F.col("value"))).repartition(*keys, "_range")
 
     per_range = counted.groupBy(*keys, "_range").agg(
         F.sum("n").alias("_rows"),
         F.sum(F.col("value") * F.col("n")).alias("_sum"),
         F.max("value").alias("_max"),
     )
-    # At most a few thousand ranges per key, whatever the number of rows.
+    # At most some hundred ranges per key, whatever the number of rows.
     whole = Window.partitionBy(*keys)
     running = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranged = per_range.select(
@@ -160,6 +164,7 @@ def line_counts(
     categories: Sequence[str] = LINE_CATEGORIES,
     category: str = "line_category_id",
     lines: str = "lines",
+    keys: Sequence[str] = ENTITY_MODULE,
 ) -> DataFrame:
     """Lines per category and in total, one column per category, per module."""
     sums = [
@@ -167,19 +172,25 @@ def line_counts(
         for c in categories
     ]
     total = F.coalesce(F.sum(F.when(F.col(category).isin(*categories), F.col(lines))), F.lit(0))
-    return file_lines.groupBy(*ENTITY_MODULE).agg(*sums, total.cast("long").alias("total_lines"))
+    return file_lines.groupBy(*keys).agg(*sums, total.cast("long").alias("total_lines"))
+
+
+def roll_up_line_counts(per_file: DataFrame, categories: Sequence[str] = LINE_CATEGORIES) -> DataFrame:
+    """Module line counts and the number of files, from line counts per file."""
+    sums = [F.sum(c).alias(c) for c in (*categories, "total_lines")]
+    return per_file.groupBy(*ENTITY_MODULE).agg(*sums, F.count(F.lit(1)).alias("file_count"))
 
 
 def line_count_map(wide: DataFrame, categories: Sequence[str] = LINE_CATEGORIES) -> DataFrame:
-    """The wide form as ``line_counts`` map plus ``total_lines``."""
+    """The wide form with its categories as one ``line_counts`` map."""
     entries = [x for c in categories for x in (F.lit(c), F.col(c))]
-    return wide.select(*ENTITY_MODULE, "total_lines", F.create_map(*entries).alias("line_counts"))
+    return wide.withColumn("line_counts", F.create_map(*entries)).drop(*categories)
 
 
 def is_measured_python(path: str = "relative_path") -> Column:
     """Production Python: no test, no manifest."""
-    name = file_name(path)
-    return F.col(path).endswith(".py") & (name != "__manifest__.py") & ~is_test_path(path)
+    left_out = f"{TEST_FILE}|(^|/)__manifest__[.]py$"
+    return F.col(path).endswith(".py") & ~F.col(path).rlike(left_out)
 
 
 def file_counts(files: DataFrame, error: str = "error") -> DataFrame:
@@ -229,29 +240,22 @@ def assemble_file_metrics(file_lines: DataFrame, dist: DataFrame) -> DataFrame:
 def assemble_module_aggregates(
     counts: DataFrame,
     dist: DataFrame,
-    python_files: DataFrame | None = None,
+    python_files: str | None = None,
     depends: DataFrame | None = None,
     families: Sequence[str] = FAMILIES,
 ) -> DataFrame:
     """Stored module rows from line counts, distributions, file counts and dependencies.
 
     A module without values has all-zero distributions for every family.
+    ``python_files`` names the column of ``counts`` with the file count.
     """
     keys = list(ENTITY_MODULE)
     wanted = counts.select(*keys, F.explode(F.array(*[F.lit(f) for f in families])).alias("family"))
     packed = pack_distributions(with_empty(dist, wanted, [*keys, "family"]), keys)
     out = counts.join(packed, keys, "left")
     if python_files is not None:
-        out = out.join(python_files.select(*keys, "python_file_count"), keys, "left").withColumn(
-            "metrics",
-            F.map_concat(
-                "metrics",
-                F.create_map(
-                    F.lit("python_file_count"),
-                    F.coalesce("python_file_count", F.lit(0)).cast("double"),
-                ),
-            ),
-        )
+        n = F.coalesce(F.col(python_files), F.lit(0)).cast("double")
+        out = out.withColumn("metrics", F.map_concat("metrics", F.create_map(F.lit("python_file_count"), n)))
     none = F.array().cast("array<string>")
     if depends is not None:
         out = out.join(depends.select(*keys, "manifest_depends"), keys, "left")

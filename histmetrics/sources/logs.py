@@ -10,6 +10,8 @@ from histmetrics.functions.values import epoch_ts
 from histmetrics.operators.ordering import global_position
 
 FIELD_MARK = "\x1f"
+# White space at the ends of a record; the field mark itself counts as such.
+_ENDS = r"^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 
 def parse_commit_log(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -18,7 +20,7 @@ def parse_commit_log(lines: DataFrame, column: str = "value") -> DataFrame:
     Reasons: ``empty_output``, ``wrong_field_count``, ``invalid_hash``,
     ``invalid_epoch``, ``invalid_email``.
     """
-    text = F.regexp_replace(F.coalesce(F.col(column), F.lit("")), r"^\s+|\s+$", "")
+    text = F.regexp_replace(F.coalesce(F.col(column), F.lit("")), _ENDS, "")
     parts = F.split(text, FIELD_MARK)
     authored, committed = valid_epoch(F.get(parts, F.lit(3))), valid_epoch(F.get(parts, F.lit(4)))
     reason = (
@@ -58,11 +60,16 @@ def plan_versions(commits: DataFrame, seq: str = "seq", bucket_size: int = 100_0
 
 
 def plan_short_log(lines: DataFrame, limit: int = 100, column: str = "value", seq: str = "seq") -> DataFrame:
-    """The first lines ``<hash> <epoch> <subject>`` up to a blank one; order = position."""
-    here = lines.where(F.col(seq) < limit)
-    blank = here.where(F.trim(column) == "").agg(F.coalesce(F.min(seq), F.lit(limit)).alias("stop"))
-    return here.where(F.col(seq) < blank.scalar()).select(
-        F.split(F.col(column), " ", 2)[0].alias("version_id"), F.col(seq).cast("int").alias("version_order")
+    """The first lines ``<hash> <epoch> <subject>`` up to a blank one; order = position.
+
+    Blank lines before the first record do not count.
+    """
+    blank = F.trim(column) == ""
+    first = lines.where(~blank).agg(F.min(seq)).scalar()
+    here = lines.where((F.col(seq) >= first) & (F.col(seq) < first + limit))
+    stop = here.where(blank).agg(F.min(seq)).scalar()
+    return here.where(F.coalesce(F.col(seq) < stop, F.lit(True))).select(
+        F.split(F.ltrim(column), " ", 2)[0].alias("version_id"), (F.col(seq) - first).cast("int").alias("version_order")
     )
 
 

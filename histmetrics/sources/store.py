@@ -68,11 +68,14 @@ class HistoryStore:
         return rows.join(orders, "version_id")
 
     def _write(self, table: str, rows: DataFrame, mode: str, overwrite: str = "static") -> None:
-        """Sorted inside files by key, so row groups can be skipped on version and module."""
-        keys = [k for k in schemas.KEYS[table]]
-        spread = rows.repartition(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(16)))
+        """Sorted inside files by key, so row groups can be skipped on version and module.
+
+        The rebalance keeps a bucket together where it is small and splits it
+        where it is large.
+        """
         (
-            spread.sortWithinPartitions(BUCKET, *keys)
+            rows.hint("rebalance", BUCKET)
+            .sortWithinPartitions(BUCKET, *schemas.KEYS[table])
             .write.mode(mode)
             .option("partitionOverwriteMode", overwrite)
             .partitionBy(BUCKET)
