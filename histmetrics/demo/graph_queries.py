@@ -7,6 +7,7 @@ from histmetrics.demo.registry import query
 from histmetrics.functions.catalog import STRICT_KIND_GROUP
 from histmetrics.functions.text import external_ids, id_module
 from histmetrics.operators import graph, traversal
+from histmetrics.session import cut_lineage
 
 EDGE_SQL = "version_id, source, target, score, occurrences, kinds, model_reuse, extension_or_method, view_points, field_property"
 
@@ -206,21 +207,23 @@ KEYS = ("module", "class_name")
 
 
 def _class_models(spark, sf):
-    return frames.shipments(spark, sf).select(
+    rows = frames.shipments(spark, sf).select(
         "version_id", F.col("target").alias("module"),
         F.concat(F.lit("c"), (F.col("l_partkey") % 50).cast("string")).alias("class_name"),
         F.when(F.col("l_returnflag") == "R", "declared").otherwise("inherited").alias("role"),
         F.concat(F.lit("m.k"), (F.col("l_partkey") % 20).cast("string")).alias("model"),
-    ).distinct()
+    )
+    return cut_lineage(rows.distinct())
 
 
 def _own_fields(spark, sf):
     s = frames.shipments(spark, sf).where(F.col("l_linestatus") == "F")
-    return s.groupBy(
+    rows = s.groupBy(
         "version_id", F.col("target").alias("module"),
         F.concat(F.lit("c"), (F.col("l_partkey") % 50).cast("string")).alias("class_name"),
         F.concat(F.lit("f"), F.col("l_linenumber").cast("string")).alias("field"),
     ).agg(F.concat(F.lit("m.k"), F.max("l_suppkey").cast("string")).alias("comodel"), F.max("l_suppkey").alias("line"))
+    return cut_lineage(rows)
 
 
 @query(

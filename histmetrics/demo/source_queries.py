@@ -35,23 +35,22 @@ def _(spark, sf):
 
 @query(
     "read_file_tree",
-    r"""SELECT module, relative_path, CAST(length(u) - length(replace(u, chr(10), '')) AS BIGINT) AS lines, content_sha FROM
-       (SELECT module, relative_path, sha256(content || chr(10)) AS content_sha,
-        regexp_replace(content || chr(10), '\r\n?', chr(10), 'g') AS u FROM x_doc)""",
+    r"""SELECT version_id, module, CAST(sum(length(u) - length(replace(u, chr(10), ''))) AS BIGINT) AS lines FROM
+       (SELECT version_id, module, regexp_replace(content || chr(10), '\r\n?', chr(10), 'g') AS u FROM x_doc) GROUP BY ALL""",
 )
 def _(spark, sf):
     root = scratch_path(spark, "tree")
-    docs = frames.document_files(spark, sf)
-    # One folder, and so one file, per document; the text writer ends it with a line break.
-    name = F.concat_ws("~", "module", F.translate("relative_path", "/", "!")).alias("name")
-    docs.select(name, "content").repartition("name").write.partitionBy("name").text(root)
-    found = trees.read_file_tree(spark, root, "part-*")
-    split = F.split(F.url_decode(F.regexp_replace("version_id", "^name=", "")), "~")
-    return trees.with_lines(
-        found.select(
-            split[0].alias("module"), F.translate(split[1], "!", "/").alias("relative_path"), "content", "raw", "content_sha"
-        )
+    docs = frames.document_files(spark, sf).select("version_id", "module", "content")
+    # A tree of text files with some hundred documents each, one folder per version and module.
+    (
+        docs.hint("rebalance", "version_id", "module")
+        .write.option("maxRecordsPerFile", 500).partitionBy("version_id", "module").text(root)
     )
+    counted = trees.with_lines(trees.read_file_tree(spark, root, "part-*"))
+    return counted.groupBy(
+        F.replace("version_id", F.lit("version_id=")).alias("version_id"),
+        F.replace("module", F.lit("module=")).alias("module"),
+    ).agg(F.sum("lines").alias("lines"))
 
 
 @query(

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from histmetrics.extract.contents import distinct_contents, extract, on_files
+from histmetrics.extract.contents import copies, distinct_contents, extract, on_files
 from histmetrics.functions.text import file_name
 from histmetrics.operators import graph
 from histmetrics.session import cut_lineage
@@ -45,7 +45,7 @@ SAME_MODEL_METHODS = {
     "mapped",
 }
 
-COLUMNS = "class_name string, fact string, model string, chain array<string>, member string, path string, line int"
+COLUMNS = "class_name string, fact string, model string, chain string, member string, path string, line int"
 
 
 def _text(node: ast.AST | None) -> str | None:
@@ -178,7 +178,7 @@ class _Method(ast.NodeVisitor):
     def visit_Subscript(self, node: ast.Subscript) -> None:
         model = self.env_model(node)
         if model:
-            self.uses.append(("env", model, [], None, None, node.lineno))
+            self.uses.append(("env", model, "", None, None, node.lineno))
         self.generic_visit(node)
 
     def visit_Call(self, node: ast.Call) -> None:
@@ -186,14 +186,14 @@ class _Method(ast.NodeVisitor):
             self.called.add(id(node.func))
             found = self.resolve(node.func.value)
             if found:
-                self.uses.append(("call", found[0], list(found[1]), node.func.attr, None, node.lineno))
+                self.uses.append(("call", found[0], ".".join(found[1]), node.func.attr, None, node.lineno))
         self.generic_visit(node)
 
     def visit_Attribute(self, node: ast.Attribute) -> None:
         plain = id(node) not in self.called and node.attr not in NO_FIELD and not node.attr.startswith("__")
         found = self.resolve(node.value) if plain else None
         if found:
-            self.uses.append(("access", found[0], list(found[1]), node.attr, None, node.lineno))
+            self.uses.append(("access", found[0], ".".join(found[1]), node.attr, None, node.lineno))
         self.generic_visit(node)
 
 
@@ -259,10 +259,21 @@ def _is_python():
     return F.col("relative_path").endswith(".py") & (file_name("relative_path") != "__manifest__.py")
 
 
+def read_facts(files: DataFrame) -> DataFrame:
+    """Class facts per distinct text."""
+    return extract(distinct_contents(files, _is_python()), read_classes, COLUMNS)
+
+
 def python_class_facts(files: DataFrame) -> DataFrame:
     """Long class facts: ``(version_id, module, file_path, class_name, fact, model, chain, member, path, line)``."""
-    found = extract(distinct_contents(files, _is_python()), read_classes, COLUMNS)
-    return on_files(found, files, _is_python()).drop("content_sha").withColumnRenamed("relative_path", "file_path")
+    found = on_files(read_facts(files), files, _is_python())
+    return found.drop("content_sha").withColumnRenamed("relative_path", "file_path")
+
+
+def module_class_facts(files: DataFrame) -> DataFrame:
+    """The same facts once per module and text, with the number ``n`` of files they stand for."""
+    found = copies(files, _is_python()).join(read_facts(files), "content_sha")
+    return found.drop("content_sha").withColumnRenamed("relative_path", "file_path")
 
 
 def class_models(facts: DataFrame) -> DataFrame:
@@ -286,13 +297,14 @@ def resolve_chains(uses: DataFrame, fields: DataFrame) -> DataFrame:
     the longest chain in the data.
     """
     key = ["version_id", "model", "chain"]
-    chains = uses.where(F.size("chain") > 0).select(*key).distinct()
-    steps = chains.agg(F.max(F.size("chain"))).first()[0] or 0
+    chains = uses.where(F.col("chain") != "").select(*key).distinct()
+    names = F.split("chain", "[.]")
+    steps = chains.agg(F.max(F.size(names))).first()[0] or 0
     known = fields.select("version_id", F.col("model").alias("here"), F.col("field").alias("step"), "comodel")
     walked = chains.withColumn("here", F.col("model"))
     for i in range(steps):
         walked = (
-            walked.withColumn("step", F.get("chain", F.lit(i)))
+            walked.withColumn("step", F.get(names, F.lit(i)))
             .join(known, ["version_id", "here", "step"], "left")
             .select(*key, F.coalesce("comodel", "here").alias("here"))
         )
@@ -310,7 +322,8 @@ def python_links(files: DataFrame, modules: DataFrame, evidence: bool = False) -
 
     The class facts feed every kind of link, so they are written out once.
     """
-    facts = cut_lineage(python_class_facts(files))
+    facts = cut_lineage(python_class_facts(files) if evidence else module_class_facts(files))
+    weight = [c for c in ("n",) if c in facts.columns]
     models, fields = class_models(facts), own_fields(facts)
     owners = graph.model_owners(graph.module_models(models))
     usable = graph.effective_fields(fields, models)
@@ -324,9 +337,10 @@ def python_links(files: DataFrame, modules: DataFrame, evidence: bool = False) -
         "line",
         F.when(F.col("fact") == "inherited", F.concat(F.lit("_inherit -> "), F.col("model")))
         .otherwise(F.concat(F.col("member"), F.lit(" -> "), F.col("model"))).alias("detail"),
+        *weight,
     )
     paths = facts.where(F.col("fact").isin("python_related", *DECORATORS.values())).select(
-        "version_id", *graph.CLASS, "path", F.col("fact").alias("kind"), "line", "member"
+        "version_id", *graph.CLASS, "path", F.col("fact").alias("kind"), "line", "member", *weight
     )
     related = F.concat(F.lit("related="), F.col("path"), F.lit(" ("), F.col("member"), F.lit(")"))
     decorated = F.concat(
@@ -338,7 +352,7 @@ def python_links(files: DataFrame, modules: DataFrame, evidence: bool = False) -
     ).select(*direct.columns)
     env = facts.where(F.col("fact") == "env").select(
         "version_id", "module", "file_path", "model", F.lit("python_env_model").alias("kind"), "line",
-        F.concat(F.lit("self.env['"), F.col("model"), F.lit("'] access")).alias("detail"),
+        F.concat(F.lit("self.env['"), F.col("model"), F.lit("'] access")).alias("detail"), *weight,
     )
     to_models = graph.link_models(
         direct.unionByName(through).unionByName(env), owners, modules, evidence

@@ -15,7 +15,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from histmetrics.extract.contents import FILE, distinct_contents, extract, on_files, with_sha
+from histmetrics.extract.contents import FILE, copies, distinct_contents, extract, on_files
 from histmetrics.functions.text import file_name
 from histmetrics.operators.measures import (
     ENTITY_MODULE,
@@ -183,11 +183,8 @@ def python_file_distributions(files: DataFrame) -> DataFrame:
 def python_module_distributions(files: DataFrame) -> DataFrame:
     """Distributions per module from raw values; copies of a text are counted, not repeated."""
     values = content_values(files).where(F.col("error").isNull()).drop("error")
-    copies = (
-        with_sha(files).where(is_measured_python()).groupBy(*ENTITY_MODULE, "content_sha")
-        .agg(F.count(F.lit(1)).alias("copies"))
-    )
-    weighted = copies.join(values, "content_sha").withColumn("n", F.col("n") * F.col("copies"))
+    repeated = copies(files, is_measured_python()).withColumnRenamed("n", "copies")
+    weighted = repeated.join(values, "content_sha").withColumn("n", F.col("n") * F.col("copies"))
     keys = [*ENTITY_MODULE, "family"]
     return distribution_of(coarsen(weighted, keys), keys)
 

@@ -56,3 +56,13 @@ def on_files(facts: DataFrame, files: DataFrame, where: Column | None = None) ->
     if where is not None:
         chosen = chosen.where(where)
     return chosen.select(*FILE, "content_sha").join(facts, "content_sha")
+
+
+def copies(files: DataFrame, where: Column) -> DataFrame:
+    """Files of one module with the same text as one row: its last path, and how many there are."""
+    return (
+        with_sha(files)
+        .where(where)
+        .groupBy("version_id", "module", "content_sha")
+        .agg(F.max("relative_path").alias("relative_path"), F.count(F.lit(1)).alias("n"))
+    )

@@ -158,7 +158,10 @@ def module_scores(modules: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _link(uses: DataFrame, owners: DataFrame, keys: list[str], modules: DataFrame, evidence: bool) -> DataFrame:
-    """Uses ``(version_id, module, kind, …keys)`` to facts against their owners."""
+    """Uses ``(version_id, module, kind, …keys[, n])`` to facts against their owners.
+
+    ``n`` says how many equal uses a row stands for.
+    """
     where = ["version_id", *keys]
     provider = owners.select(*where, F.col("module").alias("target")).distinct()
     source = F.col("module").alias("source")
@@ -166,7 +169,8 @@ def _link(uses: DataFrame, owners: DataFrame, keys: list[str], modules: DataFram
         extra = [c for c in ("file_path", "line", "detail") if c in uses.columns]
         base = uses.select(*where, source, "kind", *extra)
         return in_scope(base.join(provider, where), modules).select(*EDGE, "kind", *extra)
-    base = uses.groupBy(*where, source, "kind").agg(F.count(F.lit(1)).alias("n"))
+    n = F.sum("n") if "n" in uses.columns else F.count(F.lit(1))
+    base = uses.groupBy(*where, source, "kind").agg(n.alias("n"))
     linked = base.join(provider, where).groupBy(*EDGE, "kind").agg(F.sum("n").alias("n"))
     return in_scope(linked, modules).select(*EDGE, "kind", "n")
 
@@ -245,10 +249,9 @@ def target_models(class_models: DataFrame, class_keys: Sequence[str] = CLASS) ->
     ``declared`` or ``inherited``.
     """
     keys = ["version_id", *class_keys]
-    declaring = class_models.where(F.col("role") == "declared").select(*keys).distinct()
-    declared = class_models.where(F.col("role") == "declared").select(*keys, "model")
-    fallback = class_models.where(F.col("role") == "inherited").join(declaring, keys, "left_anti").select(*keys, "model")
-    return declared.unionByName(fallback).distinct()
+    declares = class_models.groupBy(*keys).agg(F.bool_or(F.col("role") == "declared").alias("_declares"))
+    chosen = F.col("_declares") == (F.col("role") == "declared")
+    return class_models.join(declares, keys).where(chosen).select(*keys, "model").distinct()
 
 
 def model_fields(

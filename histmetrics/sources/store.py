@@ -6,7 +6,7 @@ versions. An upsert rewrites only the buckets that new rows fall into.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,15 +109,19 @@ class HistoryStore:
         for table, rows in tables.items():
             self.upsert(table, rows, versions)
         self.append_failures(failures)
-        self.upsert("version", storable_versions(versions, failures, *tables.values()), versions)
+        self.upsert("version", self._recorded(versions, tables), versions)
+
+    def _recorded(self, versions: DataFrame, tables: Iterable[str]) -> DataFrame:
+        """Versions to record, told from what was just written rather than measured again."""
+        return storable_versions(versions, self.read("failure"), *[self.read(t) for t in tables])
 
     def rebuild(self, versions: DataFrame, tables: dict[str, DataFrame], failures: DataFrame) -> None:
         """Replace everything."""
         for table, rows in tables.items():
             self._write(table, self._bucketed(table, conform(rows, schemas.TABLES[table]), versions), "overwrite")
         conform(failures, schemas.FAILURE).write.mode("overwrite").parquet(self.path("failure"))
-        kept = storable_versions(versions, failures, *tables.values())
-        self._write("version", self._bucketed("version", conform(kept, schemas.VERSION), versions), "overwrite")
+        kept = conform(self._recorded(versions, tables), schemas.VERSION)
+        self._write("version", self._bucketed("version", kept, versions), "overwrite")
 
     def write_meta(self, tool_version: str) -> None:
         row = self.spark.range(1).select(
