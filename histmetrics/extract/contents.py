@@ -17,9 +17,10 @@ FILE = ("version_id", "module", "relative_path")
 
 
 def with_sha(files: DataFrame) -> DataFrame:
+    """Files with a content hash; those whose text could not be decoded share an empty one."""
     if "content_sha" in files.columns:
         return files
-    return files.withColumn("content_sha", F.sha2("content", 256))
+    return files.withColumn("content_sha", F.coalesce(F.sha2("content", 256), F.lit("")))
 
 
 def distinct_contents(files: DataFrame, where: Column | None = None) -> DataFrame:

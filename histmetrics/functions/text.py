@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from histmetrics.functions.catalog import SUFFIX_CATEGORY
 
-EXTERNAL_ID = r"([a-zA-Z0-9_]+\.[a-zA-Z0-9_]+)"
+# Ids start where a word starts, so a long run of letters is read once and not
+# once per letter.
+EXTERNAL_ID = r"(?<![a-zA-Z0-9_])([a-zA-Z0-9_]++\.[a-zA-Z0-9_]++)"
 PERCENT_ID = r"%\(([a-zA-Z0-9_]+\.[a-zA-Z0-9_]+)\)d"
 
 

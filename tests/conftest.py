@@ -11,9 +11,15 @@ from histmetrics.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session(
-        "tests", master="local[8]", conf={"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "8g"}
-    )
+    conf = {
+        "spark.sql.shuffle.partitions": "2",
+        "spark.driver.memory": "8g",
+        # Tiny inputs: compiling stages would take longer than running them.
+        "spark.sql.codegen.wholeStage": "false",
+        "spark.sql.codegen.factoryMode": "NO_CODEGEN",
+        "spark.ui.showConsoleProgress": "false",
+    }
+    session = build_session("tests", master="local[4]", conf=conf)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
