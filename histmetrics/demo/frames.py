@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from histmetrics import schemas
 from histmetrics.functions.catalog import KIND_GROUP, STRICT_KIND_GROUP
 from histmetrics.operators import graph, measures
+from histmetrics.plans.reads import resolve_version
 
 FLAG_CATEGORY = {
     "AF": "python_lines",
@@ -78,8 +79,11 @@ def versions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def lines(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per line item, as a measured stretch of one file at one version."""
+def lines(spark: SparkSession, sf: str, keep: Column | None = None) -> DataFrame:
+    """One row per line item, as a measured stretch of one file at one version.
+
+    ``keep`` limits versions, modules or files before anything is measured.
+    """
     orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), *version_columns())
     parts = table(spark, sf, "part").select(
         F.col("p_partkey").alias("l_partkey"),
@@ -95,14 +99,15 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
         F.round(F.col("l_extendedprice") * 100).alias("cognitive"),
         F.round(F.col("l_discount") * 100).alias("jones"),
     )
-    return items.join(orders, "l_orderkey").join(parts, "l_partkey")
+    found = items.join(orders, "l_orderkey").join(parts, "l_partkey")
+    return found if keep is None else found.where(keep)
 
 
-def observations(spark: SparkSession, sf: str) -> DataFrame:
+def observations(spark: SparkSession, sf: str, keep: Column | None = None) -> DataFrame:
     values = F.explode(
         F.array(*[F.struct(F.lit(f).alias("family"), F.col(f).alias("value")) for f in measures.FAMILIES])
     )
-    return lines(spark, sf).select("version_id", "module", "relative_path", values.alias("o")).select(
+    return lines(spark, sf, keep).select("version_id", "module", "relative_path", values.alias("o")).select(
         "version_id", "module", "relative_path", "o.family", "o.value"
     )
 
@@ -111,27 +116,32 @@ def module_line_counts(spark: SparkSession, sf: str) -> DataFrame:
     return measures.line_counts(lines(spark, sf))
 
 
-def module_aggregate(spark: SparkSession, sf: str) -> DataFrame:
-    per_file = measures.line_counts(lines(spark, sf), keys=measures.ENTITY_FILE)
+def module_aggregate(spark: SparkSession, sf: str, keep: Column | None = None) -> DataFrame:
+    per_file = measures.line_counts(lines(spark, sf, keep), keys=measures.ENTITY_FILE)
     counts = measures.line_count_map(measures.roll_up_line_counts(per_file))
-    dist = measures.module_distributions(observations(spark, sf))
+    dist = measures.module_distributions(observations(spark, sf, keep))
     return measures.assemble_module_aggregates(counts, dist, "file_count")
 
 
-def file_lines(spark: SparkSession, sf: str) -> DataFrame:
+def file_lines(spark: SparkSession, sf: str, keep: Column | None = None) -> DataFrame:
     return (
-        lines(spark, sf)
+        lines(spark, sf, keep)
         .groupBy("version_id", "module", "relative_path")
         .agg(F.min("line_category_id").alias("line_category_id"), F.sum("lines").alias("lines"))
     )
 
 
-def file_metric(spark: SparkSession, sf: str) -> DataFrame:
+def file_metric(spark: SparkSession, sf: str, keep: Column | None = None) -> DataFrame:
     return measures.assemble_file_metrics(
-        file_lines(spark, sf), measures.file_distributions(observations(spark, sf))
+        file_lines(spark, sf, keep), measures.file_distributions(observations(spark, sf, keep))
     )
 
 
+def is_version(versions: DataFrame, selector: str | None = None) -> Column:
+    """Rows at one version, to be kept before they are measured."""
+    return F.col("version_id") == resolve_version(versions, selector).scalar()
+
+
 def modules(spark: SparkSession, sf: str) -> DataFrame:
     return lines(spark, sf).select("version_id", "module").distinct()
 

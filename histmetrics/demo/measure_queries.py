@@ -172,7 +172,8 @@ def _(spark, sf):
        CAST(greatest(0, lines) AS DOUBLE) AS size FROM x_file WHERE version_id = (SELECT version_id FROM x_latest)""",
 )
 def _(spark, sf):
-    versions, files = frames.versions(spark, sf), frames.file_metric(spark, sf)
+    versions = frames.versions(spark, sf)
+    files = frames.file_metric(spark, sf, frames.is_version(versions))
     items = projections.treemap_items(reads.file_snapshot(files, versions))
     return items.withColumn("version_id", reads.latest_version(versions).scalar())
 

@@ -14,6 +14,16 @@ AT = "1998-Q2"
 LATEST = "version_id = (SELECT version_id FROM x_latest)"
 
 
+def modules_at(spark, sf, selector=None):
+    """Module rows of one version, measured for that version only."""
+    return frames.module_aggregate(spark, sf, frames.is_version(frames.versions(spark, sf), selector))
+
+
+def files_at(spark, sf, selector=None, keep=None):
+    here = frames.is_version(frames.versions(spark, sf), selector)
+    return frames.file_metric(spark, sf, here if keep is None else here & keep)
+
+
 @query(
     "project_info",
     """SELECT substr(sha256(r_name), 1, 16) AS project_id, r_name AS repo_path, 'main' AS branch,
@@ -63,7 +73,7 @@ def _(spark, sf):
         WHERE version_id = '{AT}'""",
 )
 def _(spark, sf):
-    rows = reads.module_snapshot(frames.module_aggregate(spark, sf), frames.versions(spark, sf), AT)
+    rows = reads.module_snapshot(modules_at(spark, sf, AT), frames.versions(spark, sf), AT)
     return rows.select(
         "version_id", "module", "total_lines", F.col("line_counts")["css_lines"].alias("css_lines"),
         F.col("metrics")["cyclomatic_mean"].alias("cyclomatic_mean"),
@@ -78,7 +88,9 @@ def _(spark, sf):
         WHERE {LATEST} AND module = 'Brand_7'""",
 )
 def _(spark, sf):
-    rows = reads.file_snapshot(frames.file_metric(spark, sf), frames.versions(spark, sf), None, "Brand_7")
+    rows = reads.file_snapshot(
+        files_at(spark, sf, None, F.col("module") == "Brand_7"), frames.versions(spark, sf), None, "Brand_7"
+    )
     return rows.select(
         "version_id", "module", "relative_path", "line_category_id", F.col("line_counts")["lines"].alias("lines"),
         F.col("metrics")["cognitive_max"].alias("cognitive_max"),
@@ -90,7 +102,7 @@ def _(spark, sf):
     f"SELECT version_id, module, total_lines, jones_mean, xml_lines FROM x_module WHERE version_id = '{AT}'",
 )
 def _(spark, sf):
-    rows = reads.graph_nodes(frames.module_aggregate(spark, sf), frames.versions(spark, sf), AT)
+    rows = reads.graph_nodes(modules_at(spark, sf, AT), frames.versions(spark, sf), AT)
     return rows.select(
         "version_id", "module", "total_lines", F.col("metrics")["jones_mean"].alias("jones_mean"),
         F.col("line_counts")["xml_lines"].alias("xml_lines"),
@@ -196,7 +208,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return series.module_timeseries(
-        frames.module_aggregate(spark, sf), frames.versions(spark, sf), "Brand_2", "cyclomatic", "p95"
+        frames.module_aggregate(spark, sf, F.col("module") == "Brand_2"), frames.versions(spark, sf), "Brand_2", "cyclomatic", "p95"
     )
 
 
@@ -206,8 +218,9 @@ def _(spark, sf):
        WHERE module = 'Brand_2' AND relative_path = 'economy/size_11'""",
 )
 def _(spark, sf):
+    wanted = (F.col("module") == "Brand_2") & (F.col("relative_path") == "economy/size_11")
     return series.file_timeseries(
-        frames.file_metric(spark, sf), frames.versions(spark, sf), "Brand_2", "economy/size_11", "cognitive", "median"
+        frames.file_metric(spark, sf, wanted), frames.versions(spark, sf), "Brand_2", "economy/size_11", "cognitive", "median"
     )
 
 
@@ -216,7 +229,7 @@ def _(spark, sf):
     f"SELECT module, total_lines, cyclomatic_median FROM x_module WHERE {LATEST}",
 )
 def _(spark, sf):
-    rows = reads.latest_snapshot(frames.module_aggregate(spark, sf), frames.versions(spark, sf), ["module", "total_lines", "metrics"])
+    rows = reads.latest_snapshot(modules_at(spark, sf), frames.versions(spark, sf), ["module", "total_lines", "metrics"])
     return rows.select("module", "total_lines", F.col("metrics")["cyclomatic_median"].alias("cyclomatic_median"))
 
 
@@ -226,7 +239,7 @@ def _(spark, sf):
         FROM x_module WHERE {LATEST} ORDER BY current DESC, name LIMIT 20""",
 )
 def _(spark, sf):
-    return reads.hotspots(frames.module_aggregate(spark, sf), frames.versions(spark, sf), "cognitive", "p95")
+    return reads.hotspots(modules_at(spark, sf), frames.versions(spark, sf), "cognitive", "p95")
 
 
 @query(
@@ -235,7 +248,7 @@ def _(spark, sf):
         CAST(NULL AS DOUBLE) AS growth FROM x_file WHERE {LATEST} ORDER BY current DESC, name LIMIT 20""",
 )
 def _(spark, sf):
-    return reads.hotspots(frames.file_metric(spark, sf), frames.versions(spark, sf), "cyclomatic_mean", "mean", "file")
+    return reads.hotspots(files_at(spark, sf), frames.versions(spark, sf), "cyclomatic_mean", "mean", "file")
 
 
 @query(
@@ -391,7 +404,7 @@ def _(spark, sf):
         F.count(F.lit(1)).alias("parse_error_count")
     )
     return reads.module_detail(
-        frames.module_aggregate(spark, sf), edges, frames.versions(spark, sf), measures.FAMILIES, AT, errors
+        modules_at(spark, sf, AT), edges, frames.versions(spark, sf), measures.FAMILIES, AT, errors
     )
 
 
@@ -404,7 +417,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return reads.file_detail(
-        frames.file_metric(spark, sf), frames.versions(spark, sf), measures.FAMILIES, AT, _failures(spark, sf)
+        files_at(spark, sf, AT), frames.versions(spark, sf), measures.FAMILIES, AT, _failures(spark, sf)
     )
 
 
@@ -427,7 +440,7 @@ def _(spark, sf):
         WHERE version_id = '{AT}'""",
 )
 def _(spark, sf):
-    nodes = reads.graph_nodes(frames.module_aggregate(spark, sf), frames.versions(spark, sf), AT)
+    nodes = reads.graph_nodes(modules_at(spark, sf, AT), frames.versions(spark, sf), AT)
     rows = projections.graph_node_projection(nodes).select("id", "kind", F.explode("metrics").alias("m"))
     return rows.select("id", "kind", "m.metric_id", "m.value")
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from histmetrics.functions.catalog import FAMILIES, LINE_CATEGORIES
 from histmetrics.functions.text import TEST_FILE, line_category
+from histmetrics.schemas import DISTRIBUTION
 
 STATS = ("count", "mean", "median", "p95", "max")
 ENTITY_FILE = ("version_id", "module", "relative_path")
@@ -250,9 +251,23 @@ def assemble_module_aggregates(
     ``python_files`` names the column of ``counts`` with the file count.
     """
     keys = list(ENTITY_MODULE)
-    wanted = counts.select(*keys, F.explode(F.array(*[F.lit(f) for f in families])).alias("family"))
-    packed = pack_distributions(with_empty(dist, wanted, [*keys, "family"]), keys)
-    out = counts.join(packed, keys, "left")
+    out = counts.join(pack_distributions(dist, keys).select(*keys, "distributions"), keys, "left")
+    zero = F.struct(*[F.lit(0 if s == "count" else 0.0).cast(DISTRIBUTION[s].dataType).alias(s) for s in STATS])
+    found = {f: F.coalesce(F.try_element_at("distributions", F.lit(f)), zero) for f in families}
+    out = out.withColumn(
+        "distributions", F.create_map(*[x for f, d in found.items() for x in (F.lit(f), d)])
+    ).withColumn(
+        "metrics",
+        F.create_map(
+            *[
+                x
+                for f in families
+                for s in STATS
+                if s != "count"
+                for x in (F.lit(f"{f}_{s}"), F.try_element_at("distributions", F.lit(f))[s])
+            ]
+        ),
+    )
     if python_files is not None:
         n = F.coalesce(F.col(python_files), F.lit(0)).cast("double")
         out = out.withColumn("metrics", F.map_concat("metrics", F.create_map(F.lit("python_file_count"), n)))
