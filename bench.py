@@ -43,7 +43,7 @@ def main() -> None:
     spark = build_session(
         "bench",
         master=f"local[{cpus}]",
-        conf={"spark.sql.shuffle.partitions": str(2 * int(cpus)), "spark.driver.memory": "12g"},
+        conf={"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "12g"},
     )
     spark.sparkContext.setLogLevel("ERROR")
     QUERIES["line_counts"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm-up

@@ -245,6 +245,14 @@ def _file_of(folder: Column, extension: str) -> Column:
     return F.concat(folder, F.lit("line_"), F.concat_ws("_", *parts), F.lit(extension))
 
 
+def _text_id(*determining: Column) -> Column:
+    """Stored identity of a text: a hash of the values that determine it.
+
+    Like a hash column of a file table, it can be read without the text.
+    """
+    return F.sha2(F.concat_ws("|", *[c.cast("string") for c in determining]), 256).alias("content_sha")
+
+
 def xml_files(spark: SparkSession, sf: str) -> DataFrame:
     """One XML text per shipment; those with flag R lack their last tag."""
     folder = F.when(F.col("l_linestatus") == "F", F.lit("security/")).otherwise(F.lit("views/"))
@@ -265,7 +273,7 @@ def xml_files(spark: SparkSession, sf: str) -> DataFrame:
     )
     return shipments(spark, sf).select(
         "version_id", F.col("source").alias("module"), _file_of(folder, ".xml").alias("relative_path"),
-        text.alias("content"),
+        text.alias("content"), _text_id(F.col("target"), number, F.col("l_returnflag") == "R"),
     )
 
 
@@ -281,7 +289,7 @@ def csv_files(spark: SparkSession, sf: str) -> DataFrame:
         "version_id",
         F.col("source").alias("module"),
         _file_of(F.lit("security/"), ".csv").alias("relative_path"),
-        text.alias("content"),
+        text.alias("content"), _text_id(F.col("target"), number, F.col("l_linenumber")),
     )
 
 
@@ -319,7 +327,8 @@ def python_files(spark: SparkSession, sf: str) -> DataFrame:
         F.col("p_partkey").alias("l_partkey"), F.replace("p_brand", F.lit("#"), F.lit("_")).alias("module")
     )
     return items.join(orders, "l_orderkey").join(parts, "l_partkey").select(
-        "version_id", "module", _file_of(folder, ".py").alias("relative_path"), text.alias("content")
+        "version_id", "module", _file_of(folder, ".py").alias("relative_path"), text.alias("content"),
+        _text_id(F.when(broken, F.lit(-1)).otherwise(F.col("l_quantity").cast("int"))),
     )
 
 
@@ -356,7 +365,7 @@ def class_files(spark: SparkSession, sf: str) -> DataFrame:
     )
     providers = s.select("version_id", "target", "s_nationkey").distinct().select(
         "version_id", F.col("target").alias("module"), F.lit("models/seller.py").alias("relative_path"),
-        declared.alias("content"),
+        declared.alias("content"), _text_id(F.lit("seller"), F.col("s_nationkey")),
     )
     used = F.concat(
         F.lit("class Buyer(models.Model):\n    _inherit = 'res.n"), F.col("c_nationkey").cast("string"),
@@ -366,7 +375,7 @@ def class_files(spark: SparkSession, sf: str) -> DataFrame:
     )
     users = s.select(
         "version_id", F.col("source").alias("module"), _file_of(F.lit("models/"), ".py").alias("relative_path"),
-        used.alias("content"),
+        used.alias("content"), _text_id(F.lit("buyer"), F.col("c_nationkey"), F.col("s_nationkey")),
     )
     return providers.unionByName(users)
 
