@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from histmetrics.llm import mixing, packing, rules, secret_scan
+from histmetrics.llm import mixing, packing, quality, rules, secret_scan, toxicity
 from histmetrics.llm.common import table
 
 QUERIES = {
+    "op1_quality_classifier": lambda spark, sf: quality.classify_documents(
+        table(spark, sf, "documents"), table(spark, sf, "labels")
+    ),
     "op3_mix_sources": lambda spark, sf: mixing.mix_documents(table(spark, sf, "documents")),
+    "op5_toxicity": lambda spark, sf: toxicity.classify_documents(table(spark, sf, "documents"), table(spark, sf, "labels")),
     "op7_best_fit_packing": lambda spark, sf: packing.pack_documents(table(spark, sf, "documents")),
     "op9_secret_scans": lambda spark, sf: secret_scan.scan_documents(table(spark, sf, "documents")),
     "op10_quality_rules": lambda spark, sf: rules.quality_rules(table(spark, sf, "documents"), table(spark, sf, "labels")),
