@@ -29,7 +29,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,10 +63,10 @@ CLOSES_PARAGRAPH = frozenset(
 CLOSED_BY_SAME = frozenset("p li dt dd tr td th option".split())
 
 
-def host_of(url: str | None) -> str:
+def host_of(url) -> Column:
     """Host of an address in lower case, without port or user; empty if there is none."""
-    m = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", (url or "").strip())
-    return m[1].rpartition("@")[2].partition(":")[0].lower() if m else ""
+    host = F.regexp_extract(F.trim(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)*([^/?#:]*)", 1)
+    return F.coalesce(F.lower(host), F.lit(""))
 
 
 class Page:
@@ -224,17 +224,17 @@ def host_paths(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             votes: dict[tuple[str, str], float] = defaultdict(float)
-            for url, markup in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for host, markup in zip(batch.column(0).to_pylist(), batch.column(1)):
                 path, weight = Page((markup.as_py() or b"").decode("utf-8", "replace")).vote()
                 if path:
-                    votes[host_of(url), path] += weight
+                    votes[host, path] += weight
             if votes:
                 hosts, paths = zip(*votes)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(hosts), pa.array(paths), pa.array(votes.values(), type=pa.float64())], ["host", "path", "votes"]
                 )
 
-    voted = pages.select("url", F.col("html").cast("binary").alias("html")).mapInArrow(run, "host string, path string, votes double")
+    voted = pages.select(host_of("url"), F.col("html").cast("binary").alias("html")).mapInArrow(run, "host string, path string, votes double")
     summed = voted.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
     # Rounded, so that the order of adding does not decide; of equals the smallest path wins.
     best = F.min_by("path", F.struct((-F.round("votes", 6)).alias("v"), F.col("path")))
@@ -243,10 +243,8 @@ def host_paths(pages: DataFrame) -> DataFrame:
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars, host_path."""
-    host = F.lower(F.regexp_extract(F.trim(F.col("url")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)*([^/?#:]*)", 1))
-    keyed = pages.select("page_id", "url", "html", F.coalesce(host, F.lit("")).alias("host"))
+    keyed = pages.select("page_id", "url", "html", host_of("url").alias("host"))
     joined = keyed.join(host_paths(pages), "host", "left")
-
     both = joined.select("page_id", "url", "path", F.concat_ws("\n", F.coalesce("path", F.lit("")), F.coalesce("html", F.lit(""))).alias("both"))
 
     def run(texts):
