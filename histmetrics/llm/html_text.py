@@ -234,7 +234,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
                     [pa.array(hosts), pa.array(paths), pa.array(votes.values(), type=pa.float64())], ["host", "path", "votes"]
                 )
 
-    voted = pages.select(host_of("url"), F.col("html").cast("binary").alias("html")).mapInArrow(run, "host string, path string, votes double")
+    voted = pages.select(host_of("url").alias("host"), F.col("html").cast("binary").alias("html")).mapInArrow(run, "host string, path string, votes double")
     summed = voted.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
     # Rounded, so that the order of adding does not decide; of equals the smallest path wins.
     best = F.min_by("path", F.struct((-F.round("votes", 6)).alias("v"), F.col("path")))
