@@ -13,9 +13,12 @@ of messages stays in proportion to the corpus, at every size.
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,3 +77,47 @@ def prefix_sums(body: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(body) + 1, dtype=np.uint64)
     np.cumsum((body.astype(np.uint64) + np.uint64(1)) * up[: len(body)], out=sums[1:])
     return sums
+
+
+def key_of(body: bytes) -> bytes | None:
+    return hashlib.blake2b(body, digest_size=16).digest() if body else None
+
+
+def _least(a, b):
+    return b if a is None else a if b is None else min(a, b)
+
+
+def classes(documents: DataFrame, count: int, normal: Callable[[bytes | None], bytes]) -> DataFrame:
+    """batch, key, first_id, n, body of texts that are not empty; copies inside an Arrow batch are one row already."""
+    kind = documents.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[bytes, list] = {}
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                body = normal(text)
+                key = key_of(body)
+                if key is not None:
+                    row = found.setdefault(key, [None, 0, body])
+                    row[0], row[1] = _least(row[0], doc_id), row[1] + 1
+            columns = list(zip(*found.values())) or [(), (), ()]
+            kinds = (batch.schema.field(0).type, pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found, type=pa.binary()), *(pa.array(c, type=t) for c, t in zip(columns, kinds))],
+                ["key", "first_id", "n", "body"],
+            )
+
+    made = documents.select("doc_id", F.col("text").cast("binary").alias("body")).mapInArrow(
+        run, f"key binary, first_id {kind}, n long, body binary"
+    )
+    return made.select(batch_of(F.col("key"), count).alias("batch"), "key", "first_id", "n", "body")
+
+
+def members(table: pa.Table) -> tuple[list[bytes], list, list[int], list[bytes]]:
+    """Keys, first ids, numbers of documents and bodies of a batch's classes, by key."""
+    found: dict[bytes, list] = {}
+    for key, first, n, body in zip(*(table[c].to_pylist() for c in ("key", "first_id", "n", "body"))):
+        row = found.setdefault(key, [None, 0, body])
+        row[0], row[1] = _least(row[0], first), row[1] + n
+    keys = sorted(found)
+    return keys, *([found[k][i] for k in keys] for i in range(3))

@@ -23,7 +23,6 @@ empty table gives an empty result. Whole texts are read.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from histmetrics.llm.components import components
-from histmetrics.llm.exchange import POWERS, batch_of, bucket_of, mix, parts, prefix_sums
+from histmetrics.llm.exchange import (
+    POWERS,
+    batch_of,
+    bucket_of,
+    classes,
+    key_of,
+    members,
+    mix,
+    parts,
+    prefix_sums,
+)
 from histmetrics.session import cut_lineage
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -80,6 +89,11 @@ def shingles(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return found, of
 
 
+def words_of(body: bytes | None) -> bytes:
+    """A text's words with one space between them."""
+    return b" ".join((body or b"").split())
+
+
 def groups_of(bodies: list[bytes]) -> Iterator[tuple[int, int]]:
     """Ranges of texts that are hashed together."""
     begin = size = 0
@@ -157,49 +171,6 @@ def band_keys(sampled: np.ndarray) -> np.ndarray:
     return mix(bands ^ np.arange(BANDS, dtype=np.uint64))
 
 
-def classes(documents: DataFrame, count: int) -> DataFrame:
-    """batch, key, first_id, n, body of texts with words; copies inside an Arrow batch are already one row."""
-    kind = documents.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: dict[bytes, list] = {}
-            for doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = b" ".join((body or b"").split())
-                if not words:
-                    continue
-                key = hashlib.blake2b(words, digest_size=16).digest()
-                row = found.setdefault(key, [doc_id, 0, words])
-                row[1] += 1
-                row[0] = doc_id if row[0] is None else row[0] if doc_id is None else min(row[0], doc_id)
-            rows = list(found.values())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(found, type=pa.binary()),
-                    pa.array([r[0] for r in rows], type=batch.schema.field(0).type),
-                    pa.array([r[1] for r in rows], type=pa.int64()),
-                    pa.array([r[2] for r in rows], type=pa.binary()),
-                ],
-                ["key", "first_id", "n", "body"],
-            )
-
-    made = documents.select("doc_id", F.col("text").cast("binary").alias("body")).mapInArrow(
-        run, f"key binary, first_id {kind}, n long, body binary"
-    )
-    return made.select(batch_of(F.col("key"), count).alias("batch"), "key", "first_id", "n", "body")
-
-
-def members(table: pa.Table) -> tuple[list[bytes], list, list[int], list[bytes]]:
-    """Keys, first ids, numbers of documents and bodies of a batch's classes, by key."""
-    found: dict[bytes, list] = {}
-    for key, first, n, body in zip(*(table[c].to_pylist() for c in ("key", "first_id", "n", "body"))):
-        row = found.setdefault(key, [first, 0, body])
-        row[1] += n
-        row[0] = first if row[0] is None else row[0] if first is None else min(row[0], first)
-    keys = sorted(found)
-    return keys, *([found[k][i] for k in keys] for i in range(3))
-
-
 def frequencies(batched: DataFrame, count: int) -> DataFrame:
     """batch, bucket, places, counts: which of a batch's hashes in a bucket other batches hold too, and all documents that do."""
 
@@ -357,7 +328,7 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataF
     """One row per document: doc_id, class_id (smallest doc_id of its group), kept (one document of each group)."""
     kind = documents.schema["doc_id"].dataType.simpleString()
     count, total = parts(documents), documents.count()
-    batched = classes(documents, count)
+    batched = classes(documents, count, words_of)
     answers = cut_lineage(frequencies(batched, count))
     signed = cut_lineage(signatures(batched, answers, count, total, kind))
     roots = components(links(signed, batched, answers, count, total, threshold)).withColumnRenamed("node", "key")
@@ -367,13 +338,10 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataF
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
-            for body in batch.column(1).to_pylist():
-                words = b" ".join((body or b"").split())
-                made.append(hashlib.blake2b(words, digest_size=16).digest() if words else None)
+            made = [key_of(words_of(body)) for body in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, type=pa.binary())], ["doc_id", "key"])
 
-    keyed = documents.select("doc_id", F.col("text").cast("binary")).mapInArrow(keys, f"doc_id {kind}, key binary")
+    keyed = documents.select("doc_id", F.col("text").cast("binary").alias("body")).mapInArrow(keys, f"doc_id {kind}, key binary")
     done = keyed.join(by_key, "key", "left")
     class_id = F.coalesce("class_id", "doc_id")
     return done.select("doc_id", class_id.alias("class_id"), F.coalesce(F.col("doc_id") == class_id, F.lit(True)).alias("kept"))

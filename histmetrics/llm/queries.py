@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from histmetrics.llm import html_text, minhash, mixing, packing, quality, rules, secret_scan, toxicity, vectors
+from histmetrics.llm import html_text, minhash, mixing, packing, quality, rules, secret_scan, suffixes, toxicity, vectors
 from histmetrics.llm.common import table
 
 QUERIES = {
@@ -11,6 +11,7 @@ QUERIES = {
     ),
     "op2_minhash_near_dedup": lambda spark, sf: minhash.near_duplicates(table(spark, sf, "documents")),
     "op3_mix_sources": lambda spark, sf: mixing.mix_documents(table(spark, sf, "documents")),
+    "op4_suffix_dedup": lambda spark, sf: suffixes.remove_repeats(table(spark, sf, "documents")),
     "op5_toxicity": lambda spark, sf: toxicity.classify_documents(table(spark, sf, "documents"), table(spark, sf, "labels")),
     "op6_embedding_near_dedup": lambda spark, sf: vectors.near_vectors(table(spark, sf, "embeddings")),
     "op7_best_fit_packing": lambda spark, sf: packing.pack_documents(table(spark, sf, "documents")),
