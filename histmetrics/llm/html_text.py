@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from histmetrics.llm.common import annotate
+from histmetrics.llm.common import annotate, written
 
 #: A comment, a declaration, or a tag with its attributes (quoted values may hold ">").
 MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
@@ -244,7 +244,8 @@ def host_paths(pages: DataFrame) -> DataFrame:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars, host_path."""
     keyed = pages.select("page_id", "url", "html", host_of("url").alias("host"))
-    joined = keyed.join(host_paths(pages), "host", "left")
+    # The table of paths is written first: the planner broadcasts it if its files are small, and else joins by host.
+    joined = keyed.join(written(host_paths(pages), "host_paths"), "host", "left")
     both = joined.select("page_id", "url", "path", F.concat_ws("\n", F.coalesce("path", F.lit("")), F.coalesce("html", F.lit(""))).alias("both"))
 
     def run(texts):

@@ -9,9 +9,13 @@ sample the same with their weighted Jaccard similarity as probability; ``ROWS``
 samples make a band. Classes that agree in a band are candidates, and only pairs
 whose weighted Jaccard similarity is at least ``THRESHOLD`` are linked.
 
-A band's bucket never emits its pairs: each round links the members that are left
-to the smallest of them; members that were verified leave the bucket, the others
-go on among themselves (as often as needed), so dissimilar members meet too.
+A band's bucket never emits its pairs. Its members are held against the one that
+shares the most buckets, the heart of a group of copies. Members that are not
+similar to it go on into finer buckets, together with the best of those that are:
+buckets of the same members and ``FINER`` more samples, in ``TRIES`` ways, so that
+a passage many texts share is soon told apart. After ``LEVELS`` levels the rest
+meet in their buckets without further samples until every member has been
+linked or is alone, so nothing is cut off.
 
 Counting goes through ``exchange``: batches of classes send distinct hashes to
 buckets and get counts back, so no job has a row per shingle.
@@ -29,7 +33,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from histmetrics.llm.common import annotate
 from histmetrics.llm.components import components
 from histmetrics.llm.exchange import (
     POWERS,
@@ -46,6 +52,7 @@ from histmetrics.session import cut_lineage
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 10, 3
+FINER, TRIES, LEVELS = 3, 5, 4
 TABLE_BITS = 16
 #: Texts are hashed together up to this many bytes (a longer one alone).
 TOGETHER = 1 << 20
@@ -236,24 +243,26 @@ def weighed(left: pa.Table, right: pa.Table, count: int, documents: int):
 
 
 def signatures(batched: DataFrame, answers: DataFrame, count: int, documents: int, kind: str) -> DataFrame:
-    """key, first_id, n and the band keys of every class."""
+    """key, first_id, n, band keys and samples of every class."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return pa.table({"key": pa.array([], pa.binary()), "first_id": pa.array([], left["first_id"].type), "n": pa.array([], pa.int64()), "bands": pa.array([], pa.list_(pa.int64()))})
+            return pa.table({"key": pa.array([], pa.binary()), "first_id": pa.array([], left["first_id"].type), "n": pa.array([], pa.int64()), "bands": pa.array([], pa.list_(pa.int64())), "samples": pa.array([], pa.list_(pa.int64()))})
         keys, first, n, hashes, weights, begins = weighed(left, right, count, documents)
-        bands = band_keys(samples(hashes, weights, begins)).view(np.int64)
+        sampled = samples(hashes, weights, begins)
+        bands = band_keys(sampled).view(np.int64)
         return pa.table(
             {
                 "key": pa.array(keys, type=pa.binary()),
                 "first_id": pa.array(first, type=left["first_id"].type),
                 "n": pa.array(n, type=pa.int64()),
                 "bands": pa.array(list(bands), type=pa.list_(pa.int64())),
+                "samples": pa.array(list(sampled.view(np.int64)), type=pa.list_(pa.int64())),
             }
         )
 
     return batched.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(
-        run, f"key binary, first_id {kind}, n long, bands array<long>"
+        run, f"key binary, first_id {kind}, n long, bands array<long>, samples array<long>"
     )
 
 
@@ -306,26 +315,57 @@ def verified(pairs: DataFrame, vector: DataFrame, threshold: float) -> DataFrame
     return pairs.join(left, "a").join(right, "b").select("a", "b", "va", "vb").mapInArrow(run, "a binary, b binary, linked boolean")
 
 
+def _crowded(rows: DataFrame) -> DataFrame:
+    """Members of buckets with two or more members."""
+    held = rows.groupBy("band", "value").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    return rows.join(held, ["band", "value"])
+
+
+def finer(rows: DataFrame, signed: DataFrame, level: int) -> DataFrame:
+    """Members in buckets of FINER more samples each, in TRIES ways."""
+    joined = rows.join(signed.select("key", "samples"), "key").withColumn("_try", F.explode(F.sequence(F.lit(0), F.lit(TRIES - 1))))
+    others = BANDS * ROWS - ROWS
+    picked = [
+        F.element_at(
+            "samples",
+            ((F.col("band") * ROWS + ROWS + F.pmod(F.xxhash64("band", "_try", F.lit(level), F.lit(k)), F.lit(others))) % (BANDS * ROWS) + 1).cast("int"),
+        )
+        for k in range(FINER)
+    ]
+    return joined.select("band", F.xxhash64("value", "_try", *picked).alias("value"), "key", "score")
+
+
 def links(signed: DataFrame, batched: DataFrame, answers: DataFrame, count: int, documents: int, threshold: float) -> DataFrame:
     """Verified links (a, b) between classes that share a band."""
     exploded = signed.select("key", F.posexplode("bands").alias("band", "value"))
-    held = exploded.groupBy("band", "value").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    waiting = cut_lineage(exploded.join(held.drop("c"), ["band", "value"]))
-    vector = cut_lineage(vectors(batched, answers, waiting.select("key").distinct(), count, documents))
-    found = None
+    shared = cut_lineage(_crowded(exploded))
+    score = shared.groupBy("key").agg(F.sum("c").alias("score"))
+    waiting = cut_lineage(shared.drop("c").join(score, "key"))
+    vector = cut_lineage(vectors(batched, answers, score.select("key"), count, documents))
+    found, level = None, 0
     while True:
-        least = waiting.groupBy("band", "value").agg(F.min("key").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-        met = cut_lineage(waiting.join(least, ["band", "value"]).where(F.col("key") != F.col("a")).withColumnRenamed("key", "b"))
+        # The member with the highest score; of equals the smallest key.
+        heart = F.min_by("key", F.struct((-F.col("score")).alias("s"), F.col("key"))).alias("a")
+        hearts = waiting.groupBy("band", "value").agg(heart, F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+        met = cut_lineage(waiting.join(hearts, ["band", "value"]).where(F.col("key") != F.col("a")).withColumnRenamed("key", "b"))
         if met.isEmpty():
             return found if found is not None else met.select("a", "b")
         told = cut_lineage(verified(met.select("a", "b").distinct(), vector, threshold))
         good = told.where("linked").select("a", "b")
         found = good if found is None else found.unionByName(good)
-        waiting = cut_lineage(met.join(told.where("NOT linked"), ["a", "b"]).select("band", "value", F.col("b").alias("key")))
-
-
-def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, class_id (smallest doc_id of its group), kept (one document of each group)."""
+        known = met.join(told, ["a", "b"])
+        left = known.where("NOT linked").select("band", "value", F.col("b").alias("key"), "score")
+        level += 1
+        if level <= LEVELS:
+            best = F.min_by(F.struct(F.col("b").alias("key"), "score"), F.struct((-F.col("score")).alias("s"), F.col("b"))).alias("best")
+            second = known.where("linked").join(left.select("band", "value").distinct(), ["band", "value"], "left_semi")
+            second = second.groupBy("band", "value").agg(best).select("band", "value", "best.key", "best.score")
+            left = _crowded(finer(left.unionByName(second), signed, level).distinct()).drop("c")
+        waiting = cut_lineage(left)
+
+
+def class_ids(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """key (of a text's words) and class_id (smallest doc_id of its group) of every class."""
     kind = documents.schema["doc_id"].dataType.simpleString()
     count, total = parts(documents), documents.count()
     batched = classes(documents, count, words_of)
@@ -334,14 +374,30 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataF
     roots = components(links(signed, batched, answers, count, total, threshold)).withColumnRenamed("node", "key")
     rooted = signed.select("key", "first_id").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    by_key = rooted.join(smallest, "root").select("key", "class_id")
+    return rooted.join(smallest, "root").select("key", "class_id")
+
+
+def classified(documents: DataFrame, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
+    """``row`` (a struct of the kept columns), class_id and kept of every document.
+
+    Rows with the id of their class are kept, so repeated rows of that id stay together.
+    """
+    names = sorted({*(keep or documents.columns), "doc_id"}, key=documents.columns.index)
+    keyed = annotate(
+        documents, "text", lambda texts: [[key_of(words_of(t)) for t in texts]], [T.StructField("key", T.BinaryType())], names
+    )
+    done = keyed.join(class_ids(documents, threshold), "key", "left")
+    doc_id = F.col("row").getField("doc_id")
+    class_id = F.coalesce("class_id", doc_id)
+    return done.select("row", class_id.alias("class_id"), F.coalesce(doc_id == class_id, F.lit(True)).alias("kept"))
+
+
+def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per document: doc_id, class_id (smallest doc_id of its group), kept (one document of each group)."""
+    done = classified(documents, threshold, ["doc_id"])
+    return done.select(F.col("row").getField("doc_id").alias("doc_id"), "class_id", "kept")
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [key_of(words_of(body)) for body in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, type=pa.binary())], ["doc_id", "key"])
 
-    keyed = documents.select("doc_id", F.col("text").cast("binary").alias("body")).mapInArrow(keys, f"doc_id {kind}, key binary")
-    done = keyed.join(by_key, "key", "left")
-    class_id = F.coalesce("class_id", "doc_id")
-    return done.select("doc_id", class_id.alias("class_id"), F.coalesce(F.col("doc_id") == class_id, F.lit(True)).alias("kept"))
+def keep_one(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One document of each group, with its own columns."""
+    return classified(documents, threshold).where("kept").select("row.*")

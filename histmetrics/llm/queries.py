@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from histmetrics.llm import html_text, minhash, mixing, packing, quality, rules, secret_scan, suffixes, toxicity, vectors
 from histmetrics.llm.common import table
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_quality_classifier": lambda spark, sf: quality.classify_documents(
         table(spark, sf, "documents"), table(spark, sf, "labels")
     ),

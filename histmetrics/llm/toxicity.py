@@ -42,8 +42,8 @@ FOLDS, HELD_OUT = 4, 2
 TRAIN_ROWS, LEAST_ROWS = 1500, 20
 LENGTH, DECAY = 4, 0.6
 LANDMARKS, SHORTEST, LONGEST = 32, 4, 9
-#: A landmark is held by this share of the toxic sample at least, and its odds are this high.
-LEAST_SHARE, LEAST_ODDS = 0.025, 20.0
+#: A landmark is held by so many documents of the toxic sample and this share of it at least, and its odds are this high.
+LEAST_HELD, LEAST_SHARE, LEAST_ODDS = 9, 0.025, 20.0
 #: Documents of each class that landmarks are mined from.
 MINED = 1000
 #: Longer words count as pieces of this size, each overlapping the next by half.
@@ -54,7 +54,7 @@ FLOOR = 0.5
 CLEAR, MORE = 0.9, 4
 #: Sentences of a clean document that count, those nearest to toxic ones.
 HARD = 12
-COST = 30.0
+COST = 10.0
 LEAST_SLOPE = 2.0
 PREDICT = 0.3
 
@@ -183,7 +183,7 @@ def choose_landmarks(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
 
     toxic, clean = toxic[:MINED], clean[:MINED]
     counts = Counter(p for words in toxic for p in parts(words))
-    least, scale = max(3.0, LEAST_SHARE * len(toxic)), len(clean) / max(1, len(toxic))
+    least, scale = max(LEAST_HELD, LEAST_SHARE * len(toxic)), len(clean) / max(1, len(toxic))
     often = {p for p, n in counts.items() if n >= least}
     other = Counter(p for words in clean for p in parts(words) & often)
     odd = {p for p in often if counts[p] * scale >= LEAST_ODDS * (other[p] + 0.5)}
