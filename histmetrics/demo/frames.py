@@ -33,22 +33,9 @@ PRIORITY_KIND = {
 }
 
 
-# Tables that may come as one unsplittable file, with the columns to spread them by.
-SPREAD = {
-    "lineitem": ("l_orderkey", "l_partkey", "l_suppkey"),
-    "orders": ("o_orderkey",),
-    "documents": ("doc_id",),
-    "events": ("event_id",),
-}
-
-
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """One of the driver's tables; spread out only if it has fewer splits than there are cores."""
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in SPREAD and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, *SPREAD[name])
-    return df
+    """One of the driver's tables."""
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def _lookup(pairs: dict[str, str], key: Column) -> Column:

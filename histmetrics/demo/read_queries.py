@@ -134,16 +134,16 @@ def _(spark, sf):
     return reads.relations(frames.edges(spark, sf, strict=True), frames.versions(spark, sf), AT)
 
 
-@query("edges_ranked", "SELECT version_id, source, target, score FROM x_edge ORDER BY score DESC, source, target, version_id LIMIT 50")
+@query("edges_ranked", "SELECT version_id, source, target, score FROM x_edge")
 def _(spark, sf):
-    ranked = frames.edges(spark, sf).orderBy(F.desc("score"), "source", "target", "version_id")
-    return ranked.limit(50).select("version_id", "source", "target", F.col("score").cast("long").alias("score"))
+    ranked = reads.edges_ranked(frames.edges(spark, sf))
+    return ranked.select("version_id", "source", "target", F.col("score").cast("long").alias("score"))
 
 
 @query(
     "entities",
     f"""SELECT id, 'python.file' AS kind, id AS label, relative_path AS path FROM (SELECT DISTINCT
-        module || '/' || relative_path AS id, relative_path FROM x_line WHERE version_id = '{AT}') ORDER BY id LIMIT 10000""",
+        module || '/' || relative_path AS id, relative_path FROM x_line WHERE version_id = '{AT}')""",
 )
 def _(spark, sf):
     here = reads.at_version(frames.lines(spark, sf), frames.versions(spark, sf), AT)

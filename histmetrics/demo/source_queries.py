@@ -101,12 +101,14 @@ def _(spark, sf):
 
 @query(
     "plan_short_log",
-    "SELECT lower(hex(o_orderkey)) AS version_id, CAST(o_orderkey AS INTEGER) AS version_order FROM orders WHERE o_orderkey < 70",
+    """SELECT lower(hex(o_orderkey)) AS version_id, CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS INTEGER) AS version_order
+       FROM orders WHERE o_orderkey * 10 < (SELECT min(o_orderkey) * 10 FROM orders WHERE o_orderkey % 100 = 70)
+       ORDER BY o_orderkey LIMIT 100""",
 )
 def _(spark, sf):
     key = F.col("o_orderkey")
     line = F.concat_ws(" ", F.lower(F.hex(key)), F.unix_timestamp("o_orderdate").cast("string"), F.col("o_orderpriority"))
-    rows = frames.table(spark, sf, "orders").select(key.alias("seq"), F.when(key % 100 == 70, " ").otherwise(line).alias("value"))
+    rows = frames.table(spark, sf, "orders").select((key * 10).alias("seq"), F.when(key % 100 == 70, " ").otherwise(line).alias("value"))
     return logs.plan_short_log(rows, 100)
 
 
@@ -129,7 +131,7 @@ def _batch_tables(spark, sf):
 )
 def _(spark, sf):
     path = scratch_path(spark, "batches")
-    batches.write_batches_jsonl(frames.versions(spark, sf), _batch_tables(spark, sf), path, rows_per_line=500)
+    batches.write_batches_jsonl(frames.versions(spark, sf), _batch_tables(spark, sf), path)
     read = batches.explode_batches(batches.read_batches_jsonl(spark, path))
     none = F.lit(None).cast("string")
     n = F.col("line_counts")["lines"].alias("n")
@@ -145,12 +147,12 @@ def _(spark, sf):
 
 @query(
     "batch_lines",
-    """SELECT version_id, CAST(ceil((f + e) / 500.0) AS BIGINT) AS lines, f AS files, e AS edges FROM
-       (SELECT version_id, count(DISTINCT (module, relative_path)) AS f FROM x_line GROUP BY ALL)
-       JOIN (SELECT version_id, count(*) AS e FROM x_edge GROUP BY ALL) USING (version_id)""",
+    """SELECT version_id, m + s AS lines, f AS files, e AS edges FROM
+       (SELECT version_id, count(DISTINCT module) AS m, count(DISTINCT (module, relative_path)) AS f FROM x_line GROUP BY ALL)
+       JOIN (SELECT version_id, count(DISTINCT source) AS s, count(*) AS e FROM x_edge GROUP BY ALL) USING (version_id)""",
 )
 def _(spark, sf):
-    rows = batches.batch_lines(frames.versions(spark, sf), _batch_tables(spark, sf), rows_per_line=500)
+    rows = batches.batch_lines(frames.versions(spark, sf), _batch_tables(spark, sf))
     return rows.groupBy(F.col("commit.version_id").alias("version_id")).agg(
         F.count(F.lit(1)).alias("lines"),
         F.sum(F.size("files")).cast("long").alias("files"),

@@ -28,7 +28,9 @@ def group_of(kind: Column | str, kind_group: Mapping[str, str] = KIND_GROUP) ->
 def edge_included(score: Column | str = "score", include_zero: bool = False, minimum: int = 0) -> Column:
     """The one rule for which edges any read shows."""
     s = F.col(score) if isinstance(score, str) else score
-    return s >= (minimum if include_zero else max(minimum, 1))
+    if include_zero:  # no filter at all, unless a minimum is asked for
+        return s >= minimum if minimum > 0 else F.lit(True)
+    return s >= max(minimum, 1)
 
 
 def all_edge_facts(*streams: DataFrame) -> DataFrame:

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from histmetrics.session import cut_lineage
 
-MAX_DEPTH = 5
-
 
 def visible_edges(
     edges: DataFrame, groups: Sequence[str], minimum: int = 1, include_zero: bool = False
@@ -31,10 +29,11 @@ def neighborhood(
     """Nodes within ``depth`` hops of the seeds, with the hop they are first met at.
 
     ``seeds`` holds ``(version_id, node)``; ``direction`` is ``out``, ``in`` or
-    ``both``. Every hop joins only the last frontier with the edges.
+    ``both``. Every hop joins only the last frontier with the edges; the walk ends
+    early when a hop meets nothing new.
     """
-    if not 1 <= depth <= MAX_DEPTH:
-        raise ValueError(f"depth must be 1..{MAX_DEPTH}, got {depth}")
+    if depth < 1:
+        raise ValueError(f"depth must be at least 1, got {depth}")
     if direction not in ("out", "in", "both"):
         raise ValueError(f"direction must be out, in or both, got {direction!r}")
     forward = edges.select("version_id", F.col("source").alias("node"), F.col("target").alias("next"))
@@ -52,6 +51,8 @@ def neighborhood(
         reached = reached.unionByName(met).groupBy("version_id", "node").agg(F.min("hop").alias("hop"))
         if hop < depth:
             reached = cut_lineage(reached)
+            if reached.where(F.col("hop") == hop).isEmpty():
+                break
     return reached
 
 

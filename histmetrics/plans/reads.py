@@ -121,8 +121,8 @@ def relations(
     )
 
 
-def entities(df: DataFrame, kind: str, limit: int = 10_000) -> DataFrame:
-    """Entity targets of a kind (``*.module`` or ``*.file``), at most 10,000."""
+def entities(df: DataFrame, kind: str, limit: int | None = None) -> DataFrame:
+    """Entity targets of a kind (``*.module`` or ``*.file``), by id; all of them unless a limit is given."""
     if kind.endswith(".module"):
         ident = path = F.col("module")
     elif kind.endswith(".file"):
@@ -130,12 +130,9 @@ def entities(df: DataFrame, kind: str, limit: int = 10_000) -> DataFrame:
         path = F.col("relative_path")
     else:
         raise ValueError(f"unknown entity kind: {kind}")
-    return (
-        df.select(ident.alias("id"), F.lit(kind).alias("kind"), ident.alias("label"), path.alias("path"))
-        .distinct()
-        .orderBy("id")
-        .limit(min(limit, 10_000))
-    )
+    found = df.select(ident.alias("id"), F.lit(kind).alias("kind"), ident.alias("label"), path.alias("path"))
+    found = found.distinct().orderBy("id")
+    return found if limit is None else found.limit(limit)
 
 
 def scope_modules(

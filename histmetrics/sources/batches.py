@@ -14,18 +14,15 @@ PARTS = {
     "edges": "coupling_edge",
     "failures": "failure",
 }
-ROWS_PER_LINE = 10_000
+#: What a line holds the rows of, beside its version and part.
+OWNER = {"files": "module", "modules": "module", "edges": "source", "failures": "file_path"}
 
 
-def batch_lines(
-    versions: DataFrame,
-    tables: dict[str, DataFrame],
-    rows_per_line: int = ROWS_PER_LINE,
-) -> DataFrame:
-    """One row per version in the nested batch shape.
+def batch_lines(versions: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """A row per version, part and module (source of edges, file of failures) in the nested batch shape.
 
-    A version with more than ``rows_per_line`` rows is written as several lines
-    that repeat its commit, so no line grows with the size of a version.
+    Lines of a version repeat its commit; a version without rows has one line.
+    So no line grows with the size of a version.
     """
     parts = []
     for part, table in PARTS.items():
@@ -36,26 +33,21 @@ def batch_lines(
         parts.append(
             tables[part].select(
                 "version_id",
-                F.xxhash64(F.lit(part), F.to_json(row)).alias("_spread"),
+                F.lit(part).alias("_part"),
+                F.col(OWNER[part]).alias("_owner"),
                 *[(row if p == part else F.lit(None)).alias(p) for p in PARTS if p in tables],
             )
         )
     rows = parts[0]
     for other in parts[1:]:
         rows = rows.unionByName(other)
-    sizes = rows.groupBy("version_id").agg(F.ceil(F.count(F.lit(1)) / rows_per_line).alias("_lines"))
-    placed = rows.join(sizes, "version_id").withColumn("_line", F.pmod("_spread", F.col("_lines")))
-    gathered = placed.groupBy("version_id", "_line").agg(
-        *[F.collect_list(p).alias(p) for p in PARTS if p in tables]
-    )
+    gathered = rows.groupBy("version_id", "_part", "_owner").agg(*[F.collect_list(p).alias(p) for p in PARTS if p in tables])
     commit = versions.select("version_id", F.struct(*[f.name for f in schemas.VERSION.fields]).alias("commit"))
     return commit.join(gathered, "version_id", "left").select("commit", *[p for p in PARTS if p in tables])
 
 
-def write_batches_jsonl(
-    versions: DataFrame, tables: dict[str, DataFrame], path: str, rows_per_line: int = ROWS_PER_LINE
-) -> None:
-    batch_lines(versions, tables, rows_per_line).write.mode("errorifexists").json(path)
+def write_batches_jsonl(versions: DataFrame, tables: dict[str, DataFrame], path: str) -> None:
+    batch_lines(versions, tables).write.mode("errorifexists").json(path)
 
 
 def read_batches_jsonl(spark: SparkSession, path: str) -> DataFrame:

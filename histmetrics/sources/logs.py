@@ -59,18 +59,23 @@ def plan_versions(commits: DataFrame, seq: str = "seq", bucket_size: int = 100_0
     return global_position(kept, [seq, "version_id"], bucket, "version_order").drop(seq)
 
 
-def plan_short_log(lines: DataFrame, limit: int = 100, column: str = "value", seq: str = "seq") -> DataFrame:
-    """The first lines ``<hash> <epoch> <subject>`` up to a blank one; order = position.
+def plan_short_log(
+    lines: DataFrame, limit: int = 100, column: str = "value", seq: str = "seq", bucket_size: int = 1_000_000
+) -> DataFrame:
+    """The first ``limit`` lines ``<hash> <epoch> <subject>`` up to a blank one; order = position.
 
-    Blank lines before the first record do not count.
+    Lines are numbered by ``seq``, which may have gaps; blank lines before the
+    first record do not count.
     """
     blank = F.trim(column) == ""
     first = lines.where(~blank).agg(F.min(seq)).scalar()
-    here = lines.where((F.col(seq) >= first) & (F.col(seq) < first + limit))
+    here = lines.where(F.col(seq) >= first)
     stop = here.where(blank).agg(F.min(seq)).scalar()
-    return here.where(F.coalesce(F.col(seq) < stop, F.lit(True))).select(
-        F.split(F.ltrim(column), " ", 2)[0].alias("version_id"), (F.col(seq) - first).cast("int").alias("version_order")
+    records = here.where(F.coalesce(F.col(seq) < stop, F.lit(True))).select(
+        F.split(F.ltrim(column), " ", 2)[0].alias("version_id"), seq
     )
+    placed = global_position(records, [seq], F.floor(F.col(seq) / bucket_size), "_place")
+    return placed.where(F.col("_place") < limit).select("version_id", F.col("_place").cast("int").alias("version_order"))
 
 
 def pending_versions(planned: DataFrame, stored: DataFrame) -> DataFrame:

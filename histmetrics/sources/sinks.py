@@ -16,15 +16,14 @@ def flat_for_csv(df: DataFrame) -> DataFrame:
 
 
 def write_result(df: DataFrame, path: str, fmt: str = "json", mode: str = "errorifexists") -> None:
-    """Write as ``json``, ``csv`` (with header) or ``parquet``."""
+    """Write as ``json``, ``csv`` (with header), ``parquet`` or ``text`` (all rows, a tab between columns)."""
     if fmt == "csv":
         flat_for_csv(df).write.mode(mode).option("header", "true").csv(path)
+    elif fmt == "text":
+        flat = flat_for_csv(df)
+        flat.select(F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in flat.columns])).write.mode(mode).text(path)
     elif fmt in ("json", "parquet"):
         df.write.mode(mode).format(fmt).save(path)
     else:
         raise ValueError(f"unknown format: {fmt}")
 
-
-def table_text(df: DataFrame, rows: int = 20, width: int = 40) -> str:
-    """The first rows as a text table, as ``show`` prints it."""
-    return df._show_string(rows, width, False)

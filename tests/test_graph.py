@@ -122,8 +122,9 @@ def test_neighbourhood(spark, rows):
     assert walk(1, "in") == [("a", 0), ("c", 1), ("x", 1)]
     assert walk(2, "both") == [("a", 0), ("b", 1), ("c", 1), ("d", 2), ("x", 1)]
     assert walk(5, "out") == [("a", 0), ("b", 1), ("c", 2), ("d", 3)]
+    assert walk(60, "out") == walk(5, "out")
     with pytest.raises(ValueError):
-        walk(6, "out")
+        walk(0, "out")
 
 
 def test_visible_edges_and_points(spark, rows):
