@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,17 +89,21 @@ def _least(a, b):
 
 
 def classes(documents: DataFrame, count: int, normal: Callable[[bytes | None], bytes]) -> DataFrame:
-    """batch, key, first_id, n, body of texts that are not empty; copies inside an Arrow batch are one row already."""
+    """batch, key, first_id, n, body of texts that are not empty; copies inside an Arrow batch are one row already.
+
+    Bodies are compressed one by one, for they cross the network several times.
+    """
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             found: dict[bytes, list] = {}
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 body = normal(text)
                 key = key_of(body)
                 if key is not None:
-                    row = found.setdefault(key, [None, 0, body])
+                    row = found.get(key) or found.setdefault(key, [None, 0, press(body)])
                     row[0], row[1] = _least(row[0], doc_id), row[1] + 1
             columns = list(zip(*found.values())) or [(), (), ()]
             kinds = (batch.schema.field(0).type, pa.int64(), pa.binary())
@@ -119,5 +124,5 @@ def members(table: pa.Table) -> tuple[list[bytes], list, list[int], list[bytes]]
     for key, first, n, body in zip(*(table[c].to_pylist() for c in ("key", "first_id", "n", "body"))):
         row = found.setdefault(key, [None, 0, body])
         row[0], row[1] = _least(row[0], first), row[1] + n
-    keys = sorted(found)
-    return keys, *([found[k][i] for k in keys] for i in range(3))
+    keys, unpress = sorted(found), zstandard.ZstdDecompressor().decompress
+    return keys, *([found[k][i] for k in keys] for i in range(2)), [unpress(found[k][2]) for k in keys]

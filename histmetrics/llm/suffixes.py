@@ -14,8 +14,8 @@ Column-wise construction. A bucket builds the Burrows-Wheeler transform and the
 common prefixes of all its distinct pieces: in each round every piece inserts
 its next symbol from the right. The place of the new suffix follows from the rank
 of its symbol, its common prefix with either neighbour from the range minimum
-between the neighbouring occurrences of that symbol. Transform and prefixes are
-external files, read and written in sequence in each round in the task's own
+between the neighbouring occurrences of that symbol. Transform and prefixes are an
+external file, read and written in sequence in each round in the task's own
 temporary folder, which goes with the task. Suffixes that share 50 bytes are
 neighbours; the smallest id of each group goes back to the batches.
 
@@ -83,7 +83,8 @@ class Pieces:
         step = np.arange(len(again)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
         self.start = first[again] + step * RUN
         self.strings = np.minimum(RUN, length[again] - step * RUN)
-        self.seed = least[self.start]
+        # Minima are small numbers: mixed, so that they fall evenly into buckets.
+        self.seed = mix(least[self.start])
 
     def texts(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of some pieces laid end to end, and their lengths."""
@@ -182,18 +183,28 @@ def ask_pieces(left: pa.Table, right: pa.Table, count: int) -> pa.Table:
 
 
 class Columns:
-    """Transform and common prefixes of a collection of strings, built by inserting one symbol per string each round."""
+    """Transform and common prefixes of a collection of strings, built by inserting one symbol per string each round.
+
+    The external file holds a pair for each suffix in order: the symbol before it
+    and its common prefix with the suffix above it, up to SPAN.
+    """
 
     def __init__(self, text: np.ndarray, size: np.ndarray, folder: str):
         self.text, self.size, self.end = text, size, np.cumsum(size)
-        self.files = [os.path.join(folder, name) for name in ("transform", "prefixes")]
         self.n = len(size)
-        self.symbol = np.uint8 if not (text == NO_SYMBOL).any() else np.uint16
-        self.none = NO_SYMBOL if self.symbol is np.uint8 else NO_SYMBOL + 1
-        self._write(self._preceding(np.arange(self.n), 0), np.zeros(self.n, dtype=np.uint8))
-        place = np.arange(self.n)
-        for length in range(1, int(size.max(initial=0)) + 1):
-            self._insert(place, length)
+        wide = bool((text == NO_SYMBOL).any())
+        self.symbol, self.pair = (np.uint16, np.uint32) if wide else (np.uint8, np.uint16)
+        self.none = NO_SYMBOL + wide
+        self.bits = self.pair(0).nbytes * 4
+        self.rows = 0
+        with open(os.path.join(folder, "transform"), "w+b", buffering=0) as self.file:
+            # Empty suffixes first, in the order of their strings.
+            self._write(self._preceding(np.arange(self.n), 0).astype(self.pair))
+            which = place = np.arange(self.n)
+            for length in range(1, int(size.max(initial=0)) + 1):
+                more = size[which] >= length
+                which, place = self._insert(which[more], place[more], length)
+            self.pairs = self._read()
 
     def _preceding(self, which: np.ndarray, length: int) -> np.ndarray:
         """The symbol before the suffix of ``length`` bytes of some strings."""
@@ -202,55 +213,69 @@ class Columns:
         out[more] = self.text[self.end[which[more]] - length - 1]
         return out
 
-    def _write(self, transform: np.ndarray, prefixes: np.ndarray) -> None:
-        transform.tofile(self.files[0])
-        prefixes.tofile(self.files[1])
-
-    def read(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.fromfile(self.files[0], dtype=self.symbol), np.fromfile(self.files[1], dtype=np.uint8)
-
-    def _insert(self, place: np.ndarray, length: int) -> None:
-        """Inserts the suffixes of ``length`` bytes; ``place`` holds those of the round before and is brought up to date."""
-        transform, prefixes = self.read()
-        which = np.flatnonzero(self.size >= length)
-        at = place[which]
+    def _write(self, pairs: np.ndarray) -> None:
+        self.file.seek(0)
+        left = memoryview(pairs).cast("B")
+        while left.nbytes:
+            left = left[self.file.write(left) :]
+        self.rows = len(pairs)
+
+    def _read(self) -> np.ndarray:
+        self.file.seek(0)
+        pairs = np.empty(self.rows, dtype=self.pair)
+        left = memoryview(pairs).cast("B")
+        while left.nbytes:
+            left = left[self.file.readinto(left) :]
+        return pairs
+
+    def _split(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return pairs.astype(self.symbol), (pairs >> self.bits).astype(np.uint8)
+
+    def _insert(self, which: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Inserts the suffixes of ``length`` bytes of strings whose suffix of the round before is at ``place``.
+
+        Strings come and go in the order of their places.
+        """
+        pairs = self._read()
+        transform, prefixes = self._split(pairs)
         order = np.argsort(transform, kind="stable")
-        rank = np.empty(len(order), dtype=np.int64)
-        rank[order] = np.arange(len(order))
-        own = rank[at]
+        moved = np.argsort(transform[place], kind="stable")  # by symbol, then place: the order of the new places
+        which, place = which[moved], place[moved]
+        symbol = transform[place]
+        asked = np.zeros(len(order), dtype=bool)
+        asked[place] = True
+        own = np.flatnonzero(asked[order])
         new = self.n + own
-        symbol = transform[at]
-        before = order[np.maximum(own - 1, 0)]
+        before, after = order[np.maximum(own - 1, 0)], order[np.minimum(own + 1, len(order) - 1)]
         has_before = (own > 0) & (transform[before] == symbol)
-        after = order[np.minimum(own + 1, len(order) - 1)]
         has_after = (own + 1 < len(order)) & (transform[after] == symbol)
-        grown = np.empty(len(transform) + len(which), dtype=self.symbol)
-        common = np.empty(len(grown), dtype=np.uint8)
-        kept = np.ones(len(grown), dtype=bool)
-        kept[new] = False
-        grown[kept], common[kept] = transform, prefixes
-        grown[new] = self._preceding(which, length)
-        common[new] = 0
-        common[new[has_before]] = self._between(prefixes, before[has_before], at[has_before])
-        common[new[has_after] + 1] = self._between(prefixes, at[has_after], after[has_after])
-        self._write(grown, common)
-        place[which] = new
+        padded = np.append(prefixes, np.uint8(0))
+        common = np.zeros(len(new), dtype=np.uint8)
+        common[has_before] = self._between(padded, before[has_before], place[has_before])
+        grown = np.empty(len(pairs) + len(new), dtype=self.pair)
+        old = np.ones(len(grown), dtype=bool)
+        old[new] = False
+        grown[old] = pairs
+        grown[new] = self._preceding(which, length).astype(self.pair) | (common.astype(self.pair) << self.bits)
+        below = new[has_after] + 1
+        again = self._between(padded, place[has_after], after[has_after]).astype(self.pair)
+        grown[below] = grown[below] & self.pair((1 << self.bits) - 1) | (again << self.bits)
+        self._write(grown)
+        return which, new
 
     @staticmethod
-    def _between(prefixes: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """One more than the least common prefix over (low, high], up to SPAN."""
+    def _between(padded: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """One more than the least common prefix over (low, high], up to SPAN; ranges of one symbol follow each other."""
         if not len(low):
             return np.zeros(0, dtype=np.uint8)
-        down = np.argsort(-high, kind="stable")  # falling, so that nothing is read between two ranges
-        pairs = np.stack([low[down] + 1, high[down] + 1], axis=1).ravel()
-        padded = np.append(prefixes, np.uint8(0))
-        out = np.empty(len(low), dtype=np.uint8)
-        out[down] = np.minimum.reduceat(padded, pairs)[::2]
-        return np.minimum(out + 1, SPAN).astype(np.uint8)
+        # Backwards, where a range starts below the one before it ends, so that nothing between two ranges is read.
+        pairs = np.stack([low[::-1] + 1, high[::-1] + 1], axis=1).ravel()
+        least = np.minimum.reduceat(padded, pairs)[::2][::-1]
+        return np.minimum(least + 1, SPAN).astype(np.uint8)
 
     def groups(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each string of SPAN bytes of each piece: piece, offset, and the number of its group of equal ones."""
-        transform, prefixes = self.read()
+        transform, prefixes = self._split(self.pairs)
         order = np.argsort(transform, kind="stable")
         rank = np.empty(len(order), dtype=np.int64)
         rank[order] = np.arange(len(order))

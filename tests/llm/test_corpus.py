@@ -141,7 +141,7 @@ def test_column_wise_construction_sorts_suffixes(tmp_path):
     texts = [rng.integers(97, 99, rng.integers(50, 81)).astype(np.uint8) for _ in range(12)]
     texts += [texts[0][:60], np.full(70, 97, dtype=np.uint8)]
     built = suffixes.Columns(np.concatenate(texts), np.array([len(t) for t in texts]), str(tmp_path))
-    transform, prefixes = built.read()
+    transform, prefixes = built._split(built.pairs)
     # End marks sort by the number of their text, below every symbol.
     suffix = sorted((bytes(t[k:]), -1, n, k) for n, t in enumerate(texts) for k in range(len(t) + 1))
     suffix.sort(key=lambda s: ([*s[0]] + [-len(texts) + s[2] - 1], s[2]))
