@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from histmetrics.session import scratch_path
+
 MESSAGE = 2048
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -37,6 +41,20 @@ def batch_of(key: Column, count: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(count)).cast("int")
 
 
+def pack_sorted(hashes: np.ndarray, count: int) -> bytes:
+    """Rising hashes of one bucket as differences of 40 bits, byte by byte, so that high bytes compress well."""
+    inside = hashes * np.uint64(count) >> np.uint64(24)
+    steps = np.diff(inside, prepend=np.uint64(0)).astype("<u8")
+    return steps.view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes()
+
+
+def unpack_sorted(packed: bytes) -> np.ndarray:
+    """The 40 bits that tell hashes of one bucket apart."""
+    steps = np.zeros((len(packed) // 5, 8), dtype=np.uint8)
+    steps[:, :5] = np.frombuffer(packed, dtype=np.uint8).reshape(5, -1).T
+    return np.cumsum(steps.view("<u8").ravel())
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads the bits of 64-bit integers; different integers stay different."""
     x = x ^ (x >> np.uint64(31))
@@ -88,10 +106,13 @@ def _least(a, b):
     return b if a is None else a if b is None else min(a, b)
 
 
-def classes(documents: DataFrame, count: int, normal: Callable[[bytes | None], bytes]) -> DataFrame:
+@contextmanager
+def classes(documents: DataFrame, count: int, normal: Callable[[bytes | None], bytes]) -> Iterator[DataFrame]:
     """batch, key, first_id, n, body of texts that are not empty; copies inside an Arrow batch are one row already.
 
-    Bodies are compressed one by one, for they cross the network several times.
+    Bodies are compressed one by one. The rows are written to the shared folder as
+    a table bucketed by batch, so that texts cross the network once: steps that
+    group by batch read them where they lie. The table's name goes with the context.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
 
@@ -115,7 +136,15 @@ def classes(documents: DataFrame, count: int, normal: Callable[[bytes | None], b
     made = documents.select("doc_id", F.col("text").cast("binary").alias("body")).mapInArrow(
         run, f"key binary, first_id {kind}, n long, body binary"
     )
-    return made.select(batch_of(F.col("key"), count).alias("batch"), "key", "first_id", "n", "body")
+    batched = made.select(batch_of(F.col("key"), count).alias("batch"), "key", "first_id", "n", "body")
+    spark = documents.sparkSession
+    partitions, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"classes_{uuid.uuid4().hex}"
+    writer = batched.repartition(partitions, "batch").write.format("parquet").bucketBy(partitions, "batch")
+    writer.option("path", scratch_path(spark, "classes")).saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
 
 
 def members(table: pa.Table) -> tuple[list[bytes], list, list[int], list[bytes]]:

@@ -31,11 +31,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from histmetrics.llm.common import annotate
+from histmetrics.llm.common import annotate, written
 from histmetrics.llm.components import components
 from histmetrics.llm.exchange import (
     POWERS,
@@ -45,8 +47,10 @@ from histmetrics.llm.exchange import (
     key_of,
     members,
     mix,
+    pack_sorted,
     parts,
     prefix_sums,
+    unpack_sorted,
 )
 from histmetrics.session import cut_lineage
 
@@ -194,14 +198,14 @@ def frequencies(batched: DataFrame, count: int) -> DataFrame:
             {
                 "bucket": pa.array(full, type=pa.int32()),
                 "batch": pa.array(np.full(len(full), batch), type=pa.int32()),
-                "hashes": pa.array([distinct[edges[k] : edges[k + 1]].astype("<u8").tobytes() for k in full], type=pa.binary()),
+                "hashes": pa.array([pack_sorted(distinct[edges[k] : edges[k + 1]], count) for k in full], type=pa.binary()),
                 "held": pa.array([held[edges[k] : edges[k + 1]].tobytes() for k in full], type=pa.binary()),
             }
         )
 
     def answer(table: pa.Table) -> pa.Table:
         batch = table["batch"].to_numpy()
-        hashes = [np.frombuffer(b, dtype="<u8") for b in table["hashes"].to_pylist()]
+        hashes = [unpack_sorted(b) for b in table["hashes"].to_pylist()]
         held = np.concatenate([np.frombuffer(b, dtype="<u4") for b in table["held"].to_pylist()])
         every = np.concatenate(hashes)
         order = np.argsort(every, kind="stable")
@@ -209,12 +213,12 @@ def frequencies(batched: DataFrame, count: int) -> DataFrame:
         group = np.empty(len(every), dtype=np.int64)
         group[order] = np.cumsum(new) - 1
         total = np.bincount(group, held).astype("<u4")[group]
-        places, counts, at = [], [], 0
+        places, counts, at, press = [], [], 0, zstandard.ZstdCompressor(level=1).compress
         for own in hashes:
             part, mine = total[at : at + len(own)], held[at : at + len(own)]
-            more = np.flatnonzero(part > mine)
-            places.append(more.astype("<u4").tobytes())
-            counts.append(part[more].tobytes())
+            more = part > mine
+            places.append(np.packbits(more).tobytes())
+            counts.append(press(part[more].tobytes()))
             at += len(own)
         return pa.table(
             {
@@ -237,8 +241,10 @@ def weighed(left: pa.Table, right: pa.Table, count: int, documents: int):
     distinct, inverse = np.unique(hashes, return_inverse=True)
     held = np.bincount(inverse, weight, len(distinct))
     edges = np.searchsorted(bucket_of(distinct, count), np.arange(count + 1))
+    unpress = zstandard.ZstdDecompressor().decompress
     for bucket, places, counts in zip(*(right[c].to_pylist() for c in ("bucket", "places", "counts"))):
-        held[edges[bucket] + np.frombuffer(places, dtype="<u4").astype(np.int64)] = np.frombuffer(counts, dtype="<u4")
+        more = np.unpackbits(np.frombuffer(places, dtype=np.uint8), count=edges[bucket + 1] - edges[bucket]).astype(bool)
+        held[edges[bucket] : edges[bucket + 1]][more] = np.frombuffer(unpress(counts), dtype="<u4")
     return keys, first, n, hashes, tf * smooth_idf(held[inverse], documents), begins
 
 
@@ -275,27 +281,34 @@ def vectors(batched: DataFrame, answers: DataFrame, wanted: DataFrame, count: in
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         want = set(right["key"].to_pylist()) - {None}
-        out_keys, out = [], []
+        out_keys, out, press = [], [], zstandard.ZstdCompressor(level=1).compress
         if left.num_rows and want:
-            real = right.filter(pa.compute.is_valid(right["places"]))
+            real = right.filter(pc.is_valid(right["places"]))
             keys, _, _, hashes, weights, begins = weighed(left, real, count, documents)
             for key, a, b in zip(keys, begins, begins[1:]):
                 if key in want:
                     out_keys.append(key)
-                    out.append(hashes[a:b].astype("<u8").tobytes() + weights[a:b].astype("<f4").tobytes())
+                    out.append(pack_vector(hashes[a:b], weights[a:b], press))
         return pa.table({"key": pa.array(out_keys, type=pa.binary()), "vector": pa.array(out, type=pa.binary())})
 
-    import pyarrow.compute  # noqa: F401
-
     return batched.groupBy("batch").cogroup(both.groupBy("batch")).applyInArrow(run, "key binary, vector binary")
 
 
-def similarity(one: bytes, two: bytes) -> float:
-    """Weighted Jaccard similarity of two packed vectors."""
-    (h1, w1), (h2, w2) = (
-        (np.frombuffer(v, dtype="<u8", count=len(v) // 12), np.frombuffer(v, dtype="<f4", offset=len(v) // 12 * 8).astype(np.float64))
-        for v in (one, two)
-    )
+def pack_vector(hashes: np.ndarray, weights: np.ndarray, press) -> bytes:
+    """Rising hashes as differences and weights, byte by byte, pressed: few weights differ, and high bytes are small."""
+    steps = np.diff(hashes, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return press(steps.tobytes() + weights.astype("<f4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpack_vector(packed: bytes, unpress) -> tuple[np.ndarray, np.ndarray]:
+    columns = np.frombuffer(unpress(packed), dtype=np.uint8).reshape(12, -1).T
+    hashes = np.cumsum(np.ascontiguousarray(columns[:, :8]).view("<u8").ravel())
+    return hashes, np.ascontiguousarray(columns[:, 8:]).view("<f4").ravel().astype(np.float64)
+
+
+def similarity(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> float:
+    """Weighted Jaccard similarity of two vectors."""
+    (h1, w1), (h2, w2) = one, two
     at = np.minimum(np.searchsorted(h2, h1), max(0, len(h2) - 1))
     same = h2[at] == h1 if len(h2) else np.zeros(len(h1), dtype=bool)
     shared = np.minimum(w1[same], w2[at[same]]).sum()
@@ -308,8 +321,12 @@ def verified(pairs: DataFrame, vector: DataFrame, threshold: float) -> DataFrame
     right = vector.select(F.col("key").alias("b"), F.col("vector").alias("vb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpress = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            linked = [similarity(x.as_buffer(), y.as_buffer()) >= threshold for x, y in zip(batch.column(2), batch.column(3))]
+            linked = [
+                similarity(unpack_vector(x, unpress), unpack_vector(y, unpress)) >= threshold
+                for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            ]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, type=pa.bool_())], ["a", "b", "linked"])
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "va", "vb").mapInArrow(run, "a binary, b binary, linked boolean")
@@ -335,13 +352,15 @@ def finer(rows: DataFrame, signed: DataFrame, level: int) -> DataFrame:
     return joined.select("band", F.xxhash64("value", "_try", *picked).alias("value"), "key", "score")
 
 
-def links(signed: DataFrame, batched: DataFrame, answers: DataFrame, count: int, documents: int, threshold: float) -> DataFrame:
+def band_members(signed: DataFrame) -> DataFrame:
+    """band, value, key and the number of members of every bucket that two or more classes share."""
+    return cut_lineage(_crowded(signed.select("key", F.posexplode("bands").alias("band", "value"))))
+
+
+def links(signed: DataFrame, shared: DataFrame, vector: DataFrame, threshold: float) -> DataFrame:
     """Verified links (a, b) between classes that share a band."""
-    exploded = signed.select("key", F.posexplode("bands").alias("band", "value"))
-    shared = cut_lineage(_crowded(exploded))
     score = shared.groupBy("key").agg(F.sum("c").alias("score"))
     waiting = cut_lineage(shared.drop("c").join(score, "key"))
-    vector = cut_lineage(vectors(batched, answers, score.select("key"), count, documents))
     found, level = None, 0
     while True:
         # The member with the highest score; of equals the smallest key.
@@ -350,7 +369,9 @@ def links(signed: DataFrame, batched: DataFrame, answers: DataFrame, count: int,
         met = cut_lineage(waiting.join(hearts, ["band", "value"]).where(F.col("key") != F.col("a")).withColumnRenamed("key", "b"))
         if met.isEmpty():
             return found if found is not None else met.select("a", "b")
-        told = cut_lineage(verified(met.select("a", "b").distinct(), vector, threshold))
+        # Written first: few pairs are then broadcast by their size, and the vectors stay where they are.
+        pairs = written(met.select("a", "b").distinct(), "pairs")
+        told = cut_lineage(verified(pairs, vector, threshold))
         good = told.where("linked").select("a", "b")
         found = good if found is None else found.unionByName(good)
         known = met.join(told, ["a", "b"])
@@ -368,10 +389,12 @@ def class_ids(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """key (of a text's words) and class_id (smallest doc_id of its group) of every class."""
     kind = documents.schema["doc_id"].dataType.simpleString()
     count, total = parts(documents), documents.count()
-    batched = classes(documents, count, words_of)
-    answers = cut_lineage(frequencies(batched, count))
-    signed = cut_lineage(signatures(batched, answers, count, total, kind))
-    roots = components(links(signed, batched, answers, count, total, threshold)).withColumnRenamed("node", "key")
+    with classes(documents, count, words_of) as batched:
+        answers = cut_lineage(frequencies(batched, count))
+        signed = cut_lineage(signatures(batched, answers, count, total, kind))
+        shared = band_members(signed)
+        vector = cut_lineage(vectors(batched, answers, shared.select("key").distinct(), count, total))
+    roots = components(links(signed, shared, vector, threshold)).withColumnRenamed("node", "key")
     rooted = signed.select("key", "first_id").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("class_id"))
     return rooted.join(smallest, "root").select("key", "class_id")

@@ -34,10 +34,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from histmetrics.llm.exchange import POWERS, bucket_of, classes, key_of, members, mix, parts, prefix_sums
+from histmetrics.llm.exchange import POWERS, bucket_of, classes, key_of, members, mix, pack_sorted, parts, prefix_sums, unpack_sorted
 from histmetrics.session import cut_lineage
 
 SPAN, SEED_BYTES = 50, 20
@@ -120,7 +121,7 @@ def ask_seeds(table: pa.Table, count: int) -> pa.Table:
         {
             "bucket": pa.array(full, type=pa.int32()),
             "batch": pa.array(np.full(len(full), batch), type=pa.int32()),
-            "seeds": pa.array([distinct[edges[k] : edges[k + 1]].astype("<u8").tobytes() for k in full], type=pa.binary()),
+            "seeds": pa.array([pack_sorted(distinct[edges[k] : edges[k + 1]], count) for k in full], type=pa.binary()),
             "many": pa.array([np.packbits(many[edges[k] : edges[k + 1]]).tobytes() for k in full], type=pa.binary()),
         }
     )
@@ -128,7 +129,7 @@ def ask_seeds(table: pa.Table, count: int) -> pa.Table:
 
 def answer_seeds(table: pa.Table) -> pa.Table:
     """Which of each batch's minimizers another class has, as bits."""
-    seeds = [np.frombuffer(b, dtype="<u8") for b in table["seeds"].to_pylist()]
+    seeds = [unpack_sorted(b) for b in table["seeds"].to_pylist()]
     many = np.concatenate(
         [np.unpackbits(np.frombuffer(b, dtype=np.uint8), count=len(s)) for b, s in zip(table["many"].to_pylist(), seeds)]
     )
@@ -345,8 +346,8 @@ def removed(left: pa.Table, right: pa.Table, count: int) -> pa.Table:
         keys, first, _, bodies = members(left)
         found, own = Pieces(bodies), _ids(first)
         covered = np.zeros(len(found.body) + 1, dtype=np.int32)
-        asked = right.filter(pa.compute.is_valid(right["bits"]))
-        told = right.filter(pa.compute.is_null(right["bits"])).sort_by("bucket")
+        asked = right.filter(pc.is_valid(right["bits"]))
+        told = right.filter(pc.is_null(right["bits"])).sort_by("bucket")
         chosen, distinct, number = shared_pieces(found, asked, count)
         if len(chosen):
             # Answers come by bucket, in the order of the distinct pieces.
@@ -373,12 +374,8 @@ def removed(left: pa.Table, right: pa.Table, count: int) -> pa.Table:
     return pa.table({k: pa.array(v, type=t) for (k, v), t in zip(columns.items(), kinds)})
 
 
-def remove_repeats(documents: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    import pyarrow.compute  # noqa: F401
-
-    kind, count = documents.schema["doc_id"].dataType.simpleString(), parts(documents)
-    batched = classes(documents, count, lambda body: body or b"")
+def removed_by_class(batched: DataFrame, kind: str, count: int) -> DataFrame:
+    """key, first_id, n_removed, n_spans, kept_sha256 of every class, for the document that has its smallest id."""
     seeds = batched.groupBy("batch").applyInArrow(lambda t: ask_seeds(t, count), "bucket int, batch int, seeds binary, many binary")
     bits = cut_lineage(seeds.groupBy("bucket").applyInArrow(answer_seeds, "batch int, bucket int, bits binary"))
     asked = (
@@ -391,12 +388,19 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     )
     none = F.lit(None).cast("binary")
     both = bits.withColumns({"counts": none, "runs": none, "ids": none}).unionByName(told.withColumn("bits", none))
-    by_class = (
+    return (
         batched.groupBy("batch")
         .cogroup(both.groupBy("batch"))
         .applyInArrow(lambda a, b: removed(a, b, count), f"key binary, first_id {kind}, n_removed long, n_spans long, kept_sha256 string")
     )
 
+
+def remove_repeats(documents: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    kind, count = documents.schema["doc_id"].dataType.simpleString(), parts(documents)
+    with classes(documents, count, lambda body: body or b"") as batched:
+        by_class = cut_lineage(removed_by_class(batched, kind, count))
+
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bodies = [b or b"" for b in batch.column(1).to_pylist()]
