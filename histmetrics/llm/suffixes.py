@@ -35,6 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -171,14 +172,15 @@ def ask_pieces(left: pa.Table, right: pa.Table, count: int) -> pa.Table:
         least = np.full(len(distinct), LAST_ID)
         np.minimum.at(least, number, ids[found.owner[found.start[chosen]]] if len(chosen) else least[:0])
         edges = np.searchsorted(bucket_of(found.seed[distinct], count), np.arange(count + 1))
+        press = zstandard.ZstdCompressor(level=1).compress
         for bucket in np.flatnonzero(np.diff(edges)):
             part = slice(edges[bucket], edges[bucket + 1])
             text, size = found.texts(distinct[part])
             rows["bucket"].append(int(bucket))
             rows["batch"].append(left["batch"][0].as_py())
             rows["sizes"].append(size.astype(np.uint8).tobytes())
-            rows["ids"].append(least[part].astype("<i8").tobytes())
-            rows["text"].append(text.tobytes())
+            rows["ids"].append(press(least[part].astype("<i8").tobytes()))
+            rows["text"].append(press(text.tobytes()))
     kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
     return pa.table({k: pa.array(v, type=t) for (k, v), t in zip(rows.items(), kinds)})
 
@@ -293,10 +295,10 @@ class Columns:
 def answer_pieces(table: pa.Table) -> pa.Table:
     """The smallest id that has each string of each batch's pieces, as runs of equal ids."""
     number: dict[bytes, int] = {}
-    asked, least = [], []
+    asked, least, unpress = [], [], zstandard.ZstdDecompressor().decompress
     for sizes, ids, text in zip(*(table[c].to_pylist() for c in ("sizes", "ids", "text"))):
-        own, at = [], 0
-        for size, doc_id in zip(sizes, np.frombuffer(ids, dtype="<i8").tolist()):
+        own, at, text = [], 0, unpress(text)
+        for size, doc_id in zip(sizes, np.frombuffer(unpress(ids), dtype="<i8").tolist()):
             piece = text[at : at + size]
             k = number.setdefault(piece, len(number))
             if k == len(least):
@@ -321,13 +323,13 @@ def answer_pieces(table: pa.Table) -> pa.Table:
     change = np.flatnonzero(starts | np.concatenate([[True], value[1:] != value[:-1]]))
     runs = np.diff(np.append(change, len(value))).astype(np.uint8)
     edges = np.searchsorted(change, np.append(begins, len(value)))
-    counts, lengths, ids = [], [], []
+    counts, lengths, ids, press = [], [], [], zstandard.ZstdCompressor(level=1).compress
     for own in asked:
         n = edges[own + 1] - edges[own]
         at = np.repeat(edges[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         counts.append(n.astype(np.uint8).tobytes())
         lengths.append(runs[at].tobytes())
-        ids.append(value[change[at]].astype("<i8").tobytes())
+        ids.append(press(value[change[at]].astype("<i8").tobytes()))
     return pa.table(
         {
             "batch": table["batch"],
@@ -352,7 +354,8 @@ def removed(left: pa.Table, right: pa.Table, count: int) -> pa.Table:
         if len(chosen):
             # Answers come by bucket, in the order of the distinct pieces.
             runs = np.frombuffer(b"".join(told["runs"].to_pylist()), dtype=np.uint8)
-            ids = np.frombuffer(b"".join(told["ids"].to_pylist()), dtype="<i8")
+            unpress = zstandard.ZstdDecompressor().decompress
+            ids = np.frombuffer(b"".join(map(unpress, told["ids"].to_pylist())), dtype="<i8")
             value = np.repeat(ids, runs)
             strings = found.strings[distinct]
             begins = np.cumsum(strings) - strings
