@@ -15,6 +15,8 @@ from histmetrics import schemas
 from histmetrics.functions.catalog import KIND_GROUP, STRICT_KIND_GROUP
 from histmetrics.operators import graph, measures
 from histmetrics.plans.reads import resolve_version
+from histmetrics.session import scratch_path
+from histmetrics.sources.store import HistoryStore
 
 FLAG_CATEGORY = {
     "AF": "python_lines",
@@ -124,6 +126,20 @@ def file_metric(spark: SparkSession, sf: str, keep: Column | None = None) -> Dat
     )
 
 
+_histories: dict[tuple[str, str], HistoryStore] = {}
+
+
+def history(spark: SparkSession, sf: str) -> HistoryStore:
+    """The whole stored history of the tables, written once per session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _histories:
+        store = HistoryStore(spark, scratch_path(spark, "history"), versions_per_bucket=4)
+        tables = {"module_aggregate": module_aggregate(spark, sf), "file_metric": file_metric(spark, sf), "coupling_edge": edges(spark, sf)}
+        store.upsert_versions(versions(spark, sf), tables, spark.createDataFrame([], schemas.FAILURE))
+        _histories[key] = store
+    return _histories[key]
+
+
 def is_version(versions: DataFrame, selector: str | None = None) -> Column:
     """Rows at one version, to be kept before they are measured."""
     return F.col("version_id") == resolve_version(versions, selector).scalar()

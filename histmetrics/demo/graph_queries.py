@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from histmetrics.demo import frames
 from histmetrics.demo.registry import query
+from histmetrics.demo.sql import _VERSION as VERSION_SQL
 from histmetrics.functions.catalog import STRICT_KIND_GROUP
 from histmetrics.functions.text import external_ids, id_module
 from histmetrics.operators import graph, traversal
@@ -147,11 +148,11 @@ def _(spark, sf):
     "resolve_paths",
     """SELECT version_id, module, class_name, 'f' || CAST(l_partkey % 3 AS VARCHAR) || '.code' AS path,
        'part.k' || CAST(max(l_partkey) AS VARCHAR) AS model FROM (SELECT version_id, source AS module,
-       'c' || CAST(l_partkey % 40 AS VARCHAR) AS class_name, l_partkey FROM x_ship WHERE l_returnflag = 'N')
+       'c' || CAST(l_partkey % 40 AS VARCHAR) AS class_name, l_partkey FROM x_ship)
        WHERE l_partkey % 3 < 2 GROUP BY version_id, module, class_name, l_partkey % 3""",
 )
 def _(spark, sf):
-    s = frames.shipments(spark, sf).where(F.col("l_returnflag") == "N").select(
+    s = frames.shipments(spark, sf).select(
         "version_id", F.col("source").alias("module"),
         F.concat(F.lit("c"), (F.col("l_partkey") % 40).cast("string")).alias("class_name"),
         F.concat(F.lit("f"), (F.col("l_partkey") % 3).cast("string")).alias("field"),
@@ -300,20 +301,26 @@ def _(spark, sf):
     return shown.select("version_id", "source", "target", F.col("visible_weight").cast("long").alias("visible_weight"))
 
 
-_SEEDS = "(SELECT version_id, max(source) AS node FROM x_fact GROUP BY version_id)"
+_SALE = f"(SELECT DISTINCT {VERSION_SQL}, o_custkey, l_suppkey, l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"
+_FAR = f"""(SELECT DISTINCT version_id, 'C' || CAST(o_custkey AS VARCHAR) AS source, 'S' || CAST(l_suppkey AS VARCHAR) AS target FROM {_SALE}
+    UNION SELECT version_id, 'S' || CAST(l_suppkey AS VARCHAR), 'P' || CAST(l_partkey AS VARCHAR) FROM {_SALE})"""
+_SEEDS = f"(SELECT version_id, max(source) AS node FROM {_FAR} WHERE source LIKE 'C%' GROUP BY version_id)"
 
 
-def _seeds(spark, sf):
-    return frames.edge_facts(spark, sf).groupBy("version_id").agg(F.max("source").alias("node"))
+def _far_edges(spark, sf):
+    """Customers to suppliers to parts: the deepest graph of the tables."""
+    s = frames.shipments(spark, sf)
 
+    def node(letter, key):
+        return F.concat(F.lit(letter), F.col(key).cast("string"))
 
-_FAR = "(SELECT DISTINCT version_id, source, target FROM x_fact WHERE kind = 'xml_ref' AND (l_partkey % 40 = 3))"
+    sold = s.select("version_id", node("C", "o_custkey").alias("source"), node("S", "l_suppkey").alias("target"))
+    held = s.select("version_id", node("S", "l_suppkey").alias("source"), node("P", "l_partkey").alias("target"))
+    return sold.unionByName(held).distinct()
 
 
-def _far_edges(spark, sf):
-    s = frames.shipments(spark, sf)
-    some = (F.col("source") != F.col("target")) & (F.col("o_orderpriority") == "3-MEDIUM") & (F.col("l_partkey") % 40 == 3)
-    return s.where(some).select("version_id", "source", "target").distinct()
+def _seeds(edges):
+    return edges.where(F.col("source").startswith("C")).groupBy("version_id").agg(F.max("source").alias("node"))
 
 
 def _walk_sql(depth: int, steps: str) -> str:
@@ -333,12 +340,14 @@ _BOTH = f"(SELECT version_id, source AS node, target AS nxt FROM {_FAR} UNION SE
 
 @query("neighborhood", f"SELECT version_id, node, CAST(hop AS INTEGER) AS hop FROM {_walk_sql(3, _OUT)}")
 def _(spark, sf):
-    return traversal.neighborhood(_far_edges(spark, sf), _seeds(spark, sf), 3, "out")
+    edges = _far_edges(spark, sf)
+    return traversal.neighborhood(edges, _seeds(edges), 3, "out")
 
 
 @query("neighborhood_both", f"SELECT version_id, node, CAST(hop AS INTEGER) AS hop FROM {_walk_sql(2, _BOTH)}")
 def _(spark, sf):
-    return traversal.neighborhood(_far_edges(spark, sf), _seeds(spark, sf), 2, "both")
+    edges = _far_edges(spark, sf)
+    return traversal.neighborhood(edges, _seeds(edges), 2, "both")
 
 
 @query(
@@ -346,7 +355,7 @@ def _(spark, sf):
     f"""SELECT version_id, total_nodes, coalesce(total_edges, 0) AS total_edges, coalesce(visible_nodes, 0) AS visible_nodes,
         coalesce(visible_edges, 0) AS visible_edges, total_nodes - coalesce(visible_nodes, 0) AS hidden_nodes,
         coalesce(total_edges, 0) - coalesce(visible_edges, 0) AS hidden_edges
-        FROM (SELECT version_id, count(*) AS total_nodes FROM x_nation_module GROUP BY ALL)
+        FROM (SELECT version_id, count(*) AS total_nodes FROM (SELECT version_id, source FROM {_FAR} UNION SELECT version_id, target FROM {_FAR}) GROUP BY ALL)
         LEFT JOIN (SELECT version_id, count(*) AS total_edges FROM {_FAR} GROUP BY ALL) USING (version_id)
         LEFT JOIN (SELECT version_id, count(*) AS visible_nodes FROM {_walk_sql(2, _BOTH)} GROUP BY ALL) USING (version_id)
         LEFT JOIN (SELECT version_id, count(*) AS visible_edges FROM {_FAR} f
@@ -355,8 +364,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     edges = _far_edges(spark, sf)
-    near = traversal.neighborhood(edges, _seeds(spark, sf), 2, "both")
-    return traversal.graph_stats(
-        frames.nation_modules(spark, sf), edges, near, traversal.induced_edges(edges, near)
-    )
+    near = traversal.neighborhood(edges, _seeds(edges), 2, "both")
+    nodes = edges.select("version_id", F.explode(F.array("source", "target")).alias("node")).distinct()
+    return traversal.graph_stats(nodes, edges, near, traversal.induced_edges(edges, near))
 

@@ -22,14 +22,12 @@ def flat_stats(df, *keys, families=measures.FAMILIES):
 
 @query(
     "distribution",
-    """SELECT version_id, count(*) AS count, avg(value) AS mean, median(value) AS median,
+    """SELECT version_id, family, count(*) AS count, avg(value) AS mean, median(value) AS median,
        list_sort(list(value))[greatest(1, CAST(ceil(CAST(0.95 AS DOUBLE) * count(*)) AS BIGINT))] AS p95, max(value) AS max
-       FROM (SELECT version_id, value FROM x_obs WHERE family = 'cognitive') GROUP BY ALL""",
+       FROM (SELECT version_id, family, value FROM x_obs) GROUP BY ALL""",
 )
 def _(spark, sf):
-    return measures.distribution(
-        frames.observations(spark, sf).where(F.col("family") == "cognitive"), ["version_id"]
-    )
+    return measures.distribution(frames.observations(spark, sf), ["version_id", "family"])
 
 
 @query("file_distributions", "SELECT * FROM x_dist_f")

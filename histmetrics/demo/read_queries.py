@@ -14,23 +14,26 @@ AT = "1998-Q2"
 LATEST = "version_id = (SELECT version_id FROM x_latest)"
 
 
-def modules_at(spark, sf, selector=None):
-    """Module rows of one version, measured for that version only."""
-    return frames.module_aggregate(spark, sf, frames.is_version(frames.versions(spark, sf), selector))
+def modules_stored(spark, sf):
+    """Module rows of the whole stored history."""
+    return frames.history(spark, sf).read("module_aggregate")
 
 
-def files_at(spark, sf, selector=None, keep=None):
-    here = frames.is_version(frames.versions(spark, sf), selector)
-    return frames.file_metric(spark, sf, here if keep is None else here & keep)
+def files_stored(spark, sf):
+    return frames.history(spark, sf).read("file_metric")
+
+
+def versions_stored(spark, sf):
+    return frames.history(spark, sf).read("version")
 
 
 @query(
     "project_info",
     """SELECT substr(sha256(r_name), 1, 16) AS project_id, r_name AS repo_path, 'main' AS branch,
-       (SELECT count(*) FROM x_version) AS version_count FROM region WHERE r_regionkey = 2""",
+       (SELECT count(*) FROM x_version) AS version_count FROM region ORDER BY r_name LIMIT 1""",
 )
 def _(spark, sf):
-    project = frames.table(spark, sf, "region").where("r_regionkey = 2").select(
+    project = frames.table(spark, sf, "region").orderBy("r_name").select(
         project_id("r_name").alias("project_id"), F.col("r_name").alias("repo_path"), F.lit("main").alias("branch")
     )
     return reads.project_info(project, frames.versions(spark, sf))
@@ -73,7 +76,7 @@ def _(spark, sf):
         WHERE version_id = '{AT}'""",
 )
 def _(spark, sf):
-    rows = reads.module_snapshot(modules_at(spark, sf, AT), frames.versions(spark, sf), AT)
+    rows = reads.module_snapshot(modules_stored(spark, sf), versions_stored(spark, sf), AT)
     return rows.select(
         "version_id", "module", "total_lines", F.col("line_counts")["css_lines"].alias("css_lines"),
         F.col("metrics")["cyclomatic_mean"].alias("cyclomatic_mean"),
@@ -89,7 +92,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     rows = reads.file_snapshot(
-        files_at(spark, sf, None, F.col("module") == "Brand_7"), frames.versions(spark, sf), None, "Brand_7"
+        files_stored(spark, sf), versions_stored(spark, sf), None, "Brand_7"
     )
     return rows.select(
         "version_id", "module", "relative_path", "line_category_id", F.col("line_counts")["lines"].alias("lines"),
@@ -102,7 +105,7 @@ def _(spark, sf):
     f"SELECT version_id, module, total_lines, jones_mean, xml_lines FROM x_module WHERE version_id = '{AT}'",
 )
 def _(spark, sf):
-    rows = reads.graph_nodes(modules_at(spark, sf, AT), frames.versions(spark, sf), AT)
+    rows = reads.graph_nodes(modules_stored(spark, sf), versions_stored(spark, sf), AT)
     return rows.select(
         "version_id", "module", "total_lines", F.col("metrics")["jones_mean"].alias("jones_mean"),
         F.col("line_counts")["xml_lines"].alias("xml_lines"),
@@ -208,19 +211,19 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return series.module_timeseries(
-        frames.module_aggregate(spark, sf, F.col("module") == "Brand_2"), frames.versions(spark, sf), "Brand_2", "cyclomatic", "p95"
+        modules_stored(spark, sf), versions_stored(spark, sf), "Brand_2", "cyclomatic", "p95"
     )
 
 
 @query(
     "file_timeseries",
     """SELECT version_order, version_id, cognitive_median AS value FROM x_file JOIN x_version USING (version_id)
-       WHERE module = 'Brand_2' AND relative_path = 'economy/size_11'""",
+       WHERE module = 'Brand_2' AND relative_path = (SELECT min(relative_path) FROM x_file WHERE module = 'Brand_2')""",
 )
 def _(spark, sf):
-    wanted = (F.col("module") == "Brand_2") & (F.col("relative_path") == "economy/size_11")
+    path = files_stored(spark, sf).where("module = 'Brand_2'").agg(F.min("relative_path").alias("p")).first()["p"]
     return series.file_timeseries(
-        frames.file_metric(spark, sf, wanted), frames.versions(spark, sf), "Brand_2", "economy/size_11", "cognitive", "median"
+        files_stored(spark, sf), versions_stored(spark, sf), "Brand_2", path, "cognitive", "median"
     )
 
 
@@ -229,7 +232,7 @@ def _(spark, sf):
     f"SELECT module, total_lines, cyclomatic_median FROM x_module WHERE {LATEST}",
 )
 def _(spark, sf):
-    rows = reads.latest_snapshot(modules_at(spark, sf), frames.versions(spark, sf), ["module", "total_lines", "metrics"])
+    rows = reads.latest_snapshot(modules_stored(spark, sf), versions_stored(spark, sf), ["module", "total_lines", "metrics"])
     return rows.select("module", "total_lines", F.col("metrics")["cyclomatic_median"].alias("cyclomatic_median"))
 
 
@@ -239,7 +242,7 @@ def _(spark, sf):
         FROM x_module WHERE {LATEST} ORDER BY current DESC, name LIMIT 20""",
 )
 def _(spark, sf):
-    return reads.hotspots(modules_at(spark, sf), frames.versions(spark, sf), "cognitive", "p95")
+    return reads.hotspots(modules_stored(spark, sf), versions_stored(spark, sf), "cognitive", "p95")
 
 
 @query(
@@ -248,7 +251,7 @@ def _(spark, sf):
         CAST(NULL AS DOUBLE) AS growth FROM x_file WHERE {LATEST} ORDER BY current DESC, name LIMIT 20""",
 )
 def _(spark, sf):
-    return reads.hotspots(files_at(spark, sf), frames.versions(spark, sf), "cyclomatic_mean", "mean", "file")
+    return reads.hotspots(files_stored(spark, sf), versions_stored(spark, sf), "cyclomatic_mean", "mean", "file")
 
 
 @query(
@@ -404,7 +407,7 @@ def _(spark, sf):
         F.count(F.lit(1)).alias("parse_error_count")
     )
     return reads.module_detail(
-        modules_at(spark, sf, AT), edges, frames.versions(spark, sf), measures.FAMILIES, AT, errors
+        modules_stored(spark, sf), edges, versions_stored(spark, sf), measures.FAMILIES, AT, errors
     )
 
 
@@ -417,7 +420,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return reads.file_detail(
-        files_at(spark, sf, AT), frames.versions(spark, sf), measures.FAMILIES, AT, _failures(spark, sf)
+        files_stored(spark, sf), versions_stored(spark, sf), measures.FAMILIES, AT, _failures(spark, sf)
     )
 
 
@@ -440,7 +443,7 @@ def _(spark, sf):
         WHERE version_id = '{AT}'""",
 )
 def _(spark, sf):
-    nodes = reads.graph_nodes(modules_at(spark, sf, AT), frames.versions(spark, sf), AT)
+    nodes = reads.graph_nodes(modules_stored(spark, sf), versions_stored(spark, sf), AT)
     rows = projections.graph_node_projection(nodes).select("id", "kind", F.explode("metrics").alias("m"))
     return rows.select("id", "kind", "m.metric_id", "m.value")
 

@@ -9,6 +9,7 @@ from histmetrics.extract.complexity import apply_error_policy
 from histmetrics.functions.values import project_id
 from histmetrics.session import scratch_path
 from histmetrics.sources import batches, logs, sinks, store, tables, trees
+from histmetrics.streaming import incremental
 
 
 def plain_versions(df):
@@ -178,12 +179,12 @@ def _(spark, sf):
     "upsert_versions",
     """SELECT e.version_id, source, target, CASE WHEN source < 'NATION_2' THEN score * 2 ELSE score END AS score,
        version_order, e.version_id NOT LIKE '%-Q4' AS recorded FROM x_edge e JOIN x_version USING (version_id)
-       WHERE version_order <= 7994 AND e.version_id NOT LIKE '%-Q4'""",
+       WHERE e.version_id NOT LIKE '%-Q4'""",
 )
 def _(spark, sf):
     kept = store.HistoryStore(spark, scratch_path(spark, "store"), versions_per_bucket=4)
-    versions = first_half(frames.versions(spark, sf), spark, sf)
-    edges = first_half(frames.edges(spark, sf), spark, sf).where(~F.col("version_id").endswith("-Q4"))
+    versions = frames.versions(spark, sf)
+    edges = frames.edges(spark, sf).where(~F.col("version_id").endswith("-Q4"))
     failed = versions.where(F.col("version_id").endswith("-Q4")).select(
         "version_id", F.lit("run").alias("run_id"), F.lit(None).cast("string").alias("file_path"), F.lit("broken").alias("error_text")
     )
@@ -208,6 +209,62 @@ def _(spark, sf):
     return kept.read("coupling_edge").select("version_id", "source", "target", F.col("score").cast("long").alias("score"))
 
 
+@query(
+    "retry_after_failure",
+    """SELECT v.version_id, e.source, e.target, e.score FROM x_version v LEFT JOIN (SELECT * FROM x_edge
+       WHERE version_id NOT LIKE '%-Q4' AND version_id NOT LIKE '%-Q2') e USING (version_id) WHERE v.version_id NOT LIKE '%-Q2'""",
+)
+def _(spark, sf):
+    """Fourth quarters fail first and are empty successes in the next run; second ones fail in both."""
+    kept = store.HistoryStore(spark, scratch_path(spark, "store"), versions_per_bucket=4)
+    versions, edges = frames.versions(spark, sf), frames.edges(spark, sf)
+    failed = versions.select(
+        "version_id", F.lit("run").alias("run_id"), F.lit(None).cast("string").alias("file_path"), F.lit("broken").alias("error_text")
+    )
+    good = edges.where(~F.col("version_id").rlike("-Q[24]$"))
+    kept.upsert_versions(versions, {"coupling_edge": good}, failed.where(F.col("version_id").rlike("-Q[24]$")))
+    todo = logs.pending_versions(versions, kept.read("version"))
+    kept.upsert_versions(todo, {"coupling_edge": good.where("false")}, failed.where(F.col("version_id").endswith("-Q2")))
+    edge = kept.read("coupling_edge").select("version_id", "source", "target", F.col("score").cast("long").alias("score"))
+    return kept.read("version").select("version_id").join(edge, "version_id", "left")
+
+
+@query(
+    "rebuild_clears",
+    """SELECT 'version' AS "table", version_id FROM x_version WHERE version_order > 7994
+       UNION ALL SELECT DISTINCT 'coupling_edge', version_id FROM x_edge JOIN x_version USING (version_id) WHERE version_order > 7994""",
+)
+def _(spark, sf):
+    """A rebuild that passes fewer tables leaves nothing of the others."""
+    kept = store.HistoryStore(spark, scratch_path(spark, "store"), versions_per_bucket=8)
+    versions, edges = frames.versions(spark, sf), frames.edges(spark, sf)
+    nothing = spark.createDataFrame([], schemas.FAILURE)
+    kept.upsert_versions(versions, {"coupling_edge": edges, "module_aggregate": frames.modules(spark, sf)}, nothing)
+    late = versions.where("version_order > 7994")
+    kept.rebuild(late, {"coupling_edge": edges.join(late.select("version_id"), "version_id", "left_semi")}, nothing)
+    found = [kept.read(t).select(F.lit(t).alias("table"), "version_id") for t in ("version", "coupling_edge", "module_aggregate")]
+    return found[0].unionByName(found[1]).unionByName(found[2]).distinct()
+
+
+@query("incremental_refusal", "SELECT version_id, source, target, score FROM x_edge")
+def _(spark, sf):
+    """An incremental run over another scope is refused and changes nothing."""
+    kept = store.HistoryStore(spark, scratch_path(spark, "store"), versions_per_bucket=8)
+    versions, edges = frames.versions(spark, sf), frames.edges(spark, sf)
+    project = spark.range(1).select(F.lit("p").alias("project_id"), F.lit("main").alias("branch"), F.lit(True).alias("all_modules"))
+
+    def measure(wanted):
+        return {"coupling_edge": edges.join(wanted.select("version_id"), "version_id", "left_semi")}, spark.createDataFrame([], schemas.FAILURE)
+
+    incremental.analyze_pending(kept, versions, measure, project=tables.conform(project, schemas.PROJECT))
+    other = tables.conform(project.withColumn("branch", F.lit("next")), schemas.PROJECT)
+    try:
+        incremental.analyze_pending(kept, versions, lambda wanted: ({}, None), project=other)
+    except store.ScopeConflict:
+        return kept.read("coupling_edge").select("version_id", "source", "target", F.col("score").cast("long").alias("score"))
+    raise AssertionError("another scope was not refused")
+
+
 @query(
     "storable_versions",
     "SELECT version_id FROM x_version WHERE version_id NOT IN (SELECT version_id FROM x_line WHERE version_id LIKE '%-Q1')",

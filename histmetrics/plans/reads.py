@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from histmetrics.functions.text import top_folder
 from histmetrics.functions.values import metric_at, metric_key_of
 from histmetrics.operators.graph import edge_included, in_scope_depends, module_scores
+from histmetrics.sources.store import BUCKET
 
 
 def project_info(project: DataFrame, versions: DataFrame) -> DataFrame:
@@ -46,8 +47,13 @@ def resolve_version(versions: DataFrame, selector: str | int | None = None) -> D
 
 
 def at_version(table: DataFrame, versions: DataFrame, selector: str | int | None = None) -> DataFrame:
-    """Rows of any table at one version."""
-    return table.where(F.col("version_id") == resolve_version(versions, selector).scalar())
+    """Rows of any table at one version; of a stored table only the version's bucket is opened."""
+    chosen = resolve_version(versions, selector)
+    rows = table.where(F.col("version_id") == chosen.scalar())
+    if BUCKET in table.columns and BUCKET in versions.columns:
+        bucket = versions.where(F.col("version_id") == chosen.scalar()).agg(F.max(BUCKET).alias(BUCKET))
+        rows = rows.where(F.col(BUCKET) == bucket.scalar())
+    return rows
 
 
 def latest_snapshot(table: DataFrame, versions: DataFrame, columns: Sequence[str] = ()) -> DataFrame:

@@ -37,11 +37,13 @@ def build_session(
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is configured."""
+    """The cluster's shared folder. In local mode, where driver and executors are one process, a temporary one will do."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if configured:
         return configured
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", made)
     return made

@@ -6,16 +6,23 @@ versions. An upsert rewrites only the buckets that new rows fall into.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from histmetrics import schemas
-from histmetrics.sources.tables import conform, read_table, table_exists
+from histmetrics.session import cut_lineage
+from histmetrics.sources.tables import assert_compatible, conform, read_table, table_exists
 
 BUCKET = "version_bucket"
 VERSIONS_PER_BUCKET = 64
+TOOL_VERSION = "0.2.0"
+
+
+class ScopeConflict(ValueError):
+    """An incremental run asks for another scope than the stored one."""
 
 
 def newest(rows: DataFrame, keys: Sequence[str], order: Column | str) -> DataFrame:
@@ -61,6 +68,15 @@ class HistoryStore:
     def exists(self, table: str) -> bool:
         return table_exists(self.spark, self.root, table)
 
+    def check(self, project: DataFrame | None = None) -> None:
+        """Refuse a store of another schema version, and a project of another scope than the stored one."""
+        if self.exists("meta"):
+            assert_compatible(self.read("meta").agg(F.max("schema_version").alias("v")).first()["v"])
+        if project is not None and self.exists("project"):
+            found = sorted(r["field"] for r in scope_conflicts(self.read("project"), project).select("field").collect())
+            if found:
+                raise ScopeConflict(f"the store has another {', '.join(found)}; rebuild it or keep the scope")
+
     def _bucketed(self, table: str, rows: DataFrame, versions: DataFrame) -> DataFrame:
         orders = versions.select("version_id", F.floor(F.col("version_order") / self.versions_per_bucket).alias(BUCKET))
         if table == "version":
@@ -93,7 +109,7 @@ class HistoryStore:
         if not self.exists(table):
             self._write(table, fresh, "errorifexists")
             return
-        stored = self.spark.read.parquet(self.path(table))
+        stored = self.spark.read.schema(T.StructType([*schema.fields, T.StructField(BUCKET, T.LongType())])).parquet(self.path(table))
         touched = stored.join(fresh.select(BUCKET).distinct(), BUCKET, "left_semi")
         self._write(table, upsert_rows(touched, fresh, schemas.KEYS[table]), "overwrite", "dynamic")
 
@@ -103,25 +119,45 @@ class HistoryStore:
     def upsert_versions(self, versions: DataFrame, tables: dict[str, DataFrame], failures: DataFrame) -> None:
         """All rows of some versions: data first, version rows last.
 
-        A version counts as stored once its row is there, so an interrupted
-        write is simply repeated.
+        Rows are measured once, before anything is written. A version counts as
+        stored once its row is there, so an interrupted write is simply repeated;
+        whether it is recorded depends on this call's rows and failures alone.
         """
+        self.check()
+        versions, failures = cut_lineage(versions), cut_lineage(failures)
+        tables = {table: cut_lineage(rows) for table, rows in tables.items()}
         for table, rows in tables.items():
             self.upsert(table, rows, versions)
         self.append_failures(failures)
-        self.upsert("version", self._recorded(versions, tables), versions)
-
-    def _recorded(self, versions: DataFrame, tables: Iterable[str]) -> DataFrame:
-        """Versions to record, told from what was just written rather than measured again."""
-        return storable_versions(versions, self.read("failure"), *[self.read(t) for t in tables])
+        self.upsert("version", storable_versions(versions, failures, *tables.values()), versions)
+        self._mark()
 
     def rebuild(self, versions: DataFrame, tables: dict[str, DataFrame], failures: DataFrame) -> None:
-        """Replace everything."""
-        for table, rows in tables.items():
-            self._write(table, self._bucketed(table, conform(rows, schemas.TABLES[table]), versions), "overwrite")
+        """Replace everything: version rows go first and come last, tables that are not passed are emptied."""
+        versions, failures = cut_lineage(versions), cut_lineage(failures)
+        tables = {table: cut_lineage(rows) for table, rows in tables.items()}
+        self._replace("version", versions.where("false"), versions)
+        for table in ("file_metric", "module_aggregate", "coupling_edge"):
+            if table in tables:
+                self._replace(table, tables[table], versions)
+            elif self.exists(table):
+                self._replace(table, versions.where("false"), versions)
         conform(failures, schemas.FAILURE).write.mode("overwrite").parquet(self.path("failure"))
-        kept = conform(self._recorded(versions, tables), schemas.VERSION)
-        self._write("version", self._bucketed("version", kept, versions), "overwrite")
+        self._replace("version", storable_versions(versions, failures, *tables.values()), versions)
+        self.write_meta(TOOL_VERSION)
+
+    def _replace(self, table: str, rows: DataFrame, versions: DataFrame) -> None:
+        self._write(table, self._bucketed(table, conform(rows, schemas.TABLES[table]), versions), "overwrite")
+
+    def _mark(self) -> None:
+        if not self.exists("meta"):
+            self.write_meta(TOOL_VERSION)
+
+    def write_project(self, project: DataFrame) -> None:
+        """Insert or replace the project row."""
+        fresh = cut_lineage(conform(project, schemas.PROJECT))
+        stored = cut_lineage(self.read("project")) if self.exists("project") else fresh.where("false")
+        upsert_project(stored, fresh).write.mode("overwrite").parquet(self.path("project"))
 
     def write_meta(self, tool_version: str) -> None:
         row = self.spark.range(1).select(
@@ -136,6 +172,22 @@ class HistoryStore:
         conform(run, schemas.ANALYSIS_RUN).write.mode("append").parquet(self.path("analysis_run"))
 
 
+    def start_run(self, run_id: str, **fields: object) -> None:
+        """The ledger entry of a run that begins now."""
+        self._log_run(run_id, "running", started_at=F.current_timestamp(), **fields)
+
+    def finish_run(self, run_id: str, status: str, **fields: object) -> None:
+        """The entry of its end; it keeps what the start entry says."""
+        started = self.read("analysis_run").where((F.col("run_id") == run_id) & (F.col("status") == "running"))
+        ended = {"status": F.lit(status), "finished_at": F.current_timestamp(), **{k: F.lit(v) for k, v in fields.items()}}
+        self.append_run(cut_lineage(started.withColumns(ended)))
+
+    def _log_run(self, run_id: str, status: str, **fields: object) -> None:
+        row = {"run_id": run_id, "status": status, **fields}
+        columns = [(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in row.items()]
+        self.append_run(self.spark.range(1).select(*columns))
+
+
 def latest_runs(entries: DataFrame, order: Column | str | None = None) -> DataFrame:
     """Current state per run id: finished entries beat the start entry."""
     if order is None:

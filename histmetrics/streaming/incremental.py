@@ -13,34 +13,43 @@ from histmetrics.sources.store import HistoryStore
 Measure = Callable[[DataFrame], tuple[dict[str, DataFrame], DataFrame]]
 
 
-def analyze_pending(store: HistoryStore, planned: DataFrame, measure: Measure, rebuild: bool = False) -> None:
+def analyze_pending(
+    store: HistoryStore, planned: DataFrame, measure: Measure, rebuild: bool = False, project: DataFrame | None = None
+) -> None:
     """Measure planned versions the store lacks (all of them on a rebuild) and write them.
 
-    ``measure`` maps versions to their rows by table, and the failures.
+    ``measure`` maps versions to their rows by table, and the failures. Without a
+    rebuild, a store of another schema version or scope is refused before anything
+    is measured.
     """
-    if rebuild or not store.exists("version"):
-        tables, failures = measure(planned)
-        if rebuild:
-            store.rebuild(planned, tables, failures)
-        else:
-            store.upsert_versions(planned, tables, failures)
-        return
-    todo = pending_versions(planned, store.read("version"))
-    tables, failures = measure(todo)
-    store.upsert_versions(todo, tables, failures)
+    if rebuild:
+        store.rebuild(planned, *measure(planned))
+    else:
+        store.check(project)
+        todo = pending_versions(planned, store.read("version")) if store.exists("version") else planned
+        store.upsert_versions(todo, *measure(todo))
+    if project is not None:
+        store.write_project(project)
 
 
 def incremental_analyze(
-    arrivals: DataFrame, store: HistoryStore, measure: Measure, checkpoint: str, once: bool = True
+    arrivals: DataFrame,
+    store: HistoryStore,
+    measure: Measure,
+    checkpoint: str,
+    once: bool = True,
+    rebuild: bool = False,
+    project: DataFrame | None = None,
 ) -> StreamingQuery:
     """Run :func:`analyze_pending` for every batch of arriving version rows.
 
     A batch that is repeated after a failure finds its versions stored, or
-    replaces its own rows by key.
+    replaces its own rows by key. In full mode (``rebuild``) the first batch
+    replaces the store and the later ones add to it.
     """
 
-    def handle(batch: DataFrame, _: int) -> None:
-        analyze_pending(store, batch.dropDuplicates(["version_id"]), measure)
+    def handle(batch: DataFrame, number: int) -> None:
+        analyze_pending(store, batch.dropDuplicates(["version_id"]), measure, rebuild and number == 0, project)
 
     writer = arrivals.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
