@@ -10,12 +10,12 @@ samples make a band. Classes that agree in a band are candidates, and only pairs
 whose weighted Jaccard similarity is at least ``THRESHOLD`` are linked.
 
 A band's bucket never emits its pairs. Its members are held against the one that
-shares the most buckets, the heart of a group of copies. Members that are not
-similar to it go on into finer buckets, together with the best of those that are:
-buckets of the same members and ``FINER`` more samples, in ``TRIES`` ways, so that
-a passage many texts share is soon told apart. After ``LEVELS`` levels the rest
-meet in their buckets without further samples until every member has been
-linked or is alone, so nothing is cut off.
+shares the most buckets, the heart of a group of copies. Members that have not come
+to its group through any bucket go on into finer buckets, together with the best of
+those that have: buckets of the same members and ``FINER`` more samples, in
+``TRIES`` ways, so that a passage many texts share is soon told apart. After
+``LEVELS`` levels the rest meet in their buckets without further samples until
+every member has been linked or is alone, so nothing is cut off.
 
 Counting goes through ``exchange``: batches of classes send distinct hashes to
 buckets and get counts back, so no job has a row per shingle.
@@ -357,29 +357,34 @@ def band_members(signed: DataFrame) -> DataFrame:
     return cut_lineage(_crowded(signed.select("key", F.posexplode("bands").alias("band", "value"))))
 
 
-def links(signed: DataFrame, shared: DataFrame, vector: DataFrame, threshold: float) -> DataFrame:
-    """Verified links (a, b) between classes that share a band."""
+def linked_roots(signed: DataFrame, shared: DataFrame, vector: DataFrame, threshold: float) -> DataFrame:
+    """node and root of every class that is linked, over verified links between classes that share a band."""
     score = shared.groupBy("key").agg(F.sum("c").alias("score"))
     waiting = cut_lineage(shared.drop("c").join(score, "key"))
-    found, level = None, 0
+    found, roots, level = None, None, 0
     while True:
         # The member with the highest score; of equals the smallest key.
         heart = F.min_by("key", F.struct((-F.col("score")).alias("s"), F.col("key"))).alias("a")
         hearts = waiting.groupBy("band", "value").agg(heart, F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
         met = cut_lineage(waiting.join(hearts, ["band", "value"]).where(F.col("key") != F.col("a")).withColumnRenamed("key", "b"))
-        if met.isEmpty():
-            return found if found is not None else met.select("a", "b")
         # Written first: few pairs are then broadcast by their size, and the vectors stay where they are.
         pairs = written(met.select("a", "b").distinct(), "pairs")
         told = cut_lineage(verified(pairs, vector, threshold))
         good = told.where("linked").select("a", "b")
         found = good if found is None else found.unionByName(good)
-        known = met.join(told, ["a", "b"])
-        left = known.where("NOT linked").select("band", "value", F.col("b").alias("key"), "score")
+        roots = components(found)
+        # What has come to the heart's group in any bucket is done.
+        there = roots.withColumnsRenamed({"node": "a", "root": "_to"})
+        here = roots.withColumnsRenamed({"node": "b", "root": "_from"})
+        known = met.join(told, ["a", "b"]).join(there, "a", "left").join(here, "b", "left")
+        apart = ~F.coalesce("_to", "a").eqNullSafe(F.coalesce("_from", "b"))
+        left = cut_lineage(known.where(apart).select("band", "value", F.col("b").alias("key"), "score"))
+        if left.isEmpty():
+            return roots
         level += 1
         if level <= LEVELS:
             best = F.min_by(F.struct(F.col("b").alias("key"), "score"), F.struct((-F.col("score")).alias("s"), F.col("b"))).alias("best")
-            second = known.where("linked").join(left.select("band", "value").distinct(), ["band", "value"], "left_semi")
+            second = known.where(~apart).join(left.select("band", "value").distinct(), ["band", "value"], "left_semi")
             second = second.groupBy("band", "value").agg(best).select("band", "value", "best.key", "best.score")
             left = _crowded(finer(left.unionByName(second), signed, level).distinct()).drop("c")
         waiting = cut_lineage(left)
@@ -394,7 +399,7 @@ def class_ids(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         signed = cut_lineage(signatures(batched, answers, count, total, kind))
         shared = band_members(signed)
         vector = cut_lineage(vectors(batched, answers, shared.select("key").distinct(), count, total))
-    roots = components(links(signed, shared, vector, threshold)).withColumnRenamed("node", "key")
+    roots = linked_roots(signed, shared, vector, threshold).withColumnRenamed("node", "key")
     rooted = signed.select("key", "first_id").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("class_id"))
     return rooted.join(smallest, "root").select("key", "class_id")
