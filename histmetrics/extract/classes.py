@@ -1,13 +1,16 @@
 """Model classes in Python files: what they declare, inherit and use.
 
-Reading a file needs no knowledge of other files. Where an expression's model
-depends on relational fields declared elsewhere, the reader emits a starting
-model and the attribute names followed from it; joins resolve those chains.
+The reader states what a file says: declarations, and for each method which names
+it binds and which expressions it uses, as a root name and steps. What a name stands
+for is found by Spark, in a fold over the events of one method; where an
+expression's model depends on relational fields declared elsewhere, joins follow
+the chain of attributes.
 """
 
 from __future__ import annotations
 
 import ast
+from collections import Counter
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -45,223 +48,226 @@ SAME_MODEL_METHODS = {
     "mapped",
 }
 
-COLUMNS = "class_name string, fact string, model string, chain string, member string, path string, line int"
+READ = (
+    "class_name string, fact string, model string, member string, path string, line int, "
+    "method int, position int, names array<string>, root string, steps string"
+)
+FACT = ("class_name", "fact", "model", "chain", "member", "path", "line")
+USES = ("env", "call", "access")
 
 
-def _text(node: ast.AST | None) -> str | None:
-    return node.value if isinstance(node, ast.Constant) and isinstance(node.value, str) else None
+def _strings(node: ast.AST | None) -> list[str]:
+    """String constants of a literal, alone or in a list."""
+    parts = getattr(node, "elts", None) or [node]
+    return [p.value for p in parts if isinstance(p, ast.Constant) and isinstance(p.value, str)]
 
 
-def _texts(node: ast.AST | None) -> list[str]:
-    if isinstance(node, (ast.List, ast.Tuple, ast.Set)):
-        return [t for t in map(_text, node.elts) if t is not None]
-    return [t for t in [_text(node)] if t is not None]
+def _first_string(*nodes: ast.AST | None) -> str | None:
+    return next((t for node in nodes for t in _strings(node) if not hasattr(node, "elts")), None)
 
 
-def _names(target: ast.AST | None) -> Iterator[str]:
+def _bound_names(target: ast.AST | None) -> list[str]:
+    """Names that a target binds; attributes and items bind none."""
+    loads = (ast.Attribute, ast.Subscript)
+    if target is None or isinstance(target, loads):
+        return []
     if isinstance(target, ast.Name):
-        yield target.id
-    elif isinstance(target, (ast.Tuple, ast.List)):
-        for part in target.elts:
-            yield from _names(part)
-    elif isinstance(target, ast.Starred):
-        yield from _names(target.value)
-
-
-def _assignments(body: list[ast.stmt]) -> Iterator[tuple[list[str], ast.AST | None, int]]:
-    for statement in body:
-        if isinstance(statement, ast.Assign):
-            targets = statement.targets
-        elif isinstance(statement, ast.AnnAssign):
-            targets = [statement.target]
-        else:
-            continue
-        names = [t.id for t in targets if isinstance(t, ast.Name)]
-        if names:
-            yield names, statement.value, statement.lineno
+        return [target.id]
+    return [name for part in ast.iter_child_nodes(target) for name in _bound_names(part)]
+
+
+def _expression(node: ast.AST | None) -> tuple[str, str] | None:
+    """Root name and the steps from it (``.attribute`` or ``[key]``); methods that stay on the model are no steps."""
+    steps = ""
+    while node is not None:
+        match node:
+            case ast.Name(id=name):
+                return name, steps
+            case ast.Call(func=ast.Name(id="super")):
+                return "super()", steps
+            case ast.Call(func=ast.Attribute(attr=attr, value=value)) if attr in SAME_MODEL_METHODS:
+                node = value
+            case ast.Attribute(attr=attr, value=value):
+                node, steps = value, f".{attr}{steps}"
+            case ast.Subscript(value=value, slice=ast.Constant(value=str(key))) if key:
+                node, steps = value, f"[{key}]{steps}"
+            case _:
+                return None
+    return None
 
 
-def _field_call(value: ast.AST | None) -> tuple[str, ast.Call] | None:
-    """``fields.<Type>(…)`` as type name and call."""
-    if isinstance(value, ast.Call) and isinstance(value.func, ast.Attribute):
-        owner = value.func.value
-        if isinstance(owner, ast.Name) and owner.id == "fields":
-            return value.func.attr, value
-    return None
+# Where Python binds names: node kind, its parts that hold targets and value.
+_BINDS = {
+    ast.Assign: lambda n: [(t, n.value) for t in n.targets],
+    ast.AnnAssign: lambda n: [(n.target, n.value)],
+    ast.NamedExpr: lambda n: [(n.target, n.value)],
+    ast.For: lambda n: [(n.target, n.iter)],
+    ast.AsyncFor: lambda n: [(n.target, n.iter)],
+    ast.With: lambda n: [(i.optional_vars, i.context_expr) for i in n.items],
+    ast.AsyncWith: lambda n: [(i.optional_vars, i.context_expr) for i in n.items],
+}
 
 
-def _keyword(call: ast.Call, name: str) -> str | None:
-    for keyword in call.keywords:
-        if keyword.arg == name:
-            return _text(keyword.value)
-    return None
+def _events(method: ast.AST) -> Iterator[tuple]:
+    """What a method binds and uses, as written and in order: (fact, names, member, root, steps, line)."""
+    waiting = [(method, False)]
+    while waiting:
+        node, called = waiting.pop()
+        for target, value in _BINDS.get(type(node), lambda _: [])(node):
+            names, found = _bound_names(target), _expression(value)
+            if names and found:
+                yield "bind", names, None, *found, node_line(node)
+        if isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute):
+            found = _expression(node.func.value)
+            if found:
+                yield "call", None, node.func.attr, *found, node.lineno
+        elif isinstance(node, ast.Subscript):
+            found = _expression(node)
+            if found:
+                yield "env", None, None, *found, node.lineno
+        elif isinstance(node, ast.Attribute) and not called and node.attr not in NO_FIELD and not node.attr.startswith("__"):
+            found = _expression(node.value)
+            if found:
+                yield "access", None, node.attr, *found, node.lineno
+        parts = list(ast.iter_child_nodes(node))
+        waiting += [(p, isinstance(node, ast.Call) and p is node.func) for p in reversed(parts)]
 
 
-class _Method(ast.NodeVisitor):
-    """Uses of models in one method, in source order; later names shadow earlier ones."""
-
-    def __init__(self, models: set[str]) -> None:
-        self.own = next(iter(models)) if len(models) == 1 else None
-        self.env_names: set[str] = set()
-        self.bound: dict[str, tuple[str, tuple[str, ...]]] = {}
-        self.called: set[int] = set()
-        self.uses: list[tuple] = []
-
-    def is_env(self, node: ast.AST) -> bool:
-        if isinstance(node, ast.Name):
-            return node.id in self.env_names
-        return (
-            isinstance(node, ast.Attribute)
-            and node.attr == "env"
-            and isinstance(node.value, ast.Name)
-            and node.value.id == "self"
-        )
+def node_line(node: ast.AST) -> int:
+    return getattr(node, "lineno", 0)
 
-    def env_model(self, node: ast.AST) -> str | None:
-        if isinstance(node, ast.Subscript) and self.is_env(node.value):
-            return _text(node.slice) or None
-        return None
-
-    def resolve(self, node: ast.AST) -> tuple[str, tuple[str, ...]] | None:
-        """Starting model and followed attributes, or None when there is no model."""
-        model = self.env_model(node)
-        if model:
-            return model, ()
-        if isinstance(node, ast.Name):
-            if node.id in self.bound:
-                return self.bound[node.id]
-            return (self.own, ()) if node.id == "self" and self.own else None
-        if isinstance(node, ast.Attribute):
-            base = self.resolve(node.value)
-            return (base[0], (*base[1], node.attr)) if base else None
-        if isinstance(node, ast.Call):
-            if isinstance(node.func, ast.Attribute) and node.func.attr in SAME_MODEL_METHODS:
-                return self.resolve(node.func.value)
-            if isinstance(node.func, ast.Name) and node.func.id == "super" and self.own:
-                return self.own, ()
-        return None
-
-    def bind(self, targets: list[ast.AST | None], value: ast.AST, env: bool = False) -> None:
-        names = [n for t in targets for n in _names(t)]
-        if env and self.is_env(value):
-            self.env_names.update(names)
-        found = self.resolve(value)
-        if found:
-            self.bound.update(dict.fromkeys(names, found))
-
-    def visit_Assign(self, node: ast.Assign) -> None:
-        self.bind(node.targets, node.value, env=True)
-        self.generic_visit(node)
-
-    def visit_AnnAssign(self, node: ast.AnnAssign) -> None:
-        if isinstance(node.target, ast.Name) and node.value is not None:
-            self.bind([node.target], node.value, env=True)
-        self.generic_visit(node)
-
-    def visit_NamedExpr(self, node: ast.NamedExpr) -> None:
-        self.bind([node.target], node.value)
-        self.generic_visit(node)
-
-    def visit_For(self, node: ast.For | ast.AsyncFor) -> None:
-        self.bind([node.target], node.iter)
-        self.generic_visit(node)
-
-    visit_AsyncFor = visit_For
-
-    def visit_With(self, node: ast.With | ast.AsyncWith) -> None:
-        for item in node.items:
-            self.bind([item.optional_vars], item.context_expr)
-        self.generic_visit(node)
-
-    visit_AsyncWith = visit_With
-
-    def visit_Subscript(self, node: ast.Subscript) -> None:
-        model = self.env_model(node)
-        if model:
-            self.uses.append(("env", model, "", None, None, node.lineno))
-        self.generic_visit(node)
-
-    def visit_Call(self, node: ast.Call) -> None:
-        if isinstance(node.func, ast.Attribute):
-            self.called.add(id(node.func))
-            found = self.resolve(node.func.value)
-            if found:
-                self.uses.append(("call", found[0], ".".join(found[1]), node.func.attr, None, node.lineno))
-        self.generic_visit(node)
-
-    def visit_Attribute(self, node: ast.Attribute) -> None:
-        plain = id(node) not in self.called and node.attr not in NO_FIELD and not node.attr.startswith("__")
-        found = self.resolve(node.value) if plain else None
-        if found:
-            self.uses.append(("access", found[0], ".".join(found[1]), node.attr, None, node.lineno))
-        self.generic_visit(node)
-
-
-def _read_class(node: ast.ClassDef) -> Iterator[tuple]:
-    declared: set[str] = set()
-    inherited: set[str] = set()
-    for names, value, line in _assignments(node.body):
-        if "_name" in names:
-            declared.update(_texts(value))
-            for model in dict.fromkeys(_texts(value)):
-                yield "declared", model, None, None, None, line
-        if "_inherit" in names:
-            inherited.update(_texts(value))
-            for model in _texts(value):
-                yield "inherited", model, None, None, None, line
-        call = _field_call(value)
-        if call is None:
-            continue
-        kind, made = call
-        if kind in RELATIONAL:
-            comodel = (_text(made.args[0]) if made.args else None) or _keyword(made, "comodel_name")
-            if comodel:
-                yield RELATIONAL[kind], comodel, None, names[0], None, line
-        related = _keyword(made, "related")
-        if related:
-            yield "python_related", None, None, names[0], related, line
-
-    models = declared or inherited
-    for method in node.body:
-        if not isinstance(method, (ast.FunctionDef, ast.AsyncFunctionDef)):
+
+def _declarations(node: ast.ClassDef) -> Iterator[tuple]:
+    """Names, parents and fields that a class body states: (fact, model, member, path, line)."""
+    for statement in node.body:
+        if not isinstance(statement, (ast.Assign, ast.AnnAssign)):
             continue
-        yield "method", None, None, method.name, None, method.lineno
-        for decorator in method.decorator_list:
-            if not (isinstance(decorator, ast.Call) and isinstance(decorator.func, ast.Attribute)):
-                continue
-            owner = decorator.func.value
-            kind = DECORATORS.get(decorator.func.attr)
-            if kind and isinstance(owner, ast.Name) and owner.id == "api":
-                for argument in decorator.args:
-                    for path in _texts(argument):
-                        yield kind, None, None, method.name, path, decorator.lineno
-        reader = _Method(models)
-        reader.visit(method)
-        yield from reader.uses
+        targets = statement.targets if isinstance(statement, ast.Assign) else [statement.target]
+        names = [t.id for t in targets if isinstance(t, ast.Name)]
+        for name, fact in (("_name", "declared"), ("_inherit", "inherited")):
+            if name in names:
+                models = _strings(statement.value)
+                for model in dict.fromkeys(models) if fact == "declared" else models:
+                    yield fact, model, None, None, statement.lineno
+        match statement.value:
+            case ast.Call(func=ast.Attribute(attr=kind, value=ast.Name(id="fields"))) as made if names:
+                options = {k.arg: k.value for k in made.keywords}
+                comodel = _first_string(*made.args[:1], options.get("comodel_name"))
+                if kind in RELATIONAL and comodel:
+                    yield RELATIONAL[kind], comodel, names[0], None, statement.lineno
+                related = _first_string(options.get("related"))
+                if related:
+                    yield "python_related", None, names[0], related, statement.lineno
+
+
+def _decorations(method: ast.AST) -> Iterator[tuple]:
+    for decorator in method.decorator_list:
+        match decorator:
+            case ast.Call(func=ast.Attribute(attr=attr, value=ast.Name(id="api"))) if attr in DECORATORS:
+                for path in (p for argument in decorator.args for p in _strings(argument)):
+                    yield DECORATORS[attr], None, method.name, path, decorator.lineno
 
 
 def read_classes(source: str | None) -> list[tuple]:
-    """Facts of the top-level classes of one file; unreadable files have none."""
+    """What the top-level classes of one file say, without knowing what names stand for; see ``READ``.
+
+    A file that cannot be parsed has one row, ``unreadable``.
+    """
+    nothing = (None,) * 5
     try:
         body = ast.parse(source or "").body
-        out, seen = [], {}
-        for node in body:
-            if isinstance(node, ast.ClassDef):
-                seen[node.name] = seen.get(node.name, 0) + 1
-                name = node.name if seen[node.name] == 1 else f"{node.name}#{seen[node.name]}"
-                out.extend((name, *fact) for fact in _read_class(node))
-        return out
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return []
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as error:
+        return [("", "unreadable", None, None, f"{type(error).__name__}: {error}", None, *nothing)]
+    out, times = [], Counter()
+    for node in body:
+        if not isinstance(node, ast.ClassDef):
+            continue
+        times[node.name] += 1
+        name = node.name if times[node.name] == 1 else f"{node.name}#{times[node.name]}"
+        out += [(name, *fact, *nothing) for fact in _declarations(node)]
+        methods = [m for m in node.body if isinstance(m, (ast.FunctionDef, ast.AsyncFunctionDef))]
+        for number, method in enumerate(methods):
+            out.append((name, "method", None, method.name, None, method.lineno, *nothing))
+            out += [(name, *fact, *nothing) for fact in _decorations(method)]
+            for at, (fact, names, member, root, steps, line) in enumerate(_events(method)):
+                out.append((name, fact, None, member, None, line, number, at, names, root, steps))
+    return out
 
 
 def _is_python():
     return F.col("relative_path").endswith(".py") & (file_name("relative_path") != "__manifest__.py")
 
 
+def bind_names(read: DataFrame) -> DataFrame:
+    """Uses with the model they start from and the attributes that follow.
+
+    The events of one method, which its text bounds, are folded in order: a
+    binding whose expression leads to a model replaces what the name stood for.
+    An expression leads to the class's own model (``self``, ``super()``; only if
+    the class has one) or to the model that is asked of the environment.
+    """
+    by_class = ["content_sha", "class_name"]
+    models = read.where(F.col("fact").isin("declared", "inherited")).groupBy(*by_class).agg(
+        F.collect_set(F.when(F.col("fact") == "declared", F.col("model"))).alias("declared"),
+        F.collect_set("model").alias("all"),
+    )
+    models = models.withColumn("own", F.when(F.size("declared") > 0, F.col("declared")).otherwise(F.col("all")))
+    models = models.select(*by_class, F.when(F.size("own") == 1, F.col("own")[0]).alias("own"))
+    event = F.struct("position", "fact", "names", "member", "root", "steps", "line")
+    methods = read.where(F.col("fact").isin("bind", *USES)).groupBy(*by_class, "method").agg(F.sort_array(F.collect_list(event)).alias("events"))
+
+    def whole(known, e):
+        own = F.when(e["root"].isin("self", "super()"), F.lit("@"))
+        start = F.when(e["root"] == "super()", own).otherwise(F.coalesce(F.try_element_at(known, e["root"]), own))
+        full = F.concat(start, e["steps"])
+        return F.when(full.rlike(LEADS), full)
+
+    def step(state, e):
+        full = whole(state["known"], e)
+        fresh = F.map_from_arrays(F.coalesce(e["names"], F.array().cast("array<string>")), F.transform(F.coalesce(e["names"], F.array().cast("array<string>")), lambda _: full))
+        binds = (e["fact"] == "bind") & full.isNotNull()
+        kept = F.map_filter(state["known"], lambda k, _: ~F.array_contains(F.coalesce(e["names"], F.array().cast("array<string>")), k))
+        known = F.when(binds, F.map_concat(kept, fresh)).otherwise(state["known"])
+        used = F.struct(e["fact"].alias("fact"), e["member"].alias("member"), e["line"].alias("line"), full.alias("full"))
+        uses = F.when((e["fact"] != "bind") & full.isNotNull(), F.concat(state["uses"], F.array(used))).otherwise(state["uses"])
+        return F.struct(known.alias("known"), uses.alias("uses"))
+
+    none = F.struct(
+        F.create_map().cast("map<string,string>").alias("known"),
+        F.array().cast("array<struct<fact:string,member:string,line:int,full:string>>").alias("uses"),
+    )
+    # A name that is bound twice in one target is one name.
+    events = F.transform("events", lambda e: e.withField("names", F.array_distinct(e["names"])))
+    folded = methods.select(*by_class, F.explode(F.aggregate(events, none, step, lambda s: s["uses"])).alias("u"))
+    asked = F.regexp_extract("u.full", r"^@[.]env\[([^\]]+)\]", 1)
+    chain = F.regexp_replace(F.regexp_replace("u.full", r"^@([.]env\[[^\]]+\])?", ""), "^[.]", "")
+    used = folded.join(models, by_class, "left").select(
+        *by_class, F.col("u.fact").alias("fact"), F.when(asked != "", asked).otherwise(F.col("own")).alias("model"),
+        chain.alias("chain"), F.col("u.member").alias("member"), F.lit(None).cast("string").alias("path"), F.col("u.line").alias("line"),
+        (asked != "").alias("_asked"),
+    )
+    # A subscript is a use of the environment only where it asks for a model and nothing follows.
+    plain = (F.col("fact") != "env") | (F.col("_asked") & (F.col("chain") == ""))
+    return used.where(F.col("model").isNotNull() & plain).drop("_asked")
+
+
+#: Expressions that lead to a model: own model and attributes, or a model asked of the environment and attributes.
+LEADS = r"^@([.]env\[[^\]]+\])?([.]\w+)*$"
+
+
 def read_facts(files: DataFrame) -> DataFrame:
     """Class facts per distinct text."""
-    return extract(distinct_contents(files, _is_python()), read_classes, COLUMNS)
+    read = cut_lineage(extract(distinct_contents(files, _is_python()), read_classes, READ))
+    stated = read.where(~F.col("fact").isin("bind", "unreadable", *USES)).withColumn("chain", F.lit(None).cast("string"))
+    columns = ["content_sha", *FACT]
+    return stated.select(*columns).unionByName(bind_names(read).select(*columns))
+
+
+def class_failures(files: DataFrame) -> DataFrame:
+    """Python files whose classes cannot be read: version_id, module, file_path, error_text."""
+    read = extract(distinct_contents(files, _is_python()), read_classes, READ).where(F.col("fact") == "unreadable")
+    found = on_files(read, files, _is_python())
+    return found.select("version_id", "module", F.col("relative_path").alias("file_path"), F.col("path").alias("error_text"))
 
 
 def python_class_facts(files: DataFrame) -> DataFrame:
@@ -293,25 +299,27 @@ def own_fields(facts: DataFrame) -> DataFrame:
 def resolve_chains(uses: DataFrame, fields: DataFrame) -> DataFrame:
     """Follow attribute chains through relational fields; other attributes keep the model.
 
-    Only distinct chains are followed, one join per step. The number of steps is
-    the longest chain in the data.
+    Only distinct chains are followed, one join per step; a chain that has come to
+    its end waits for the others no longer, and the walk ends when all have.
     """
     key = ["version_id", "model", "chain"]
     chains = uses.where(F.col("chain") != "").select(*key).distinct()
-    names = F.split("chain", "[.]")
-    steps = chains.agg(F.max(F.size(names))).first()[0] or 0
     known = fields.select("version_id", F.col("model").alias("here"), F.col("field").alias("step"), "comodel")
-    walked = chains.withColumn("here", F.col("model"))
-    for i in range(steps):
-        walked = (
-            walked.withColumn("step", F.get(names, F.lit(i)))
+    open_ends = chains.withColumn("here", F.col("model")).withColumn("rest", F.split("chain", "[.]"))
+    ended = None
+    while True:
+        walked = cut_lineage(
+            open_ends.withColumn("step", F.col("rest")[0])
             .join(known, ["version_id", "here", "step"], "left")
-            .select(*key, F.coalesce("comodel", "here").alias("here"))
+            .select(*key, F.coalesce("comodel", "here").alias("here"), F.slice("rest", 2, 1_000_000).alias("rest"))
         )
-        if i % 4 == 3 and i + 1 < steps:
-            walked = cut_lineage(walked)
+        done = walked.where(F.size("rest") == 0).select(*key, "here")
+        ended = done if ended is None else ended.unionByName(done)
+        open_ends = walked.where(F.size("rest") > 0)
+        if open_ends.isEmpty():
+            break
     return (
-        uses.join(walked, key, "left")
+        uses.join(ended, key, "left")
         .withColumn("model", F.coalesce("here", "model"))
         .drop("here", "chain")
     )

@@ -151,24 +151,40 @@ def test_manifest(source, depends, reason):
     assert references.read_manifest(source) == (depends, reason)
 
 
-def uses(body, models="_name = 'sale.order'"):
-    source = f"class A:\n    {models}\n    def f(self, env2):\n" + "".join(f"        {line}\n" for line in body.split("\n"))
-    return [(f, m, c, n) for _, f, m, c, n, _, _ in classes.read_classes(source) if f in ("env", "call", "access")]
-
-
-def test_model_expressions():
-    assert uses("self.env['res.partner']") == [("env", "res.partner", "", None)]
-    assert uses("e = self.env\ne['res.partner'].go()") == [("call", "res.partner", "", "go"), ("env", "res.partner", "", None)]
-    assert ("call", "sale.order", "", "go") in uses("self.go()")
-    assert uses("self.go()", "_name = ['a', 'b']") == []
-    assert ("call", "sale.order", "", "go") in uses("rec = self.sudo().search([])\nrec.go()")
-    assert ("call", "sale.order", "partner_id", "go") in uses("for r in self:\n    p = r.partner_id\n    p.go()")
-    assert ("access", "sale.order", "partner_id", "name") in uses("return self.partner_id.name")
-    assert ("call", "sale.order", "", "write") in uses("super().write({})")
-    assert uses("return self.id") == [] and uses("return 42") == []
-    assert uses("with self.browse(1) as r:\n    r.x")[-1] == ("access", "sale.order", "", "x")
-    assert ("access", "sale.order", "", "x") in uses("if (r := self.exists()):\n    r.x")
-    assert ("call", "sale.order", "", "go") in uses("a, *b = self\nb.go()")
+def source_of(body, models="_name = 'sale.order'"):
+    return f"class A:\n    {models}\n    def f(self, env2):\n" + "".join(f"        {line}\n" for line in body.split("\n"))
+
+
+def test_model_expressions(spark):
+    go = ("call", "sale.order", "", "go")
+    cases = [  # body, what must be among its uses, whether that is all
+        ("self.env['res.partner']", [("env", "res.partner", "", None)], True),
+        ("e = self.env\ne['res.partner'].go()", [("call", "res.partner", "", "go"), ("env", "res.partner", "", None)], False),
+        ("self.go()", [go], False),
+        ("rec = self.sudo().search([])\nrec.go()", [go], False),
+        ("for r in self:\n    p = r.partner_id\n    p.go()", [("call", "sale.order", "partner_id", "go")], False),
+        ("return self.partner_id.name", [("access", "sale.order", "partner_id", "name")], False),
+        ("super().write({})", [("call", "sale.order", "", "write")], True),
+        ("return self.id", [], True),
+        ("return 42", [], True),
+        ("with self.browse(1) as r:\n    r.x", [("access", "sale.order", "", "x")], False),
+        ("if (r := self.exists()):\n    r.x", [("access", "sale.order", "", "x")], False),
+        ("a, *b = self\nb.go()", [go], False),
+        ("x = self\nx = 42\nx.go()", [go], False),
+        ("x = self.env['a.b']\nx = self\nx.go()", [go], False),
+        ("y.go()\ny = self", [], True),
+        ("self.partner_id.env['a.b'].go()", [("access", "sale.order", "", "partner_id")], True),
+    ]
+    texts = [source_of(body) for body, _, _ in cases] + [source_of("self.go()", "_name = ['a', 'b']"), "def ("]
+    given = files(spark, *[("m", f"f{i:02d}.py", text) for i, text in enumerate(texts)])
+    found = {}
+    for r in classes.python_class_facts(given).where("fact IN ('env', 'call', 'access')").collect():
+        found.setdefault(r["file_path"], []).append((r["fact"], r["model"], r["chain"], r["member"]))
+    for i, (body, want, whole) in enumerate(cases):
+        got = found.get(f"f{i:02d}.py", [])
+        assert set(want) <= set(got) and (not whole or len(got) == len(want)), (body, got)
+    assert f"f{len(cases):02d}.py" not in found
+    assert [r["file_path"] for r in classes.class_failures(given).collect()] == [f"f{len(cases) + 1:02d}.py"]
 
 
 BASE = """
