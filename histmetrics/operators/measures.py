@@ -3,8 +3,10 @@
 Shape of the data: long observations ``(…keys, family, value)``. A third of all
 rows may belong to one key, so values are first counted per distinct value
 (combined before the shuffle), and exact ranks are then found in two steps:
-which value range holds the rank, and which value inside that range. No task
-ever holds a whole group.
+which value range holds the rank, and which value inside that range. Ranges are
+bounded by a mergeable sketch of each key's distinct values, so they hold about
+equally many however the values lie. Files bound their own values: at that grain
+built-in aggregates find the ranks in one shuffle. NaN counts as the highest value.
 """
 
 from __future__ import annotations
@@ -22,14 +24,9 @@ STATS = ("count", "mean", "median", "p95", "max")
 ENTITY_FILE = ("version_id", "module", "relative_path")
 ENTITY_MODULE = ("version_id", "module")
 
-# Value ranges per factor e: a range spans 3 % of its values' size.
-RANGES_PER_E = 32
-
-
-def _value_range(v: Column) -> Column:
-    """A whole number that never falls as ``v`` rises (log1p is semi-monotonic)."""
-    up = F.floor(F.log1p(F.abs(v)) * RANGES_PER_E)
-    return F.coalesce(F.when(v >= 0, up).otherwise(-up - 1), F.lit(0)).cast("long")
+# Value ranges of a key, each with about this share of its distinct values.
+RANGES = 64
+P95 = 0.95
 
 
 def value_histogram(
@@ -53,18 +50,20 @@ def distribution_of(histogram: DataFrame, keys: Sequence[str]) -> DataFrame:
     is the value at position ``ceil(0.95 n)`` of the sorted values.
     """
     keys = list(keys)
-    # One shuffle of the histogram serves both of its uses below: the same
-    # filters and a range that is never NULL keep the two plans identical.
     for key in (*keys, "value"):
         histogram = histogram.where(F.col(key).isNotNull())
-    counted = histogram.withColumn("_range", _value_range(F.col("value"))).repartition(*keys, "_range")
+    cuts = [i / RANGES for i in range(1, RANGES)]
+    number = F.when(~F.isnan("value"), F.col("value"))
+    bounds = histogram.groupBy(*keys).agg(F.percentile_approx(number, cuts, 16 * RANGES).alias("_bounds"))
+    below = F.size(F.filter("_bounds", lambda b: b < F.col("value")))
+    counted = histogram.join(bounds, keys).withColumn("_range", F.coalesce(below, F.lit(0))).drop("_bounds")
 
     per_range = counted.groupBy(*keys, "_range").agg(
         F.sum("n").alias("_rows"),
         F.sum(F.col("value") * F.col("n")).alias("_sum"),
         F.max("value").alias("_max"),
     )
-    # At most some hundred ranges per key, whatever the number of rows.
+    # RANGES rows per key, whatever the number of values.
     whole = Window.partitionBy(*keys)
     running = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranged = per_range.select(
@@ -80,7 +79,7 @@ def distribution_of(histogram: DataFrame, keys: Sequence[str]) -> DataFrame:
     ranks = {
         "_low": F.floor((n + 1) / 2).cast("long"),
         "_high": (F.floor(n / 2) + 1).cast("long"),
-        "p95": F.greatest(F.lit(1), F.ceil(F.lit(0.95) * n)).cast("long"),
+        "p95": F.greatest(F.lit(1), F.ceil(F.lit(P95) * n)).cast("long"),
     }
 
     def holds(rank: Column, before: Column, upto: Column) -> Column:
@@ -117,7 +116,18 @@ def distribution(df: DataFrame, keys: Sequence[str], value: str = "value") -> Da
 
 def file_distributions(observations: DataFrame) -> DataFrame:
     """One distribution per file and metric family."""
-    return distribution(observations, [*ENTITY_FILE, "family"])
+    keys = [*ENTITY_FILE, "family"]
+    known = F.col("value").isNotNull()
+    for key in keys:
+        known = known & F.col(key).isNotNull()
+    value = F.col("value").cast("double")
+    return observations.where(known).select(*keys, value.alias("value")).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("count"),
+        F.avg("value").alias("mean"),
+        F.median("value").alias("median"),
+        F.expr(f"percentile_disc({P95}) WITHIN GROUP (ORDER BY value)").alias("p95"),
+        F.max("value").alias("max"),
+    )
 
 
 def module_distributions(observations: DataFrame) -> DataFrame:

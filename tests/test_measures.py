@@ -118,3 +118,12 @@ def test_run_outcome(spark, rows):
         [("r", True, 0), ("r", True, 3), ("r", False, 1), ("r", False, 0)], "run_id string, has_metrics boolean, failures int"
     )
     assert rows(measures.run_outcome(flags)) == [("r", 3, 1, 4)]
+
+
+def test_ranks_of_a_narrow_band_and_nan(spark, rows):
+    band = spark.range(5000).selectExpr("'k' AS key", "1000 + pmod(id * 7919, 5000) / 1000.0D AS value")
+    got = measures.distribution(band, ["key"]).first()
+    assert (got["count"], got["median"], got["p95"], got["max"]) == (5000, 1002.4995, 1004.749, 1004.999)
+    odd = spark.sql("SELECT 'k' AS key, explode(array(1D, 2D, 3D, double('NaN'))) AS value")
+    got = measures.distribution(odd, ["key"]).first()
+    assert got["median"] == 2.5 and got["p95"] != got["p95"] and got["max"] != got["max"]
