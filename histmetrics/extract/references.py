@@ -137,23 +137,41 @@ _ID = re.compile(EXTERNAL_ID)
 
 
 def read_csv(text: str | None) -> Iterator[tuple]:
-    """``(line, xml_id)``: ids in every cell after the header; records count, from 2."""
+    """``(line, xml_id, error)``: ids in every cell after the header; records count, from 2.
+
+    A record that cannot be read ends the file with an error.
+    """
     csv.field_size_limit(max(csv.field_size_limit(), len(text or "")))
     records = csv.reader(io.StringIO(text or "", newline=""))
+    number = 1
     try:
         filled = (r for r in records if r)
         next(filled, None)
         for number, record in enumerate(filled, start=2):
             for cell in record:
                 for found in _ID.finditer(cell):
-                    yield number, found.group(1)
-    except csv.Error:
-        return
+                    yield number, found.group(1), None
+    except csv.Error as error:
+        yield number + 1, None, f"record {number + 1}: {error}"
+
+
+def _csv_records(files: DataFrame) -> DataFrame:
+    return extract(distinct_contents(files, _is_security_csv()), read_csv, "line int, xml_id string, error string")
+
+
+def csv_failures(files: DataFrame) -> DataFrame:
+    """Security CSV files with a record that cannot be read, and those that cannot be decoded."""
+    errors = _csv_records(files).where(F.col("error").isNotNull()).select("content_sha", "error")
+    undecoded = with_sha(files).where(_is_security_csv() & F.col("content").isNull()).select(*FILE, F.lit("cannot decode file as UTF-8").alias("error"))
+    found = on_files(errors, files, _is_security_csv()).select(*FILE, "error").unionByName(undecoded)
+    return found.select(
+        "version_id", F.concat_ws("/", "module", "relative_path").alias("file_path"), F.col("error").alias("error_text")
+    )
 
 
 def csv_reference_facts(files: DataFrame) -> DataFrame:
     """References of the security CSV files, not yet limited to analysed modules."""
-    found = extract(distinct_contents(files, _is_security_csv()), read_csv, "line int, xml_id string")
+    found = _csv_records(files).where(F.col("error").isNull()).drop("error")
     located = on_files(found, files, _is_security_csv()).withColumn("kind", F.lit("security_csv_ref"))
     return _as_facts(located.withColumn("detail", F.concat(F.lit("security csv ref -> "), F.col("xml_id"))))
 

@@ -85,16 +85,16 @@ def edges_from_counts(counts: DataFrame, kind_group: Mapping[str, str] = KIND_GR
     sums = [F.sum(F.when(group_of("kind", kind_group) == g, F.col("n"))).alias(f"_{g}") for g in groups]
     packed = counts.groupBy(*EDGE).agg(
         F.map_from_entries(
-            F.sort_array(F.collect_list(F.struct("kind", F.col("n").cast("int").alias("n"))))
+            F.sort_array(F.collect_list(F.struct("kind", F.col("n").cast("long").alias("n"))))
         ).alias("kinds"),
-        F.sum("n").cast("int").alias("kind_occurrence_count"),
+        F.sum("n").cast("long").alias("kind_occurrence_count"),
         *sums,
     )
-    by_group = F.create_map(*[x for g in groups for x in (F.lit(g), F.col(f"_{g}").cast("int"))])
+    by_group = F.create_map(*[x for g in groups for x in (F.lit(g), F.col(f"_{g}").cast("long"))])
     total = sum((F.coalesce(F.col(f"_{g}"), F.lit(0)) for g in groups), F.lit(0))
     return packed.select(
         *EDGE,
-        total.cast("int").alias("score"),
+        total.cast("long").alias("score"),
         "kinds",
         "kind_occurrence_count",
         F.map_filter(by_group, lambda _, v: v.isNotNull()).alias("breakdown"),
@@ -131,7 +131,7 @@ def build_coupling_edges(
 def edge_score(breakdown: Column | str) -> Column:
     """Sum of a breakdown map."""
     c = F.col(breakdown) if isinstance(breakdown, str) else breakdown
-    return F.aggregate(F.map_values(c), F.lit(0), lambda acc, v: acc + v)
+    return F.aggregate(F.map_values(c), F.lit(0).cast("long"), lambda acc, v: acc + v)
 
 
 def module_scores(modules: DataFrame, edges: DataFrame) -> DataFrame:

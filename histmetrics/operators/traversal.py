@@ -17,7 +17,7 @@ def visible_edges(
     shown = F.map_filter("breakdown", lambda k, _: k.isin(*groups)) if groups else F.map_filter(
         "breakdown", lambda k, _: F.lit(False)
     )
-    weight = F.aggregate(F.map_values(shown), F.lit(0), lambda acc, v: acc + v)
+    weight = F.aggregate(F.map_values(shown), F.lit(0).cast("long"), lambda acc, v: acc + v)
     floor = minimum if include_zero else max(minimum, 1)
     out = edges.withColumn("visible_weight", weight).where(F.col("visible_weight") >= floor)
     return out if groups else out.where(F.lit(False))

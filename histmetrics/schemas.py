@@ -17,7 +17,7 @@ DISTRIBUTION = T.StructType(
 )
 METRICS = T.MapType(T.StringType(), T.DoubleType())
 COUNTS = T.MapType(T.StringType(), T.LongType())
-KINDS = T.MapType(T.StringType(), T.IntegerType())
+KINDS = T.MapType(T.StringType(), T.LongType())
 DISTRIBUTIONS = T.MapType(T.StringType(), DISTRIBUTION)
 
 
@@ -64,9 +64,9 @@ COUPLING_EDGE = _struct(
     version_id=_S,
     source=_S,
     target=_S,
-    score=_I,
+    score=_L,
     kinds=KINDS,
-    kind_occurrence_count=_I,
+    kind_occurrence_count=_L,
     breakdown=KINDS,
 )
 FAILURE = _struct(run_id=_S, version_id=_S, file_path=_S, error_text=_S)

@@ -131,6 +131,9 @@ def test_csv(spark, rows):
         ("crm", 3, "security csv ref -> crm.a"),
         ("crm", 3, "security csv ref -> crm.b"),
     ]
+    broken = files(spark, ("sale", "security/a.csv", 'id\na.b\n"open\x00'), ("sale", "security/b.csv", None))
+    told = {r["file_path"]: r["error_text"] for r in references.csv_failures(broken).collect()}
+    assert told.get("sale/security/b.csv") == "cannot decode file as UTF-8"
     wide = "h\n" + "x" * 300_000 + " a.b\n"
     assert rows(references.csv_reference_facts(files(spark, ("s", "security/w.csv", wide))), "line") == [(2,)]
 
