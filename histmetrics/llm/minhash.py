@@ -11,11 +11,8 @@ whose weighted Jaccard similarity is at least ``THRESHOLD`` are linked.
 
 A band's bucket never emits its pairs. Its members are held against the one that
 shares the most buckets, the heart of a group of copies. Members that have not come
-to its group through any bucket go on into finer buckets, together with the best of
-those that have: buckets of the same members and ``FINER`` more samples, in
-``TRIES`` ways, so that a passage many texts share is soon told apart. After
-``LEVELS`` levels the rest meet in their buckets without further samples until
-every member has been linked or is alone, so nothing is cut off.
+to its group through any bucket are then compared with all members of theirs by
+their samples, in blocks, and the pairs that agree most and join most are verified.
 
 Counting goes through ``exchange``: batches of classes send distinct hashes to
 buckets and get counts back, so no job has a row per shingle.
@@ -27,6 +24,7 @@ empty table gives an empty result. Whole texts are read.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,7 +54,8 @@ from histmetrics.session import cut_lineage
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 10, 3
-FINER, TRIES, LEVELS = 3, 5, 4
+#: Members of a block, and the share of samples that a pair in a block has to agree in.
+CHUNK, LEAST = 512, 0.5
 TABLE_BITS = 16
 #: Texts are hashed together up to this many bytes (a longer one alone).
 TOGETHER = 1 << 20
@@ -338,56 +337,96 @@ def _crowded(rows: DataFrame) -> DataFrame:
     return rows.join(held, ["band", "value"])
 
 
-def finer(rows: DataFrame, signed: DataFrame, level: int) -> DataFrame:
-    """Members in buckets of FINER more samples each, in TRIES ways."""
-    joined = rows.join(signed.select("key", "samples"), "key").withColumn("_try", F.explode(F.sequence(F.lit(0), F.lit(TRIES - 1))))
-    others = BANDS * ROWS - ROWS
-    picked = [
-        F.element_at(
-            "samples",
-            ((F.col("band") * ROWS + ROWS + F.pmod(F.xxhash64("band", "_try", F.lit(level), F.lit(k)), F.lit(others))) % (BANDS * ROWS) + 1).cast("int"),
-        )
-        for k in range(FINER)
-    ]
-    return joined.select("band", F.xxhash64("value", "_try", *picked).alias("value"), "key", "score")
-
-
 def band_members(signed: DataFrame) -> DataFrame:
     """band, value, key and the number of members of every bucket that two or more classes share."""
     return cut_lineage(_crowded(signed.select("key", F.posexplode("bands").alias("band", "value"))))
 
 
+def best_partners(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) by which the members that are left may come to a group of their bucket.
+
+    ``rows``: band, value, key, root, left, samples of whole buckets. Members are
+    dealt by hash into chunks of about CHUNK, and a chunk with members that are
+    left meets every chunk of its bucket. Of the pairs that agree in LEAST of their
+    samples, those that join most come out: the ones that agree most first, if they
+    join two groups or a member has had fewer than two.
+    """
+    sizes = rows.groupBy("band", "value").agg(F.count(F.lit(1)).alias("_size"))
+    dealt = rows.join(sizes, ["band", "value"]).withColumn("chunk", F.pmod(F.xxhash64("key"), F.ceil(F.col("_size") / CHUNK)).cast("int"))
+    # A chunk holds about CHUNK members by the hash, whatever the bucket's size.
+    member = F.struct("key", "root", "left", "samples")
+    chunks = cut_lineage(
+        dealt.groupBy("band", "value", "chunk").agg(F.collect_list(member).alias("rows"), F.max("left").alias("open"))
+    )
+    one = chunks.where("open").select("band", "value", F.col("chunk").alias("c1"), F.col("rows").alias("r1"))
+    two = chunks.select("band", "value", F.col("chunk").alias("c2"), F.col("rows").alias("r2"), F.col("open").alias("o2"))
+    pairs = one.join(two, ["band", "value"]).where("c1 <= c2 OR NOT o2").select("c1", "c2", "r1", "r2")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for c1, c2, r1, r2 in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                for x, y in _joining(r1, r2, c1 == c2):
+                    a.append(x)
+                    b.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(a, type=pa.binary()), pa.array(b, type=pa.binary())], ["a", "b"])
+
+    return pairs.mapInArrow(run, "a binary, b binary").distinct()
+
+
+def _joining(one: list[dict], two: list[dict], same: bool) -> Iterator[tuple[bytes, bytes]]:
+    first, second = (np.array([r["samples"] for r in rows], dtype=np.int64) for rows in (one, two))
+    agree = np.zeros((len(one), len(two)), dtype=np.int16)
+    for k in range(first.shape[1]):
+        agree += first[:, k, None] == second[None, :, k]
+    left1, left2 = (np.array([r["left"] for r in rows]) for rows in (one, two))
+    agree[~(left1[:, None] | left2[None, :])] = 0
+    if same:
+        agree[np.tril_indices(len(one))] = 0
+    i, j = np.nonzero(agree >= LEAST * first.shape[1])
+    parent: dict[bytes, bytes] = {}
+
+    def find(x: bytes) -> bytes:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    had: Counter = Counter()
+    for at in np.argsort(-agree[i, j], kind="stable"):
+        x, y = one[i[at]], two[j[at]]
+        groups = find(x["root"]), find(y["root"])
+        few = any(r["left"] and had[r["key"]] < 2 for r in (x, y))
+        if x["root"] != y["root"] and (groups[0] != groups[1] or few):
+            parent[groups[0]] = groups[1]
+            had[x["key"]] += 1
+            had[y["key"]] += 1
+            yield x["key"], y["key"]
+
+
 def linked_roots(signed: DataFrame, shared: DataFrame, vector: DataFrame, threshold: float) -> DataFrame:
     """node and root of every class that is linked, over verified links between classes that share a band."""
     score = shared.groupBy("key").agg(F.sum("c").alias("score"))
     waiting = cut_lineage(shared.drop("c").join(score, "key"))
-    found, roots, level = None, None, 0
-    while True:
-        # The member with the highest score; of equals the smallest key.
-        heart = F.min_by("key", F.struct((-F.col("score")).alias("s"), F.col("key"))).alias("a")
-        hearts = waiting.groupBy("band", "value").agg(heart, F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-        met = cut_lineage(waiting.join(hearts, ["band", "value"]).where(F.col("key") != F.col("a")).withColumnRenamed("key", "b"))
-        # Written first: few pairs are then broadcast by their size, and the vectors stay where they are.
-        pairs = written(met.select("a", "b").distinct(), "pairs")
-        told = cut_lineage(verified(pairs, vector, threshold))
-        good = told.where("linked").select("a", "b")
-        found = good if found is None else found.unionByName(good)
-        roots = components(found)
-        # What has come to the heart's group in any bucket is done.
-        there = roots.withColumnsRenamed({"node": "a", "root": "_to"})
-        here = roots.withColumnsRenamed({"node": "b", "root": "_from"})
-        known = met.join(told, ["a", "b"]).join(there, "a", "left").join(here, "b", "left")
-        apart = ~F.coalesce("_to", "a").eqNullSafe(F.coalesce("_from", "b"))
-        left = cut_lineage(known.where(apart).select("band", "value", F.col("b").alias("key"), "score"))
-        if left.isEmpty():
-            return roots
-        level += 1
-        if level <= LEVELS:
-            best = F.min_by(F.struct(F.col("b").alias("key"), "score"), F.struct((-F.col("score")).alias("s"), F.col("b"))).alias("best")
-            second = known.where(~apart).join(left.select("band", "value").distinct(), ["band", "value"], "left_semi")
-            second = second.groupBy("band", "value").agg(best).select("band", "value", "best.key", "best.score")
-            left = _crowded(finer(left.unionByName(second), signed, level).distinct()).drop("c")
-        waiting = cut_lineage(left)
+    # The member with the highest score; of equals the smallest key.
+    heart = F.min_by("key", F.struct((-F.col("score")).alias("s"), F.col("key"))).alias("heart")
+    hearts = waiting.groupBy("band", "value").agg(heart)
+    met = cut_lineage(waiting.drop("score").join(hearts, ["band", "value"]))
+    star = met.where(F.col("key") != F.col("heart")).select(F.col("heart").alias("a"), F.col("key").alias("b")).distinct()
+    found = cut_lineage(verified(written(star, "pairs"), vector, threshold).where("linked").select("a", "b"))
+    roots = components(found)
+
+    # Members that no bucket has brought to the group of its heart, with all of that bucket.
+    there = roots.withColumnsRenamed({"node": "heart", "root": "_to"})
+    here = roots.withColumnsRenamed({"node": "key", "root": "_from"})
+    grouped = met.join(there, "heart", "left").join(here, "key", "left").select(
+        "band", "value", "key", F.coalesce("_from", "key").alias("root"), F.coalesce("_to", "heart").alias("_heart")
+    )
+    told = cut_lineage(grouped.withColumn("left", F.col("root") != F.col("_heart")).drop("_heart"))
+    still = told.where("left").select("band", "value").distinct()
+    rest = told.join(still, ["band", "value"], "left_semi").join(signed.select("key", "samples"), "key")
+    more = verified(written(best_partners(rest), "pairs"), vector, threshold).where("linked").select("a", "b")
+    return components(found.unionByName(more))
 
 
 def class_ids(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
