@@ -6,6 +6,10 @@ from histmetrics.demo import frames
 from histmetrics.demo.registry import query
 from histmetrics.extract import classes, complexity, references
 from histmetrics.operators import graph
+from histmetrics.plans.analysis import analyze_files
+from histmetrics.session import scratch_path
+from histmetrics.sources.store import HistoryStore
+from histmetrics.streaming.incremental import analyze_pending
 
 _PATH = """concat_ws('_', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT),
     CAST(round(l_extendedprice * 100) AS BIGINT))"""
@@ -174,3 +178,41 @@ def _(spark, sf):
     fields = graph.model_fields(classes.own_fields(facts), classes.class_models(facts))
     uses = facts.where(F.col("fact").isin("call", "access"))
     return classes.resolve_chains(uses, fields).groupBy("version_id", "model", "member").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- files to stored history -----------------------------------------------------------------
+
+
+@query(
+    "analyze_files",
+    f"""SELECT version_id, files, modules, coalesce(edges, 0) AS edges, coalesce(points, 0) AS points, coalesce(failed, 0) AS failed FROM
+        (SELECT version_id, count(DISTINCT source || '/' || file_path) AS files, count(DISTINCT source) AS modules,
+           CAST(count(*) FILTER (broken) AS BIGINT) AS failed FROM {_XML} GROUP BY ALL)
+        LEFT JOIN (SELECT version_id, count(DISTINCT source || ' ' || target) AS edges, count(DISTINCT source || ' ' || target || ' ' || kind) AS points FROM (
+          SELECT version_id, source, target, unnest(['xml_percent_ref', 'security_ir_rule_model_ref', 'security_ir_rule_ref', 'xml_inherit_id',
+            CASE WHEN l_linestatus = 'F' THEN 'security_xml_ref' ELSE 'xml_ref' END]) AS kind FROM {_XML} WHERE NOT broken
+          UNION ALL SELECT version_id, source, target, 'xml_percent_ref' FROM {_XML} WHERE broken) f
+          WHERE source <> target AND EXISTS (SELECT 1 FROM {_XML} m WHERE m.version_id = f.version_id AND m.source = f.target)
+          GROUP BY ALL) USING (version_id)""",
+)
+def _(spark, sf):
+    """XML files of all versions, analysed and stored as new versions; counted from the store."""
+    store = HistoryStore(spark, scratch_path(spark, "analysis"))
+    files = frames.xml_files(spark, sf)
+
+    def measure(wanted):
+        return analyze_files(files.join(wanted.select("version_id"), "version_id", "left_semi"))
+
+    analyze_pending(store, frames.versions(spark, sf), measure)
+
+    def tally(table, *aggregates):
+        return store.read(table).groupBy("version_id").agg(*aggregates)
+
+    out = tally("file_metric", F.count(F.lit(1)).alias("files"))
+    for part in (
+        tally("module_aggregate", F.count(F.lit(1)).alias("modules")),
+        tally("coupling_edge", F.count(F.lit(1)).alias("edges"), F.sum("kind_occurrence_count").alias("points")),
+        tally("failure", F.count(F.lit(1)).alias("failed")),
+    ):
+        out = out.join(part, "version_id", "left")
+    return out.na.fill(0)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from histmetrics.extract import classes, complexity, references
+from histmetrics.plans.analysis import analyze_files
 
 FILES = "version_id string, module string, relative_path string, content string"
 
@@ -244,3 +245,22 @@ def test_copied_class_files_count_each_time(spark, rows):
     counts = classes.python_links(given, known).groupBy("kind").agg(F.sum("n").alias("n"))
     told = classes.python_links(given, known, evidence=True).groupBy("kind").agg(F.count("*").alias("n"))
     assert rows(counts, "kind", "n") == rows(told, "kind", "n")
+
+
+def test_two_modules_from_files_to_tables(spark, rows):
+    manifest = "{'name': 'x', 'depends': ['base', 'gone']}"
+    given = files(
+        spark, ("base", "__manifest__.py", "{'depends': []}"), ("base", "models/p.py", BASE),
+        ("sale", "__manifest__.py", manifest), ("sale", "models/s.py", SALE), ("sale", "security/r.xml", XML), ("sale", "models/bad.py", "def ("),
+    )
+    tables, failed = analyze_files(given)
+    assert rows(tables["module_aggregate"], "module", "manifest_depends") == [("base", []), ("sale", ["base"])]
+    edge = tables["coupling_edge"].collect()
+    assert [(e["source"], e["target"]) for e in edge] == [("sale", "base")]
+    assert set(edge[0]["kinds"]) == {
+        "manifest_depends", "security_ir_rule_model_ref", "security_ir_rule_ref", "security_xml_ref", "xml_inherit_id"
+    }
+    assert rows(failed, "file_path") == [("sale/models/bad.py",)]
+    assert tables["file_metric"].where("relative_path = 'models/p.py'").first()["line_counts"]["lines"] == BASE.count("\n")
+    more, _ = analyze_files(given, python_links=True)
+    assert "python__inherit" in more["coupling_edge"].first()["kinds"]
