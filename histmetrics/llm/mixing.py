@@ -26,6 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from histmetrics.llm.common import written
 from histmetrics.operators.ordering import global_position
 from histmetrics.session import cut_lineage
 
@@ -128,14 +129,17 @@ def schedule(targets: DataFrame, block: int) -> DataFrame:
 def mix(documents: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, size, source_size, target, taken, and the words taken in the first and second pass, per document.
 
-    All columns of ``documents`` are kept in the struct ``row``.
+    All columns of ``documents`` are kept in the struct ``row``. Rows are numbered
+    in a table first, so that their texts cross the network once, by number.
     """
     body = F.struct(*[F.col(f"`{c}`").alias(c) for c in documents.columns]).alias("row")
-    return _mix(documents.select(body, "doc_id", "source", n_words("text").alias("size")), block)
+    numbered = documents.select(body, F.monotonically_increasing_id().alias("number"), "doc_id", "source", n_words("text").alias("size"))
+    numbered = written(numbered, "numbered")
+    return _mix(numbered.drop("row"), block).join(numbered.select("number", "row"), "number").drop("number")
 
 
 def _mix(sized: DataFrame, block: int) -> DataFrame:
-    narrow = cut_lineage(sized.drop("row")) if "row" not in sized.columns else sized
+    narrow = cut_lineage(sized)
     sums = narrow.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("_n"))
     sums = cut_lineage(sums)
     count = sums.agg(F.sum("_n").alias("n")).first()["n"] or 0
@@ -153,8 +157,8 @@ def _mix(sized: DataFrame, block: int) -> DataFrame:
     joined = parts.join(slots, F.col("source").eqNullSafe(F.col("_source")) & (parts["rank"] == slots["rank"])).drop(slots["rank"])
     start = F.col("rank") * block
     overlap = F.least(F.col("_begin") + F.col("size"), start + F.col("words")) - F.greatest(F.col("_begin"), start)
-    keys = [c for c in ("row", "doc_id", "source", "begin", "size", "source_size", "target") if c in placed.columns]
-    narrow_keys = ["doc_id", "source", "begin", "size"]
+    keys = [c for c in ("number", "doc_id", "source", "begin", "size", "source_size", "target") if c in placed.columns]
+    narrow_keys = ["number"] if "number" in placed.columns else ["doc_id", "source", "begin", "size"]
     taken = joined.groupBy(*narrow_keys).agg(
         *[F.sum(F.when(F.col("pass") == k, F.greatest(overlap, F.lit(0))).otherwise(0)).alias(f"_pass{k}") for k in (0, 1)]
     )
