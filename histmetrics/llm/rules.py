@@ -32,10 +32,12 @@ TRAIN_ROWS, LEAST_ROWS = 3000, 20
 #: Share of good training documents that the verdict keeps at least.
 KEEP_GOOD = 0.998
 
+BLOCK = 100
+
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = (
     "log_words", "mean_word", "symbols_per_word", "dup_lines_per_line", "repeat_share",
-    "upper_share", "exclaims_per_word", "same_as_previous", "distinct_share", "pipes_per_word",
+    "upper_share", "exclaims_per_word", "same_as_previous", "distinct_in_block", "pipes_per_word",
 )
 #: 1: never lowers the score when it grows; -1: never raises it; 0: free.
 DIRECTION = (0, 0, -1, -1, -1, -1, -1, -1, 1, -1)
@@ -75,7 +77,8 @@ def base_statistics(body: bytes | None) -> tuple[tuple[int, ...], tuple[float, .
         (len(joined) - len(joined.translate(None, UPPER))) / some_chars,
         text.count(b"!") / some,
         sum(map(bytes.__eq__, words, words[1:])) / some,
-        len(set(words)) / some,
+        # Inside blocks, since the share of a whole text falls with its length.
+        sum(len(set(words[at : at + BLOCK])) for at in range(0, n, BLOCK)) / some,
         text.count(b"|") / some,
     )
     return (n, chars, symbols, repeated_lines, repeated), features
