@@ -3,8 +3,10 @@
 The kernel counts common subsequences of ``LENGTH`` characters of two strings; a
 subsequence weighs ``DECAY`` to the power of the characters it spans in either
 string, so letters that someone inserts into an insult cost a little and do not
-hide it. A sentence's kernel with a landmark is the best one of its tokens (words,
-and runs of single characters taken as one word), which tolerates gaps between letters.
+hide it. A token's kernel with a landmark is the best normal kernel of its windows
+that are up to ``GAP`` characters longer than the landmark, a sentence's is the best
+of its tokens (words, and runs of single characters taken as one word), which
+tolerates gaps between letters.
 
 Training on labelled sentences: sentences of a bounded sample of documents take
 their document's label. Landmarks are the character strings that toxic documents
@@ -40,7 +42,7 @@ from histmetrics.llm.common import annotate, dual_svm, fold, labelled, platt, si
 FOLDS, HELD_OUT = 4, 2
 #: Labelled documents of each class in the bounded training sample, and the fewest that suffice.
 TRAIN_ROWS, LEAST_ROWS = 1500, 20
-LENGTH, DECAY = 4, 0.6
+LENGTH, DECAY = 4, 0.7
 LANDMARKS, SHORTEST, LONGEST = 32, 4, 9
 #: A landmark is held by so many documents of the toxic sample and this share of it at least, and its odds are this high.
 LEAST_HELD, LEAST_SHARE, LEAST_ODDS = 9, 0.025, 20.0
@@ -48,8 +50,10 @@ LEAST_HELD, LEAST_SHARE, LEAST_ODDS = 9, 0.025, 20.0
 MINED = 1000
 #: Longer words count as pieces of this size, each overlapping the next by half.
 PIECE = 64
-#: Kernels (as a share of a landmark's own) below this count as zero.
-FLOOR = 0.5
+#: Kernels below this count as zero: as a share of a landmark's own, and normal ones.
+FLOOR, NORMAL_FLOOR = 0.5, 0.5
+#: Characters that may be inserted into a landmark.
+GAP = 3
 #: Sentences of a toxic document with a kernel this high are labelled too, so many of them at most.
 CLEAR, MORE = 0.9, 4
 #: Sentences of a clean document that count, those nearest to toxic ones.
@@ -80,13 +84,27 @@ def string_kernel(words: list[str], landmark: str) -> np.ndarray:
         return np.zeros(0)
     longest = max(map(len, words))
     codes = np.array([[ord(c) for c in w.ljust(longest, "\0")] for w in words], dtype=np.int64)
-    n, m = len(words), len(landmark)
-    target = [ord(c) for c in landmark]
+    return _kernel(codes, np.array([[ord(c) for c in landmark]], dtype=np.int64))
+
+
+def pair_kernel(words: list[str], others: list[str]) -> np.ndarray:
+    """The same of each word with its own other."""
+    if not words:
+        return np.zeros(0)
+    codes, target = (
+        np.array([[ord(c) for c in w] + [pad] * (max(map(len, of)) - len(w)) for w in of], dtype=np.int64)
+        for of, pad in ((words, -1), (others, -2))
+    )
+    return _kernel(codes, target)
+
+
+def _kernel(codes: np.ndarray, target: np.ndarray) -> np.ndarray:
+    (n, longest), m = codes.shape, target.shape[1]
     # tail[i][:, j]: subsequences of length i, decayed from their first character to the ends of both prefixes.
     tail = [np.ones((n, m + 1))] + [np.zeros((n, m + 1)) for _ in range(LENGTH - 1)]
     total = np.zeros(n)
     for at in range(longest):
-        equal = np.stack([codes[:, at] == t for t in target], axis=1)
+        equal = codes[:, at, None] == target
         total += DECAY * DECAY * (tail[LENGTH - 1][:, :m] * equal).sum(axis=1)
         for i in range(LENGTH - 1, 0, -1):
             gained, run = tail[i - 1], np.zeros(n)
@@ -133,7 +151,7 @@ class Model:
 
     def word_kernels(self, words: list[str]) -> dict[str, np.ndarray]:
         """Landmark kernels of those words that have any above the floor."""
-        found: dict[str, np.ndarray] = {}
+        near_words: list[tuple[str, int]] = []
         masks = np.array([letters(w) for w in words], dtype=np.uint64)
         lengths = np.array([len(w) for w in words])
         for k, landmark in enumerate(self.landmarks):
@@ -143,9 +161,31 @@ class Model:
             near = np.flatnonzero(shared >= least)
             for group in np.array_split(near[np.argsort(lengths[near], kind="stable")], len(near) // 2048 + 1):
                 chosen = [words[i] for i in group]
-                for word, value in zip(chosen, string_kernel(chosen, landmark) / self.own[k]):
-                    if value >= FLOOR:
-                        found.setdefault(word, np.zeros(len(self.landmarks)))[k] = min(value, 1.0)
+                value = string_kernel(chosen, landmark) / self.own[k]
+                near_words += [(word, k) for word, v in zip(chosen, value) if v >= FLOOR]
+        return self._normal(near_words)
+
+    def _normal(self, near: list[tuple[str, int]]) -> dict[str, np.ndarray]:
+        """Normal kernel of each word with a landmark: the best of the word's windows that are up to GAP longer."""
+        found: dict[str, np.ndarray] = {}
+        for begin in range(0, len(near), 1024):
+            owner, windows = [], []
+            for at, (word, k) in enumerate(near[begin : begin + 1024]):
+                size = len(self.landmarks[k])
+                for width in sorted({min(len(word), size + more) for more in range(GAP + 1)}):
+                    parts = [word[i : i + width] for i in range(len(word) - width + 1)]
+                    windows += parts
+                    owner += [at] * len(parts)
+            marks = [near[begin + at][1] for at in owner]
+            distinct = list(dict.fromkeys(windows))
+            own = dict(zip(distinct, pair_kernel(distinct, distinct)))
+            value = pair_kernel(windows, [self.landmarks[k] for k in marks])
+            scale = np.sqrt(np.array([own[w] for w in windows]) * self.own[marks])
+            normal = np.divide(value, scale, out=np.zeros(len(value)), where=scale > 0)
+            for at, k, v in zip(owner, marks, normal):
+                if v >= NORMAL_FLOOR:
+                    row = found.setdefault(near[begin + at][0], np.zeros(len(self.landmarks)))
+                    row[k] = max(row[k], v)
         return found
 
     def margins(self, kernels: np.ndarray) -> np.ndarray:
