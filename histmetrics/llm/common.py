@@ -40,16 +40,18 @@ def annotate(
     texts as bytes (None for null), one Arrow batch at a time.
     """
     names = list(keep if keep is not None else df.columns)
-    packed = df.select(
-        F.struct(*[F.col(f"`{c}`").alias(c) for c in names]).alias("row"), F.col(column).cast("binary").alias("body")
-    )
+    row = F.struct(*[F.col(f"`{c}`").alias(c) for c in names]).alias("row")
+    # A text that is kept anyway is read from the struct and not sent twice.
+    inside = column in names and df.schema[column].dataType == T.StringType()
+    packed = df.select(row) if inside else df.select(row, F.col(column).cast("binary").alias("body"))
     schema = T.StructType([packed.schema["row"], *fields])
     outputs, kinds = [f.name for f in fields], [to_arrow_type(f.dataType) for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                made = [pa.array(v, type=t) for v, t in zip(fn(batch.column(1).to_pylist()), kinds)]
+                texts = batch.column(0).field(column).cast(pa.binary()) if inside else batch.column(1)
+                made = [pa.array(v, type=t) for v, t in zip(fn(texts.to_pylist()), kinds)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["row", *outputs])
 
     return packed.mapInArrow(run, schema)

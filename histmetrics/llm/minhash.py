@@ -365,8 +365,8 @@ def best_partners(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
-            for c1, c2, r1, r2 in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                for x, y in _joining(r1, r2, c1 == c2):
+            for at, (c1, c2) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                for x, y in _joining(_chunk(batch.column(2), at), _chunk(batch.column(3), at), c1 == c2):
                     a.append(x)
                     b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, type=pa.binary()), pa.array(b, type=pa.binary())], ["a", "b"])
@@ -374,15 +374,23 @@ def best_partners(rows: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "a binary, b binary").distinct()
 
 
-def _joining(one: list[dict], two: list[dict], same: bool) -> Iterator[tuple[bytes, bytes]]:
-    first, second = (np.array([r["samples"] for r in rows], dtype=np.int64) for rows in (one, two))
-    agree = np.zeros((len(one), len(two)), dtype=np.int16)
+def _chunk(column: pa.ListArray, at: int) -> tuple[list[bytes], list[bytes], np.ndarray, np.ndarray]:
+    """Keys, roots, left marks and samples of one chunk; samples stay packed."""
+    begin, end = column.offsets[at].as_py(), column.offsets[at + 1].as_py()
+    keys, roots, left, samples = (column.values.field(k) for k in ("key", "root", "left", "samples"))
+    flat = samples.values.to_numpy()[begin * BANDS * ROWS : end * BANDS * ROWS]
+    marks = left[begin:end].to_numpy(zero_copy_only=False)
+    return keys[begin:end].to_pylist(), roots[begin:end].to_pylist(), marks, flat.reshape(-1, BANDS * ROWS)
+
+
+def _joining(one: tuple, two: tuple, same: bool) -> Iterator[tuple[bytes, bytes]]:
+    (keys1, roots1, left1, first), (keys2, roots2, left2, second) = one, two
+    agree = np.zeros((len(keys1), len(keys2)), dtype=np.int16)
     for k in range(first.shape[1]):
         agree += first[:, k, None] == second[None, :, k]
-    left1, left2 = (np.array([r["left"] for r in rows]) for rows in (one, two))
     agree[~(left1[:, None] | left2[None, :])] = 0
     if same:
-        agree[np.tril_indices(len(one))] = 0
+        agree[np.tril_indices(len(keys1))] = 0
     i, j = np.nonzero(agree >= LEAST * first.shape[1])
     parent: dict[bytes, bytes] = {}
 
@@ -394,14 +402,14 @@ def _joining(one: list[dict], two: list[dict], same: bool) -> Iterator[tuple[byt
 
     had: Counter = Counter()
     for at in np.argsort(-agree[i, j], kind="stable"):
-        x, y = one[i[at]], two[j[at]]
-        groups = find(x["root"]), find(y["root"])
-        few = any(r["left"] and had[r["key"]] < 2 for r in (x, y))
-        if x["root"] != y["root"] and (groups[0] != groups[1] or few):
+        x, y, root1, root2 = keys1[i[at]], keys2[j[at]], roots1[i[at]], roots2[j[at]]
+        groups = find(root1), find(root2)
+        few = (left1[i[at]] and had[x] < 2) or (left2[j[at]] and had[y] < 2)
+        if root1 != root2 and (groups[0] != groups[1] or few):
             parent[groups[0]] = groups[1]
-            had[x["key"]] += 1
-            had[y["key"]] += 1
-            yield x["key"], y["key"]
+            had[x] += 1
+            had[y] += 1
+            yield x, y
 
 
 def linked_roots(signed: DataFrame, shared: DataFrame, vector: DataFrame, threshold: float) -> DataFrame:
