@@ -91,11 +91,12 @@ def pair_kernel(words: list[str], others: list[str]) -> np.ndarray:
     """The same of each word with its own other."""
     if not words:
         return np.zeros(0)
-    codes, target = (
-        np.array([[ord(c) for c in w] + [pad] * (max(map(len, of)) - len(w)) for w in of], dtype=np.int64)
-        for of, pad in ((words, -1), (others, -2))
-    )
-    return _kernel(codes, target)
+
+    def padded(of: list[str], pad: int) -> np.ndarray:
+        width = max(map(len, of))
+        return np.array([[ord(c) for c in w] + [pad] * (width - len(w)) for w in of], dtype=np.int64)
+
+    return _kernel(padded(words, -1), padded(others, -2))
 
 
 def _kernel(codes: np.ndarray, target: np.ndarray) -> np.ndarray:
