@@ -12,7 +12,8 @@ whose weighted Jaccard similarity is at least ``THRESHOLD`` are linked.
 A band's bucket never emits its pairs. Its members are held against the one that
 shares the most buckets, the heart of a group of copies. Members that have not come
 to its group through any bucket are then compared with all members of theirs by
-their samples, in blocks, and the pairs that agree most and join most are verified.
+their samples, in blocks, and every pair that agrees in ``LEAST`` of them is verified
+inside its block unless verified links already join it.
 
 Counting goes through ``exchange``: batches of classes send distinct hashes to
 buckets and get counts back, so no job has a row per shingle.
@@ -24,7 +25,6 @@ empty table gives an empty result. Whole texts are read.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,6 +56,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 10, 3
 #: Members of a block, and the share of samples that a pair in a block has to agree in.
 CHUNK, LEAST = 512, 0.5
+#: Shingles of a chunk's members together, so that long texts make smaller chunks.
+WIDE = 1 << 22
 TABLE_BITS = 16
 #: Texts are hashed together up to this many bytes (a longer one alone).
 TOGETHER = 1 << 20
@@ -248,11 +250,11 @@ def weighed(left: pa.Table, right: pa.Table, count: int, documents: int):
 
 
 def signatures(batched: DataFrame, answers: DataFrame, count: int, documents: int, kind: str) -> DataFrame:
-    """key, first_id, n, band keys and samples of every class."""
+    """key, first_id, n, number of distinct shingles, band keys and samples of every class."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return pa.table({"key": pa.array([], pa.binary()), "first_id": pa.array([], left["first_id"].type), "n": pa.array([], pa.int64()), "bands": pa.array([], pa.list_(pa.int64())), "samples": pa.array([], pa.list_(pa.int64()))})
+            return pa.table({"key": pa.array([], pa.binary()), "first_id": pa.array([], left["first_id"].type), "n": pa.array([], pa.int64()), "size": pa.array([], pa.int64()), "bands": pa.array([], pa.list_(pa.int64())), "samples": pa.array([], pa.list_(pa.int64()))})
         keys, first, n, hashes, weights, begins = weighed(left, right, count, documents)
         sampled = samples(hashes, weights, begins)
         bands = band_keys(sampled).view(np.int64)
@@ -261,13 +263,14 @@ def signatures(batched: DataFrame, answers: DataFrame, count: int, documents: in
                 "key": pa.array(keys, type=pa.binary()),
                 "first_id": pa.array(first, type=left["first_id"].type),
                 "n": pa.array(n, type=pa.int64()),
+                "size": pa.array(np.diff(begins), type=pa.int64()),
                 "bands": pa.array(list(bands), type=pa.list_(pa.int64())),
                 "samples": pa.array(list(sampled.view(np.int64)), type=pa.list_(pa.int64())),
             }
         )
 
     return batched.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(
-        run, f"key binary, first_id {kind}, n long, bands array<long>, samples array<long>"
+        run, f"key binary, first_id {kind}, n long, size long, bands array<long>, samples array<long>"
     )
 
 
@@ -342,17 +345,16 @@ def band_members(signed: DataFrame) -> DataFrame:
     return cut_lineage(_crowded(signed.select("key", F.posexplode("bands").alias("band", "value"))))
 
 
-def best_partners(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) by which the members that are left may come to a group of their bucket.
+def close_blocks(rows: DataFrame) -> DataFrame:
+    """Members of pairs of chunks that have a pair to verify, with the number of their chunk's side.
 
-    ``rows``: band, value, key, root, left, samples of whole buckets. Members are
-    dealt by hash into chunks of about CHUNK, and a chunk with members that are
-    left meets every chunk of its bucket. Of the pairs that agree in LEAST of their
-    samples, those that join most come out: the ones that agree most first, if they
-    join two groups or a member has had fewer than two.
+    ``rows``: band, value, key, root, left, size, samples of whole buckets. Members
+    are dealt by hash into chunks of about CHUNK members and WIDE shingles, and a
+    chunk with members that are left meets every chunk of its bucket. Only members
+    that have a partner in the other chunk come out (see ``_close``).
     """
-    sizes = rows.groupBy("band", "value").agg(F.count(F.lit(1)).alias("_size"))
-    dealt = rows.join(sizes, ["band", "value"]).withColumn("chunk", F.pmod(F.xxhash64("key"), F.ceil(F.col("_size") / CHUNK)).cast("int"))
+    sizes = rows.groupBy("band", "value").agg(F.greatest(F.count(F.lit(1)) / CHUNK, F.sum("size") / WIDE).alias("_size"))
+    dealt = rows.join(sizes, ["band", "value"]).withColumn("chunk", F.pmod(F.xxhash64("key"), F.ceil("_size")).cast("int"))
     # A chunk holds about CHUNK members by the hash, whatever the bucket's size.
     member = F.struct("key", "root", "left", "samples")
     chunks = cut_lineage(
@@ -360,18 +362,48 @@ def best_partners(rows: DataFrame) -> DataFrame:
     )
     one = chunks.where("open").select("band", "value", F.col("chunk").alias("c1"), F.col("rows").alias("r1"))
     two = chunks.select("band", "value", F.col("chunk").alias("c2"), F.col("rows").alias("r2"), F.col("open").alias("o2"))
-    pairs = one.join(two, ["band", "value"]).where("c1 <= c2 OR NOT o2").select("c1", "c2", "r1", "r2")
+    pairs = one.join(two, ["band", "value"]).where("c1 <= c2 OR NOT o2").select("band", "value", "c1", "c2", "r1", "r2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
-            for at, (c1, c2) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                for x, y in _joining(_chunk(batch.column(2), at), _chunk(batch.column(3), at), c1 == c2):
-                    a.append(x)
-                    b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(a, type=pa.binary()), pa.array(b, type=pa.binary())], ["a", "b"])
-
-    return pairs.mapInArrow(run, "a binary, b binary").distinct()
+            for at, (band, value, c1, c2) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)))):
+                one, two = _chunk(batch.column(4), at), _chunk(batch.column(5), at)
+                close = _close(one, two, band, c1 == c2)
+                if not close.any():
+                    continue
+                keys, roots, sides, taken = [], [], [], []
+                for side, (part, held) in enumerate(((one, close.any(axis=1)), (two, close.any(axis=0)))):
+                    rows = np.flatnonzero(held)
+                    keys += [part[0][i] for i in rows]
+                    roots += [part[1][i] for i in rows]
+                    sides += [side] * len(rows)
+                    taken.append(part[3][rows])
+                flat = np.concatenate(taken)
+                kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32())
+                block = [pa.array([v] * len(keys), type=t) for v, t in zip((band, value, c1, c2), kinds)]
+                yield pa.RecordBatch.from_arrays(
+                    [*block, pa.array(sides, type=pa.int32()), pa.array(keys, type=pa.binary()), pa.array(roots, type=pa.binary()), pa.array(list(flat), type=pa.list_(pa.int64()))],
+                    ["band", "value", "c1", "c2", "side", "key", "root", "samples"],
+                )
+
+    return pairs.mapInArrow(run, "band int, value long, c1 int, c2 int, side int, key binary, root binary, samples array<long>")
+
+
+def close_links(blocks: DataFrame, vector: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b): of each block's pairs the similar ones that join groups; every pair is verified or joined already."""
+
+    def run(table: pa.Table) -> pa.Table:
+        side = table["side"].to_numpy()
+        parts = []
+        for number in (0, 1):
+            rows = table.filter(pa.array(side == number)).combine_chunks()
+            flat = rows["samples"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS * ROWS)
+            parts.append((rows["key"].to_pylist(), rows["root"].to_pylist(), flat, rows["vector"].to_pylist()))
+        band, same = table["band"][0].as_py(), table["c1"][0].as_py() == table["c2"][0].as_py()
+        found = list(_joining(*parts, band, same, threshold))
+        return pa.table({"a": pa.array([x for x, _ in found], type=pa.binary()), "b": pa.array([y for _, y in found], type=pa.binary())})
+
+    return blocks.join(vector, "key").groupBy("band", "value", "c1", "c2").applyInArrow(run, "a binary, b binary")
 
 
 def _chunk(column: pa.ListArray, at: int) -> tuple[list[bytes], list[bytes], np.ndarray, np.ndarray]:
@@ -383,15 +415,40 @@ def _chunk(column: pa.ListArray, at: int) -> tuple[list[bytes], list[bytes], np.
     return keys[begin:end].to_pylist(), roots[begin:end].to_pylist(), marks, flat.reshape(-1, BANDS * ROWS)
 
 
-def _joining(one: tuple, two: tuple, same: bool) -> Iterator[tuple[bytes, bytes]]:
-    (keys1, roots1, left1, first), (keys2, roots2, left2, second) = one, two
-    agree = np.zeros((len(keys1), len(keys2)), dtype=np.int16)
+def _agreeing(first: np.ndarray, second: np.ndarray, band: int) -> np.ndarray:
+    """Pairs that agree in LEAST of their samples and share no band before this one (there they meet already)."""
+    agree = np.zeros((len(first), len(second)), dtype=np.int16)
     for k in range(first.shape[1]):
         agree += first[:, k, None] == second[None, :, k]
-    agree[~(left1[:, None] | left2[None, :])] = 0
+    found = agree >= LEAST * first.shape[1]
+    for earlier in range(band):
+        shared = np.ones(found.shape, dtype=bool)
+        for k in range(earlier * ROWS, earlier * ROWS + ROWS):
+            shared &= first[:, k, None] == second[None, :, k]
+        found &= ~shared
+    return found
+
+
+def _close(one: tuple, two: tuple, band: int, same: bool) -> np.ndarray:
+    """Pairs of two chunks that have to be verified: they agree enough and are in different groups."""
+    (_, roots1, _, first), (_, roots2, _, second) = one, two
+    found = _agreeing(first, second, band)
+    number = {r: k for k, r in enumerate({*roots1, *roots2})}
+    found &= np.array([number[r] for r in roots1])[:, None] != np.array([number[r] for r in roots2])[None, :]
+    if same:
+        found[np.tril_indices(len(roots1))] = False
+    return found
+
+
+def _joining(one: tuple, two: tuple, band: int, same: bool, threshold: float) -> Iterator[tuple[bytes, bytes]]:
+    """Similar pairs of two parts (keys, roots, samples, vectors) that join groups; only similar pairs make one group of two."""
+    (keys1, roots1, first, packed1), (keys2, roots2, second, packed2) = one, two
+    unpress = zstandard.ZstdDecompressor().decompress
+    left, right = [unpack_vector(v, unpress) for v in packed1], [unpack_vector(v, unpress) for v in packed2]
+    found = _agreeing(first, second, band)
     if same:
-        agree[np.tril_indices(len(keys1))] = 0
-    i, j = np.nonzero(agree >= LEAST * first.shape[1])
+        # Both sides are of one chunk: pairs are met once, by their keys.
+        found &= np.array([[x < y for y in keys2] for x in keys1], dtype=bool).reshape(found.shape)
     parent: dict[bytes, bytes] = {}
 
     def find(x: bytes) -> bytes:
@@ -400,16 +457,28 @@ def _joining(one: tuple, two: tuple, same: bool) -> Iterator[tuple[bytes, bytes]
             x = parent[x]
         return x
 
-    had: Counter = Counter()
-    for at in np.argsort(-agree[i, j], kind="stable"):
-        x, y, root1, root2 = keys1[i[at]], keys2[j[at]], roots1[i[at]], roots2[j[at]]
-        groups = find(root1), find(root2)
-        few = (left1[i[at]] and had[x] < 2) or (left2[j[at]] and had[y] < 2)
-        if root1 != root2 and (groups[0] != groups[1] or few):
-            parent[groups[0]] = groups[1]
-            had[x] += 1
-            had[y] += 1
-            yield x, y
+    names, place = np.unique(np.concatenate([h for h, _ in right]), return_inverse=True)
+    weights, totals = np.concatenate([w for _, w in right]), np.array([w.sum() for _, w in right])
+    begins = np.cumsum([0] + [len(h) for h, _ in right])
+    dense = np.zeros(len(names))
+    for i, (hashes, own) in enumerate(left):
+        mine = find(roots1[i])
+        open_to = [j for j in np.flatnonzero(found[i]) if find(roots2[j]) != mine]
+        if not open_to:
+            continue
+        at = np.minimum(np.searchsorted(names, hashes), len(names) - 1)
+        known = names[at] == hashes
+        dense[at[known]] = own[known]
+        for j in open_to:
+            low, high = begins[j], begins[j + 1]
+            shared = np.minimum(dense[place[low:high]], weights[low:high]).sum()
+            # A cheap bound first; the pair itself is decided by ``similarity``.
+            if shared < (threshold - 1e-6) * (own.sum() + totals[j] - shared) or find(roots1[i]) == find(roots2[j]):
+                continue
+            if similarity(left[i], right[j]) >= threshold:
+                parent[find(roots1[i])] = find(roots2[j])
+                yield keys1[i], keys2[j]
+        dense[at[known]] = 0
 
 
 def linked_roots(signed: DataFrame, shared: DataFrame, vector: DataFrame, threshold: float) -> DataFrame:
@@ -432,8 +501,8 @@ def linked_roots(signed: DataFrame, shared: DataFrame, vector: DataFrame, thresh
     )
     told = cut_lineage(grouped.withColumn("left", F.col("root") != F.col("_heart")).drop("_heart"))
     still = told.where("left").select("band", "value").distinct()
-    rest = told.join(still, ["band", "value"], "left_semi").join(signed.select("key", "samples"), "key")
-    more = verified(written(best_partners(rest), "pairs"), vector, threshold).where("linked").select("a", "b")
+    rest = told.join(still, ["band", "value"], "left_semi").join(signed.select("key", "size", "samples"), "key")
+    more = close_links(written(close_blocks(rest), "blocks"), vector, threshold)
     return components(found.unionByName(more))
 
 

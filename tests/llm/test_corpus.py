@@ -88,6 +88,30 @@ def test_dissimilar_members_of_a_bucket_meet(spark):
     assert got == roots(range(31), weighted_links(rows, 0.8))
 
 
+def test_pairs_just_over_the_threshold_are_found_among_template_mates(spark):
+    # Hundreds of texts on one template, below 0.8 to each other, and pairs just over it.
+    rng = random.Random(21)
+    template = words(rng, 400)
+    rows = []
+
+    def filled(number, base):
+        text = list(base)
+        for k in range(number):
+            at = rng.randrange(len(text) - 12)
+            text[at : at + 2] = words(rng, 2)
+        return text
+
+    for _ in range(300):
+        rows.append(filled(5, template))
+    for k in range(30):
+        rows.append(filled(6, rows[k]))
+    rows = [(i, " ".join(t), "s") for i, t in enumerate(rows)]
+    want = roots(range(len(rows)), weighted_links(rows, 0.8))
+    assert 25 < sum(want[i] != i for i in want) < 100
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == want
+
+
 def test_sampling_estimates_weighted_similarity():
     rng = np.random.default_rng(9)
     hashes = rng.integers(0, 2**63, 400).astype(np.uint64)
