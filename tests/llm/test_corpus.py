@@ -306,6 +306,31 @@ def test_vectors_match_brute_force(spark):
     assert got[None]["n_links"] == 0 and links and not seen
 
 
+def test_dense_label_loses_no_pair(spark):
+    # All of a label lie close together, below the threshold; planted pairs are just over it.
+    rng = np.random.default_rng(22)
+    base = rng.normal(size=64)
+    base /= np.linalg.norm(base)
+
+    def near(x, cosine, n):
+        side = rng.normal(size=(n, 64))
+        side -= (side * x).sum(axis=-1, keepdims=True) * x
+        side /= np.linalg.norm(side, axis=1, keepdims=True)
+        return cosine * x + math.sqrt(1 - cosine**2) * side
+
+    some = near(base, 0.95**0.5, 5000)
+    x = np.concatenate([some, near(some[:150], 0.981, 150)]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: r for r in vectors.near_vectors(df).collect()}
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    linked = y @ y.T >= 0.98
+    np.fill_diagonal(linked, False)
+    assert 250 < linked.sum() < 3000
+    want = roots(range(len(x)), list(zip(*(k.tolist() for k in np.nonzero(linked)))))
+    for i, root in want.items():
+        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (linked[i].sum(), root, root == i), i
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body>
 <header class="top"><p>%s</p></header><nav><ul><li><a href="/a">menu entry</a></li></ul></nav>
 <div id="cookie-notice">We store things</div><div class="sidebar-3"><p>%s</p></div>
