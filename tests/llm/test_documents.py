@@ -184,6 +184,21 @@ def test_secrets_are_redacted(spark):
     assert got[2]["text"] is None and got[3]["text"] == "clean"
 
 
+def test_rest_of_a_longer_secret_is_found():
+    key = b"Zq" + b"0123456789abcdef01234567" + b"XyWvUt"
+    assert secret_scan.scan([b"a " + key + b" b"], None) == [[(2, 34, "model"), (4, 28, "hex")]]
+
+
+def test_calibrated_cut_is_kept():
+    rng = random.Random(6)
+    # Classes that overlap: the cut that keeps the recall is below one half.
+    tokens = ["".join(rng.choices("0123456789abcdef", k=32)).encode() for _ in range(600)]
+    windows = [secret_scan.windows_of(b" " * 16 + x, (16, 48, 3))[0] for x in tokens]
+    y = np.array([int(rng.random() < 0.3) for _ in windows])
+    network = secret_scan.train(windows, y)
+    assert 0 < network.cut < 0.5
+
+
 def test_network_learns_shapes():
     rng = random.Random(4)
     hexes = [("".join(rng.choices("0123456789abcdef", k=32))).encode() for _ in range(200)]
