@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from histmetrics.llm import html_text, minhash, mixing, packing, quality, rules, secret_scan, suffixes, toxicity, vectors
+from histmetrics.llm import chat, html_text, minhash, mixing, packing, quality, rules, secret_scan, suffixes, toxicity, vectors
 from histmetrics.llm.common import table
 
 QUERIES = {
@@ -20,6 +20,7 @@ QUERIES = {
     "op8_html_extraction": lambda spark, sf: html_text.extract_pages(table(spark, sf, "pages")),
     "op9_secret_scans": lambda spark, sf: secret_scan.scan_documents(table(spark, sf, "documents")),
     "op10_quality_rules": lambda spark, sf: rules.quality_rules(table(spark, sf, "documents"), table(spark, sf, "labels")),
+    "op11_chat_formatting": lambda spark, sf: chat.format_digests(table(spark, sf, "conversations")),
 }
 
-ORACLE = {"op3_mix_sources": mixing.SQL}
+ORACLE = {"op3_mix_sources": mixing.SQL, "op11_chat_formatting": chat.SQL}
