@@ -60,3 +60,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(scratch_root(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def remove_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a folder made by :func:`scratch_path` that nothing reads any more, wherever it is."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
