@@ -15,8 +15,8 @@ of them, a number that no input changes, come to the driver and go out with the
 job. The state is a table in the shared folder, so a lost executor costs a re-read;
 the state before is removed once the next one is there.
 
-Defined results: vectors that are null, or hold null or non-finite components, are
-dropped. Rows with a null vec_id are coded but begin no codebook (where no id is known,
+Defined results: vectors that are null or empty, or hold null or non-finite components,
+are dropped. Rows with a null vec_id are coded but begin no codebook (where no id is known,
 there are no codes and the result is empty); repeated rows are
 vectors of their own; fewer than ``ENTRIES`` vectors make shorter codebooks; equal
 labels include null ones; an empty table gives an empty result. All vectors must be
@@ -45,7 +45,7 @@ EXACT = 2**53
 
 
 def usable(vectors: pa.ListArray) -> np.ndarray:
-    """Which vectors are there and hold finite components only."""
+    """Which vectors are there, not empty, and hold finite components only."""
     good = np.array(vectors.is_valid().to_pylist(), dtype=bool)
     offsets = vectors.offsets.to_numpy()
     flat = vectors.values
@@ -53,7 +53,7 @@ def usable(vectors: pa.ListArray) -> np.ndarray:
     if flat.null_count:
         bad |= np.array(flat.is_null().to_pylist(), dtype=bool)
     upto = np.concatenate([[0], np.cumsum(bad)])
-    return good & (upto[offsets[1:]] == upto[offsets[:-1]])
+    return good & (upto[offsets[1:]] == upto[offsets[:-1]]) & (offsets[1:] > offsets[:-1])
 
 
 def scaled(vectors: pa.ListArray, good: np.ndarray, scale: int, largest: int = LARGEST) -> np.ndarray:
@@ -234,7 +234,7 @@ def sums_of(spark: SparkSession, path: str, width: int) -> dict[tuple[int, int],
 def clean(embeddings: DataFrame) -> DataFrame:
     """vec_id, label and embedding of the vectors that take part."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return embeddings.select("vec_id", "label", "embedding").where(F.col("embedding").isNotNull() & finite)
+    return embeddings.select("vec_id", "label", "embedding").where((F.size("embedding") > 0) & finite)
 
 
 def starting_books(embeddings: DataFrame) -> Books | None:
@@ -307,7 +307,7 @@ def sql(rounds: int = ROUNDS) -> str:
     steps = [
         f"""kept AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v,
              row_number() OVER () AS r FROM embeddings
-             WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+             WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
         f"""parts AS MATERIALIZED (SELECT r, vec_id, label, p, v[p * len(v) // {PARTS} + 1 : (p + 1) * len(v) // {PARTS}] AS x
              FROM kept, range({PARTS}) t(p))""",
         f"""firsts AS (SELECT r, row_number() OVER (ORDER BY vec_id, v) - 1 AS e FROM kept WHERE vec_id IS NOT NULL

@@ -3,7 +3,21 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from histmetrics.llm import chat, codes, html_text, minhash, mixing, packing, quality, rules, secret_scan, suffixes, toxicity, vectors
+from histmetrics.llm import (
+    chat,
+    codes,
+    html_text,
+    minhash,
+    mixing,
+    negatives,
+    packing,
+    quality,
+    rules,
+    secret_scan,
+    suffixes,
+    toxicity,
+    vectors,
+)
 from histmetrics.llm.common import table
 
 QUERIES = {
@@ -22,6 +36,12 @@ QUERIES = {
     "op10_quality_rules": lambda spark, sf: rules.quality_rules(table(spark, sf, "documents"), table(spark, sf, "labels")),
     "op11_chat_formatting": lambda spark, sf: chat.format_digests(table(spark, sf, "conversations")),
     "op12_vector_codes": lambda spark, sf: codes.compress_vectors(table(spark, sf, "embeddings")),
+    "op13_hard_negatives": lambda spark, sf: negatives.mine_negatives(table(spark, sf, "embeddings")),
 }
 
-ORACLE = {"op3_mix_sources": mixing.SQL, "op11_chat_formatting": chat.SQL, "op12_vector_codes": codes.SQL}
+ORACLE = {
+    "op3_mix_sources": mixing.SQL,
+    "op11_chat_formatting": chat.SQL,
+    "op12_vector_codes": codes.SQL,
+    "op13_hard_negatives": negatives.SQL,
+}
