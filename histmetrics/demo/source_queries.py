@@ -7,7 +7,7 @@ from histmetrics.demo import frames
 from histmetrics.demo.registry import query
 from histmetrics.extract.complexity import apply_error_policy
 from histmetrics.functions.values import project_id
-from histmetrics.session import scratch_path
+from histmetrics.session import cut_lineage, scratch_path
 from histmetrics.sources import batches, logs, sinks, store, tables, trees
 from histmetrics.streaming import incremental
 
@@ -265,6 +265,147 @@ def _(spark, sf):
     raise AssertionError("another scope was not refused")
 
 
+def _modules_by_priority(spark, sf):
+    """Small module rows of every version: orders by priority."""
+    return frames.table(spark, sf, "orders").select(*frames.version_columns(), "o_orderpriority").groupBy(
+        "version_id", F.col("o_orderpriority").alias("module")
+    ).agg(F.count(F.lit(1)).alias("total_lines"))
+
+
+_MODULES = """SELECT version_id, o_orderpriority AS module, count(*) AS n FROM (SELECT *, CAST(year(o_orderdate) AS VARCHAR) || '-Q'
+    || CAST(quarter(o_orderdate) AS VARCHAR) AS version_id FROM orders) GROUP BY ALL"""
+
+
+@query(
+    "version_fails_alone",
+    f"""SELECT 'module' AS part, version_id, module AS detail, n FROM ({_MODULES}) WHERE version_id NOT IN ('1993-Q3', '1996-Q1', '1995-Q2')
+       UNION ALL SELECT 'failure', version_id, CASE version_id WHEN '1995-Q2' THEN 'no tree' ELSE 'cannot read ' || version_id END, NULL
+       FROM x_version WHERE version_id IN ('1993-Q3', '1996-Q1', '1995-Q2')
+       UNION ALL SELECT 'recorded', version_id, NULL, version_order FROM x_version WHERE version_id NOT IN ('1993-Q3', '1996-Q1', '1995-Q2')
+       UNION ALL SELECT 'run', 'completed', 'succeeded', count(*) - count(*) FILTER (version_id IN ('1993-Q3', '1996-Q1', '1995-Q2')) FROM x_version
+       UNION ALL SELECT 'run', 'completed', 'failed', count(*) FILTER (version_id IN ('1993-Q3', '1996-Q1', '1995-Q2')) FROM x_version""",
+)
+def _(spark, sf):
+    """Two versions break while they are measured, one has no files; all others are stored and the run is tallied."""
+    kept = store.HistoryStore(spark, scratch_path(spark, "store"), versions_per_bucket=8)
+    rows, versions = _modules_by_priority(spark, sf), frames.versions(spark, sf)
+    broken = F.raise_error(F.concat(F.lit("cannot read "), F.col("version_id"))).cast("long")
+
+    def measure(wanted):
+        found = rows.join(wanted.select("version_id"), "version_id", "left_semi")
+        total = F.when(F.col("version_id").isin("1993-Q3", "1996-Q1"), broken).otherwise(F.col("total_lines"))
+        return {"module_aggregate": found.withColumn("total_lines", total)}, spark.createDataFrame([], schemas.FAILURE)
+
+    unreadable = versions.where("version_id = '1995-Q2'").select("version_id", F.lit("no tree").alias("error_text"))
+    incremental.analyze_pending(kept, versions, measure, run_id="one", branch="main", unreadable=unreadable)
+    none = F.lit(None)
+    said = F.coalesce(F.nullif(F.regexp_extract("error_text", "cannot read [0-9]+-Q[0-9]", 0), F.lit("")), F.col("error_text"))
+    parts = [
+        kept.read("module_aggregate").select(F.lit("module").alias("part"), "version_id", F.col("module").alias("detail"), F.col("total_lines").alias("n")),
+        kept.read("failure").select(F.lit("failure"), "version_id", said, none.cast("long")),
+        kept.read("version").select(F.lit("recorded"), "version_id", none.cast("string"), F.col("version_order").cast("long")),
+        kept.runs().select(F.lit("run"), "status", F.lit("succeeded"), F.col("versions_succeeded").cast("long")),
+        kept.runs().select(F.lit("run"), "status", F.lit("failed"), F.col("versions_failed").cast("long")),
+    ]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3]).union(parts[4])
+
+
+@query(
+    "run_ledger",
+    """SELECT * FROM (SELECT 'first' AS run_id, 'incremental' AS mode, 'completed' AS status, CAST(count(*) AS INTEGER) AS total,
+         CAST(count(*) AS INTEGER) AS succeeded, 0 AS failed, true AS timed FROM x_version WHERE version_order <= 7990)
+       UNION ALL SELECT 'second', 'incremental', 'failed', CAST(count(*) AS INTEGER), NULL, NULL, true FROM x_version WHERE version_order > 7990
+       UNION ALL SELECT 'third', 'incremental', 'completed', CAST(count(*) AS INTEGER), CAST(count(*) FILTER (version_id NOT LIKE '%-Q4') AS INTEGER),
+         CAST(count(*) FILTER (version_id LIKE '%-Q4') AS INTEGER), true FROM x_version WHERE version_order > 7990""",
+)
+def _(spark, sf):
+    """A run that completes, one that breaks off, and one that does its work later with failures."""
+    kept = store.HistoryStore(spark, scratch_path(spark, "store"), versions_per_bucket=8)
+    rows, versions = _modules_by_priority(spark, sf), frames.versions(spark, sf)
+
+    def measure(failing=""):
+        def run(wanted):
+            found = rows.join(wanted.select("version_id"), "version_id", "left_semi")
+            bad = F.col("version_id").endswith(failing) if failing else F.lit(False)
+            failed = wanted.where(bad).select("version_id", F.lit("broken").alias("error_text"))
+            return {"module_aggregate": found.where(~bad)}, failed
+        return run
+
+    incremental.analyze_pending(kept, versions.where("version_order <= 7990"), measure(), run_id="first")
+    try:
+        incremental.analyze_pending(kept, versions, lambda wanted: 1 / 0, run_id="second", fail_fast=True)
+    except ZeroDivisionError:
+        pass
+    incremental.analyze_pending(kept, versions, measure("-Q4"), run_id="third")
+    return kept.runs().select(
+        "run_id", "mode", "status", F.col("versions_total").alias("total"), F.col("versions_succeeded").alias("succeeded"),
+        F.col("versions_failed").alias("failed"), (F.col("finished_at") >= F.col("started_at")).alias("timed"),
+    )
+
+
+@query(
+    "replayed_batch",
+    f"""SELECT 'module' AS part, version_id, module AS detail, n FROM ({_MODULES}) WHERE version_id NOT LIKE '%-Q4'
+       UNION ALL SELECT 'failure', version_id, 'broken', 1 FROM x_version WHERE version_id LIKE '%-Q4'""",
+)
+def _(spark, sf):
+    """Two batches of a stream come, and both come again as after a restart: nothing is measured twice or doubled."""
+    kept = store.HistoryStore(spark, scratch_path(spark, "store"), versions_per_bucket=4)
+    rows, versions = _modules_by_priority(spark, sf), frames.versions(spark, sf)
+    times = iter((1, 1, 0, 0))
+
+    def measure(wanted):
+        factor = next(times)
+        found = rows.join(wanted.select("version_id"), "version_id", "left_semi").withColumn("total_lines", F.col("total_lines") * factor)
+        last = F.col("version_id").endswith("-Q4")
+        return {"module_aggregate": found.where(~last)}, wanted.where(last).select("version_id", F.lit("broken").alias("error_text"))
+
+    halves = [versions.where("version_order <= 7990"), versions.where("version_order > 7990")]
+    for number, half in [*enumerate(halves), *enumerate(halves)]:
+        incremental.analyze_pending(kept, half, measure, batch=("arrivals", number))
+    failed = kept.read("failure").groupBy("version_id", "error_text").agg(F.count(F.lit(1)).alias("n"))
+    found = kept.read("module_aggregate").select(F.lit("module").alias("part"), "version_id", F.col("module").alias("detail"), F.col("total_lines").alias("n"))
+    return found.union(failed.select(F.lit("failure"), "version_id", "error_text", "n"))
+
+
+@query(
+    "interrupted_upsert",
+    f"""SELECT reader, version_id, module, CASE WHEN reader = 'later' AND version_id LIKE '%-Q2' THEN 2 * n ELSE n END AS n, summary FROM ({_MODULES})
+       JOIN x_version USING (version_id), (VALUES ('after a break'), ('pinned'), ('later')) r(reader)
+       UNION ALL SELECT 'later', version_id, 'left over', 1, summary FROM x_version WHERE version_id LIKE '%-Q2'""",
+)
+def _(spark, sf):
+    """An upsert that breaks in its second table shows nothing; a pinned reader keeps its snapshot while a whole one replaces buckets."""
+    kept = store.HistoryStore(spark, scratch_path(spark, "store"), versions_per_bucket=4)
+    rows, versions = _modules_by_priority(spark, sf), frames.versions(spark, sf)
+    nothing = spark.createDataFrame([], schemas.FAILURE)
+    kept.upsert_versions(versions, {"module_aggregate": rows}, nothing)
+    pinned = kept.pinned()
+    again = versions.where(F.col("version_id").endswith("-Q2"))
+    mine = rows.join(again.select("version_id"), "version_id", "left_semi").withColumn("total_lines", F.col("total_lines") * 2)
+    broken = mine.select("version_id", F.lit("a").alias("source"), F.lit("b").alias("target"), F.raise_error(F.lit("lost")).cast("long").alias("score"))
+    try:
+        kept.upsert_versions(again, {"module_aggregate": mine, "coupling_edge": broken}, nothing)
+        raise AssertionError("the broken table was stored")
+    except Exception as error:
+        if "lost" not in str(error):
+            raise
+
+    def seen(reader, name):
+        return reader.read("module_aggregate").join(reader.read("version"), "version_id").select(
+            F.lit(name).alias("reader"), "version_id", "module", F.col("total_lines").alias("n"), "summary"
+        )
+
+    after = cut_lineage(seen(kept, "after a break"))
+    extra = again.select("version_id", F.lit("left over").alias("module"), F.lit(1).cast("long").alias("total_lines"))
+    kept.upsert_versions(again, {"module_aggregate": mine.unionByName(extra)}, nothing)
+    out = after.union(seen(pinned, "pinned")).union(seen(kept, "later"))
+    found = cut_lineage(out)
+    kept.vacuum()
+    assert kept.read("module_aggregate").count() == found.where("reader = 'later'").count(), "vacuum took rows that count"
+    return found
+
+
 @query(
     "storable_versions",
     "SELECT version_id FROM x_version WHERE version_id NOT IN (SELECT version_id FROM x_line WHERE version_id LIKE '%-Q1')",

@@ -62,8 +62,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def remove_scratch(spark: SparkSession, path: str) -> None:
-    """Delete a folder made by :func:`scratch_path` that nothing reads any more, wherever it is."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+def _folder(spark: SparkSession, path: str) -> tuple[object, object]:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more, on whatever file system it is."""
+    folder, files = _folder(spark, path)
+    files.delete(folder, True)
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names inside a folder; none if it is not there."""
+    folder, files = _folder(spark, path)
+    return sorted(s.getPath().getName() for s in files.listStatus(folder)) if files.exists(folder) else []
+
+
+#: Older name of :func:`remove_folder`, for folders made by :func:`scratch_path`.
+remove_scratch = remove_folder

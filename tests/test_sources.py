@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from histmetrics import schemas
-from histmetrics.session import scratch_path
+from histmetrics.session import folder_names, scratch_path
 from histmetrics.sources import batches, logs, sinks, store, tables, trees
 from histmetrics.streaming import incremental
 
@@ -63,6 +63,76 @@ def test_upsert_replaces_by_key_and_keeps_other_buckets(spark, rows):
     ]
 
 
+def test_upsert_reads_touched_buckets_only(spark):
+    kept = store.HistoryStore(spark, scratch_path(spark, "t"), versions_per_bucket=2)
+    versions = version_rows(spark, *range(20))
+    kept.upsert_versions(versions, {"coupling_edge": edge_rows(spark, *[(o, "a", "b", 1) for o in range(20)])}, failure_rows(spark))
+    one = kept.stage(versions.where("version_order = 5"), {"coupling_edge": edge_rows(spark, (5, "a", "b", 9))}, None)
+    merged = kept.merged("coupling_edge", kept.snapshot().of("coupling_edge"), [one], [2])
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PartitionFilters: [isnotnull(version_bucket") == plan.count("FileScan") > 1 and "(version_bucket" in plan
+    assert {p.split("version_bucket=")[1].split("/")[0] for p in merged.inputFiles()} == {"2"}
+    kept.commit([one])
+    assert sorted((r["version_id"], r["score"]) for r in kept.read("coupling_edge").where("score > 1").collect()) == [("v5", 9)]
+
+
+def test_readers_see_whole_snapshots(spark, rows):
+    kept = store.HistoryStore(spark, scratch_path(spark, "t"), versions_per_bucket=2)
+    versions = version_rows(spark, 0, 1, 2)
+    kept.upsert_versions(versions, {"coupling_edge": edge_rows(spark, *[(o, "a", "b", 1) for o in range(3)])}, failure_rows(spark))
+    before, reader = kept.pinned(), store.HistoryStore(spark, kept.root, 2)
+    staged = kept.stage(versions, {"coupling_edge": edge_rows(spark, (0, "a", "b", 5))}, failure_rows(spark, 2))
+    assert reader.read("coupling_edge").where("score = 5").count() == 0 and reader.read("failure").count() == 0
+    kept.commit([staged])
+    assert rows(reader.read("coupling_edge"), "version_id", "score") == [("v0", 5), ("v1", 1), ("v2", 1)]
+    assert reader.read("failure").count() == 1
+    assert before.read("coupling_edge").where("score = 5").count() == 0 and before.read("failure").count() == 0
+    kept.vacuum()
+    assert rows(reader.read("coupling_edge"), "version_id", "score") == [("v0", 5), ("v1", 1), ("v2", 1)]
+    assert folder_names(spark, f"{kept.root}/snapshot") == [f"number={kept.snapshot().number}"]
+
+
+def test_a_write_that_fails_leaves_nothing(spark, rows):
+    kept = store.HistoryStore(spark, scratch_path(spark, "t"), versions_per_bucket=2)
+    versions = version_rows(spark, 0, 1)
+    kept.upsert_versions(versions, {"coupling_edge": edge_rows(spark, (0, "a", "b", 1))}, failure_rows(spark))
+    lost = versions.select("version_id", F.raise_error(F.lit("lost")).cast("string").alias("module"))
+    with pytest.raises(Exception, match="lost"):
+        kept.upsert_versions(versions, {"coupling_edge": edge_rows(spark, (0, "a", "b", 2)), "module_aggregate": lost}, failure_rows(spark, 1))
+    assert rows(kept.read("coupling_edge"), "version_id", "score") == [("v0", 1)]
+    assert kept.read("failure").count() == 0 and len(folder_names(spark, kept.path("coupling_edge"))) == 1
+
+
+def test_failures_come_once_per_batch_and_again_per_retry(spark):
+    kept = store.HistoryStore(spark, scratch_path(spark, "t"), versions_per_bucket=2)
+    for number in (0, 0, 1, 0, 1):
+        kept.upsert_versions(version_rows(spark, number), {}, failure_rows(spark, number), batch=("stream", number))
+    assert kept.read("failure").count() == 2 and kept.read("version").count() == 0
+    kept.upsert_versions(version_rows(spark, 0), {}, failure_rows(spark, 0))
+    assert kept.read("failure").count() == 3
+
+
+def test_versions_fail_alone_and_runs_are_tallied(spark, rows):
+    kept = store.HistoryStore(spark, scratch_path(spark, "t"), versions_per_bucket=2)
+
+    def measure(wanted):
+        score = F.when(F.col("version_id") == "v2", F.raise_error(F.lit("bad tree")).cast("long")).otherwise(F.lit(1))
+        return {"coupling_edge": wanted.select("version_id", F.lit("a").alias("source"), F.lit("b").alias("target"), score.alias("score"))}, failure_rows(spark)
+
+    unreadable = spark.createDataFrame([("v0", "no commit")], "version_id string, error_text string")
+    incremental.analyze_pending(kept, version_rows(spark, 0, 1, 2, 3), measure, run_id="r", unreadable=unreadable)
+    assert rows(kept.read("version"), "version_id") == [("v1",), ("v3",)]
+    assert [(r[0], "bad tree" in r[1], r[2]) for r in rows(kept.read("failure"), "version_id", "error_text", "run_id")] == [
+        ("v0", False, "r"), ("v2", True, "r")
+    ]
+    assert rows(kept.runs(), "status", "versions_total", "versions_succeeded", "versions_failed") == [("completed", 4, 2, 2)]
+    with pytest.raises(Exception, match="bad tree"):
+        incremental.analyze_pending(kept, version_rows(spark, 2), measure, run_id="s", fail_fast=True)
+    assert rows(kept.runs(), "run_id", "status") == [("r", "completed"), ("s", "failed")]
+    incremental.analyze_pending(kept, version_rows(spark, 1), measure, run_id="t", rebuild=True)
+    assert rows(kept.runs(), "run_id", "status") == [("t", "completed")] and kept.read("failure").count() == 0
+
+
 def test_failure_only_versions_are_not_recorded(spark, rows):
     kept = store.HistoryStore(spark, scratch_path(spark, "t"))
     kept.upsert_versions(version_rows(spark, 0, 1, 2), {"coupling_edge": edge_rows(spark, (0, "a", "b", 1))}, failure_rows(spark, 0, 1))
