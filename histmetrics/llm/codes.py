@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from histmetrics.llm.common import written
-from histmetrics.session import remove_scratch, scratch_path
+from histmetrics.session import remove_folder, scratch_path
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 LARGEST = 2**27
@@ -268,7 +268,7 @@ def compress(embeddings: DataFrame) -> tuple[DataFrame, Books | None]:
     for number in range(ROUNDS + 1):
         before, path = path, assign_round(rows if path is None else state_of(spark, path, embeddings), books, path is None)
         if before is not None:
-            remove_scratch(spark, before)
+            remove_folder(spark, before)
         if number < ROUNDS:
             books = books.updated(sums_of(spark, path, books.entries.shape[2]))
     final = state_of(spark, path, embeddings)
