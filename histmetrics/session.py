@@ -77,7 +77,3 @@ def folder_names(spark: SparkSession, path: str) -> list[str]:
     """Names inside a folder; none if it is not there."""
     folder, files = _folder(spark, path)
     return sorted(s.getPath().getName() for s in files.listStatus(folder)) if files.exists(folder) else []
-
-
-#: Older name of :func:`remove_folder`, for folders made by :func:`scratch_path`.
-remove_scratch = remove_folder
