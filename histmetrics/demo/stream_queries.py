@@ -1,12 +1,14 @@
 """Streams run to their end over the driver's event table, and their batch twins."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from histmetrics.demo import frames
 from histmetrics.demo.registry import query
-from histmetrics.session import scratch_path
-from histmetrics.sources.store import HistoryStore, newest
-from histmetrics.streaming import incremental, progress
+from histmetrics.session import cut_lineage, scratch_path
+from histmetrics.sources.store import HistoryStore
+from histmetrics.streaming import incremental, progress, runs
 
 TYPES = (progress.COMPLETED, progress.FAILED)
 
@@ -61,15 +63,39 @@ def _(spark, sf):
     return progress.run_status(frames.progress_events(frames.table(spark, sf, "events")))
 
 
+def run_arrivals(spark, sf):
+    """The event table as a stream that arrives out of order and in part twice, in four files and a last tick.
+
+    The tick belongs to no run; it moves the watermark past every timer.
+    """
+    folder = scratch_path(spark, "arrivals")
+    events = frames.progress_events(frames.table(spark, sf, "events"))
+    late = F.unix_timestamp("arrived_at") + F.pmod(F.xxhash64("seq"), F.lit(36_000))
+    again = events.where(F.xxhash64("seq", F.lit(1)) % 20 == 0)
+    sent = events.withColumn("_at", late).unionByName(again.withColumn("_at", late + 3600))
+    bounds = sent.agg(F.percentile_approx("_at", [0.25, 0.5, 0.75]).alias("b")).first()["b"]
+    numbers = sum((F.col("_at") > b).cast("int") for b in bounds)
+    sent = cut_lineage(sent.withColumn("_file", numbers).drop("_at"))
+    for k in range(4):
+        sent.where(F.col("_file") == k).drop("_file").coalesce(1).write.mode("append").parquet(folder)
+    ends = sent.agg(F.max("arrived_at").alias("t")).select((F.col("t") + F.expr("INTERVAL 4000 DAYS")).alias("arrived_at"))
+    tick = ends.select(*[(F.col(f.name) if f.name == "arrived_at" else F.lit(None)).cast(f.dataType).alias(f.name) for f in sent.drop("_file").schema])
+    tick.withColumn("run_id", F.lit("tick")).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(sent.drop("_file").schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def closed_runs(spark, events):
+    """Every run once, as the stream says when it drops the run's state. Runs of the table are silent for years."""
+    watched = runs.watch_runs(events, "2 days", dt.timedelta(days=2000), dt.timedelta(days=2000))
+    return drained(spark, watched, "runs", "update").where("closed")
+
+
 @query("run_status_stream", _STATUS)
 def _(spark, sf):
-    status = progress.run_status(frames.progress_events(event_stream(spark, sf)))
-    return newest(drained(spark, status, "status", "update"), ["run_id"], "batch_id").drop("batch_id")
+    return closed_runs(spark, run_arrivals(spark, sf)).select("run_id", "total", "processed", "state", "percent")
 
 
-@query(
-    "check_progress",
-    """SELECT *, starts_first AND numbered AND constant_total AND one_terminal AND ends_last AS valid FROM (
+_CHECKS = """SELECT *, starts_first AND numbered AND constant_total AND one_terminal AND ends_last AS valid FROM (
        SELECT run_id, count(*) FILTER (type = 'commit_progress') AS progress_events,
        min_by(type, seq) = 'run_started' AND count(*) FILTER (type = 'run_started') = 1 AS starts_first,
        count(*) FILTER (type = 'commit_progress') = 0 OR (min(processed) = 1 AND max(processed) = count(*) FILTER (type = 'commit_progress')
@@ -80,14 +106,26 @@ def _(spark, sf):
        count(*) FILTER (type IN ('run_completed', 'run_failed')) = 1 AS one_terminal,
        coalesce(min(seq) FILTER (type IN ('run_completed', 'run_failed')) > max(seq) FILTER (type = 'commit_progress'),
          count(*) FILTER (type IN ('run_completed', 'run_failed')) > 0) AS ends_last
-       FROM (SELECT * REPLACE (run_id || '-' || CAST(seq % 997 AS VARCHAR) AS run_id) FROM x_progress) GROUP BY ALL)""",
-)
+       FROM (SELECT * REPLACE (run_id || '-' || CAST(seq % 997 AS VARCHAR) AS run_id) FROM x_progress) GROUP BY ALL)"""
+
+
+@query("check_progress", _CHECKS)
 def _(spark, sf):
     events = frames.progress_events(frames.table(spark, sf, "events"))
     runs = F.concat_ws("-", "run_id", (F.col("seq") % 997).cast("string"))
     return progress.check_progress(events.withColumn("run_id", runs))
 
 
+@query("check_progress_stream", _CHECKS.replace("% 997", "% 7"))
+def _(spark, sf):
+    events = run_arrivals(spark, sf)
+    named = F.concat_ws("-", "run_id", (F.col("seq") % 7).cast("string"))
+    closed = closed_runs(spark, events.withColumn("run_id", F.when(F.col("run_id") != "tick", named).otherwise("tick")))
+    return closed.select(
+        "run_id", "progress_events", "starts_first", "numbered", "constant_total", "one_terminal", "ends_last", "valid"
+    )
+
+
 @query("incremental_analyze", "SELECT version_id, source, target, score FROM x_edge")
 def _(spark, sf):
     store = HistoryStore(spark, scratch_path(spark, "store"), versions_per_bucket=8)

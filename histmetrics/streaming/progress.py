@@ -45,7 +45,8 @@ def run_status(events: DataFrame, idle: str | None = None, arrived: str = "arriv
     ``running``, or ``not_started`` without any start. Percentage is NULL while
     the total is unknown or zero. State held is one small row per run; with
     ``idle`` (such as ``"2 hours"``) a run that has been silent for that long by
-    its arrival times is closed and forgotten.
+    its arrival times is closed and forgotten. Streams that run on are watched by
+    :func:`histmetrics.streaming.runs.watch_runs`, which ends a run's state.
     """
     keys = [F.col("run_id")]
     if idle is not None:
@@ -85,7 +86,7 @@ def check_progress(events: DataFrame, seq: str = "seq") -> DataFrame:
         events.where(progress).groupBy("run_id", "processed").agg(F.count(F.lit(1)).alias("times"))
         .groupBy("run_id").agg(
             F.sum("times").alias("progress_events"),
-            F.count(F.lit(1)).alias("distinct_numbers"),
+            F.count("processed").alias("distinct_numbers"),
             F.min("processed").alias("lowest"),
             F.max("processed").alias("highest"),
         )
