@@ -1,12 +1,11 @@
 """Distributions and line counts.
 
 Shape of the data: long observations ``(…keys, family, value)``. A third of all
-rows may belong to one key, so values are first counted per distinct value
-(combined before the shuffle), and exact ranks are then found in two steps:
-which value range holds the rank, and which value inside that range. Ranges are
-bounded by a mergeable sketch of each key's distinct values, so they hold about
-equally many however the values lie. Files bound their own values: at that grain
-built-in aggregates find the ranks in one shuffle. NaN counts as the highest value.
+rows may belong to one key, so no key gathers its rows: they are first counted by
+place (value steps that are the same at every scale), then by value only at the few
+places that hold a median or a p95, and places that still hold many values are
+narrowed further. All counts are combined before their shuffle. Files bound their own
+values: at that grain ranks are found in one shuffle. NaN counts as the highest value.
 """
 
 from __future__ import annotations
@@ -19,13 +18,14 @@ from pyspark.sql import functions as F
 from histmetrics.functions.catalog import FAMILIES, LINE_CATEGORIES
 from histmetrics.functions.text import TEST_FILE, line_category
 from histmetrics.schemas import DISTRIBUTION
+from histmetrics.session import cut_lineage, scratch_path
 
 STATS = ("count", "mean", "median", "p95", "max")
 ENTITY_FILE = ("version_id", "module", "relative_path")
 ENTITY_MODULE = ("version_id", "module")
 
-# Value ranges of a key, each with about this share of its distinct values.
-RANGES = 64
+# A place with more distinct values than PLACE_VALUES is cut into RANGES.
+RANGES, PLACE_VALUES = 64, 65_536
 P95 = 0.95
 
 
@@ -43,90 +43,128 @@ def coarsen(histogram: DataFrame, keys: Sequence[str]) -> DataFrame:
     return histogram.groupBy(*keys, "value").agg(F.sum("n").alias("n"))
 
 
-def distribution_of(histogram: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """count, mean, median, nearest-rank p95 and max of each key's values.
+def _place(v: Column) -> Column:
+    """A number that grows with the value: sixteen steps per power of two and sign, the same at every scale."""
+    step = F.floor(F.log2(F.abs(v)) * 16) + 20_000  # positive down to the smallest double
+    signed = F.when(v < 0, -step).otherwise(step)
+    edge = F.when(F.isnan(v), 10**6).when(v == 0, 0).when(v == float("inf"), 10**5).when(v == float("-inf"), -(10**5))
+    return edge.otherwise(signed).cast("int")
 
-    ``keys`` must not be NULL. Median is the mean of the two middle values; p95
-    is the value at position ``ceil(0.95 n)`` of the sorted values.
+
+def _stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table in the shared folder: the planner knows its size, and broadcasts it only if it is small."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _located(sums: DataFrame, targets: DataFrame | None, group: list[str], place: str) -> DataFrame:
+    """Which ``place`` of its group holds each rank, and the rank's position ``_at`` inside it."""
+    upto = F.sum("_n").over(Window.partitionBy(*group).orderBy(place).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = sums.withColumn("_upto", upto)
+    if targets is not None:
+        placed = placed.join(targets, group)
+    before = F.col("_upto") - F.col("_n")
+    held = (F.col("_at") > before) & (F.col("_at") <= F.col("_upto"))
+    return placed.where(held).select(*group, place, "_rank", (F.col("_at") - before).alias("_at"))
+
+
+def _narrowed(held: DataFrame, targets: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Values and targets of places with at most ``PLACE_VALUES`` distinct values.
+
+    As long as one holds more, its values are cut into ranges by a sketch of them, and
+    only those that hold a rank are kept: the number of rounds follows the logarithm of
+    what a place holds, and no window is larger than ``PLACE_VALUES`` rows.
     """
-    keys = list(keys)
-    for key in (*keys, "value"):
-        histogram = histogram.where(F.col(key).isNotNull())
-    cuts = [i / RANGES for i in range(1, RANGES)]
-    number = F.when(~F.isnan("value"), F.col("value"))
-    bounds = histogram.groupBy(*keys).agg(F.percentile_approx(number, cuts, 16 * RANGES).alias("_bounds"))
-    below = F.size(F.filter("_bounds", lambda b: b < F.col("value")))
-    counted = histogram.join(bounds, keys).withColumn("_range", F.coalesce(below, F.lit(0))).drop("_bounds")
-
-    per_range = counted.groupBy(*keys, "_range").agg(
-        F.sum("n").alias("_rows"),
-        F.sum(F.col("value") * F.col("n")).alias("_sum"),
-        F.max("value").alias("_max"),
-    )
-    # RANGES rows per key, whatever the number of values.
-    whole = Window.partitionBy(*keys)
-    running = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranged = per_range.select(
-        *keys,
-        "_range",
-        (F.sum("_rows").over(running) - F.col("_rows")).alias("_before"),
-        F.sum("_rows").over(running).alias("_upto"),
-        F.sum("_rows").over(whole).alias("count"),
-        F.sum("_sum").over(whole).alias("_total"),
-        F.max("_max").over(whole).alias("max"),
+    group = [*keys, "_place"]
+    while True:
+        sizes = held.groupBy(*group).agg(F.count(F.lit(1)).alias("_m"))
+        most = sizes.agg(F.max("_m").alias("m")).first()["m"]
+        if most is None or most <= PLACE_VALUES:
+            return held, targets
+        cuts = F.percentile_approx("value", [i / RANGES for i in range(1, RANGES)], 16 * RANGES)
+        bounds = held.groupBy(*group).agg(cuts.alias("_cuts"))
+        below = F.size(F.filter("_cuts", lambda c: c < F.col("value")))
+        ranged = held.join(bounds, group).select(*group, below.alias("_range"), "value", "n")
+        sums = ranged.groupBy(*group, "_range").agg(F.sum("n").alias("_n"))
+        found = _stored(_located(sums, targets, group, "_range"), "targets")
+        path = F.concat_ws("/", F.col("_place").cast("string"), F.col("_range").cast("string"))
+        kept = ranged.join(found.select(*group, "_range").distinct(), [*group, "_range"], "left_semi")
+        held = cut_lineage(kept.select(*keys, path.alias("_place"), "value", "n"))
+        targets = found.select(*keys, path.alias("_place"), "_rank", "_at")
+
+
+def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The five numbers of each key's values ``(…keys, value, n)``, by narrowing down the places that hold the ranks."""
+    sums = rows.groupBy(*keys, _place(F.col("value")).alias("_place")).agg(
+        F.sum("n").alias("_n"), F.sum(F.col("value") * F.col("n")).alias("_sum"), F.max("value").alias("_max")
     )
+    sums = cut_lineage(sums)
     n = F.col("count")
     ranks = {
-        "_low": F.floor((n + 1) / 2).cast("long"),
-        "_high": (F.floor(n / 2) + 1).cast("long"),
-        "p95": F.greatest(F.lit(1), F.ceil(F.lit(P95) * n)).cast("long"),
+        "low": F.floor((n + 1) / 2),
+        "high": F.floor(n / 2) + 1,
+        "p95": F.greatest(F.lit(1), F.ceil(F.lit(P95) * n)),
     }
-
-    def holds(rank: Column, before: Column, upto: Column) -> Column:
-        return (rank > before) & (rank <= upto)
-
-    wanted = F.lit(False)
-    for rank in ranks.values():
-        wanted = wanted | holds(rank, F.col("_before"), F.col("_upto"))
-    targets = ranged.where(wanted).drop("_upto")
-
-    inside = Window.partitionBy(*keys, "_range").orderBy("value").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    totals = sums.groupBy(*keys).agg(
+        F.sum("_n").alias("count"), (F.sum("_sum") / F.sum("_n")).alias("mean"), F.max("_max").alias("max")
     )
-    placed = counted.join(targets, [*keys, "_range"]).withColumn(
-        "_upto", F.col("_before") + F.sum("n").over(inside)
-    )
-    picked = placed.groupBy(*keys).agg(
-        F.max("count").alias("count"),
-        (F.max("_total") / F.max("count")).alias("mean"),
-        *[
-            F.max(F.when(holds(rank, F.col("_upto") - F.col("n"), F.col("_upto")), F.col("value"))).alias(name)
-            for name, rank in ranks.items()
-        ],
-        F.max("max").alias("max"),
-    )
-    return picked.select(
-        *keys, "count", "mean", ((F.col("_low") + F.col("_high")) / 2).alias("median"), "p95", "max"
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("_rank"), at.cast("long").alias("_at")) for r, at in ranks.items()]))
+    asked = totals.select(*keys, each.alias("_t")).select(*keys, "_t.*")
+    targets = _stored(_located(sums, asked, keys, "_place"), "targets")
+    # Second reading: only values at places that hold a rank are counted one by one.
+    placed = rows.withColumn("_place", _place(F.col("value")))
+    inside = placed.join(targets.select(*keys, "_place").distinct(), [*keys, "_place"], "left_semi")
+    held = cut_lineage(inside.groupBy(*keys, "_place", "value").agg(F.sum("n").alias("n")))
+    held, targets = _narrowed(held, targets, keys)
+    values = _located(held.withColumnRenamed("n", "_n"), targets, [*keys, "_place"], "value")
+    picked = values.groupBy(*keys).agg(*[F.max(F.when(F.col("_rank") == r, F.col("value"))).alias(f"_{r}") for r in ranks])
+    return totals.join(picked, keys).select(
+        *keys, "count", "mean", ((F.col("_low") + F.col("_high")) / 2).alias("median"), F.col("_p95").alias("p95"), "max"
     )
 
 
+def distribution_of(histogram: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """:func:`distribution` of values that are counted already ``(…keys, value, n)``."""
+    keys = list(keys)
+    for key in (*keys, "value"):
+        histogram = histogram.where(F.col(key).isNotNull())
+    return _ranked(cut_lineage(histogram.select(*keys, "value", "n")), keys)
+
+
 def distribution(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
-    return distribution_of(value_histogram(df, keys, value), keys)
+    """count, mean, median, nearest-rank p95 and max of each key's values.
+
+    ``keys`` must not be NULL. Median is the mean of the two middle values; p95
+    is the value at position ``ceil(0.95 n)`` of the sorted values. The rows are read
+    twice, and combined before both shuffles.
+    """
+    keys = list(keys)
+    rows = df.select(*keys, F.col(value).cast("double").alias("value"), F.lit(1).cast("long").alias("n"))
+    for name in (*keys, "value"):
+        rows = rows.where(F.col(name).isNotNull())
+    return _ranked(rows, keys)
 
 
 def file_distributions(observations: DataFrame) -> DataFrame:
-    """One distribution per file and metric family."""
+    """One distribution per file and metric family.
+
+    A file bounds its own values: they are gathered once and sorted where they are.
+    """
     keys = [*ENTITY_FILE, "family"]
     known = F.col("value").isNotNull()
     for key in keys:
         known = known & F.col(key).isNotNull()
-    value = F.col("value").cast("double")
-    return observations.where(known).select(*keys, value.alias("value")).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("count"),
-        F.avg("value").alias("mean"),
-        F.median("value").alias("median"),
-        F.expr(f"percentile_disc({P95}) WITHIN GROUP (ORDER BY value)").alias("p95"),
-        F.max("value").alias("max"),
+    gathered = observations.where(known).groupBy(*keys).agg(F.sort_array(F.collect_list(F.col("value").cast("double"))).alias("v"))
+    n = F.size("v")
+    middle = F.get("v", F.floor((n + 1) / 2).cast("int") - 1) + F.get("v", F.floor(n / 2).cast("int"))
+    return gathered.select(
+        *keys,
+        n.cast("long").alias("count"),
+        (F.aggregate("v", F.lit(0.0), lambda total, x: total + x) / n).alias("mean"),
+        (middle / 2).alias("median"),
+        F.get("v", F.ceil(F.lit(P95) * n).cast("int") - 1).alias("p95"),
+        F.get("v", n - 1).alias("max"),
     )
 
 

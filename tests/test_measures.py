@@ -65,12 +65,28 @@ def test_module_values_come_from_raw_values(spark):
     assert measures.file_distributions(obs).count() == 2
 
 
-def test_one_shuffle_of_the_histogram_is_read_twice(spark):
-    df = spark.range(1000).select((F.col("id") % 3).cast("string").alias("k"), F.col("id").cast("double").alias("value"))
-    out = measures.distribution(df, ["k"])
-    out.collect()
-    final = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-    assert "ReusedExchange" in final or "Reused" in final
+@pytest.mark.parametrize("n", [400, 4000])
+def test_windows_do_not_grow_with_a_key(spark, monkeypatch, n):
+    """Ten times the values under one key, all in a narrow band but for two: places are narrowed until they are small."""
+    monkeypatch.setattr(measures, "PLACE_VALUES", 60)
+    largest, located = [], measures._located
+
+    def watch(sums, targets, group, place):
+        largest.append(sums.groupBy(*group).count().agg(F.max("count")).first()[0])
+        return located(sums, targets, group, place)
+
+    monkeypatch.setattr(measures, "_located", watch)
+    rng = random.Random(n)
+    values = [1000 + rng.randrange(n) * 2.0**-30 for _ in range(n)] + [1e9, -7.0]
+    df = spark.createDataFrame([("hot", v) for v in values] + [("small", float(v)) for v in range(5)], "k string, value double")
+    got = {r["k"]: r for r in measures.distribution(df, ["k"]).collect()}
+    values.sort()
+    m = len(values)
+    hot = got["hot"]
+    assert (hot["count"], hot["max"]) == (m, 1e9)
+    assert hot["median"] == (values[(m + 1) // 2 - 1] + values[m // 2]) / 2 and hot["p95"] == values[math.ceil(0.95 * m) - 1]
+    assert (got["small"]["median"], got["small"]["p95"]) == (2.0, 4.0)
+    assert max(largest) <= 64  # ranges of a place, or values of the last one
 
 
 def test_assembled_files_keep_unmeasured_ones(spark):
