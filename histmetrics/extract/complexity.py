@@ -19,6 +19,7 @@ from histmetrics.extract.contents import FILE, copies, distinct_contents, extrac
 from histmetrics.functions.text import file_name
 from histmetrics.operators.measures import (
     ENTITY_MODULE,
+    bounded_distributions,
     coarsen,
     distribution_of,
     is_measured_python,
@@ -151,20 +152,19 @@ def read_lines(source: str | None) -> list[tuple]:
 
 
 def content_values(files: DataFrame) -> DataFrame:
-    """``(content_sha, family, value, n, error)`` for production Python files.
-
-    Partitioned by content: what is grouped by it later needs no further
-    shuffle, and several readers of one plan share the parsed rows.
-    """
+    """``(content_sha, family, value, n, error)`` for production Python files, once per distinct text."""
     contents = distinct_contents(files, is_measured_python())
-    found = extract(contents, read_complexity, "family string, value double, n bigint, error string")
-    return found.repartition("content_sha")
+    return extract(contents, read_complexity, "family string, value double, n bigint, error string")
+
+
+def _known(files: DataFrame, values: DataFrame | None) -> DataFrame:
+    found = content_values(files) if values is None else values
+    return found.where(F.col("error").isNull()).drop("error")
 
 
 def function_complexity(files: DataFrame) -> DataFrame:
     """Value counts per file and family: ``(…file, family, value, n)``."""
-    values = content_values(files).where(F.col("error").isNull()).drop("error")
-    return on_files(values, files, is_measured_python()).select(*FILE, "family", "value", "n")
+    return on_files(_known(files, None), files, is_measured_python()).select(*FILE, "family", "value", "n")
 
 
 def line_density(files: DataFrame) -> DataFrame:
@@ -173,25 +173,28 @@ def line_density(files: DataFrame) -> DataFrame:
     return on_files(lines, files, is_measured_python()).select(*FILE, "line", F.col("n").alias("value"))
 
 
-def python_file_distributions(files: DataFrame) -> DataFrame:
-    """Distributions per file: computed once per content, then joined to its files."""
-    values = content_values(files).where(F.col("error").isNull()).drop("error")
-    per_content = distribution_of(values, ["content_sha", "family"])
+def python_file_distributions(files: DataFrame, values: DataFrame | None = None) -> DataFrame:
+    """Distributions per file: computed once per content, then joined to its files.
+
+    A text bounds its own values, so they are ranked where they are grouped. ``values``
+    is the output of :func:`content_values`, if it is there already.
+    """
+    per_content = bounded_distributions(_known(files, values), ["content_sha", "family"], "n")
     return on_files(per_content, files, is_measured_python()).drop("content_sha")
 
 
-def python_module_distributions(files: DataFrame) -> DataFrame:
+def python_module_distributions(files: DataFrame, values: DataFrame | None = None) -> DataFrame:
     """Distributions per module from raw values; copies of a text are counted, not repeated."""
-    values = content_values(files).where(F.col("error").isNull()).drop("error")
     repeated = copies(files, is_measured_python()).withColumnRenamed("n", "copies")
-    weighted = repeated.join(values, "content_sha").withColumn("n", F.col("n") * F.col("copies"))
+    weighted = repeated.join(_known(files, values), "content_sha").withColumn("n", F.col("n") * F.col("copies"))
     keys = [*ENTITY_MODULE, "family"]
     return distribution_of(coarsen(weighted, keys), keys)
 
 
-def failures(files: DataFrame) -> DataFrame:
+def failures(files: DataFrame, values: DataFrame | None = None) -> DataFrame:
     """One row per Python file that could not be measured; the file itself stays counted."""
-    errors = content_values(files).where(F.col("error").isNotNull()).select("content_sha", "error")
+    found = content_values(files) if values is None else values
+    errors = found.where(F.col("error").isNotNull()).select("content_sha", "error")
     found = on_files(errors, files, is_measured_python())
     named = F.replace(
         F.col("error"), F.lit(f"({UNNAMED}, "), F.concat(F.lit("("), file_name("relative_path"), F.lit(", "))

@@ -1,8 +1,9 @@
-"""One extraction per distinct text.
+"""One extraction per distinct text, where the text lies.
 
-The same blob sits in many versions. Texts are read once per content hash by
-small per-text Python helpers inside ``mapInPandas``; their facts are joined
-back to the files that hold that text.
+The same blob sits in many versions. One file per content hash is chosen on narrow
+columns; its text is read in place by small per-text Python helpers inside
+``mapInPandas``, and the facts are joined back to the files that hold that text. File
+keys (version, module, path) are unique and not NULL.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from histmetrics.session import scratch_path
+
 FILE = ("version_id", "module", "relative_path")
 
 
@@ -24,11 +27,20 @@ def with_sha(files: DataFrame) -> DataFrame:
 
 
 def distinct_contents(files: DataFrame, where: Column | None = None) -> DataFrame:
-    """``(content_sha, content)`` once per hash."""
+    """``(content_sha, content)`` once per hash, from the file that comes first by its key.
+
+    The choice is a written table, so the planner knows its size: while it is small it is
+    broadcast to the texts and no text leaves its place; beyond that, chosen texts are
+    found by a join on the file keys.
+    """
     chosen = with_sha(files)
     if where is not None:
         chosen = chosen.where(where)
-    return chosen.select("content_sha", "content").dropDuplicates(["content_sha"])
+    first = chosen.groupBy("content_sha").agg(F.min(F.struct(*FILE)).alias("_file"))
+    path = scratch_path(files.sparkSession, "chosen")
+    first.select("content_sha", "_file.*").write.parquet(path)
+    kept = files.sparkSession.read.parquet(path)
+    return chosen.join(kept, [*FILE, "content_sha"], "left_semi").select("content_sha", "content")
 
 
 def extract(contents: DataFrame, read: Callable[[str], Iterable[tuple]], columns: str) -> DataFrame:

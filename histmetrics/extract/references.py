@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from histmetrics.extract.contents import FILE, distinct_contents, extract, on_files, with_sha
-from histmetrics.functions.text import EXTERNAL_ID, file_name, id_module, percent_ids
+from histmetrics.functions.text import EXTERNAL_ID, PERCENT_ID, file_name, id_module
 from histmetrics.functions.validate import MODULE
 
 # The record model and the folder that make a reference a security one.
@@ -31,6 +31,9 @@ def _is_security_csv() -> Column:
     return F.col("relative_path").startswith(f"{SECURITY_FOLDER}/") & F.col("relative_path").endswith(".csv")
 
 
+_ID, _PERCENT = re.compile(EXTERNAL_ID), re.compile(PERCENT_ID)
+
+
 class _Finder:
     """Lines of repeated snippets: each search goes on where the last one ended."""
 
@@ -52,14 +55,23 @@ def _local(tag: object) -> str:
 
 
 def read_xml(text: str | None) -> list[tuple]:
-    """``(kind, xml_id, line, detail, error)`` of element references, in document order."""
+    """``(kind, xml_id, line, detail, error)`` of a text's references.
+
+    ``%(a.b)d`` by lines first, in malformed texts too; then those of elements, in
+    document order, or the error.
+    """
     if text is None:
         return [(None, None, None, None, "cannot decode file as UTF-8")]
+    out = [
+        ("xml_percent_ref", found.group(1), number, f"%({found.group(1)})d", None)
+        for number, line in enumerate(text.split("\n"), start=1)
+        for found in _PERCENT.finditer(line)
+    ]
     try:
         root = ElementTree.fromstring(text)
     except (ElementTree.ParseError, ValueError) as error:
-        return [(None, None, None, None, str(error))]
-    find, out, todo = _Finder(text), [], [(root, None)]
+        return [*out, (None, None, None, None, str(error))]
+    find, todo = _Finder(text), [(root, None)]
     while todo:
         element, model = todo.pop()
         if _local(element.tag) == "record":
@@ -80,8 +92,8 @@ def read_xml(text: str | None) -> list[tuple]:
     return out
 
 
-def xml_elements(files: DataFrame) -> DataFrame:
-    """Element references per distinct XML text; a malformed text gives one error row."""
+def xml_found(files: DataFrame) -> DataFrame:
+    """All that is found in XML texts, once per distinct text; rows are narrow, texts stay where they are."""
     return extract(
         distinct_contents(files, _is_xml()),
         read_xml,
@@ -101,31 +113,21 @@ def _as_facts(found: DataFrame) -> DataFrame:
     )
 
 
-def percent_facts(files: DataFrame) -> DataFrame:
-    """``%(a.b)d`` references with their lines; also found in malformed files."""
-    ids = F.explode(percent_ids("text")).alias("xml_id")
-    texts = distinct_contents(files, _is_xml())
-    lines = texts.select("content_sha", F.posexplode(F.split("content", "\n")).alias("at", "text"))
-    found = lines.select("content_sha", (F.col("at") + 1).alias("line"), ids).withColumn(
-        "detail", F.concat(F.lit("%("), F.col("xml_id"), F.lit(")d"))
-    )
-    return _as_facts(on_files(found, files, _is_xml()).withColumn("kind", F.lit("xml_percent_ref")))
-
-
-def xml_reference_facts(files: DataFrame) -> DataFrame:
+def xml_reference_facts(files: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """All references of XML files, not yet limited to analysed modules.
 
     Plain references in a ``security`` folder of the module are security ones.
+    ``found`` is the output of :func:`xml_found`, if it is there already.
     """
-    elements = xml_elements(files).where(F.col("error").isNull()).drop("error")
-    located = on_files(elements, files, _is_xml())
+    told = (xml_found(files) if found is None else found).where(F.col("error").isNull()).drop("error")
     secure = F.array_contains(F.split("relative_path", "/"), SECURITY_FOLDER)
     kind = F.when((F.col("kind") == "xml_ref") & secure, "security_xml_ref").otherwise(F.col("kind"))
-    return percent_facts(files).unionByName(_as_facts(located.withColumn("kind", kind)))
+    return _as_facts(on_files(told, files, _is_xml()).withColumn("kind", kind))
 
 
-def xml_failures(files: DataFrame) -> DataFrame:
-    errors = xml_elements(files).where(F.col("error").isNotNull()).select("content_sha", "error")
+def xml_failures(files: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    told = xml_found(files) if found is None else found
+    errors = told.where(F.col("error").isNotNull()).select("content_sha", "error")
     return on_files(errors, files, _is_xml()).select(
         "version_id",
         F.concat_ws("/", "module", "relative_path").alias("file_path"),
@@ -133,9 +135,6 @@ def xml_failures(files: DataFrame) -> DataFrame:
     )
 
 
-_ID = re.compile(EXTERNAL_ID)
-
-
 def read_csv(text: str | None) -> Iterator[tuple]:
     """``(line, xml_id, error)``: ids in every cell after the header; records count, from 2.
 
@@ -155,13 +154,14 @@ def read_csv(text: str | None) -> Iterator[tuple]:
         yield number + 1, None, f"record {number + 1}: {error}"
 
 
-def _csv_records(files: DataFrame) -> DataFrame:
+def csv_found(files: DataFrame) -> DataFrame:
+    """Ids and errors of security CSV texts, once per distinct text."""
     return extract(distinct_contents(files, _is_security_csv()), read_csv, "line int, xml_id string, error string")
 
 
-def csv_failures(files: DataFrame) -> DataFrame:
+def csv_failures(files: DataFrame, told: DataFrame | None = None) -> DataFrame:
     """Security CSV files with a record that cannot be read, and those that cannot be decoded."""
-    errors = _csv_records(files).where(F.col("error").isNotNull()).select("content_sha", "error")
+    errors = (csv_found(files) if told is None else told).where(F.col("error").isNotNull()).select("content_sha", "error")
     undecoded = with_sha(files).where(_is_security_csv() & F.col("content").isNull()).select(*FILE, F.lit("cannot decode file as UTF-8").alias("error"))
     found = on_files(errors, files, _is_security_csv()).select(*FILE, "error").unionByName(undecoded)
     return found.select(
@@ -169,9 +169,9 @@ def csv_failures(files: DataFrame) -> DataFrame:
     )
 
 
-def csv_reference_facts(files: DataFrame) -> DataFrame:
+def csv_reference_facts(files: DataFrame, told: DataFrame | None = None) -> DataFrame:
     """References of the security CSV files, not yet limited to analysed modules."""
-    found = _csv_records(files).where(F.col("error").isNull()).drop("error")
+    found = (csv_found(files) if told is None else told).where(F.col("error").isNull()).drop("error")
     located = on_files(found, files, _is_security_csv()).withColumn("kind", F.lit("security_csv_ref"))
     return _as_facts(located.withColumn("detail", F.concat(F.lit("security csv ref -> "), F.col("xml_id"))))
 

@@ -146,16 +146,15 @@ def distribution(df: DataFrame, keys: Sequence[str], value: str = "value") -> Da
     return _ranked(rows, keys)
 
 
-def file_distributions(observations: DataFrame) -> DataFrame:
-    """One distribution per file and metric family.
-
-    A file bounds its own values: they are gathered once and sorted where they are.
-    """
-    keys = [*ENTITY_FILE, "family"]
-    known = F.col("value").isNotNull()
-    for key in keys:
-        known = known & F.col(key).isNotNull()
-    gathered = observations.where(known).groupBy(*keys).agg(F.sort_array(F.collect_list(F.col("value").cast("double"))).alias("v"))
+def bounded_distributions(values: DataFrame, keys: Sequence[str], weight: str | None = None) -> DataFrame:
+    """:func:`distribution` where each key bounds its own values: gathered once, sorted where they are."""
+    value = F.col("value").cast("double")
+    if weight is None:
+        v = F.sort_array(F.collect_list(value))
+    else:
+        counted = F.sort_array(F.collect_list(F.struct(value.alias("value"), F.col(weight).cast("int").alias("n"))))
+        v = F.flatten(F.transform(counted, lambda c: F.array_repeat(c["value"], c["n"])))
+    gathered = values.where(F.col("value").isNotNull()).groupBy(*keys).agg(v.alias("v"))
     n = F.size("v")
     middle = F.get("v", F.floor((n + 1) / 2).cast("int") - 1) + F.get("v", F.floor(n / 2).cast("int"))
     return gathered.select(
@@ -168,6 +167,14 @@ def file_distributions(observations: DataFrame) -> DataFrame:
     )
 
 
+def file_distributions(observations: DataFrame) -> DataFrame:
+    """One distribution per file and metric family."""
+    keys = [*ENTITY_FILE, "family"]
+    for key in keys:
+        observations = observations.where(F.col(key).isNotNull())
+    return bounded_distributions(observations, keys)
+
+
 def module_distributions(observations: DataFrame) -> DataFrame:
     """One distribution per module and family, from the raw values of its files."""
     return distribution(observations, [*ENTITY_MODULE, "family"])

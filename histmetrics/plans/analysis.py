@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from histmetrics import schemas
 from histmetrics.extract import classes, complexity, references
+from histmetrics.extract.contents import with_sha
 from histmetrics.functions.text import line_count
 from histmetrics.operators import graph, measures
+from histmetrics.session import cut_lineage
 from histmetrics.sources.tables import conform
 
 
@@ -21,10 +23,14 @@ def analyze_files(
     those with files. Edges come from manifests, XML and security CSV files, and
     from Python classes if ``python_links`` is set.
     """
+    # Each text is parsed once; what was found in it is narrow and read several times.
+    files = with_sha(files)
+    values = cut_lineage(complexity.content_values(files))
+    xml, csv = cut_lineage(references.xml_found(files)), cut_lineage(references.csv_found(files))
     modules = files.select("version_id", "module").distinct()
     lined = files.select("version_id", "module", "relative_path", F.coalesce(line_count("content"), F.lit(0)).alias("lines"))
     sized = measures.measure_files(lined)
-    file_rows = measures.assemble_file_metrics(sized, complexity.python_file_distributions(files))
+    file_rows = measures.assemble_file_metrics(sized, complexity.python_file_distributions(files, values))
 
     per_file = measures.line_counts(sized, keys=measures.ENTITY_FILE)
     counts = measures.line_count_map(measures.roll_up_line_counts(per_file))
@@ -32,16 +38,17 @@ def analyze_files(
     counts = counts.join(measured, ["version_id", "module"], "left")
     manifests = references.manifests(files)
     module_rows = measures.assemble_module_aggregates(
-        counts, complexity.python_module_distributions(files), "python_files", graph.in_scope_depends(manifests, modules)
+        counts, complexity.python_module_distributions(files, values), "python_files", graph.in_scope_depends(manifests, modules)
     )
 
     facts = graph.all_edge_facts(
         graph.link_manifests(manifests, modules, "relative_path"),
-        references.xml_reference_facts(files),
-        references.csv_reference_facts(files),
+        references.xml_reference_facts(files, xml),
+        references.csv_reference_facts(files, csv),
         *([classes.python_links(files, modules, evidence=True)] if python_links else []),
     )
     edges = graph.build_coupling_edges(facts, modules, count_mode)
-    failed = complexity.failures(files).unionByName(references.xml_failures(files)).unionByName(references.csv_failures(files))
+    failed = complexity.failures(files, values).unionByName(references.xml_failures(files, xml))
+    failed = failed.unionByName(references.csv_failures(files, csv))
     tables = {"file_metric": file_rows, "module_aggregate": module_rows, "coupling_edge": edges}
     return tables, conform(failed, schemas.FAILURE)

@@ -264,3 +264,12 @@ def test_two_modules_from_files_to_tables(spark, rows):
     assert tables["file_metric"].where("relative_path = 'models/p.py'").first()["line_counts"]["lines"] == BASE.count("\n")
     more, _ = analyze_files(given, python_links=True)
     assert "python__inherit" in more["coupling_edge"].first()["kinds"]
+
+
+def test_texts_are_read_where_they_lie(spark):
+    given = files(spark, *[("sale", f"views/{k}.xml", XML) for k in range(4)], ("sale", "x.xml", "<a>"), ("sale", "a.py", SALE), ("sale", "security/a.csv", "h\na.b"))
+    for found in (references.xml_found(given), references.csv_found(given), complexity.content_values(given)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        moved = [line for line in plan.splitlines() if "Exchange" in line]
+        assert moved and all("BroadcastExchange" in line and "content#" not in line for line in moved), plan
+    assert references.xml_reference_facts(given).count() == 4 * 6
