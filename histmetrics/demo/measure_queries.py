@@ -263,7 +263,7 @@ def _(spark, sf):
     commits = frames.table(spark, sf, "orders").select(
         F.lower(F.hex("o_orderkey")).alias("version_id"), F.col("o_orderkey").alias("version_order")
     )
-    return ordering.version_neighbors(commits, F.floor(F.col("version_order") / 10_000))
+    return ordering.version_neighbors(commits)
 
 
 @query(

@@ -54,6 +54,27 @@ def _(spark, sf):
     ).agg(F.sum("lines").alias("lines"))
 
 
+@query(
+    "file_tree_paths",
+    r"""SELECT version_id, 'lang=' || lang || '/source=' || source || '/part' AS relative_path, lang <> 'en' AS decoded, lang = 'en' AS raw
+       FROM (SELECT 'v' || CAST(doc_id % 3 AS VARCHAR) AS version_id, * FROM documents WHERE text IS NOT NULL) GROUP BY ALL""",
+)
+def _(spark, sf):
+    """Paths below the module folder; the files of one language are compressed, so their bytes are no UTF-8."""
+    root = scratch_path(spark, "tree")
+    docs = frames.table(spark, sf, "documents").where(F.col("text").isNotNull()).select(
+        F.concat(F.lit("v"), (F.col("doc_id") % 3).cast("string")).alias("version"), F.lit("all").alias("module"), "lang", "source", "text"
+    )
+    paths = ("version", "module", "lang", "source")
+    english = F.col("lang") == "en"
+    for rows, codec in ((docs.where(~english), "none"), (docs.where(english), "gzip")):
+        rows.repartition(*paths).write.mode("append").option("compression", codec).partitionBy(*paths).text(root)
+    found = trees.read_file_tree(spark, root, "part-*")
+    return found.groupBy(
+        F.replace("version_id", F.lit("version=")).alias("version_id"), F.regexp_replace("relative_path", "/part-[^/]*$", "/part").alias("relative_path")
+    ).agg(F.bool_and(F.col("content").isNotNull()).alias("decoded"), F.bool_and(F.col("raw").isNotNull()).alias("raw"))
+
+
 @query(
     "parse_commit_log",
     r"""SELECT o_orderkey AS seq, CASE WHEN r IS NULL THEN lower(hex(o_orderkey)) END AS version_id,
@@ -85,7 +106,7 @@ def _commits(spark, sf):
        FROM orders WHERE o_orderkey % 4 <> 0 AND o_orderkey % 31 <> 0""",
 )
 def _(spark, sf):
-    return logs.plan_versions(_commits(spark, sf), bucket_size=10_000)
+    return logs.plan_versions(_commits(spark, sf))
 
 
 @query(
@@ -95,7 +116,7 @@ def _(spark, sf):
        WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 25)""",
 )
 def _(spark, sf):
-    planned = logs.plan_versions(_commits(spark, sf), bucket_size=10_000)
+    planned = logs.plan_versions(_commits(spark, sf))
     stored = frames.table(spark, sf, "lineitem").where("l_quantity > 25").select(F.lower(F.hex("l_orderkey")).alias("version_id"))
     return logs.pending_versions(planned, stored)
 

@@ -299,29 +299,39 @@ def own_fields(facts: DataFrame) -> DataFrame:
 def resolve_chains(uses: DataFrame, fields: DataFrame) -> DataFrame:
     """Follow attribute chains through relational fields; other attributes keep the model.
 
-    Only distinct chains are followed, one join per step; a chain that has come to
-    its end waits for the others no longer, and the walk ends when all have.
+    A run of attributes is a map of models, given by the models that it changes. Neighbouring
+    runs are put together two by two, so the number of rounds is the logarithm of the
+    longest chain. Only distinct chains and runs are treated.
     """
-    key = ["version_id", "model", "chain"]
-    chains = uses.where(F.col("chain") != "").select(*key).distinct()
-    known = fields.select("version_id", F.col("model").alias("here"), F.col("field").alias("step"), "comodel")
-    open_ends = chains.withColumn("here", F.col("model")).withColumn("rest", F.split("chain", "[.]"))
-    ended = None
-    while True:
-        walked = cut_lineage(
-            open_ends.withColumn("step", F.col("rest")[0])
-            .join(known, ["version_id", "here", "step"], "left")
-            .select(*key, F.coalesce("comodel", "here").alias("here"), F.slice("rest", 2, 1_000_000).alias("rest"))
+    chains = uses.where(F.col("chain") != "").select("version_id", "chain").distinct()
+    runs = cut_lineage(chains.withColumn("runs", F.split("chain", "[.]")))
+    maps = fields.select("version_id", F.col("field").alias("run"), F.col("model").alias("here"), F.col("comodel").alias("there"))
+    steps = runs.select("version_id", F.explode("runs").alias("run")).distinct()
+    maps = cut_lineage(maps.join(steps, ["version_id", "run"], "left_semi"))
+    longest = runs.agg(F.max(F.size("runs")).alias("n")).first()["n"] or 1
+    while longest > 1:
+        longest = -(-longest // 2)
+        even = F.filter("runs", lambda _, i: i % 2 == 0)
+        odd = F.filter("runs", lambda _, i: i % 2 == 1)
+        pairs = runs.select("version_id", F.explode(F.arrays_zip(even.alias("left"), odd.alias("right"))).alias("p"))
+        pairs = pairs.select("version_id", "p.left", "p.right").distinct()
+        joined = F.concat_ws(".", "left", "right").alias("run")  # a last run without a partner stays as it is
+        first = pairs.join(maps.withColumnRenamed("run", "left"), ["version_id", "left"])
+        second = maps.select("version_id", F.col("run").alias("right"), F.col("here").alias("there"), F.col("there").alias("end"))
+        through = first.join(second, ["version_id", "right", "there"], "left").select(
+            "version_id", joined, "here", F.coalesce("end", "there").alias("there")
         )
-        done = walked.where(F.size("rest") == 0).select(*key, "here")
-        ended = done if ended is None else ended.unionByName(done)
-        open_ends = walked.where(F.size("rest") > 0)
-        if open_ends.isEmpty():
-            break
+        untouched = pairs.join(maps.withColumnRenamed("run", "right"), ["version_id", "right"]).join(
+            first.select("version_id", "left", "right", "here"), ["version_id", "left", "right", "here"], "left_anti"
+        )
+        maps = cut_lineage(through.unionByName(untouched.select("version_id", joined, "here", "there")))
+        ends = F.transform(F.arrays_zip(even.alias("left"), odd.alias("right")), lambda p: F.concat_ws(".", p["left"], p["right"]))
+        runs = cut_lineage(runs.withColumn("runs", ends))
+    ended = maps.select("version_id", F.col("run").alias("chain"), F.col("here").alias("model"), F.col("there").alias("_end"))
     return (
-        uses.join(ended, key, "left")
-        .withColumn("model", F.coalesce("here", "model"))
-        .drop("here", "chain")
+        uses.join(ended, ["version_id", "chain", "model"], "left")
+        .withColumn("model", F.coalesce("_end", "model"))
+        .select(*[c for c in uses.columns if c != "chain"])
     )
 
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from histmetrics.session import scratch_path
+from histmetrics.session import stored
 
 FILE = ("version_id", "module", "relative_path")
 
@@ -37,9 +37,7 @@ def distinct_contents(files: DataFrame, where: Column | None = None) -> DataFram
     if where is not None:
         chosen = chosen.where(where)
     first = chosen.groupBy("content_sha").agg(F.min(F.struct(*FILE)).alias("_file"))
-    path = scratch_path(files.sparkSession, "chosen")
-    first.select("content_sha", "_file.*").write.parquet(path)
-    kept = files.sparkSession.read.parquet(path)
+    kept = stored(first.select("content_sha", "_file.*"), "chosen")
     return chosen.join(kept, [*FILE, "content_sha"], "left_semi").select("content_sha", "content")
 
 

@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 
 from histmetrics.functions.catalog import KIND_GROUP
 from histmetrics.functions.validate import MODULE
+from histmetrics.session import stored
 
+# Uses of one model or member that one task joins; more are split.
+HEAVY = 100_000
 EDGE = ("version_id", "source", "target")
 FACT = ("version_id", "source", "target", "kind", "file_path", "line", "detail")
 
@@ -159,6 +162,25 @@ def module_scores(modules: DataFrame, edges: DataFrame) -> DataFrame:
 # --- links --------------------------------------------------------------------
 
 
+def deal_heavy(
+    uses: DataFrame, owners: DataFrame, keys: Sequence[str], heavy: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join with a ``_salt``, so that no key brings more than about ``heavy`` uses to one task.
+
+    Uses are counted per key; only keys above ``heavy`` (a table that holds a few rows per
+    ``heavy`` uses at most) get several salts: their uses are split by a hash of the whole
+    row, their owners are copied to each.
+    """
+    heavy = heavy or HEAVY
+    counts = uses.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > heavy)
+    salts = stored(counts.select(*keys, F.ceil(F.col("_n") / heavy).cast("int").alias("_salts")), "heavy")
+    number = F.coalesce("_salts", F.lit(1))
+    row = F.xxhash64(*[F.col(c) for c in uses.columns])
+    split = uses.join(salts, list(keys), "left").withColumn("_salt", F.pmod(row, number).cast("int")).drop("_salts")
+    copied = owners.join(salts, list(keys), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), number - 1)))
+    return split, copied.drop("_salts")
+
+
 def _link(uses: DataFrame, owners: DataFrame, keys: list[str], modules: DataFrame, evidence: bool) -> DataFrame:
     """Uses ``(version_id, module, kind, …keys[, n])`` to facts against their owners.
 
@@ -170,7 +192,8 @@ def _link(uses: DataFrame, owners: DataFrame, keys: list[str], modules: DataFram
     if evidence:
         extra = [c for c in ("file_path", "line", "detail") if c in uses.columns]
         base = uses.select(*where, source, "kind", *extra)
-        return in_scope(base.join(provider, where), modules).select(*EDGE, "kind", *extra)
+        split, copied = deal_heavy(base, provider, where)
+        return in_scope(split.join(copied, [*where, "_salt"]), modules).select(*EDGE, "kind", *extra)
     n = F.sum("n") if "n" in uses.columns else F.count(F.lit(1))
     base = uses.groupBy(*where, source, "kind").agg(n.alias("n"))
     linked = base.join(provider, where).groupBy(*EDGE, "kind").agg(F.sum("n").alias("n"))

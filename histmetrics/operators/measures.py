@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from histmetrics.functions.catalog import FAMILIES, LINE_CATEGORIES
 from histmetrics.functions.text import TEST_FILE, line_category
 from histmetrics.schemas import DISTRIBUTION
-from histmetrics.session import cut_lineage, scratch_path
+from histmetrics.session import cut_lineage, stored
 
 STATS = ("count", "mean", "median", "p95", "max")
 ENTITY_FILE = ("version_id", "module", "relative_path")
@@ -51,13 +51,6 @@ def _place(v: Column) -> Column:
     return edge.otherwise(signed).cast("int")
 
 
-def _stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table in the shared folder: the planner knows its size, and broadcasts it only if it is small."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def _located(sums: DataFrame, targets: DataFrame | None, group: list[str], place: str) -> DataFrame:
     """Which ``place`` of its group holds each rank, and the rank's position ``_at`` inside it."""
     upto = F.sum("_n").over(Window.partitionBy(*group).orderBy(place).rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -87,7 +80,7 @@ def _narrowed(held: DataFrame, targets: DataFrame, keys: list[str]) -> tuple[Dat
         below = F.size(F.filter("_cuts", lambda c: c < F.col("value")))
         ranged = held.join(bounds, group).select(*group, below.alias("_range"), "value", "n")
         sums = ranged.groupBy(*group, "_range").agg(F.sum("n").alias("_n"))
-        found = _stored(_located(sums, targets, group, "_range"), "targets")
+        found = stored(_located(sums, targets, group, "_range"), "targets")
         path = F.concat_ws("/", F.col("_place").cast("string"), F.col("_range").cast("string"))
         kept = ranged.join(found.select(*group, "_range").distinct(), [*group, "_range"], "left_semi")
         held = cut_lineage(kept.select(*keys, path.alias("_place"), "value", "n"))
@@ -111,7 +104,7 @@ def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
     each = F.explode(F.array(*[F.struct(F.lit(r).alias("_rank"), at.cast("long").alias("_at")) for r, at in ranks.items()]))
     asked = totals.select(*keys, each.alias("_t")).select(*keys, "_t.*")
-    targets = _stored(_located(sums, asked, keys, "_place"), "targets")
+    targets = stored(_located(sums, asked, keys, "_place"), "targets")
     # Second reading: only values at places that hold a rank are counted one by one.
     placed = rows.withColumn("_place", _place(F.col("value")))
     inside = placed.join(targets.select(*keys, "_place").distinct(), [*keys, "_place"], "left_semi")

@@ -12,17 +12,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from histmetrics.session import cut_lineage
+
 
 def global_position(
-    df: DataFrame, order: Sequence[Column | str], bucket: Column, name: str = "position"
+    df: DataFrame, order: Sequence[Column | str], bucket: Column | None = None, name: str = "position"
 ) -> DataFrame:
     """0-based position of each row in a total order, without sorting in one task.
 
-    ``bucket`` must never fall along ``order`` (a calendar day of a timestamp, a
-    sequence number divided by some size). Rows are ranked inside their bucket;
-    the buckets' counts, one row each, give the offsets.
+    Rows are dealt into ranges whose bounds Spark samples from the data, so they are even
+    however the keys lie. Rows are ranked inside their range; the ranges' counts, one row
+    each, give the offsets. A caller that has a ``bucket`` which never falls along ``order``
+    (and is even) saves the dealing.
     """
-    tagged = df.withColumn("_bucket", bucket)
+    if bucket is None:
+        # Written before it is read twice, so that both readers see the same ranges.
+        tagged = cut_lineage(df.repartitionByRange(*order).withColumn("_bucket", F.spark_partition_id()))
+    else:
+        tagged = df.withColumn("_bucket", bucket)
     sizes = tagged.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
@@ -35,9 +42,9 @@ def global_position(
     )
 
 
-def version_neighbors(versions: DataFrame, bucket: Column, order: str = "version_order") -> DataFrame:
+def version_neighbors(versions: DataFrame, order: str = "version_order") -> DataFrame:
     """Position, previous and next version, and whether the sequence ends here."""
-    placed = global_position(versions.select("version_id", order), [order], bucket)
+    placed = cut_lineage(global_position(versions.select("version_id", order), [order]))
     earlier = placed.select((F.col("position") + 1).alias("position"), F.col("version_id").alias("previous_id"))
     later = placed.select((F.col("position") - 1).alias("position"), F.col("version_id").alias("next_id"))
     return (

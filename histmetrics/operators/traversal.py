@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from histmetrics.session import cut_lineage
+from histmetrics.session import stored
 
 
 def visible_edges(
@@ -29,8 +30,10 @@ def neighborhood(
     """Nodes within ``depth`` hops of the seeds, with the hop they are first met at.
 
     ``seeds`` holds ``(version_id, node)``; ``direction`` is ``out``, ``in`` or
-    ``both``. Every hop joins only the last frontier with the edges; the walk ends
-    early when a hop meets nothing new.
+    ``both``. Adjacency and frontiers are stored tables: a small frontier is broadcast to
+    the adjacency, which is laid out once and never shuffled for it. What a hop meets is
+    held against earlier frontiers, in both directions against the last two alone, where
+    all known neighbours of a frontier must be. The walk ends when a hop meets nothing new.
     """
     if depth < 1:
         raise ValueError(f"depth must be at least 1, got {depth}")
@@ -39,21 +42,19 @@ def neighborhood(
     forward = edges.select("version_id", F.col("source").alias("node"), F.col("target").alias("next"))
     backward = edges.select("version_id", F.col("target").alias("node"), F.col("source").alias("next"))
     steps = {"out": forward, "in": backward, "both": forward.unionByName(backward)}[direction]
-    steps = cut_lineage(steps.distinct())
-
-    reached = seeds.select("version_id", "node").distinct().withColumn("hop", F.lit(0))
-    for hop in range(1, depth + 1):
-        met = (
-            reached.where(F.col("hop") == hop - 1)
-            .join(steps, ["version_id", "node"])
-            .select("version_id", F.col("next").alias("node"), F.lit(hop).alias("hop"))
-        )
-        reached = reached.unionByName(met).groupBy("version_id", "node").agg(F.min("hop").alias("hop"))
-        if hop < depth:
-            reached = cut_lineage(reached)
-            if reached.where(F.col("hop") == hop).isEmpty():
-                break
-    return reached
+    steps = stored(steps.distinct(), "adjacency")
+
+    frontiers = [stored(seeds.select("version_id", "node").distinct(), "frontier")]
+    while len(frontiers) <= depth:
+        met = frontiers[-1].join(steps, ["version_id", "node"]).select("version_id", F.col("next").alias("node")).distinct()
+        for known in frontiers[-2:] if direction == "both" else frontiers:
+            met = met.join(known, ["version_id", "node"], "left_anti")
+        met = stored(met, "frontier")
+        if met.isEmpty():
+            break
+        frontiers.append(met)
+    hops = [f.withColumn("hop", F.lit(hop)) for hop, f in enumerate(frontiers)]
+    return reduce(DataFrame.unionByName, hops)
 
 
 def induced_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -54,6 +54,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/histmetrics/{label}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to a new table in the shared folder and read again.
+
+    The planner knows the size of a table: it broadcasts a small one and joins a large
+    one otherwise, with no hint.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, so a lost executor costs a re-read and not a replay."""
     sc = df.sparkSession.sparkContext

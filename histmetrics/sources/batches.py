@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from histmetrics import schemas
+from histmetrics.session import stored
 
 PARTS = {
     "files": "file_metric",
@@ -14,6 +15,7 @@ PARTS = {
     "edges": "coupling_edge",
     "failures": "failure",
 }
+LINE_ROWS = 1000
 #: What a line holds the rows of, beside its version and part.
 OWNER = {"files": "module", "modules": "module", "edges": "source", "failures": "file_path"}
 
@@ -21,8 +23,9 @@ OWNER = {"files": "module", "modules": "module", "edges": "source", "failures":
 def batch_lines(versions: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     """A row per version, part and module (source of edges, file of failures) in the nested batch shape.
 
-    Lines of a version repeat its commit; a version without rows has one line.
-    So no line grows with the size of a version.
+    Lines of a version repeat its commit; a version without rows has one line. Owners with
+    more than ``LINE_ROWS`` rows are split by a hash of the row, so no line grows with the
+    size of a version or of a module.
     """
     parts = []
     for part, table in PARTS.items():
@@ -41,7 +44,14 @@ def batch_lines(versions: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     rows = parts[0]
     for other in parts[1:]:
         rows = rows.unionByName(other)
-    gathered = rows.groupBy("version_id", "_part", "_owner").agg(*[F.collect_list(p).alias(p) for p in PARTS if p in tables])
+    owner = ["version_id", "_part", "_owner"]
+    counts = rows.groupBy(*owner).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > LINE_ROWS)
+    large = stored(counts.select(*[F.col(c).alias(f"{c}_") for c in owner], F.ceil(F.col("_n") / LINE_ROWS).alias("_lines")), "large-owners")
+    same = [rows[c].eqNullSafe(large[f"{c}_"]) for c in owner]
+    whole = F.xxhash64(*[F.to_json(p) for p in PARTS if p in tables])
+    line = F.when(F.col("_lines").isNotNull(), F.pmod(whole, F.col("_lines"))).otherwise(0)
+    rows = rows.join(large, same, "left").withColumn("_line", line)
+    gathered = rows.groupBy(*owner, "_line").agg(*[F.collect_list(p).alias(p) for p in PARTS if p in tables])
     commit = versions.select("version_id", F.struct(*[f.name for f in schemas.VERSION.fields]).alias("commit"))
     return commit.join(gathered, "version_id", "left").select("commit", *[p for p in PARTS if p in tables])
 

@@ -46,7 +46,7 @@ def parse_commit_log(lines: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
-def plan_versions(commits: DataFrame, seq: str = "seq", bucket_size: int = 100_000) -> DataFrame:
+def plan_versions(commits: DataFrame, seq: str = "seq") -> DataFrame:
     """Versions to analyse: blank ids and merges out, oldest first, 0-based order.
 
     ``commits`` holds ``(version_id, parents ARRAY, seq)``; ``seq`` numbers the
@@ -55,13 +55,10 @@ def plan_versions(commits: DataFrame, seq: str = "seq", bucket_size: int = 100_0
     kept = commits.where((F.trim("version_id") != "") & (F.size("parents") < 2)).select(
         F.trim("version_id").alias("version_id"), seq
     )
-    bucket = F.floor(F.col(seq) / bucket_size)
-    return global_position(kept, [seq, "version_id"], bucket, "version_order").drop(seq)
+    return global_position(kept, [seq, "version_id"], name="version_order").drop(seq)
 
 
-def plan_short_log(
-    lines: DataFrame, limit: int = 100, column: str = "value", seq: str = "seq", bucket_size: int = 1_000_000
-) -> DataFrame:
+def plan_short_log(lines: DataFrame, limit: int = 100, column: str = "value", seq: str = "seq") -> DataFrame:
     """The first ``limit`` lines ``<hash> <epoch> <subject>`` up to a blank one; order = position.
 
     Lines are numbered by ``seq``, which may have gaps; blank lines before the
@@ -74,7 +71,7 @@ def plan_short_log(
     records = here.where(F.coalesce(F.col(seq) < stop, F.lit(True))).select(
         F.split(F.ltrim(column), " ", 2)[0].alias("version_id"), seq
     )
-    placed = global_position(records, [seq], F.floor(F.col(seq) / bucket_size), "_place")
+    placed = global_position(records, [seq], name="_place")
     return placed.where(F.col("_place") < limit).select("version_id", F.col("_place").cast("int").alias("version_order"))
 
 

@@ -273,3 +273,25 @@ def test_texts_are_read_where_they_lie(spark):
         moved = [line for line in plan.splitlines() if "Exchange" in line]
         assert moved and all("BroadcastExchange" in line and "content#" not in line for line in moved), plan
     assert references.xml_reference_facts(given).count() == 4 * 6
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    """A chain of 40 attributes over models in a ring, one that leaves it, and attributes that lead nowhere."""
+    ring = [("v", f"m{k}", "next", f"m{(k + 1) % 9}") for k in range(9)] + [("v", "m3", "out", "other"), ("w", "m0", "next", "else")]
+    fields = spark.createDataFrame(ring, "version_id string, model string, field string, comodel string")
+    chains = [".".join(["next"] * n) for n in (1, 2, 3, 5, 8, 40)] + ["next.next.next.out.name.next", "nothing", "name.next", "next.name.next"]
+    uses = spark.createDataFrame(
+        [(v, "m0", c, "x", k) for k, c in enumerate([*chains, ""]) for v in ("v", "w")] + [("v", "unknown", "next.next", "x", 99)],
+        "version_id string, model string, chain string, member string, line int",
+    )
+    rounds, cut = [], classes.cut_lineage
+    monkeypatch.setattr(classes, "cut_lineage", lambda df: (rounds.append(1), cut(df))[1])
+    got = {(r["version_id"], r["line"]): r["model"] for r in classes.resolve_chains(uses, fields).collect()}
+    step = {(v, m, f): c for v, m, f, c in ring}
+    for version in ("v", "w"):
+        for k, chain in enumerate([*chains, ""]):
+            here = "m0"
+            for name in chain.split("."):
+                here = step.get((version, here, name), here)
+            assert got[version, k] == here, (version, chain)
+    assert got["v", 99] == "unknown" and (len(rounds) - 2) // 2 <= 6

@@ -130,7 +130,7 @@ def test_scope(spark, rows):
 
 
 def test_positions_and_neighbours(spark, rows):
-    out = ordering.version_neighbors(versions(spark), F.floor(F.col("version_order") / 2))
+    out = ordering.version_neighbors(versions(spark))
     assert rows(out) == [
         ("aa", 0, 0, None, "bb", False), ("bb", 1, 1, "aa", "cc", False), ("cc", 2, 2, "bb", None, True)
     ]

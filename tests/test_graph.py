@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,3 +147,38 @@ def test_relations_diff(spark, rows):
     )
     versions = spark.createDataFrame([("p", 0), ("q", 1)], "version_id string, version_order int")
     assert rows(series.relations_diff(edges, versions, "p", "q")) == [("a", "b", "removed", 1, None), ("d", "c", "added", None, 3)]
+
+
+def test_heavy_keys_are_joined_by_many_tasks(spark, rows):
+    """One model with a third of all uses; no salt of it brings more than about ``heavy`` of them together."""
+    uses = spark.range(900).select(
+        F.lit("v").alias("version_id"), F.concat(F.lit("m"), F.col("id") % 7).alias("module"),
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("x"), F.col("id"))).alias("model"),
+        F.lit("python_many2one").alias("kind"), F.concat(F.lit("f"), F.col("id")).alias("file_path"), F.col("id").cast("int").alias("line"),
+    )
+    owners = spark.createDataFrame([("v", "hot", "a"), ("v", "hot", "b"), ("v", "x1", "a")], "version_id string, model string, target string")
+    split, copied = graph.deal_heavy(uses, owners, ["version_id", "model"], heavy=50)
+    sizes = {(r["model"], r["_salt"]): r["count"] for r in split.groupBy("model", "_salt").count().collect()}
+    assert len([k for k in sizes if k[0] == "hot"]) == 6 and max(sizes.values()) < 75
+    joined = split.join(copied, ["version_id", "model", "_salt"]).select("file_path", "target")
+    assert rows(joined) == rows(uses.join(owners, ["version_id", "model"]).select("file_path", "target"))
+    modules = spark.createDataFrame([("v", "a"), ("v", "b")], "version_id string, module string")
+    named = owners.withColumnRenamed("target", "module")
+    found = graph.link_models(uses, named, modules, evidence=True)
+    assert found.count() == 2 * 300 + 1
+
+
+@pytest.mark.parametrize("direction", ["out", "in", "both"])
+def test_neighbourhoods_match_a_plain_walk(spark, direction):
+    rng = random.Random(3)
+    pairs = {(rng.randrange(40), rng.randrange(40)) for _ in range(55)}
+    edges = spark.createDataFrame([("v", str(a), str(b)) for a, b in pairs], "version_id string, source string, target string")
+    seeds = spark.createDataFrame([("v", "1"), ("v", "2"), ("v", "2")], "version_id string, node string")
+    near = {(a, b) for a, b in pairs if direction != "in"} | {(b, a) for a, b in pairs if direction != "out"}
+    for depth in (1, 3, 9):
+        want, frontier = {1: 0, 2: 0}, {1, 2}
+        for hop in range(1, depth + 1):
+            frontier = {b for a, b in near if a in frontier} - want.keys()
+            want.update(dict.fromkeys(frontier, hop))
+        got = {int(r["node"]): r["hop"] for r in traversal.neighborhood(edges, seeds, depth, direction).collect()}
+        assert got == want

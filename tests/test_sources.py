@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from histmetrics import schemas
 from histmetrics.session import folder_names, scratch_path
+from histmetrics.operators import ordering
 from histmetrics.sources import batches, logs, sinks, store, tables, trees
 from histmetrics.streaming import incremental
 
@@ -23,7 +24,7 @@ def test_commit_records(spark):
 
 def test_plan_keeps_positions_of_the_full_list(spark, rows):
     data = [("a", ["p"], 0), ("  ", ["p"], 1), ("m", ["p", "q"], 2), ("b", [], 3), ("c", ["b"], 4)]
-    planned = logs.plan_versions(spark.createDataFrame(data, "version_id string, parents array<string>, seq long"), bucket_size=2)
+    planned = logs.plan_versions(spark.createDataFrame(data, "version_id string, parents array<string>, seq long"))
     assert rows(planned) == [("a", 0), ("b", 1), ("c", 2)]
     stored = spark.createDataFrame([("a",), ("b",)], "version_id string")
     assert rows(logs.pending_versions(planned, stored)) == [("c", 2)]
@@ -216,3 +217,26 @@ def test_result_formats(spark):
     path = scratch_path(spark, "t")
     sinks.write_result(df, path, "text")
     assert spark.read.text(path).count() == df.count()
+
+
+def test_lines_of_large_modules_are_split(spark, rows, monkeypatch):
+    monkeypatch.setattr(batches, "LINE_ROWS", 20)
+    edges = edge_rows(spark, *[(0, "hot", f"t{i}", 1) for i in range(200)], (0, "cold", "t", 1), (1, "hot", "t", 1))
+    lines = batches.batch_lines(version_rows(spark, 0, 1), {"edges": edges}).select(F.size("edges").alias("n")).collect()
+    assert sum(r["n"] for r in lines) == 202 and max(r["n"] for r in lines) < 40 and len(lines) >= 10
+
+
+def test_positions_of_far_and_equal_keys(spark):
+    keys = [(10**k, f"a{k}") for k in range(12)] + [(7, f"b{k}") for k in range(300)]
+    placed = ordering.global_position(spark.createDataFrame(keys, "seq long, name string").repartition(5), ["seq", "name"])
+    assert [r["position"] for r in placed.orderBy("seq", "name").collect()] == list(range(312))
+
+
+def test_raw_bytes_are_kept_only_where_there_is_no_text(spark, tmp_path):
+    for version in ("v1", "v2"):
+        (tmp_path / version / "m").mkdir(parents=True)
+        (tmp_path / version / "m" / "a.py").write_bytes(b"x")
+        (tmp_path / version / "m" / "b.py").write_bytes(b"\xff")
+    got = {(r["version_id"], r["relative_path"]): (r["content"], r["raw"]) for r in trees.read_file_tree(spark, str(tmp_path)).collect()}
+    assert got == {(v, p): x for v in ("v1", "v2") for p, x in (("a.py", ("x", None)), ("b.py", (None, bytearray(b"\xff"))))}
+    assert spark.conf.get(trees.LISTING) != "0"
