@@ -8,6 +8,7 @@ import sys
 import time
 
 from histmetrics.demo import QUERIES
+from histmetrics.demo.frames import history
 from histmetrics.session import build_session
 
 HEADLINE = (
@@ -48,6 +49,10 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     QUERIES["line_counts"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm-up
     seconds = {}
+    if "hotspots" in names:  # the stored history that the reads below share
+        begin = time.perf_counter()
+        history(spark, sf_dir)
+        seconds["write_history"] = round(time.perf_counter() - begin, 3)
     for name in names:
         begin = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
