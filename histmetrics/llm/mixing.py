@@ -104,7 +104,7 @@ def schedule(targets: DataFrame, block: int) -> DataFrame:
     points = points.withColumn("_cell", F.floor(F.col("_at") / F.lit(total or 1.0) * cells))
     dealt = points.join(where, "_cell").where((F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_end")))
     dealt = dealt.select(F.col("id").alias("slot"), "source", "target")
-    slots = dealt.withColumn("_bucket", F.floor(F.col("slot") / BUCKET_ROWS))
+    slots = cut_lineage(dealt.withColumn("_bucket", F.floor(F.col("slot") / BUCKET_ROWS)))
     sizes = slots.groupBy("source", "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
     before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
@@ -146,7 +146,8 @@ def _mix(sized: DataFrame, block: int) -> DataFrame:
     targets = cut_lineage(source_targets(sums.drop("_n")))
     placed = streams(narrow, max(1, count // BUCKET_ROWS))
     per_source = targets.select(F.col("source").alias("_source"), F.col("size").alias("source_size"), "target")
-    placed = placed.join(per_source, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    # Narrow rows that are read twice: cut here, the plans of what follows stay small in the driver.
+    placed = cut_lineage(placed.join(per_source, F.col("source").eqNullSafe(F.col("_source"))).drop("_source"))
     # Two passes over the stream; a document lies in the blocks from its first to its last word.
     begin = F.col("begin") + F.col("pass") * F.col("source_size")
     passes = placed.where(F.col("size") > 0).withColumn("pass", F.explode(F.array(F.lit(0), F.lit(1))))
