@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 from histmetrics.demo import frames
 from histmetrics.demo.registry import query
 from histmetrics.extract import classes, complexity, references
+from histmetrics.extract.contents import with_sha
 from histmetrics.operators import graph
-from histmetrics.plans.analysis import analyze_files
-from histmetrics.session import scratch_path
+from histmetrics.plans.analysis import analyze_files, select_files
+from histmetrics.session import scratch_path, stored
 from histmetrics.sources.store import HistoryStore
 from histmetrics.streaming.incremental import analyze_pending
 
@@ -216,3 +217,64 @@ def _(spark, sf):
     ):
         out = out.join(part, "version_id", "left")
     return out.na.fill(0)
+
+
+_SCOPE = f"(SELECT DISTINCT version_id, source FROM {_XML} WHERE source LIKE 'NATION_1%')"
+
+
+@query(
+    "analyze_project",
+    f"""SELECT version_id, files, modules, python, coalesce(edges, 0) AS edges, coalesce(points, 0) AS points, failed, skipped FROM
+        (SELECT version_id, 2 * count(*) + count(DISTINCT source) + max(sellers) AS files, count(DISTINCT source) AS modules,
+           CAST(count(*) + max(sellers) AS DOUBLE) AS python, CAST(count(*) FILTER (broken) AS BIGINT) AS failed,
+           count(DISTINCT source) FILTER (CAST(split_part(source, '_', 2) AS INTEGER) % 2 = 0) AS skipped
+         FROM {_XML} JOIN (SELECT version_id, count(*) AS sellers FROM (SELECT DISTINCT x.version_id, target FROM {_XML} x JOIN {_SCOPE} s
+           ON s.version_id = x.version_id AND s.source = x.target) GROUP BY ALL) USING (version_id)
+         WHERE source LIKE 'NATION_1%' GROUP BY ALL)
+        LEFT JOIN (SELECT version_id, count(DISTINCT source || ' ' || target) AS edges, count(DISTINCT source || ' ' || target || ' ' || kind) AS points FROM (
+          SELECT version_id, source, target, unnest(['xml_percent_ref', 'security_ir_rule_model_ref', 'security_ir_rule_ref', 'xml_inherit_id', 'security_csv_ref',
+            CASE WHEN l_linestatus = 'F' THEN 'security_xml_ref' ELSE 'xml_ref' END]) AS kind FROM {_XML} WHERE NOT broken
+          UNION ALL SELECT version_id, source, target, unnest(['xml_percent_ref', 'security_csv_ref']) FROM {_XML} WHERE broken
+          UNION ALL SELECT version_id, source, 'NATION_' || (CAST(split_part(source, '_', 2) AS INTEGER) + 1), 'manifest_depends' FROM {_SCOPE}) f
+          WHERE source <> target AND (version_id, source) IN (SELECT (version_id, source) FROM {_SCOPE})
+            AND (version_id, target) IN (SELECT (version_id, source) FROM {_SCOPE})
+          GROUP BY ALL) USING (version_id)""",
+)
+def _(spark, sf):
+    """Manifests, XML, CSV and Python files of two scan roots: scoped, without duplicate and stray files, analysed and stored."""
+    columns = ("version_id", "module", "relative_path", "content")
+    texts = [frames.xml_files(spark, sf), frames.csv_files(spark, sf), frames.class_files(spark, sf)]
+    modules = frames.shipments(spark, sf).select("version_id", F.col("source").alias("module")).distinct()
+    number = F.substring_index("module", "_", -1).cast("int")
+    depends = F.concat(F.lit("{'depends': ['NATION_"), (number + 1).cast("string"), F.lit("', 'gone']}"))
+    manifests = modules.select("version_id", "module", F.lit("__manifest__.py").alias("relative_path"), depends.alias("content"))
+    own = manifests
+    for other in texts:
+        own = own.unionByName(other.select(*columns))
+    stray = modules.select("version_id", "module", F.lit("../elsewhere/x.xml").alias("relative_path"), F.lit("<a>").alias("content"))
+    copies = manifests.where(number % 2 == 0)
+    copies = copies.unionByName(copies.withColumns({"relative_path": F.lit("views/x.xml"), "content": F.lit("<a>")}))
+    roots = (("addons", own.unionByName(stray)), ("vendor", copies))
+    placed = [df.withColumn("path", F.concat(F.lit(f"{root}/"), "module")).withColumn("seq", F.lit(k)) for k, (root, df) in enumerate(roots)]
+    tree = stored(with_sha(placed[0].unionByName(placed[1])), "tree")
+    files, skipped = select_files(tree, prefixes=["NATION_1"])
+    store = HistoryStore(spark, scratch_path(spark, "analysis"))
+
+    def measure(wanted):
+        return analyze_files(files.join(wanted.select("version_id"), "version_id", "left_semi"))
+
+    analyze_pending(store, frames.versions(spark, sf), measure)
+
+    def tally(df, *aggregates):
+        return df.groupBy("version_id").agg(*aggregates)
+
+    one = F.count(F.lit(1))
+    out = tally(store.read("file_metric"), one.alias("files"))
+    for part in (
+        tally(store.read("module_aggregate"), one.alias("modules"), F.sum(F.col("metrics")["python_file_count"]).alias("python")),
+        tally(store.read("coupling_edge"), one.alias("edges"), F.sum("kind_occurrence_count").alias("points")),
+        tally(store.read("failure"), one.alias("failed")),
+        tally(skipped, one.alias("skipped")),
+    ):
+        out = out.join(part, "version_id", "left")
+    return out.na.fill(0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,11 +11,41 @@ from histmetrics import schemas
 from histmetrics.extract import classes, complexity, references
 from histmetrics.extract.contents import with_sha
 from histmetrics.functions.text import line_count
-from histmetrics.operators import graph, measures
-from histmetrics.session import cut_lineage
+from histmetrics.operators import graph, measures, ordering
+from histmetrics.plans import reads
+from histmetrics.session import cut_lineage, stored
 from histmetrics.sources.tables import conform
 
 
+MANIFEST = "__manifest__.py"
+
+
+def select_files(
+    files: DataFrame,
+    prefixes: Sequence[str] = (),
+    include: Sequence[str] = (),
+    all_modules: bool = False,
+    policy: str = "keep_first",
+    prefer: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Files of the modules to analyse, and the duplicates that were skipped.
+
+    ``files`` also holds ``path``, the module's folder, and ``seq``, the order in which
+    the scan meets folders. A module is a folder with a manifest whose name is in scope; of
+    folders with the same name one wins (see :func:`ordering.resolve_duplicates`). Files
+    that lead out of their folder are left out. Only names are shuffled: the winners are a
+    table of known size that goes to the files.
+    """
+    named = reads.scope_modules(files, prefixes, include, all_modules)
+    folder = F.concat(F.lit("/"), F.trim("path", F.lit("/")), F.lit("/"))
+    inside = F.startswith(reads.collapse_path(F.concat(folder, "relative_path")), folder)
+    manifests = named.where(F.col("relative_path") == MANIFEST).select("version_id", "module", "path", "seq")
+    kept, skipped = ordering.resolve_duplicates(manifests, policy, prefer)
+    winners = stored(kept.select("version_id", "module", "path"), "modules")
+    chosen = named.where(inside).join(winners, ["version_id", "module", "path"], "left_semi")
+    return chosen.drop("path", "seq"), skipped
+
+
 def analyze_files(
     files: DataFrame, count_mode: str = "presence", python_links: bool = False
 ) -> tuple[dict[str, DataFrame], DataFrame]:

@@ -157,7 +157,7 @@ def scope_modules(
     return modules.where(keep)
 
 
-def _collapse(path: Column) -> Column:
+def collapse_path(path: Column) -> Column:
     """A path without empty, ``.`` and ``..`` parts."""
     parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
 
@@ -173,7 +173,7 @@ def within_root(paths: DataFrame, root: str, column: str = "path") -> DataFrame:
     """Paths resolved against the root, flagged by whether they stay at or under it."""
     base = "/" + root.strip("/")
     p = F.col(column)
-    resolved = _collapse(F.when(p.startswith("/"), p).otherwise(F.concat(F.lit(base + "/"), p)))
+    resolved = collapse_path(F.when(p.startswith("/"), p).otherwise(F.concat(F.lit(base + "/"), p)))
     inside = (F.col("resolved") == base) | F.col("resolved").startswith(base + "/")
     return paths.withColumn("resolved", resolved).withColumn("inside", inside)
 

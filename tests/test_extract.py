@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from histmetrics.extract import classes, complexity, references
-from histmetrics.plans.analysis import analyze_files
+from histmetrics.plans.analysis import analyze_files, select_files
 
 FILES = "version_id string, module string, relative_path string, content string"
 
@@ -295,3 +295,25 @@ def test_long_chains_take_few_rounds(spark, monkeypatch):
                 here = step.get((version, here, name), here)
             assert got[version, k] == here, (version, chain)
     assert got["v", 99] == "unknown" and (len(rounds) - 2) // 2 <= 6
+
+
+def test_scope_duplicates_and_stray_files(spark, rows):
+    given = spark.createDataFrame(
+        [
+            ("v", "sale", "addons/sale", 0, "__manifest__.py", "{}"), ("v", "sale", "addons/sale", 0, "a.xml", "<a/>"),
+            ("v", "sale", "vendor/sale", 1, "__manifest__.py", "{}"), ("v", "sale", "vendor/sale", 1, "b.xml", "<b/>"),
+            ("v", "sale", "addons/sale", 0, "../crm/c.xml", "<c/>"), ("v", "sale", "addons/sale", 0, "x/../d.xml", "<d/>"),
+            ("v", "sale_x", "vendor/sale_x", 2, "__manifest__.py", "{}"), ("v", "sale_docs", "addons/sale_docs", 3, "e.xml", "<e/>"),
+            ("v", "crm", "addons/crm", 4, "__manifest__.py", "{}"),
+        ],
+        "version_id string, module string, path string, seq long, relative_path string, content string",
+    )
+    kept, skipped = select_files(given, prefixes=["sale"])
+    assert rows(kept, "module", "relative_path") == [
+        ("sale", "__manifest__.py"), ("sale", "a.xml"), ("sale", "x/../d.xml"), ("sale_x", "__manifest__.py")
+    ]
+    assert rows(skipped, "kept_path", "skipped_path") == [("addons/sale", "vendor/sale")]
+    kept, _ = select_files(given, all_modules=True, policy="prefer_prefix", prefer="vendor")
+    assert rows(kept, "module", "relative_path") == [
+        ("crm", "__manifest__.py"), ("sale", "__manifest__.py"), ("sale", "b.xml"), ("sale_x", "__manifest__.py")
+    ]
