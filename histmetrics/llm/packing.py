@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 from histmetrics.session import cut_lineage
 
 WIDTH, END_ID = 1024, 2
-#: The byte-level BPE vocabulary (ranks equal the ids of the same vocabulary's JSON file).
-VOCABULARY = "byte_bpe_50k"
+#: The byte-level BPE vocabulary (ranks equal the ids of the same vocabulary's JSON file) and its added
+#: token, which has the id after the ranks wherever its string stands in a text.
+VOCABULARY, ADDED = "byte_bpe_50k", "<|endoftext|>"
 BUCKETS = 4096
 
 _encoders: dict[str, object] = {}
@@ -46,11 +47,17 @@ def encoder(vocabulary: str):
         with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         _encoders[vocabulary] = tiktoken.Encoding(
-            vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+            vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={ADDED: len(ranks)}
         )
     return _encoders[vocabulary]
 
 
+def ids_of(text: str, vocabulary: str = VOCABULARY) -> list[int]:
+    """Ids of a text as the vocabulary's JSON file gives them, the added token included."""
+    made = encoder(vocabulary)
+    return made.encode(text, allowed_special={ADDED}) if ADDED in text else made.encode_ordinary(text)
+
+
 def cut(ids: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray]]:
     """(start, ids) of each piece; all but the first are full."""
     first = len(ids) % width or width
@@ -64,11 +71,10 @@ def pieces(documents: DataFrame, width: int = WIDTH, vocabulary: str = VOCABULAR
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode_ordinary
         for batch in batches:
             owner, number, start, length, crc = [], [], [], [], []
             for at, text in enumerate(batch.column(1)):
-                ids = np.array([*encode(text.as_py() or ""), end_id], dtype="<u4")
+                ids = np.array([*ids_of(text.as_py() or "", vocabulary), end_id], dtype="<u4")
                 for k, (begin, part) in enumerate(cut(ids, width)):
                     owner.append(at)
                     number.append(k)

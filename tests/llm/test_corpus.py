@@ -243,9 +243,10 @@ def test_packing_is_whole_and_tight(spark):
 
     rng = random.Random(15)
     rows = [(1000 + i, prose(rng, rng.randint(1, 500)), "s") for i in range(150)] + odd_rows()
+    added = packing.ADDED
+    rows += [(2000 + i, t, "s") for i, t in enumerate([added, f"a {added} b", f"x{added}{added}\n\n  y", added[:-1], f"é{added}ß", f"<|{added}"])]
     found = packing.pack_documents(frame(spark, rows, extra=True)).collect()
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     want = Counter()
     for i, text, _ in rows:
         ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 2], dtype="<u4")
