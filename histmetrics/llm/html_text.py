@@ -13,7 +13,11 @@ host and are joined by host.
 
 Left out inside the container: scripts, styles, navigation, headers, footers,
 asides, forms, buttons, adverts, notices, sidebars, menus and reader comments, by
-tag, role or class words. A comment of the markup never counts as text.
+tag, role or class words. A comment of the markup never counts as text. A class
+word alone does not take the article away: names that state something of the page
+(``no-sidebar``, ``with-footer``, ``comments-enabled``) do not count, and an element
+that is named so is kept if it holds the winning container, ``main``, an article
+that outweighs what stands outside such elements, or nearly all running text.
 
 Defined results: null and empty pages give an empty text; a null or odd url has
 the empty host; repeated rows get the same text each; an empty table gives an
@@ -56,6 +60,14 @@ SKIPPED_WORDS = frozenset(
     header masthead menu menus modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted
     related respond reply replies share sharing sidebar social sponsor sponsored subscribe topbar toolbar widget widgets skip""".split()
 )
+READER_WORDS = frozenset("comment comments disqus respond reply replies".split())
+# Words of a name that tell what a page has or is, before and after the word they are about.
+STATES_BEFORE = frozenset("no not has have with without is".split())
+STATES_AFTER = frozenset("enabled disabled open closed on off".split())
+#: An element that is named like an advert is the article if it holds so much running text, and so many times what stands outside.
+LEAST_ARTICLE, OUTWEIGHS = 200, 4
+#: Blocks of so many characters are running text.
+RUNNING = 25
 CLOSES_PARAGRAPH = frozenset(
     """address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul
     figure details""".split()
@@ -75,27 +87,29 @@ class Page:
     def __init__(self, markup: str):
         self.paths: list[str] = [""]  # of each container, from the root, which holds all
         self.blocks: list[tuple[tuple[int, ...], str, int]] = []
+        self.left_out: dict[int, bool] = {}  # containers that are left out by a word; True: reader comments
         self._read(markup)
+        self._keep_articles()
 
     @staticmethod
-    def _step(tag: str, attributes: str) -> tuple[str, bool]:
-        """Generalised step of an element, and whether its text is left out."""
-        if tag in SKIPPED_TAGS:
-            skip = True
-        else:
-            skip = False
+    def _step(tag: str, attributes: str) -> tuple[str, bool, set[str]]:
+        """Generalised step of an element, whether its text is left out, and words that speak for leaving it out."""
+        skip, words = tag in SKIPPED_TAGS, set()
         if not attributes or tag in ("body", "html", "article", "main") and "class" not in attributes and "role" not in attributes:
-            return tag, skip
+            return tag, skip, words
         found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
         classes = found.get("class", "").lower()
         step = ".".join([tag, *sorted({DIGITS.sub("0", c) for c in classes.split()})])
         if tag not in ("body", "html", "article", "main"):
-            names = {w for c in (*classes.split(), found.get("id", "").lower()) for w in WORDS.findall(c)}
-            skip = skip or bool(names & SKIPPED_WORDS)
+            for name in (*classes.split(), found.get("id", "").lower()):
+                parts = WORDS.findall(name)
+                for before, word, after in zip(["", *parts], parts, [*parts[1:], ""]):
+                    if word in SKIPPED_WORDS and before not in STATES_BEFORE and after not in STATES_AFTER:
+                        words.add(word)
         style = found.get("style", "").replace(" ", "").lower()
         skip = skip or found.get("role", "").lower() in SKIPPED_ROLES
         skip = skip or "hidden" in found or "display:none" in style or re.search(r"\shidden(?=[\s/]|$)", attributes) is not None
-        return step, skip
+        return step, skip, words
 
     def _read(self, markup: str) -> None:
         # One entry for each open element: (tag, path, skipped, container number or -1).
@@ -158,13 +172,17 @@ class Page:
             if tag in CLOSED_BY_SAME:
                 same = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, (tag,))
                 self._close_open(stack, same, close)
-            step, skip = self._step(tag, m[3])
+            step, skip, words = self._step(tag, m[3])
+            if tag in INLINE:
+                skip = skip or bool(words)
             _, path, skipped, _ = stack[-1]
             number = -1
             if tag not in INLINE:
                 path, number = f"{path}/{step}", len(self.paths)
                 self.paths.append(path)
                 containers.append(number)
+                if words:
+                    self.left_out[number] = bool(words & READER_WORDS)
             stack.append((tag, path, skipped or skip, number))
             in_link += tag == "a"
         flush()
@@ -179,11 +197,49 @@ class Page:
             if stack[k][0] not in INLINE:
                 return
 
+    def _keep_articles(self) -> None:
+        """Takes back the leaving out of elements that hold the page's article, one at a time, the largest first."""
+        while self.left_out:
+            held: dict[int, int] = defaultdict(int)
+            outside, all_of = 0, self.left_out
+            for containers, text, linked in self.blocks:
+                value = len(text) - linked if len(text) >= RUNNING else 0
+                if all_of.keys().isdisjoint(containers):
+                    outside += value
+                reader = any(all_of.get(c, False) for c in containers)
+                for k, c in enumerate(containers):
+                    # Reader comments do not make an element an article; they count for themselves alone.
+                    if c in all_of and (not reader or all_of[c]):
+                        held[c] += value
+                    if c in all_of and self._is_article(containers, k, value, all_of):
+                        held[-c] += value
+            good = [
+                c
+                for c, reader in all_of.items()
+                if held[-c] > outside or not reader and held[c] >= LEAST_ARTICLE and held[c] > OUTWEIGHS * outside
+            ]
+            if not good:
+                return
+            del self.left_out[max(good, key=lambda c: (held[c], -c))]
+
+    def _is_article(self, containers: tuple[int, ...], k: int, value: int, left_out: dict[int, bool]) -> bool:
+        """Whether a block lies in a main or article element inside container k, with none that is left out between."""
+        for c in reversed(containers[k + 1 :]):
+            if c in left_out:
+                return False
+            if value and self.paths[c].rpartition("/")[2].split(".")[0] in ("article", "main"):
+                step = self.paths[c].rpartition("/")[2]
+                return READER_WORDS.isdisjoint(WORDS.findall(step))
+        return False
+
+    def _kept(self) -> Iterator[tuple[tuple[int, ...], str, int]]:
+        return (b for b in self.blocks if self.left_out.keys().isdisjoint(b[0]))
+
     def best(self) -> int:
         """Number of the container that holds the most running text itself or in its children; -1 if none."""
         score: dict[int, float] = defaultdict(float)
-        for containers, text, linked in self.blocks:
-            value = (len(text) - 2 * linked) * (1.0 if len(text) >= 25 else 0.25)
+        for containers, text, linked in self._kept():
+            value = (len(text) - 2 * linked) * (1.0 if len(text) >= RUNNING else 0.25)
             score[containers[-1]] += 0.5 * value
             # The parent gathers its paragraphs; a grandparent (sections of one article) gathers half of them.
             if len(containers) > 1:
@@ -202,13 +258,19 @@ class Page:
         return best
 
     def text_of(self, chosen: set[int]) -> str:
-        return " ".join(text for containers, text, _ in self.blocks if not chosen.isdisjoint(containers))
+        """Blocks inside the chosen containers, without what is left out inside them."""
+        parts = []
+        for containers, text, _ in self.blocks:
+            at = next((k for k, c in enumerate(containers) if c in chosen), None)
+            if at is not None and self.left_out.keys().isdisjoint(containers[at + 1 :]):
+                parts.append(text)
+        return " ".join(parts)
 
     def vote(self) -> tuple[str, float]:
         best = self.best()
         if best < 0:
             return "", 0.0
-        held = sum(len(t) for c, t, _ in self.blocks if best in c)
+        held = sum(len(t) for c, t, _ in self._kept() if best in c)
         return self.paths[best], float(held) ** 0.5
 
     def extract(self, winner: str) -> str:

@@ -363,6 +363,33 @@ def test_pages_by_consensus(spark):
     assert html_text.extract_pages(df.where("false")).collect() == []
 
 
+ARTICLE = "The council met on a long day to talk about the river and its banks. " * 6
+SIDE = "<p>" + "Another text that stands beside it and is not short. " * 3 + "</p>"
+
+
+@pytest.mark.parametrize("page", [
+    '<div class="content no-sidebar"><p>%s</p></div>',
+    '<div class="page-with-sidebar comments-enabled"><p>%s</p></div>',
+    '<div class="elementor-widget"><div class="elementor-widget-container"><p>%s</p><div class="sidebar">' + SIDE + "</div></div></div>",
+    '<div class="widget"><main><p>%s</p></main></div><div class="widget">' + SIDE + "</div>",
+    '<div class="share-page"><article><p>%s</p></article><div class="related"><article>' + SIDE + "</article></div></div>",
+    '<div class="text"><p>%s</p></div><div class="comments"><article class="comment-body">' + SIDE * 20 + "</article></div>",
+    '<div class="text"><p>%s</p></div><div class="promo">' + SIDE * 5 + "</div>",
+])
+def test_class_words_do_not_take_the_article(page):
+    assert html_text.Page("<html><body>" + page % ARTICLE + "</body></html>").extract("") == ARTICLE.strip()
+
+
+def test_pages_of_notices_or_comments_alone_are_empty():
+    for page in ('<div class="cookie"><p>We store small things.</p></div>', '<div class="comments">' + SIDE * 20 + "</div>"):
+        assert html_text.Page(page).extract("") == ""
+
+
+def test_the_winning_container_is_kept_whatever_its_name():
+    page = '<div class="intro"><p>' + ARTICLE + '</p></div><div class="widget-7"><p>Short one.</p><div class="ad"><p>Buy</p></div></div>'
+    assert html_text.Page(page).extract("/div.widget-0") == "Short one."
+
+
 @pytest.mark.parametrize("run", [
     lambda d: minhash.near_duplicates(d),
     lambda d: mixing.mix_documents(d),
