@@ -199,6 +199,59 @@ def test_calibrated_cut_is_kept():
     assert 0 < network.cut < 0.5
 
 
+@pytest.fixture(scope="module")
+def scanner():
+    """Prose with dates, and a network fitted on its tokens alone: no pattern finds anything."""
+    rng = random.Random(8)
+    texts = [f"{prose(rng, 60)} 2024-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}T10:00 {prose(rng, 60)}".encode() for _ in range(150)]
+    free = secret_scan.Texts(texts, [[] for _ in texts])
+    windows = sorted({free.window(k) for k in range(len(free.start))})
+    return texts, secret_scan.train(*secret_scan.training_sample([], windows[:: max(1, len(windows) // 3000)]))
+
+
+def test_network_finds_secrets_that_no_pattern_touches(scanner):
+    texts, network = scanner
+    assert sum(map(bool, secret_scan.scan(texts, network))) <= 3
+    rng, found, keys = random.Random(9), 0, secret_scan.made_secrets(270, seed=23)
+    for key in keys:
+        before, after = prose(rng, 12).encode(), prose(rng, 12).encode()
+        text = before + b" " + key + b" " + after
+        if secret_scan.base_spans(text):
+            found += 1
+            continue
+        at = len(before.decode()) + 1
+        spans = secret_scan.scan([text], network)[0]
+        assert not [s for s in spans if s[1] <= at or s[0] >= at + len(key)], (key, spans)
+        found += (at, at + len(key), "model") in spans
+    assert found >= 0.93 * len(keys)
+    # One of letters only, and one of nine characters: neither has twelve characters with a digit.
+    for key in (b"hQzRtKpWvXnBgLmDsYcJ", b"Ab1Cd2Ef3"):
+        assert secret_scan.scan([b"ka lo " + key + b" mi"], network) == [[(6, 6 + len(key), "model")]]
+
+
+def test_texts_and_windows_score_alike(scanner):
+    texts, network = scanner
+    texts = [*texts[:5], b"", b"abcdef", b"x " + b"Zk3" * 20000 + b" y", *texts[5:9], b"a1" * 40]
+    free = secret_scan.Texts(texts, [[] for _ in texts])
+    got, size = network.score_tokens(free), free.end - free.start
+    short = np.flatnonzero(size <= secret_scan.SHOWN)
+    assert np.allclose(got[short], network.score(secret_scan.encode([free.window(k) for k in short])), atol=1e-4)
+    assert (size == 60000).sum() == 1 and got[size == 60000] >= network.cut
+    # Every token of six or more characters is a candidate.
+    want = [m.group() for t in texts for m in secret_scan.TOKEN.finditer(t)]
+    assert [free.body[a:b].tobytes() for a, b in zip(free.start, free.end)] == want
+
+
+def test_findings_are_shown_by_their_value():
+    text = b"xx yy password = abcdef123456 zz"
+    (span,) = secret_scan.base_spans(text)
+    assert secret_scan._value(text, span) == (17, 29, 0)
+    window = secret_scan.windows_of(text, secret_scan._value(text, span))[0]
+    place = secret_scan.windows_of(b"ka lo middle ra ten", (6, 12, 3))[0]
+    hidden = secret_scan.moved(window, place)
+    assert b"lo abcdef123456 ra" in hidden and b"password" not in hidden and hidden[-1] == 12
+
+
 def test_network_learns_shapes():
     rng = random.Random(4)
     hexes = [("".join(rng.choices("0123456789abcdef", k=32))).encode() for _ in range(200)]
