@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from histmetrics.demo import frames
 from histmetrics.demo.registry import query
-from histmetrics.session import cut_lineage, scratch_path
+from histmetrics.session import scratch_path
 from histmetrics.sources.store import HistoryStore
 from histmetrics.streaming import incremental, progress, runs
 
@@ -75,13 +75,17 @@ def run_arrivals(spark, sf):
     sent = events.withColumn("_at", late).unionByName(again.withColumn("_at", late + 3600))
     bounds = sent.agg(F.percentile_approx("_at", [0.25, 0.5, 0.75]).alias("b")).first()["b"]
     numbers = sum((F.col("_at") > b).cast("int") for b in bounds)
-    sent = cut_lineage(sent.withColumn("_file", numbers).drop("_at"))
+    sent, parts = sent.withColumn("_file", numbers).drop("_at"), scratch_path(spark, "parts")
+    sent.write.partitionBy("_file").parquet(parts)
+    schema = sent.drop("_file").schema
     for k in range(4):
-        sent.where(F.col("_file") == k).drop("_file").coalesce(1).write.mode("append").parquet(folder)
+        # A task reads one file's rows and no other's.
+        spark.read.schema(schema).parquet(f"{parts}/_file={k}").coalesce(1).write.mode("append").parquet(folder)
+    sent = spark.read.schema(schema).parquet(*[f"{parts}/_file={k}" for k in range(4)])
     ends = sent.agg(F.max("arrived_at").alias("t")).select((F.col("t") + F.expr("INTERVAL 4000 DAYS")).alias("arrived_at"))
-    tick = ends.select(*[(F.col(f.name) if f.name == "arrived_at" else F.lit(None)).cast(f.dataType).alias(f.name) for f in sent.drop("_file").schema])
+    tick = ends.select(*[(F.col(f.name) if f.name == "arrived_at" else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
     tick.withColumn("run_id", F.lit("tick")).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(sent.drop("_file").schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 def closed_runs(spark, events):

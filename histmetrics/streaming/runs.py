@@ -14,8 +14,7 @@ import datetime as dt
 from bisect import bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -35,7 +34,7 @@ OUT = f"run_id string, {STATUS}, {CHECKS}, closed boolean"
 STATE = T.StructType(
     [T.StructField(n, T.LongType()) for n in (
         "least_seq", "starts", "completed", "failed", "progress", "repeated", "last_progress", "first_terminal",
-        "least_total", "greatest_total", "started_total", "total", "processed", "last_ms", "odd",
+        "least_total", "greatest_total", "started_total", "total", "processed", "last_ms", "odd", "timer_ms",
     )]
     + [T.StructField("first_type", T.StringType()), T.StructField("ranges", T.ArrayType(T.LongType()))]
 )
@@ -119,12 +118,15 @@ class Run:
         return (run_id, s["total"], done, state, percent, n, *checks, all(checks), closed)
 
 
-def _ms(time: pd.Timestamp) -> int:
-    return int(time.value // 1_000_000)
+OUT_ROW = Row(*(c.split()[0] for c in OUT.split(", ")))
 
 
 class RunWatcher(StatefulProcessor):
-    """One row per run and batch that touched it, and one when it is closed."""
+    """One row per run and batch that touched it, and one when it is closed.
+
+    Every call of the handle is a message to the JVM, so a run's timer is moved only when it
+    must ring earlier; one that rings before the run is due is set again then.
+    """
 
     def __init__(self, idle_ms: int, grace_ms: int):
         self.idle_ms, self.grace_ms = idle_ms, grace_ms
@@ -133,29 +135,38 @@ class RunWatcher(StatefulProcessor):
         self.handle = handle
         self.kept = handle.getValueState("run", STATE)
 
-    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
-        names = [c.split()[0] for c in OUT.split(", ")]
-        frame = pd.DataFrame(rows, columns=names)
-        return frame.astype({"total": "Int32", "processed": "Int32", "progress_events": "Int64", "percent": "Float64"})
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        run = Run(self.kept.get() if self.kept.exists() else None)
-        for frame in rows:
-            columns = (frame[c].tolist() for c in ("type", "seq", "commits_total", "processed"))
-            for kind, seq, total, processed, at in zip(*columns, frame["arrived_at"]):
-                numbers = (None if pd.isna(v) else int(v) for v in (seq, total, processed))
-                run.add(None if pd.isna(kind) else kind, *numbers, _ms(at))
+    def _due(self, run: Run) -> int:
+        return run.s["last_ms"] + (self.grace_ms if run.ended() else self.idle_ms)
+
+    def _keep(self, run: Run) -> None:
         self.kept.update(tuple(run.s[n] for n in STATE.names))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(run.s["last_ms"] + (self.grace_ms if run.ended() else self.idle_ms))
-        yield self._frame([run.row(key[0], False)])
 
-    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
-        if self.kept.exists():
-            run = Run(self.kept.get())
-            self.kept.clear()
-            yield self._frame([run.row(key[0], True)])
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        run = Run(self.kept.get())
+        for row in rows:
+            run.add(row["type"], row["seq"], row["commits_total"], row["processed"], row["at_ms"])
+        due, timer = self._due(run), run.s["timer_ms"]
+        if timer is None or due < timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+            run.s["timer_ms"] = due
+        self._keep(run)
+        yield OUT_ROW(*run.row(key[0], False))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
+        kept = self.kept.get()
+        if kept is None:
+            return
+        run = Run(kept)
+        due = self._due(run)
+        if due > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(due)
+            run.s["timer_ms"] = due
+            self._keep(run)
+            return
+        self.kept.clear()
+        yield OUT_ROW(*run.row(key[0], True))
 
     def close(self) -> None:
         pass
@@ -183,12 +194,13 @@ def watch_runs(
         .select(
             "run_id", "type", F.col(seq).cast("long").alias("seq"), F.col("commits_total").cast("long").alias("commits_total"),
             F.col("processed").cast("long").alias("processed"), F.col(arrived).cast("timestamp").alias("arrived_at"),
+            F.unix_millis(F.col(arrived).cast("timestamp")).alias("at_ms"),
         )
         .withWatermark("arrived_at", delay)
         .dropDuplicatesWithinWatermark(["run_id", "seq"])
     )
     ms = [int(span.total_seconds() * 1000) for span in (idle, grace)]
-    return once.groupBy("run_id").transformWithStateInPandas(RunWatcher(*ms), OUT, "Update", "EventTime")
+    return once.groupBy("run_id").transformWithState(RunWatcher(*ms), OUT, "Update", "EventTime")
 
 
 def judge_runs(events: DataFrame, seq: str = "seq") -> DataFrame:

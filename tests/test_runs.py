@@ -82,3 +82,51 @@ def test_stream_equals_batch_and_state_falls_to_zero(spark):
     assert closed == want and len([r for r in known if r["closed"]]) == len(want)
     assert sum(v[-1] for v in want.values()) == 13  # the good ones and the failed one
     assert sum(op["numRowsTotal"] for op in state) <= 2  # the last tick: its state and its mark against repeats
+
+
+def test_a_batch_sends_few_messages_and_a_timer_that_rings_early_is_set_again():
+    """Only what changes is said to the JVM: a later event of a run moves no timer."""
+
+    class Handle:
+        def __init__(self):
+            self.said, self.held = [], None
+
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            return self.held
+
+        def update(self, row):
+            self.said.append("update")
+            self.held = row
+
+        def clear(self):
+            self.held = None
+
+        def registerTimer(self, at):
+            self.said.append(("register", at))
+
+        def deleteTimer(self, at):
+            self.said.append(("delete", at))
+
+    class Clock:
+        def __init__(self, now):
+            self.now = now
+
+        def getCurrentWatermarkInMs(self):
+            return self.now
+
+    def batch(kind, at):
+        handle.said = []
+        rows = [{"type": kind, "seq": at, "commits_total": 3, "processed": None, "at_ms": at}]
+        return [r["closed"] for r in watcher.handleInputRows(("r",), iter(rows), None)]
+
+    handle, watcher = Handle(), runs.RunWatcher(1000, 10)
+    watcher.init(handle)
+    assert batch(STARTED, 0) == [False] and handle.said == [("register", 1000), "update"]
+    assert batch(PROGRESS, 500) == [False] and handle.said == ["update"]
+    handle.said = []
+    assert list(watcher.handleExpiredTimer(("r",), Clock(1200), None)) == [] and handle.said == [("register", 1500), "update"]
+    assert batch(COMPLETED, 600) == [False] and handle.said == [("delete", 1500), ("register", 610), "update"]
+    assert [r["closed"] for r in watcher.handleExpiredTimer(("r",), Clock(700), None)] == [True] and handle.held is None
