@@ -16,10 +16,10 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from histmetrics.extract.contents import copies, distinct_contents, extract, on_files
+from histmetrics.extract.contents import copies, distinct_contents, extract, hashed, on_files
 from histmetrics.functions.text import file_name
 from histmetrics.operators import graph
-from histmetrics.session import cut_lineage
+from histmetrics.session import cut_lineage, stored
 
 # Names with a meaning in model classes.
 RELATIONAL = {
@@ -255,12 +255,12 @@ def bind_names(read: DataFrame) -> DataFrame:
 LEADS = r"^@([.]env\[[^\]]+\])?([.]\w+)*$"
 
 
-def read_facts(files: DataFrame) -> DataFrame:
-    """Class facts per distinct text."""
-    read = cut_lineage(extract(distinct_contents(files, _is_python()), read_classes, READ))
+def read_facts(files: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """Class facts per distinct text, as a written table: a small one goes to the files."""
+    read = stored(extract(distinct_contents(files, _is_python(), keys), read_classes, READ), "classes")
     stated = read.where(~F.col("fact").isin("bind", "unreadable", *USES)).withColumn("chain", F.lit(None).cast("string"))
     columns = ["content_sha", *FACT]
-    return stated.select(*columns).unionByName(bind_names(read).select(*columns))
+    return stored(stated.select(*columns).unionByName(bind_names(read).select(*columns)), "facts")
 
 
 def class_failures(files: DataFrame) -> DataFrame:
@@ -272,13 +272,15 @@ def class_failures(files: DataFrame) -> DataFrame:
 
 def python_class_facts(files: DataFrame) -> DataFrame:
     """Long class facts: ``(version_id, module, file_path, class_name, fact, model, chain, member, path, line)``."""
-    found = on_files(read_facts(files), files, _is_python())
+    keys = hashed(files, _is_python())
+    found = on_files(read_facts(files, keys), keys, _is_python())
     return found.drop("content_sha").withColumnRenamed("relative_path", "file_path")
 
 
 def module_class_facts(files: DataFrame) -> DataFrame:
     """The same facts once per module and text, with the number ``n`` of files they stand for."""
-    found = copies(files, _is_python()).join(read_facts(files), "content_sha")
+    keys = hashed(files, _is_python())
+    found = copies(keys, _is_python()).join(read_facts(files, keys), "content_sha")
     return found.drop("content_sha").withColumnRenamed("relative_path", "file_path")
 
 
@@ -327,7 +329,8 @@ def resolve_chains(uses: DataFrame, fields: DataFrame) -> DataFrame:
         maps = cut_lineage(through.unionByName(untouched.select("version_id", joined, "here", "there")))
         ends = F.transform(F.arrays_zip(even.alias("left"), odd.alias("right")), lambda p: F.concat_ws(".", p["left"], p["right"]))
         runs = cut_lineage(runs.withColumn("runs", ends))
-    ended = maps.select("version_id", F.col("run").alias("chain"), F.col("here").alias("model"), F.col("there").alias("_end"))
+    # Few as they are, they go to the uses.
+    ended = stored(maps, "chains").select("version_id", F.col("run").alias("chain"), F.col("here").alias("model"), F.col("there").alias("_end"))
     return (
         uses.join(ended, ["version_id", "chain", "model"], "left")
         .withColumn("model", F.coalesce("_end", "model"))

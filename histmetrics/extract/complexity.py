@@ -15,7 +15,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from histmetrics.extract.contents import FILE, copies, distinct_contents, extract, on_files
+from histmetrics.extract.contents import FILE, copies, distinct_contents, extract, hashed, on_files
 from histmetrics.functions.text import file_name
 from histmetrics.operators.measures import (
     ENTITY_MODULE,
@@ -24,6 +24,7 @@ from histmetrics.operators.measures import (
     distribution_of,
     is_measured_python,
 )
+from histmetrics.session import stored
 
 FUNCTION = (ast.FunctionDef, ast.AsyncFunctionDef)
 LOOP = (ast.For, ast.AsyncFor, ast.While)
@@ -151,26 +152,35 @@ def read_lines(source: str | None) -> list[tuple]:
         return []
 
 
-def content_values(files: DataFrame) -> DataFrame:
+def content_values(files: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """``(content_sha, family, value, n, error)`` for production Python files, once per distinct text."""
-    contents = distinct_contents(files, is_measured_python())
+    contents = distinct_contents(files, is_measured_python(), keys)
     return extract(contents, read_complexity, "family string, value double, n bigint, error string")
 
 
-def _known(files: DataFrame, values: DataFrame | None) -> DataFrame:
-    found = content_values(files) if values is None else values
-    return found.where(F.col("error").isNull()).drop("error")
+def _read_once(files: DataFrame, values: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Files (their keys, if they had to be hashed for it) and the values of their texts, as a table of known size."""
+    if values is not None:
+        return files, values
+    keys = hashed(files, is_measured_python())
+    return keys, stored(content_values(files, keys), "values")
+
+
+def _known(values: DataFrame) -> DataFrame:
+    return values.where(F.col("error").isNull()).drop("error")
 
 
 def function_complexity(files: DataFrame) -> DataFrame:
     """Value counts per file and family: ``(…file, family, value, n)``."""
-    return on_files(_known(files, None), files, is_measured_python()).select(*FILE, "family", "value", "n")
+    keys, values = _read_once(files)
+    return on_files(_known(values), keys, is_measured_python()).select(*FILE, "family", "value", "n")
 
 
 def line_density(files: DataFrame) -> DataFrame:
     """Syntax nodes per physical line of every production Python file."""
-    lines = extract(distinct_contents(files, is_measured_python()), read_lines, "line int, n bigint")
-    return on_files(lines, files, is_measured_python()).select(*FILE, "line", F.col("n").alias("value"))
+    keys = hashed(files, is_measured_python())
+    lines = stored(extract(distinct_contents(files, is_measured_python(), keys), read_lines, "line int, n bigint"), "lines")
+    return on_files(lines, keys, is_measured_python()).select(*FILE, "line", F.col("n").alias("value"))
 
 
 def python_file_distributions(files: DataFrame, values: DataFrame | None = None) -> DataFrame:
@@ -179,23 +189,25 @@ def python_file_distributions(files: DataFrame, values: DataFrame | None = None)
     A text bounds its own values, so they are ranked where they are grouped. ``values``
     is the output of :func:`content_values`, if it is there already.
     """
-    per_content = bounded_distributions(_known(files, values), ["content_sha", "family"], "n")
-    return on_files(per_content, files, is_measured_python()).drop("content_sha")
+    keys, values = _read_once(files, values)
+    per_content = bounded_distributions(_known(values), ["content_sha", "family"], "n")
+    return on_files(per_content, keys, is_measured_python()).drop("content_sha")
 
 
 def python_module_distributions(files: DataFrame, values: DataFrame | None = None) -> DataFrame:
     """Distributions per module from raw values; copies of a text are counted, not repeated."""
-    repeated = copies(files, is_measured_python()).withColumnRenamed("n", "copies")
-    weighted = repeated.join(_known(files, values), "content_sha").withColumn("n", F.col("n") * F.col("copies"))
+    found, values = _read_once(files, values)
+    repeated = copies(found, is_measured_python()).withColumnRenamed("n", "copies")
+    weighted = repeated.join(_known(values), "content_sha").withColumn("n", F.col("n") * F.col("copies"))
     keys = [*ENTITY_MODULE, "family"]
     return distribution_of(coarsen(weighted, keys), keys)
 
 
 def failures(files: DataFrame, values: DataFrame | None = None) -> DataFrame:
     """One row per Python file that could not be measured; the file itself stays counted."""
-    found = content_values(files) if values is None else values
-    errors = found.where(F.col("error").isNotNull()).select("content_sha", "error")
-    found = on_files(errors, files, is_measured_python())
+    keys, values = _read_once(files, values)
+    errors = values.where(F.col("error").isNotNull()).select("content_sha", "error")
+    found = on_files(errors, keys, is_measured_python())
     named = F.replace(
         F.col("error"), F.lit(f"({UNNAMED}, "), F.concat(F.lit("("), file_name("relative_path"), F.lit(", "))
     )

@@ -26,19 +26,43 @@ def with_sha(files: DataFrame) -> DataFrame:
     return files.withColumn("content_sha", F.coalesce(F.sha2("content", 256), F.lit("")))
 
 
-def distinct_contents(files: DataFrame, where: Column | None = None) -> DataFrame:
+def hashed(files: DataFrame, where: Column | None = None) -> DataFrame:
+    """``(version_id, module, relative_path, content_sha)`` as a written table, so texts are hashed once.
+
+    It stands for the files wherever their texts are not asked for.
+    """
+    chosen = with_sha(files if where is None else files.where(where))
+    return stored(chosen.select(*FILE, "content_sha"), "hashed")
+
+
+def distinct_contents(files: DataFrame, where: Column | None = None, keys: DataFrame | None = None) -> DataFrame:
     """``(content_sha, content)`` once per hash, from the file that comes first by its key.
 
     The choice is a written table, so the planner knows its size: while it is small it is
     broadcast to the texts and no text leaves its place; beyond that, chosen texts are
-    found by a join on the file keys.
+    found by a join on the file keys. ``keys`` is the output of :func:`hashed` for these
+    files, if it is there already.
     """
-    chosen = with_sha(files)
-    if where is not None:
-        chosen = chosen.where(where)
-    first = chosen.groupBy("content_sha").agg(F.min(F.struct(*FILE)).alias("_file"))
+    chosen = files if where is None else files.where(where)
+    number = F.xxhash64(*FILE)
+    told = with_sha(chosen) if keys is None else keys
+    if keys is not None:
+        # Numbers are found without sorting; where two files of a text share one, the first by its key is taken.
+        least = stored(keys.groupBy("content_sha").agg(F.min(number).alias("_number")), "least")
+        told = keys.withColumn("_number", number).join(least, ["content_sha", "_number"], "left_semi")
+    first = told.groupBy("content_sha").agg(F.min(F.struct(*FILE)).alias("_file"))
     kept = stored(first.select("content_sha", "_file.*"), "chosen")
-    return chosen.join(kept, [*FILE, "content_sha"], "left_semi").select("content_sha", "content")
+    if keys is None or "content_sha" in files.columns:
+        chosen = with_sha(chosen)
+        return chosen.join(kept, [*FILE, "content_sha"], "left_semi").select("content_sha", "content")
+    # The join is on the numbers. Ranges of one value are no join keys: only for the files
+    # that meet are names compared and texts hashed again.
+    again = F.coalesce(F.sha2("content", 256), F.lit(""))
+    asked = kept.select("content_sha", number.alias("_number"), *[F.col(c).alias(f"_{c}") for c in FILE])
+    met = chosen.select(*FILE, "content", number.alias("_number")).join(asked, "_number")
+    for c in FILE:
+        met = met.where(F.col(c).between(F.col(f"_{c}"), F.col(f"_{c}")))
+    return met.where(F.col("content_sha").between(again, again)).select("content_sha", "content")
 
 
 def extract(contents: DataFrame, read: Callable[[str], Iterable[tuple]], columns: str) -> DataFrame:

@@ -6,7 +6,7 @@ import ast
 import csv
 import io
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from histmetrics.extract.contents import FILE, distinct_contents, extract, on_files, with_sha
+from histmetrics.extract.contents import FILE, distinct_contents, extract, hashed, on_files, with_sha
 from histmetrics.functions.text import EXTERNAL_ID, PERCENT_ID, file_name, id_module
 from histmetrics.functions.validate import MODULE
+from histmetrics.session import stored
 
 # The record model and the folder that make a reference a security one.
 RULE_MODEL = "ir.rule"
@@ -92,15 +93,23 @@ def read_xml(text: str | None) -> list[tuple]:
     return out
 
 
-def xml_found(files: DataFrame) -> DataFrame:
+def xml_found(files: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """All that is found in XML texts, once per distinct text; rows are narrow, texts stay where they are."""
     return extract(
-        distinct_contents(files, _is_xml()),
+        distinct_contents(files, _is_xml(), keys),
         read_xml,
         "kind string, xml_id string, line int, detail string, error string",
     )
 
 
+def _read_once(files: DataFrame, found: DataFrame | None, where: Column, read: Callable) -> tuple[DataFrame, DataFrame]:
+    """Files (their keys, if they had to be hashed for it) and what was found in their texts, as a table of known size."""
+    if found is not None:
+        return files, found
+    keys = hashed(files, where)
+    return keys, stored(read(files, keys), "found")
+
+
 def _as_facts(found: DataFrame) -> DataFrame:
     return found.select(
         "version_id",
@@ -119,16 +128,17 @@ def xml_reference_facts(files: DataFrame, found: DataFrame | None = None) -> Dat
     Plain references in a ``security`` folder of the module are security ones.
     ``found`` is the output of :func:`xml_found`, if it is there already.
     """
-    told = (xml_found(files) if found is None else found).where(F.col("error").isNull()).drop("error")
+    keys, found = _read_once(files, found, _is_xml(), xml_found)
+    told = found.where(F.col("error").isNull()).drop("error")
     secure = F.array_contains(F.split("relative_path", "/"), SECURITY_FOLDER)
     kind = F.when((F.col("kind") == "xml_ref") & secure, "security_xml_ref").otherwise(F.col("kind"))
-    return _as_facts(on_files(told, files, _is_xml()).withColumn("kind", kind))
+    return _as_facts(on_files(told, keys, _is_xml()).withColumn("kind", kind))
 
 
 def xml_failures(files: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    told = xml_found(files) if found is None else found
+    keys, told = _read_once(files, found, _is_xml(), xml_found)
     errors = told.where(F.col("error").isNotNull()).select("content_sha", "error")
-    return on_files(errors, files, _is_xml()).select(
+    return on_files(errors, keys, _is_xml()).select(
         "version_id",
         F.concat_ws("/", "module", "relative_path").alias("file_path"),
         F.col("error").alias("error_text"),
@@ -154,9 +164,9 @@ def read_csv(text: str | None) -> Iterator[tuple]:
         yield number + 1, None, f"record {number + 1}: {error}"
 
 
-def csv_found(files: DataFrame) -> DataFrame:
+def csv_found(files: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """Ids and errors of security CSV texts, once per distinct text."""
-    return extract(distinct_contents(files, _is_security_csv()), read_csv, "line int, xml_id string, error string")
+    return extract(distinct_contents(files, _is_security_csv(), keys), read_csv, "line int, xml_id string, error string")
 
 
 def csv_failures(files: DataFrame, told: DataFrame | None = None) -> DataFrame:
@@ -171,8 +181,9 @@ def csv_failures(files: DataFrame, told: DataFrame | None = None) -> DataFrame:
 
 def csv_reference_facts(files: DataFrame, told: DataFrame | None = None) -> DataFrame:
     """References of the security CSV files, not yet limited to analysed modules."""
-    found = (csv_found(files) if told is None else told).where(F.col("error").isNull()).drop("error")
-    located = on_files(found, files, _is_security_csv()).withColumn("kind", F.lit("security_csv_ref"))
+    keys, told = _read_once(files, told, _is_security_csv(), csv_found)
+    found = told.where(F.col("error").isNull()).drop("error")
+    located = on_files(found, keys, _is_security_csv()).withColumn("kind", F.lit("security_csv_ref"))
     return _as_facts(located.withColumn("detail", F.concat(F.lit("security csv ref -> "), F.col("xml_id"))))
 
 

@@ -13,7 +13,7 @@ from histmetrics.extract.contents import with_sha
 from histmetrics.functions.text import line_count
 from histmetrics.operators import graph, measures, ordering
 from histmetrics.plans import reads
-from histmetrics.session import cut_lineage, stored
+from histmetrics.session import stored
 from histmetrics.sources.tables import conform
 
 
@@ -57,8 +57,9 @@ def analyze_files(
     """
     # Each text is parsed once; what was found in it is narrow and read several times.
     files = with_sha(files)
-    values = cut_lineage(complexity.content_values(files))
-    xml, csv = cut_lineage(references.xml_found(files)), cut_lineage(references.csv_found(files))
+    # The tables have a size, so small ones go to the files, which are not shuffled.
+    values = stored(complexity.content_values(files), "values")
+    xml, csv = stored(references.xml_found(files), "xml"), stored(references.csv_found(files), "csv")
     modules = files.select("version_id", "module").distinct()
     lined = files.select("version_id", "module", "relative_path", F.coalesce(line_count("content"), F.lit(0)).alias("lines"))
     sized = measures.measure_files(lined)

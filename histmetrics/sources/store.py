@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from histmetrics import schemas
-from histmetrics.session import cut_lineage, folder_names, remove_folder
+from histmetrics.session import cut_lineage, folder_names, remove_folder, stored
 from histmetrics.sources.tables import MissingTable, assert_compatible, conform, read_table
 
 BUCKET = "version_bucket"
@@ -222,7 +222,8 @@ class HistoryStore:
         A write that fails takes its folders with it.
         """
         generation = uuid.uuid4().hex
-        orders = versions.select("version_id", self._bucket())
+        # A written table has a size: it goes to the rows, which are not shuffled by their few versions.
+        orders = stored(versions.select("version_id", self._bucket()), "orders")
         given = dict(tables) if failures is None else {**tables, "failure": failures}
         try:
             for table, rows in given.items():

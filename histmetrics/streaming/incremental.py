@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from histmetrics import schemas
 from histmetrics.extract.complexity import apply_error_policy
 from histmetrics.operators.measures import run_outcome
-from histmetrics.session import cut_lineage
+from histmetrics.session import stored
 from histmetrics.sources.logs import pending_versions
 from histmetrics.sources.store import HistoryStore
 
@@ -110,7 +110,7 @@ def analyze_pending(
         return
     run_id = run_id or uuid.uuid4().hex
     wanted = planned if rebuild or not store.exists("version") else pending_versions(planned, store.read("version"))
-    todo = cut_lineage(wanted)
+    todo = stored(wanted, "pending")  # with its size known, files meet it without a shuffle
     store.start_run(
         run_id, branch=branch, mode="rebuild" if rebuild else "incremental", versions_total=F.lit(todo.count()).cast("int")
     )

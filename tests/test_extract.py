@@ -3,7 +3,7 @@ import ast
 import pytest
 from pyspark.sql import functions as F
 
-from histmetrics.extract import classes, complexity, references
+from histmetrics.extract import classes, complexity, contents, references
 from histmetrics.plans.analysis import analyze_files, select_files
 
 FILES = "version_id string, module string, relative_path string, content string"
@@ -317,3 +317,24 @@ def test_scope_duplicates_and_stray_files(spark, rows):
     assert rows(kept, "module", "relative_path") == [
         ("crm", "__manifest__.py"), ("sale", "__manifest__.py"), ("sale", "b.xml"), ("sale_x", "__manifest__.py")
     ]
+
+
+def test_files_are_not_shuffled_to_meet_few_facts(spark):
+    """What was found in the texts is a small table: it goes to the files, and texts are hashed once."""
+    given = files(spark, *[("sale", f"views/{k}.xml", XML) for k in range(4)], ("sale", "a.py", SALE), ("sale", "security/a.csv", "h\na.b"))
+    found = {
+        "xml": references.xml_reference_facts(given), "csv": references.csv_reference_facts(given),
+        "values": complexity.function_complexity(given), "lines": complexity.line_density(given), "classes": classes.python_class_facts(given),
+    }
+    for name, df in found.items():
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        moved = [line for line in plan.splitlines() if "Exchange" in line]
+        assert all("BroadcastExchange" in line for line in moved) and "sha2(" not in plan, (name, plan)
+    assert found["xml"].count() == 4 * 6 and found["classes"].count() > 0
+
+
+def test_equal_names_with_other_texts_are_all_read(spark):
+    """File keys ought to be unique; where they are not, each text still counts once."""
+    given = files(spark, ("sale", "a.py", SALE), ("sale", "a.py", "x = 1\n"), ("base", "b.py", "x = 1\n"))
+    keys = contents.hashed(given)
+    assert contents.distinct_contents(given, keys=keys).count() == contents.distinct_contents(given).count() == 2
