@@ -263,6 +263,46 @@ def test_network_learns_shapes():
     assert ((score >= network.cut) == (y == 1)).mean() > 0.95
 
 
+def test_network_learns_from_all_tokens_and_findings(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(400):
+        words = ["".join(rng.choices("abdeiklmnorstu", k=rng.randint(6, 11))) for _ in range(30)]
+        words[rng.randrange(30)] = "password: " + "".join(rng.choices("ABCDEFGHabcdefgh0123456789", k=16))
+        words[rng.randrange(30)] = "Ref-" + str(rng.randrange(10**6, 10**7)) if i % 2 else "ordinary"
+        rows.append((i, " ".join(words), "web"))
+    network = secret_scan.fit_network(frame(spark, rows).repartition(3), start=60)
+    many = [0, 0, 0]
+    for _, text, _ in rows:
+        base = secret_scan.base_spans(text.encode())
+        free = secret_scan.Texts([text.encode()], [base])
+        many[0] += int((~free.odd()).sum())
+        many[1] += int(free.odd().sum())
+        values = [secret_scan.windows_of(text.encode(), secret_scan._value(text.encode(), s))[0] for s in base]
+        many[2] += sum(not secret_scan.kept_out(w) for w in values)
+    assert min(many[:2]) > 100 and many[2] > 250
+    assert network.seen == tuple(many)  # the first weights came from 60 of each
+    first = secret_scan.fit_network(frame(spark, rows).where("doc_id < 0"), start=60)
+    assert first is None
+
+
+def test_step_lowers_the_loss_of_all_tokens():
+    rng = np.random.default_rng(5)
+    texts = [b" ".join(bytes(rng.choice(list(b"abdeiklmnorstu"), 8).tolist()) for _ in range(200)) for _ in range(4)]
+    free = secret_scan.Texts(texts, [[] for _ in texts])
+    net = {"embed": rng.normal(0, 0.3, (128, 8)), "kernel": rng.normal(0, 0.2, (40, 24)), "bias": np.zeros(24),
+           "out": rng.normal(0, 0.2, 72), "out_bias": np.zeros(1)}
+
+    def mean():
+        now = secret_scan.Network(*(net[k] for k in secret_scan.ARRAYS[:-1]), float(net["out_bias"][0]))
+        return float(now.score_tokens(free).mean())
+
+    before = mean()
+    for _ in range(40):
+        assert secret_scan.step(net, texts, [800, 0, 0], [b"x9Y_" * 5], rng) == [800, 0, 0]
+    assert mean() < before
+
+
 @pytest.mark.parametrize("run", [
     lambda d, w: rules.quality_rules(d, w),
     lambda d, w: quality.classify_documents(d, w),
