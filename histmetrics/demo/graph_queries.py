@@ -8,7 +8,7 @@ from histmetrics.demo.sql import _VERSION as VERSION_SQL
 from histmetrics.functions.catalog import STRICT_KIND_GROUP
 from histmetrics.functions.text import external_ids, id_module
 from histmetrics.operators import graph, traversal
-from histmetrics.session import cut_lineage
+from histmetrics.session import cut_lineage, stored
 
 EDGE_SQL = "version_id, source, target, score, occurrences, kinds, model_reuse, extension_or_method, view_points, field_property"
 
@@ -308,15 +308,16 @@ _SEEDS = f"(SELECT version_id, max(source) AS node FROM {_FAR} WHERE source LIKE
 
 
 def _far_edges(spark, sf):
-    """Customers to suppliers to parts: the deepest graph of the tables."""
-    s = frames.shipments(spark, sf)
+    """Customers to suppliers to parts: the deepest graph of the tables, stored once for all its readers."""
+    orders = frames.table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", *frames.version_columns())
+    s = frames.table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey").join(orders, "l_orderkey")
 
     def node(letter, key):
         return F.concat(F.lit(letter), F.col(key).cast("string"))
 
-    sold = s.select("version_id", node("C", "o_custkey").alias("source"), node("S", "l_suppkey").alias("target"))
-    held = s.select("version_id", node("S", "l_suppkey").alias("source"), node("P", "l_partkey").alias("target"))
-    return sold.unionByName(held).distinct()
+    sold = F.struct(node("C", "o_custkey").alias("source"), node("S", "l_suppkey").alias("target"))
+    held = F.struct(node("S", "l_suppkey").alias("source"), node("P", "l_partkey").alias("target"))
+    return stored(s.select("version_id", F.explode(F.array(sold, held)).alias("e")).select("version_id", "e.*").distinct(), "edges")
 
 
 def _seeds(edges):
@@ -341,13 +342,13 @@ _BOTH = f"(SELECT version_id, source AS node, target AS nxt FROM {_FAR} UNION SE
 @query("neighborhood", f"SELECT version_id, node, CAST(hop AS INTEGER) AS hop FROM {_walk_sql(3, _OUT)}")
 def _(spark, sf):
     edges = _far_edges(spark, sf)
-    return traversal.neighborhood(edges, _seeds(edges), 3, "out")
+    return traversal.neighborhood(edges, _seeds(edges), 3, "out", laid_out=True)
 
 
 @query("neighborhood_both", f"SELECT version_id, node, CAST(hop AS INTEGER) AS hop FROM {_walk_sql(2, _BOTH)}")
 def _(spark, sf):
     edges = _far_edges(spark, sf)
-    return traversal.neighborhood(edges, _seeds(edges), 2, "both")
+    return traversal.neighborhood(edges, _seeds(edges), 2, "both", laid_out=True)
 
 
 @query(
@@ -364,7 +365,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     edges = _far_edges(spark, sf)
-    near = traversal.neighborhood(edges, _seeds(edges), 2, "both")
+    near = traversal.neighborhood(edges, _seeds(edges), 2, "both", laid_out=True)
     nodes = edges.select("version_id", F.explode(F.array("source", "target")).alias("node")).distinct()
     return traversal.graph_stats(nodes, edges, near, traversal.induced_edges(edges, near))
 

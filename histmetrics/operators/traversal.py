@@ -25,28 +25,31 @@ def visible_edges(
 
 
 def neighborhood(
-    edges: DataFrame, seeds: DataFrame, depth: int = 1, direction: str = "both"
+    edges: DataFrame, seeds: DataFrame, depth: int = 1, direction: str = "both", laid_out: bool = False
 ) -> DataFrame:
     """Nodes within ``depth`` hops of the seeds, with the hop they are first met at.
 
     ``seeds`` holds ``(version_id, node)``; ``direction`` is ``out``, ``in`` or
-    ``both``. Adjacency and frontiers are stored tables: a small frontier is broadcast to
-    the adjacency, which is laid out once and never shuffled for it. What a hop meets is
-    held against earlier frontiers, in both directions against the last two alone, where
-    all known neighbours of a frontier must be. The walk ends when a hop meets nothing new.
+    ``both``. Edges and frontiers are stored tables (``laid_out``: the edges are one
+    already): a small frontier is broadcast to the edges, once for each direction, and no
+    edge is shuffled for it. What a hop meets is held against earlier frontiers, in both
+    directions against the last two alone, where all known neighbours of a frontier must
+    be. The walk ends when a hop meets nothing new.
     """
     if depth < 1:
         raise ValueError(f"depth must be at least 1, got {depth}")
     if direction not in ("out", "in", "both"):
         raise ValueError(f"direction must be out, in or both, got {direction!r}")
+    if not laid_out:
+        edges = stored(edges.select("version_id", "source", "target"), "edges")
     forward = edges.select("version_id", F.col("source").alias("node"), F.col("target").alias("next"))
     backward = edges.select("version_id", F.col("target").alias("node"), F.col("source").alias("next"))
-    steps = {"out": forward, "in": backward, "both": forward.unionByName(backward)}[direction]
-    steps = stored(steps.distinct(), "adjacency")
+    ways = {"out": [forward], "in": [backward], "both": [forward, backward]}[direction]
 
     frontiers = [stored(seeds.select("version_id", "node").distinct(), "frontier")]
     while len(frontiers) <= depth:
-        met = frontiers[-1].join(steps, ["version_id", "node"]).select("version_id", F.col("next").alias("node")).distinct()
+        steps = [frontiers[-1].join(way, ["version_id", "node"]).select("version_id", F.col("next").alias("node")) for way in ways]
+        met = reduce(DataFrame.unionByName, steps).distinct()
         for known in frontiers[-2:] if direction == "both" else frontiers:
             met = met.join(known, ["version_id", "node"], "left_anti")
         met = stored(met, "frontier")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from histmetrics.functions.catalog import STRICT_KIND_GROUP
 from histmetrics.operators import graph, traversal
 from histmetrics.plans import series
+from histmetrics.session import folder_names, scratch_root
 
 FACTS = [
     ("v", "sale", "base", "python_many2one"),
@@ -182,3 +183,15 @@ def test_neighbourhoods_match_a_plain_walk(spark, direction):
             want.update(dict.fromkeys(frontier, hop))
         got = {int(r["node"]): r["hop"] for r in traversal.neighborhood(edges, seeds, depth, direction).collect()}
         assert got == want
+
+
+def test_stored_edges_are_walked_where_they_lie(spark, tmp_path):
+    pairs = [("v", str(i), str(i + 1)) for i in range(30)] * 2
+    spark.createDataFrame(pairs, "version_id string, source string, target string").write.parquet(str(tmp_path / "e"))
+    edges = spark.read.parquet(str(tmp_path / "e"))
+    seeds = spark.createDataFrame([("v", "10")], "version_id string, node string")
+    before = set(folder_names(spark, f"{scratch_root(spark)}/histmetrics"))
+    got = traversal.neighborhood(edges, seeds, 2, "both", laid_out=True)
+    assert sorted((int(r["node"]), r["hop"]) for r in got.collect()) == [(8, 2), (9, 1), (10, 0), (11, 1), (12, 2)]
+    made = set(folder_names(spark, f"{scratch_root(spark)}/histmetrics")) - before
+    assert {name.split("-")[0] for name in made} == {"frontier"}
