@@ -121,9 +121,7 @@ def file_lines(spark: SparkSession, sf: str, keep: Column | None = None) -> Data
 
 
 def file_metric(spark: SparkSession, sf: str, keep: Column | None = None) -> DataFrame:
-    return measures.assemble_file_metrics(
-        file_lines(spark, sf, keep), measures.file_distributions(observations(spark, sf, keep))
-    )
+    return measures.measured_files(lines(spark, sf, keep))
 
 
 _histories: dict[tuple[str, str], HistoryStore] = {}

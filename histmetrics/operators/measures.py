@@ -286,6 +286,61 @@ def assemble_file_metrics(file_lines: DataFrame, dist: DataFrame) -> DataFrame:
     )
 
 
+def measured_files(
+    stretches: DataFrame, families: Sequence[str] = FAMILIES, category: str = "line_category_id", lines: str = "lines"
+) -> DataFrame:
+    """:func:`assemble_file_metrics` from stretches of files with one column per family, in one shuffle.
+
+    A file has the lines of its stretches and the first of their categories. Each file
+    bounds its own values, which are gathered and sorted where they are.
+    """
+    keys = list(ENTITY_FILE)
+    gathered = stretches.groupBy(*keys).agg(
+        F.min(category).alias("line_category_id"),
+        F.sum(lines).cast("long").alias("lines"),
+        *[F.sort_array(F.collect_list(F.col(f).cast("double"))).alias(f"_v_{f}") for f in families],
+    )
+    named = F.lit(True)
+    for key in keys:
+        named = named & F.col(key).isNotNull()
+
+    def described(family: str) -> Column:
+        v = F.col(f"_v_{family}")
+        n = F.size(v)
+        middle = F.get(v, F.floor((n + 1) / 2).cast("int") - 1) + F.get(v, F.floor(n / 2).cast("int"))
+        return F.struct(
+            n.cast("long").alias("count"),
+            (F.aggregate(v, F.lit(0.0), lambda total, x: total + x) / n).alias("mean"),
+            (middle / 2).alias("median"),
+            F.get(v, F.ceil(F.lit(P95) * n).cast("int") - 1).alias("p95"),
+            F.get(v, n - 1).alias("max"),
+        )
+
+    entries = F.array(*[F.struct(F.lit(f).alias("key"), F.when(named & (F.size(f"_v_{f}") > 0), described(f)).alias("value")) for f in sorted(families)])
+    packed = gathered.select(*keys, "line_category_id", "lines", F.filter(entries, lambda e: e["value"].isNotNull()).alias("_d"))
+    metrics = F.transform("_d", lambda d: F.array(
+        *[F.struct(F.concat_ws("_", d["key"], F.lit(s)).alias("key"), d["value"][s].alias("value")) for s in STATS if s != "count"]
+    ))
+    found = packed.select(
+        *keys, "line_category_id", "lines", F.map_from_entries(F.flatten(metrics)).alias("metrics"), F.map_from_entries("_d").alias("distributions")
+    )
+
+    def counted(family: str) -> Column:
+        return F.coalesce(F.try_element_at(F.col("distributions"), F.lit(family))["count"], F.lit(0)).cast("long")
+
+    return found.select(
+        *keys,
+        "line_category_id",
+        "metrics",
+        F.create_map(
+            F.lit("lines"), F.col("lines"),
+            F.lit("function_count"), counted("cyclomatic"),
+            F.lit("jones_line_count"), counted("jones"),
+        ).alias("line_counts"),
+        "distributions",
+    )
+
+
 def assemble_module_aggregates(
     counts: DataFrame,
     dist: DataFrame,

@@ -143,3 +143,22 @@ def test_ranks_of_a_narrow_band_and_nan(spark, rows):
     odd = spark.sql("SELECT 'k' AS key, explode(array(1D, 2D, 3D, double('NaN'))) AS value")
     got = measures.distribution(odd, ["key"]).first()
     assert got["median"] == 2.5 and got["p95"] != got["p95"] and got["max"] != got["max"]
+
+
+def test_measured_files_equal_assembled_ones(spark):
+    told = [("v", "m", "a.py", "python_lines", 3, 1.0, 5.0, None), ("v", "m", "a.py", "js_lines", 4, 9.0, None, None),
+            ("v", "m", "a.py", "python_lines", 1, float("nan"), 2.0, None), ("v", "m", "b.py", None, 2, None, None, None),
+            ("v", None, "c.py", "xml_lines", 7, 1.0, 1.0, 1.0)]
+    schema = "version_id string, module string, relative_path string, line_category_id string, lines long, cyclomatic double, cognitive double, jones double"
+    found = spark.createDataFrame(told, schema)
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("family"), F.col(f).alias("value")) for f in measures.FAMILIES])).alias("o")
+    long = found.select("version_id", "module", "relative_path", each).select("version_id", "module", "relative_path", "o.*")
+    sums = found.groupBy("version_id", "module", "relative_path").agg(
+        F.min("line_category_id").alias("line_category_id"), F.sum("lines").alias("lines")
+    )
+    want = measures.assemble_file_metrics(sums, measures.file_distributions(long))
+    got = measures.measured_files(found)
+    assert got.columns == want.columns
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert sorted(str(r.asDict(True)) for r in got.collect()) == sorted(str(r.asDict(True)) for r in want.collect())
