@@ -16,6 +16,7 @@ from corpus import frame, labels, odd_rows, prose, words  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
 from histmetrics.llm import html_text, minhash, mixing, packing, suffixes, vectors  # noqa: E402
+from histmetrics.llm import components as component_rounds  # noqa: E402
 from histmetrics.llm.components import components  # noqa: E402
 
 
@@ -122,6 +123,19 @@ def test_sampling_estimates_weighted_similarity():
     assert abs((got[0] == got[1]).mean() - want) < 0.3
 
 
+def test_rounds_of_few_links_write_one_file_each(spark, monkeypatch):
+    files, cut = [], component_rounds.cut_lineage
+    monkeypatch.setattr(component_rounds, "cut_lineage", lambda df: files.append(df.rdd.getNumPartitions()) or cut(df))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        links = spark.createDataFrame([(k, k + 1) for k in range(20)], "a long, b long").repartition(7)
+        got = {r["node"]: r["root"] for r in components(links).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == dict.fromkeys(range(21), 0)
+    assert len(files) > 2 and set(files) == {1}
+
+
 def test_components_match_union_find(spark):
     rng = random.Random(10)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)]
