@@ -15,7 +15,7 @@ from histmetrics import schemas
 from histmetrics.functions.catalog import KIND_GROUP, STRICT_KIND_GROUP
 from histmetrics.operators import graph, measures
 from histmetrics.plans.reads import resolve_version
-from histmetrics.session import scratch_path
+from histmetrics.session import scratch_path, stored
 from histmetrics.sources.store import HistoryStore
 
 FLAG_CATEGORY = {
@@ -73,7 +73,9 @@ def lines(spark: SparkSession, sf: str, keep: Column | None = None) -> DataFrame
 
     ``keep`` limits versions, modules or files before anything is measured.
     """
-    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), *version_columns())
+    # What crosses the network is a few small numbers; names are made after the joins.
+    _, order = version_columns()
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), order)
     parts = table(spark, sf, "part").select(
         F.col("p_partkey").alias("l_partkey"),
         F.replace("p_brand", F.lit("#"), F.lit("_")).alias("module"),
@@ -82,33 +84,54 @@ def lines(spark: SparkSession, sf: str, keep: Column | None = None) -> DataFrame
     items = table(spark, sf, "lineitem").select(
         "l_orderkey",
         "l_partkey",
-        F.col("l_quantity").cast("long").alias("lines"),
-        _lookup(FLAG_CATEGORY, F.concat("l_returnflag", "l_linestatus")).alias("line_category_id"),
-        F.col("l_quantity").alias("cyclomatic"),
+        "l_quantity",
+        F.concat("l_returnflag", "l_linestatus").alias("_flags"),
         F.round(F.col("l_extendedprice") * 100).alias("cognitive"),
         F.round(F.col("l_discount") * 100).alias("jones"),
     )
-    found = items.join(orders, "l_orderkey").join(parts, "l_partkey")
+    before = F.col("version_order") - 1
+    name = F.concat(F.floor(before / 4).cast("string"), F.lit("-Q"), (before % 4 + 1).cast("string"))
+    found = items.join(orders, "l_orderkey").join(parts, "l_partkey").select(
+        "l_partkey",
+        "l_orderkey",
+        F.col("l_quantity").cast("long").alias("lines"),
+        _lookup(FLAG_CATEGORY, F.col("_flags")).alias("line_category_id"),
+        F.col("l_quantity").alias("cyclomatic"),
+        "cognitive",
+        "jones",
+        name.alias("version_id"),
+        "version_order",
+        "module",
+        "relative_path",
+    )
     return found if keep is None else found.where(keep)
 
 
-def observations(spark: SparkSession, sf: str, keep: Column | None = None) -> DataFrame:
+def observed(stretches: DataFrame) -> DataFrame:
+    """One row per stretch and metric family."""
     values = F.explode(
         F.array(*[F.struct(F.lit(f).alias("family"), F.col(f).alias("value")) for f in measures.FAMILIES])
     )
-    return lines(spark, sf, keep).select("version_id", "module", "relative_path", values.alias("o")).select(
+    return stretches.select("version_id", "module", "relative_path", values.alias("o")).select(
         "version_id", "module", "relative_path", "o.family", "o.value"
     )
 
 
+def observations(spark: SparkSession, sf: str, keep: Column | None = None) -> DataFrame:
+    return observed(lines(spark, sf, keep))
+
+
 def module_line_counts(spark: SparkSession, sf: str) -> DataFrame:
     return measures.line_counts(lines(spark, sf))
 
 
 def module_aggregate(spark: SparkSession, sf: str, keep: Column | None = None) -> DataFrame:
-    per_file = measures.line_counts(lines(spark, sf, keep), keys=measures.ENTITY_FILE)
+    # Read three times (once for counts, twice for ranks), joined once.
+    kept = lines(spark, sf, keep).select(*measures.ENTITY_FILE, "line_category_id", "lines", *measures.FAMILIES)
+    found = stored(kept, "lines")
+    per_file = measures.line_counts(found, keys=measures.ENTITY_FILE)
     counts = measures.line_count_map(measures.roll_up_line_counts(per_file))
-    dist = measures.module_distributions(observations(spark, sf, keep))
+    dist = measures.module_distributions(observed(found))
     return measures.assemble_module_aggregates(counts, dist, "file_count")
 
 

@@ -5,6 +5,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from histmetrics.demo import frames
 from histmetrics.operators import measures
 
 
@@ -162,3 +163,12 @@ def test_measured_files_equal_assembled_ones(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert sorted(str(r.asDict(True)) for r in got.collect()) == sorted(str(r.asDict(True)) for r in want.collect())
+
+
+def test_lines_are_joined_once_for_module_rows(spark, monkeypatch):
+    joined, lines = [], frames.lines
+    monkeypatch.setattr(frames, "lines", lambda *a: joined.append(lines(*a)) or joined[-1])
+    found = frames.module_aggregate(spark, "/root/testdata/sf0.001")
+    assert len(joined) == 1
+    assert not [path for path in found.inputFiles() if "lineitem" in path or "orders" in path]
+    assert {r["version_id"] for r in found.collect()} == {r["version_id"] for r in frames.versions(spark, "/root/testdata/sf0.001").collect()}
