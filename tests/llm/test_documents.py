@@ -303,6 +303,52 @@ def test_step_lowers_the_loss_of_all_tokens():
     assert mean() < before
 
 
+def test_step_takes_all_tokens_without_empty_places(monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = [b" ".join(bytes(rng.choice(list(b"abdeiklmnorstu7"), n).tolist()) for n in rng.integers(3, 50, 40)) for _ in range(9)]
+    texts.append(b"password=abcdefgh1234 and deadbeefdeadbeefdeadbeef00 end")
+    bases = [secret_scan.base_spans(t) for t in texts]
+    free = secret_scan.Texts(texts, bases)
+    net = {"embed": rng.normal(0, 0.3, (128, 8)), "kernel": rng.normal(0, 0.2, (40, 24)), "bias": np.zeros(24),
+           "out": rng.normal(0, 0.2, 72), "out_bias": np.array([-3.0])}
+    before, taken, whole = {k: v.copy() for k, v in net.items()}, [], secret_scan.gradient
+
+    def watched(now, windows, y, weight):
+        assert windows.shape[1] == 2 * secret_scan.SIDE + windows[:, -1].max() + 1
+        taken.append((windows, y, weight))
+        return whole(now, windows, y, weight)
+
+    monkeypatch.setattr(secret_scan, "gradient", watched)
+    many = [int((~free.odd()).sum()), int(free.odd().sum()), 1]
+    secret_scan.step(net, texts, many, [b"x9Y_" * 5], np.random.default_rng(1))
+    # The output unit moves along the loss of all tokens, slight or not, and of all that is labelled.
+    plain = secret_scan.encode([free.window(k) for k in range(len(free.start))])
+    score = secret_scan.Network(*(before[k] for k in secret_scan.ARRAYS[:-1]), -3.0).score(plain)
+    assert (score < secret_scan.SLIGHT).any() and (score >= secret_scan.SLIGHT).any() and score.max() < secret_scan.DOUBTFUL
+    want = whole(before, plain, np.zeros(len(plain)), np.where(free.odd(), 0.25 / many[1], 0.25 / many[0]) * sum(many[:2]) / len(plain))
+    for windows, y, weight in taken:
+        part = whole(before, windows[y == 1], y[y == 1], weight[y == 1])
+        want = {k: want[k] + part[k] for k in want}
+    moved = [np.concatenate([g["out"], g["out_bias"]]) for g in ({k: before[k] - net[k] for k in net}, want)]
+    assert np.allclose(*(m / np.linalg.norm(m) for m in moved), atol=1e-5)
+
+
+def test_tokens_and_tops_match_brute_force():
+    rng = np.random.default_rng(7)
+    act = rng.random((900, 5), dtype=np.float32)
+    start = np.cumsum(np.concatenate([[16], np.arange(6, 37) + 2]))
+    end = start + np.arange(6, 38)
+    most, around = secret_scan._tops(act[: end[-1] + 16], start, end)
+    assert all((most[k] == act[a:b].max(axis=0)).all() for k, (a, b) in enumerate(zip(start, end)))
+    assert all((around[k] == np.maximum(act[a - 16 : a].max(axis=0), act[b : b + 16].max(axis=0))).all() for k, (a, b) in enumerate(zip(start, end)))
+    # Findings that end inside a token, cover several ones, or overlap.
+    text = b"abcdef secret: \"secret=token=abcdef\" ghijkl,deadbeefdeadbeefdeadbeef00zz mnopqr"
+    base = secret_scan.base_spans(text)
+    free = secret_scan.Texts([b"", text, b"stuvwx"], [[], base, []])
+    want = [m.group() for m in secret_scan.TOKEN.finditer(text) if not any(s < m.end() and e > m.start() for s, e, _ in base)]
+    assert [free.body[a:b].tobytes() for a, b in zip(free.start, free.end)] == [*want, b"stuvwx"] and len(want) == 3
+
+
 @pytest.mark.parametrize("run", [
     lambda d, w: rules.quality_rules(d, w),
     lambda d, w: quality.classify_documents(d, w),
