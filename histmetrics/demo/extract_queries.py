@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from histmetrics.demo import frames
 from histmetrics.demo.registry import query
 from histmetrics.extract import classes, complexity, references
-from histmetrics.extract.contents import with_sha
 from histmetrics.operators import graph
 from histmetrics.plans.analysis import analyze_files, select_files
 from histmetrics.session import scratch_path, stored
@@ -199,7 +198,7 @@ def _(spark, sf):
 def _(spark, sf):
     """XML files of all versions, analysed and stored as new versions; counted from the store."""
     store = HistoryStore(spark, scratch_path(spark, "analysis"))
-    files = frames.xml_files(spark, sf)
+    files = frames.xml_files(spark, sf, frames.stored_shipments(spark, sf))
 
     def measure(wanted):
         return analyze_files(files.join(wanted.select("version_id"), "version_id", "left_semi"))
@@ -243,8 +242,9 @@ _SCOPE = f"(SELECT DISTINCT version_id, source FROM {_XML} WHERE source LIKE 'NA
 def _(spark, sf):
     """Manifests, XML, CSV and Python files of two scan roots: scoped, without duplicate and stray files, analysed and stored."""
     columns = ("version_id", "module", "relative_path", "content")
-    texts = [frames.xml_files(spark, sf), frames.csv_files(spark, sf), frames.class_files(spark, sf)]
-    modules = frames.shipments(spark, sf).select("version_id", F.col("source").alias("module")).distinct()
+    shipped = frames.stored_shipments(spark, sf)
+    texts = [make(spark, sf, shipped) for make in (frames.xml_files, frames.csv_files, frames.class_files)]
+    modules = stored(shipped.select("version_id", F.col("source").alias("module")).distinct(), "modules")
     number = F.substring_index("module", "_", -1).cast("int")
     depends = F.concat(F.lit("{'depends': ['NATION_"), (number + 1).cast("string"), F.lit("', 'gone']}"))
     manifests = modules.select("version_id", "module", F.lit("__manifest__.py").alias("relative_path"), depends.alias("content"))
@@ -256,8 +256,7 @@ def _(spark, sf):
     copies = copies.unionByName(copies.withColumns({"relative_path": F.lit("views/x.xml"), "content": F.lit("<a>")}))
     roots = (("addons", own.unionByName(stray)), ("vendor", copies))
     placed = [df.withColumn("path", F.concat(F.lit(f"{root}/"), "module")).withColumn("seq", F.lit(k)) for k, (root, df) in enumerate(roots)]
-    tree = stored(with_sha(placed[0].unionByName(placed[1])), "tree")
-    files, skipped = select_files(tree, prefixes=["NATION_1"])
+    files, skipped = select_files(placed[0].unionByName(placed[1]), prefixes=["NATION_1"])
     store = HistoryStore(spark, scratch_path(spark, "analysis"))
 
     def measure(wanted):

@@ -197,6 +197,13 @@ def shipments(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def stored_shipments(spark: SparkSession, sf: str) -> DataFrame:
+    """What texts are made of, joined once for all who read it."""
+    names = ["version_id", "source", "target", "c_nationkey", "s_nationkey", "l_orderkey", "l_linenumber", "l_partkey"]
+    rest = ["l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus"]
+    return stored(shipments(spark, sf).select(*names, *rest), "shipments")
+
+
 def edge_facts(spark: SparkSession, sf: str) -> DataFrame:
     return shipments(spark, sf).where(F.col("source") != F.col("target")).select(
         "version_id",
@@ -269,8 +276,8 @@ def _file_of(folder: Column, extension: str) -> Column:
     return F.concat(folder, F.lit("line_"), F.concat_ws("_", *parts), F.lit(extension))
 
 
-def xml_files(spark: SparkSession, sf: str) -> DataFrame:
-    """One XML text per shipment; those with flag R lack their last tag."""
+def xml_files(spark: SparkSession, sf: str, given: DataFrame | None = None) -> DataFrame:
+    """One XML text per shipment (or ``given`` one); those with flag R lack their last tag."""
     folder = F.when(F.col("l_linestatus") == "F", F.lit("security/")).otherwise(F.lit("views/"))
     number = (F.col("l_partkey") % 200).cast("string")
     text = F.concat(
@@ -287,13 +294,13 @@ def xml_files(spark: SparkSession, sf: str) -> DataFrame:
         F.lit('"/>\n  </record>\n'),
         F.when(F.col("l_returnflag") == "R", F.lit("")).otherwise(F.lit("</data>\n")),
     )
-    return shipments(spark, sf).select(
+    return (shipments(spark, sf) if given is None else given).select(
         "version_id", F.col("source").alias("module"), _file_of(folder, ".xml").alias("relative_path"),
         text.alias("content"),
     )
 
 
-def csv_files(spark: SparkSession, sf: str) -> DataFrame:
+def csv_files(spark: SparkSession, sf: str, given: DataFrame | None = None) -> DataFrame:
     """One access list per shipment: a header, then one record per line number."""
     number = (F.col("l_partkey") % 200).cast("string")
     record = F.concat(
@@ -301,7 +308,7 @@ def csv_files(spark: SparkSession, sf: str) -> DataFrame:
         F.col("target"), F.lit(".group_"), number, F.lit(", all"), F.lit('",1')
     )
     text = F.concat(F.lit("id,model_id:id,group_id:id,perm_read"), F.array_join(F.array_repeat(record, F.col("l_linenumber")), ""), F.lit("\n"))
-    return shipments(spark, sf).select(
+    return (shipments(spark, sf) if given is None else given).select(
         "version_id",
         F.col("source").alias("module"),
         _file_of(F.lit("security/"), ".csv").alias("relative_path"),
@@ -368,9 +375,9 @@ def manifest_files(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def class_files(spark: SparkSession, sf: str) -> DataFrame:
+def class_files(spark: SparkSession, sf: str, given: DataFrame | None = None) -> DataFrame:
     """Model files: one per selling nation and version, and one per shipment that uses them."""
-    s = shipments(spark, sf)
+    s = shipments(spark, sf) if given is None else given
     after = ((F.col("s_nationkey") + 1) % 25).cast("string")
     seller = F.col("s_nationkey").cast("string")
     declared = F.concat(

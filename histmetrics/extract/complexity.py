@@ -15,7 +15,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from histmetrics.extract.contents import FILE, copies, distinct_contents, extract, hashed, on_files
+from histmetrics.extract.contents import FILE, distinct_contents, extract, hashed, on_files, with_sha
 from histmetrics.functions.text import file_name
 from histmetrics.operators.measures import (
     ENTITY_MODULE,
@@ -29,6 +29,7 @@ from histmetrics.session import stored
 FUNCTION = (ast.FunctionDef, ast.AsyncFunctionDef)
 LOOP = (ast.For, ast.AsyncFor, ast.While)
 UNNAMED = "<file>"
+COLUMNS = "family string, value double, n bigint, error string"
 
 
 def functions_in(nodes: Iterable[ast.AST], nested: bool = True, classes: bool = True) -> Iterator[ast.AST]:
@@ -154,8 +155,7 @@ def read_lines(source: str | None) -> list[tuple]:
 
 def content_values(files: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """``(content_sha, family, value, n, error)`` for production Python files, once per distinct text."""
-    contents = distinct_contents(files, is_measured_python(), keys)
-    return extract(contents, read_complexity, "family string, value double, n bigint, error string")
+    return extract(distinct_contents(files, is_measured_python(), keys), read_complexity, COLUMNS)
 
 
 def _read_once(files: DataFrame, values: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -183,6 +183,11 @@ def line_density(files: DataFrame) -> DataFrame:
     return on_files(lines, keys, is_measured_python()).select(*FILE, "line", F.col("n").alias("value"))
 
 
+def text_distributions(values: DataFrame) -> DataFrame:
+    """``(content_sha, family, …)``: the five numbers of each text's values."""
+    return bounded_distributions(_known(values), ["content_sha", "family"], "n")
+
+
 def python_file_distributions(files: DataFrame, values: DataFrame | None = None) -> DataFrame:
     """Distributions per file: computed once per content, then joined to its files.
 
@@ -190,14 +195,15 @@ def python_file_distributions(files: DataFrame, values: DataFrame | None = None)
     is the output of :func:`content_values`, if it is there already.
     """
     keys, values = _read_once(files, values)
-    per_content = bounded_distributions(_known(values), ["content_sha", "family"], "n")
-    return on_files(per_content, keys, is_measured_python()).drop("content_sha")
+    return on_files(text_distributions(values), keys, is_measured_python()).drop("content_sha")
 
 
 def python_module_distributions(files: DataFrame, values: DataFrame | None = None) -> DataFrame:
     """Distributions per module from raw values; copies of a text are counted, not repeated."""
     found, values = _read_once(files, values)
-    repeated = copies(found, is_measured_python()).withColumnRenamed("n", "copies")
+    found = with_sha(found)
+    same = found.where(is_measured_python()).groupBy(*ENTITY_MODULE, "content_sha")
+    repeated = same.agg(F.count(F.lit(1)).alias("copies"))
     weighted = repeated.join(_known(values), "content_sha").withColumn("n", F.col("n") * F.col("copies"))
     keys = [*ENTITY_MODULE, "family"]
     return distribution_of(coarsen(weighted, keys), keys)

@@ -55,14 +55,41 @@ def distinct_contents(files: DataFrame, where: Column | None = None, keys: DataF
     if keys is None or "content_sha" in files.columns:
         chosen = with_sha(chosen)
         return chosen.join(kept, [*FILE, "content_sha"], "left_semi").select("content_sha", "content")
-    # The join is on the numbers. Ranges of one value are no join keys: only for the files
-    # that meet are names compared and texts hashed again.
+    return _met(chosen, kept).select("content_sha", "content")
+
+
+def _met(files: DataFrame, kept: DataFrame) -> DataFrame:
+    """The columns of ``kept`` and the text of each of its files.
+
+    The join is on the files' numbers. Ranges of one value are no join keys: only for the
+    files that meet are names compared and texts hashed again.
+    """
+    number = F.xxhash64(*FILE)
     again = F.coalesce(F.sha2("content", 256), F.lit(""))
-    asked = kept.select("content_sha", number.alias("_number"), *[F.col(c).alias(f"_{c}") for c in FILE])
-    met = chosen.select(*FILE, "content", number.alias("_number")).join(asked, "_number")
+    others = [c for c in kept.columns if c not in FILE]
+    asked = kept.select(*others, number.alias("_number"), *[F.col(c).alias(f"_{c}") for c in FILE])
+    met = files.select(*FILE, "content", number.alias("_number")).join(asked, "_number")
     for c in FILE:
         met = met.where(F.col(c).between(F.col(f"_{c}"), F.col(f"_{c}")))
-    return met.where(F.col("content_sha").between(again, again)).select("content_sha", "content")
+    return met.where(F.col("content_sha").between(again, again)).select(*others, "content")
+
+
+def chosen_texts(files: DataFrame, keys: DataFrame) -> DataFrame:
+    """``(text_kind, content_sha, content)`` once per kind and hash, for all kinds in one go over the texts.
+
+    ``keys`` is a written table of the files with their hash and ``text_kind``, which is
+    NULL where a text is not asked for.
+    """
+    number = F.xxhash64(*FILE)
+    text = ["text_kind", "content_sha"]
+    known = keys.where(F.col("text_kind").isNotNull())
+    least = stored(known.groupBy(*text).agg(F.min(number).alias("_number")), "least")
+    told = known.withColumn("_number", number).join(least, [*text, "_number"], "left_semi")
+    first = told.groupBy(*text).agg(F.min(F.struct(*FILE)).alias("_file"))
+    kept = stored(first.select(*text, "_file.*"), "chosen")
+    if "content_sha" in files.columns:
+        return files.select(*FILE, "content_sha", "content").join(kept, [*FILE, "content_sha"]).select(*text, "content")
+    return _met(files, kept).select(*text, "content")
 
 
 def extract(contents: DataFrame, read: Callable[[str], Iterable[tuple]], columns: str) -> DataFrame:
@@ -85,6 +112,33 @@ def extract(contents: DataFrame, read: Callable[[str], Iterable[tuple]], columns
     return contents.mapInPandas(run, f"content_sha string, {columns}")
 
 
+def extract_kinds(texts: DataFrame, readers: dict[str, tuple[Callable[[str], Iterable[tuple]], str]]) -> dict[str, DataFrame]:
+    """:func:`extract` for texts of several kinds, each with its reader and columns, in one go and as one written table.
+
+    Columns of the same name must have the same type.
+    """
+    names = {k: [part.strip().split(" ")[0] for part in columns.split(",")] for k, (_, columns) in readers.items()}
+    types = dict(part.strip().split(" ") for _, columns in readers.values() for part in columns.split(","))
+    places = {k: [list(types).index(n) for n in own] for k, own in names.items()}
+    reads = {k: read for k, (read, _) in readers.items()}
+    width, head = len(types), ["text_kind", "content_sha"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for kind, sha, text in zip(batch["text_kind"], batch["content_sha"], batch["content"]):
+                for found in reads[kind](text):
+                    row = [None] * width
+                    for place, value in zip(places[kind], found):
+                        row[place] = value
+                    rows.append((kind, sha, *row))
+            yield pd.DataFrame(rows, columns=[*head, *types], dtype=object)
+
+    ddl = ", ".join(f"{n} {t}" for n, t in types.items())
+    found = stored(texts.mapInPandas(run, f"text_kind string, content_sha string, {ddl}"), "found")
+    return {k: found.where(F.col("text_kind") == k).select("content_sha", *own) for k, own in names.items()}
+
+
 def on_files(facts: DataFrame, files: DataFrame, where: Column | None = None) -> DataFrame:
     """Facts of a content at every file that holds it."""
     chosen = with_sha(files)

@@ -24,11 +24,11 @@ RULE_MODEL = "ir.rule"
 SECURITY_FOLDER = "security"
 
 
-def _is_xml() -> Column:
+def is_xml() -> Column:
     return F.col("relative_path").endswith(".xml")
 
 
-def _is_security_csv() -> Column:
+def is_security_csv() -> Column:
     return F.col("relative_path").startswith(f"{SECURITY_FOLDER}/") & F.col("relative_path").endswith(".csv")
 
 
@@ -93,12 +93,16 @@ def read_xml(text: str | None) -> list[tuple]:
     return out
 
 
+XML_COLUMNS = "kind string, xml_id string, line int, detail string, error string"
+CSV_COLUMNS = "line int, xml_id string, error string"
+
+
 def xml_found(files: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """All that is found in XML texts, once per distinct text; rows are narrow, texts stay where they are."""
     return extract(
-        distinct_contents(files, _is_xml(), keys),
+        distinct_contents(files, is_xml(), keys),
         read_xml,
-        "kind string, xml_id string, line int, detail string, error string",
+        XML_COLUMNS,
     )
 
 
@@ -122,23 +126,29 @@ def _as_facts(found: DataFrame) -> DataFrame:
     )
 
 
+def _in_security() -> Column:
+    return F.array_contains(F.split("relative_path", "/"), SECURITY_FOLDER)
+
+
+def _placed_kind(secure: Column) -> Column:
+    return F.when((F.col("kind") == "xml_ref") & secure, "security_xml_ref").otherwise(F.col("kind"))
+
+
 def xml_reference_facts(files: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """All references of XML files, not yet limited to analysed modules.
 
     Plain references in a ``security`` folder of the module are security ones.
     ``found`` is the output of :func:`xml_found`, if it is there already.
     """
-    keys, found = _read_once(files, found, _is_xml(), xml_found)
+    keys, found = _read_once(files, found, is_xml(), xml_found)
     told = found.where(F.col("error").isNull()).drop("error")
-    secure = F.array_contains(F.split("relative_path", "/"), SECURITY_FOLDER)
-    kind = F.when((F.col("kind") == "xml_ref") & secure, "security_xml_ref").otherwise(F.col("kind"))
-    return _as_facts(on_files(told, keys, _is_xml()).withColumn("kind", kind))
+    return _as_facts(on_files(told, keys, is_xml()).withColumn("kind", _placed_kind(_in_security())))
 
 
 def xml_failures(files: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    keys, told = _read_once(files, found, _is_xml(), xml_found)
+    keys, told = _read_once(files, found, is_xml(), xml_found)
     errors = told.where(F.col("error").isNotNull()).select("content_sha", "error")
-    return on_files(errors, keys, _is_xml()).select(
+    return on_files(errors, keys, is_xml()).select(
         "version_id",
         F.concat_ws("/", "module", "relative_path").alias("file_path"),
         F.col("error").alias("error_text"),
@@ -166,14 +176,14 @@ def read_csv(text: str | None) -> Iterator[tuple]:
 
 def csv_found(files: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """Ids and errors of security CSV texts, once per distinct text."""
-    return extract(distinct_contents(files, _is_security_csv(), keys), read_csv, "line int, xml_id string, error string")
+    return extract(distinct_contents(files, is_security_csv(), keys), read_csv, CSV_COLUMNS)
 
 
-def csv_failures(files: DataFrame, told: DataFrame | None = None) -> DataFrame:
-    """Security CSV files with a record that cannot be read, and those that cannot be decoded."""
+def csv_failures(files: DataFrame, told: DataFrame | None = None, text: str = "content") -> DataFrame:
+    """Security CSV files with a record that cannot be read, and those that cannot be decoded: their ``text`` is NULL."""
     errors = (csv_found(files) if told is None else told).where(F.col("error").isNotNull()).select("content_sha", "error")
-    undecoded = with_sha(files).where(_is_security_csv() & F.col("content").isNull()).select(*FILE, F.lit("cannot decode file as UTF-8").alias("error"))
-    found = on_files(errors, files, _is_security_csv()).select(*FILE, "error").unionByName(undecoded)
+    undecoded = with_sha(files).where(is_security_csv() & F.col(text).isNull()).select(*FILE, F.lit("cannot decode file as UTF-8").alias("error"))
+    found = on_files(errors, files, is_security_csv()).select(*FILE, "error").unionByName(undecoded)
     return found.select(
         "version_id", F.concat_ws("/", "module", "relative_path").alias("file_path"), F.col("error").alias("error_text")
     )
@@ -181,12 +191,43 @@ def csv_failures(files: DataFrame, told: DataFrame | None = None) -> DataFrame:
 
 def csv_reference_facts(files: DataFrame, told: DataFrame | None = None) -> DataFrame:
     """References of the security CSV files, not yet limited to analysed modules."""
-    keys, told = _read_once(files, told, _is_security_csv(), csv_found)
+    keys, told = _read_once(files, told, is_security_csv(), csv_found)
     found = told.where(F.col("error").isNull()).drop("error")
-    located = on_files(found, keys, _is_security_csv()).withColumn("kind", F.lit("security_csv_ref"))
+    located = on_files(found, keys, is_security_csv()).withColumn("kind", F.lit("security_csv_ref"))
     return _as_facts(located.withColumn("detail", F.concat(F.lit("security csv ref -> "), F.col("xml_id"))))
 
 
+def _counts(told: DataFrame, files: DataFrame, secure: Column, each: bool) -> DataFrame:
+    """References of texts counted per file's module, target and kind, without a row per file and reference.
+
+    Texts that say the same of the same modules stand for each other: files are counted by
+    them, and only these few counts are spread over what is said.
+    """
+    target = id_module("xml_id").alias("target")
+    n = (F.count(F.lit(1)) if each else F.max(F.lit(1))).cast("long").alias("n")
+    once = told.where(F.col("error").isNull()).groupBy("content_sha", "kind", target).agg(n)
+    gathered = F.sort_array(F.collect_list(F.struct("kind", "target", "n"))).alias("said")
+    said = stored(once.groupBy("content_sha").agg(gathered), "said")
+    alike = stored(said.groupBy("said").agg(F.min("content_sha").alias("like")), "alike")
+    texts = stored(said.join(alike, "said").select("content_sha", "like"), "like")
+    met = files.join(texts, "content_sha").groupBy("version_id", F.col("module").alias("source"), secure.alias("_secure"), "like")
+    counted = stored(met.agg(F.count(F.lit(1)).alias("copies")), "counted")
+    spread = counted.join(alike, "like").select("version_id", "source", "_secure", "copies", F.explode("said").alias("r"))
+    told = spread.select("version_id", "source", "_secure", "r.target", "r.kind", (F.col("r.n") * F.col("copies")).alias("n"))
+    return told.withColumn("kind", _placed_kind(F.col("_secure"))).drop("_secure")
+
+
+def reference_counts(files: DataFrame, xml: DataFrame, csv: DataFrame, each: bool = True) -> DataFrame:
+    """``(version_id, source, target, kind, n)``: :func:`xml_reference_facts` and :func:`csv_reference_facts`, counted.
+
+    ``files`` holds the files' keys and hashes, ``xml`` and ``csv`` what was found in their
+    texts. Unless ``each`` is set, a text counts once for each target and kind.
+    """
+    named = csv.withColumn("kind", F.lit("security_csv_ref"))
+    from_xml = _counts(xml, files.where(is_xml()), _in_security(), each)
+    return from_xml.unionByName(_counts(named, files.where(is_security_csv()), F.lit(True), each))
+
+
 # --- manifests --------------------------------------------------------------------
 
 _NAME = re.compile(MODULE)
@@ -219,6 +260,13 @@ def read_manifest(source: str | None) -> tuple[list[str], str | None]:
     return [], _ABSENT
 
 
+MANIFEST_COLUMNS = "depends array<string>, reason string"
+
+
+def read_manifest_once(source: str | None) -> list[tuple]:
+    return [read_manifest(source)]
+
+
 _PARSED = T.StructType(
     [T.StructField("depends", T.ArrayType(T.StringType())), T.StructField("reason", T.StringType())]
 )
@@ -229,9 +277,18 @@ def manifest_depends(source: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([read_manifest(s) for s in source], columns=["depends", "reason"])
 
 
-def manifests(files: DataFrame) -> DataFrame:
-    """``(version_id, module, relative_path, depends, reason)`` of every manifest file."""
-    chosen = with_sha(files).where(file_name("relative_path") == "__manifest__.py")
+def is_manifest() -> Column:
+    return file_name("relative_path") == "__manifest__.py"
+
+
+def manifests(files: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
+    """``(version_id, module, relative_path, depends, reason)`` of every manifest file.
+
+    ``parsed`` is what was found in their texts, if it is there already.
+    """
+    chosen = with_sha(files).where(is_manifest())
+    if parsed is not None:
+        return chosen.select(*FILE, "content_sha").join(parsed, "content_sha").select(*FILE, "depends", "reason")
     parsed = distinct_contents(chosen).select("content_sha", manifest_depends("content").alias("m"))
     return chosen.select(*FILE, "content_sha").join(parsed, "content_sha").select(*FILE, "m.depends", "m.reason")
 

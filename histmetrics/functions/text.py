@@ -47,7 +47,8 @@ def line_category(path: Column | str) -> Column:
 
 def line_count(text: Column | str) -> Column:
     """Lines as text-mode iteration counts them: any newline style, open last line."""
-    unix = F.regexp_replace(_col(text), "\r\n?", "\n")
+    given = _col(text)
+    unix = F.when(F.contains(given, F.lit("\r")), F.regexp_replace(given, "\r\n?", "\n")).otherwise(given)
     breaks = F.length(unix) - F.length(F.replace(unix, F.lit("\n"), F.lit("")))
     open_end = (F.length(unix) > 0) & ~unix.endswith("\n")
     return (breaks + open_end.cast("int")).cast("long")

@@ -115,10 +115,12 @@ def build_coupling_edges(
     count_mode: str = "presence",
     kind_group: Mapping[str, str] = KIND_GROUP,
     kinds: Sequence[str] = tuple(KIND_GROUP),
+    weight: str | None = None,
 ) -> DataFrame:
     """Edges among analysed modules.
 
     ``presence`` counts each kind once per pair; ``occurrence`` counts every fact.
+    ``weight`` names a column that says how many facts a row stands for.
     """
     if count_mode == "presence":
         return reduce_edge_facts(presence_facts(facts, modules, kinds), kind_group)
@@ -127,7 +129,7 @@ def build_coupling_edges(
     clean = facts.where(
         F.col("source").rlike(MODULE) & F.col("target").rlike(MODULE) & F.col("kind").isin(*kinds)
     )
-    counts = kind_counts(clean)
+    counts = kind_counts(clean, weight)
     return edges_from_counts(in_scope(counts, modules), kind_group)
 
 

@@ -263,8 +263,22 @@ def assemble_file_metrics(file_lines: DataFrame, dist: DataFrame) -> DataFrame:
     get empty maps and zero counts.
     """
     keys = list(ENTITY_FILE)
-    packed = pack_distributions(dist, keys)
-    joined = file_lines.join(packed, keys, "left")
+    return _file_rows(file_lines.join(pack_distributions(dist, keys), keys, "left"))
+
+
+def assemble_text_metrics(file_lines: DataFrame, dist: DataFrame, measured: Column) -> DataFrame:
+    """:func:`assemble_file_metrics` where ``dist`` is known per text ``(content_sha, family, …)``.
+
+    Texts are packed and meet the ``measured`` files by their hash: files are not shuffled
+    to be counted, nor to meet a table of texts that is small.
+    """
+    packed = stored(pack_distributions(dist, ["content_sha"]), "packed")
+    met = file_lines.where(measured).join(packed, "content_sha", "left")
+    return _file_rows(met.unionByName(file_lines.where(~measured), allowMissingColumns=True))
+
+
+def _file_rows(joined: DataFrame) -> DataFrame:
+    keys = list(ENTITY_FILE)
 
     def counted(family: str) -> Column:
         n = F.try_element_at(F.col("distributions"), F.lit(family))["count"]

@@ -338,3 +338,45 @@ def test_equal_names_with_other_texts_are_all_read(spark):
     given = files(spark, ("sale", "a.py", SALE), ("sale", "a.py", "x = 1\n"), ("base", "b.py", "x = 1\n"))
     keys = contents.hashed(given)
     assert contents.distinct_contents(given, keys=keys).count() == contents.distinct_contents(given).count() == 2
+
+
+def test_files_are_gone_through_twice_and_not_shuffled_to_be_counted(spark):
+    """Each text is asked for twice, whatever is made of the files: to say what it is, and to read one of each."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(name):
+        made.add(1)
+        return {"py": SALE, "xml": XML, "csv": "h\na.b"}.get(name.rsplit(".")[-1])
+
+    names = [("sale", f"views/{k}.xml") for k in range(4)] + [("sale", "a.py"), ("sale", "security/a.csv"), ("base", "security/x.xml")]
+    named = spark.createDataFrame([("v", *n) for n in names], "version_id string, module string, relative_path string")
+    tables, failed = analyze_files(named.withColumn("content", text("relative_path")))
+    plan = tables["file_metric"]._jdf.queryExecution().executedPlan().toString()
+    assert all("BroadcastExchange" in line for line in plan.splitlines() if "Exchange" in line), plan
+    for df in (*tables.values(), failed):
+        df.collect()
+    assert made.value <= 2 * len(names)
+
+
+def test_counted_references_equal_single_ones(spark, rows):
+    given = files(
+        spark, *[("sale", f"views/{k}.xml", XML) for k in range(3)], ("sale", "security/r.xml", XML), ("crm", "x.xml", XML.replace("base", "sale")),
+        ("crm", "y.xml", "<a>%(base.x)d"), ("sale", "security/a.csv", "h\nbase.a,base.b\nbase.a\n"), ("crm", "security/a.csv", "h\nbase.a,base.b\nbase.a\n"),
+    )
+    xml, csv = references.xml_found(given), references.csv_found(given)
+    single = references.xml_reference_facts(given).unionByName(references.csv_reference_facts(given))
+    for each in (True, False):
+        counted = references.reference_counts(contents.with_sha(given), xml, csv, each).groupBy("source", "target", "kind").agg(F.sum("n").alias("n"))
+        want = single.groupBy("source", "target", "kind").agg(F.count("*").alias("n"))
+        columns = ("source", "target", "kind") + (("n",) if each else ())
+        assert rows(counted, *columns) == rows(want, *columns) and want.count() > 5
+
+
+def test_equal_texts_of_two_kinds_are_read_as_both(spark, rows):
+    same = "class A:\n    def f(self):\n        return 1\n"
+    given = files(spark, ("base", "a.py", same), ("base", "b.xml", same), ("base", "c.js", same), ("base", "tests/d.py", same), ("base", "security/e.csv", None))
+    tables, failed = analyze_files(given)
+    counts = {r["relative_path"]: (r["line_counts"]["function_count"], r["line_counts"]["lines"], len(r["metrics"])) for r in tables["file_metric"].collect()}
+    assert counts == {"a.py": (1, 3, 12), "b.xml": (0, 3, 0), "c.js": (0, 3, 0), "tests/d.py": (0, 3, 0)} | ({"security/e.csv": (0, 0, 0)} if "security/e.csv" in counts else {})
+    assert rows(failed, "file_path") == [("base/b.xml",), ("base/security/e.csv",)]
