@@ -199,9 +199,8 @@ def shipments(spark: SparkSession, sf: str) -> DataFrame:
 
 def stored_shipments(spark: SparkSession, sf: str) -> DataFrame:
     """What texts are made of, joined once for all who read it."""
-    names = ["version_id", "source", "target", "c_nationkey", "s_nationkey", "l_orderkey", "l_linenumber", "l_partkey"]
-    rest = ["l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus"]
-    return stored(shipments(spark, sf).select(*names, *rest), "shipments")
+    names = ["version_id", "source", "target", "c_nationkey", "s_nationkey", "l_partkey", "l_linenumber", "l_returnflag", "l_linestatus"]
+    return stored(shipments(spark, sf).select(*names, _stem().alias("stem")), "shipments")
 
 
 def edge_facts(spark: SparkSession, sf: str) -> DataFrame:
@@ -269,15 +268,24 @@ def document_files(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _file_of(folder: Column, extension: str) -> Column:
+def _stem() -> Column:
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
     keys = [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")]
     parts = [k.cast("long").cast("string") for k in (*keys, cents)]
-    return F.concat(folder, F.lit("line_"), F.concat_ws("_", *parts), F.lit(extension))
+    return F.concat(F.lit("line_"), F.concat_ws("_", *parts))
+
+
+def _file_of(folder: Column, extension: str, stem: Column | None = None) -> Column:
+    return F.concat(folder, _stem() if stem is None else stem, F.lit(extension))
+
+
+def _shipped(spark: SparkSession, sf: str, given: DataFrame | None) -> tuple[DataFrame, Column | None]:
+    """Shipments, and where their files' names lie if they are made already."""
+    return (shipments(spark, sf), None) if given is None else (given, F.col("stem"))
 
 
 def xml_files(spark: SparkSession, sf: str, given: DataFrame | None = None) -> DataFrame:
-    """One XML text per shipment (or ``given`` one); those with flag R lack their last tag."""
+    """One XML text per shipment (or one of :func:`stored_shipments`); those with flag R lack their last tag."""
     folder = F.when(F.col("l_linestatus") == "F", F.lit("security/")).otherwise(F.lit("views/"))
     number = (F.col("l_partkey") % 200).cast("string")
     text = F.concat(
@@ -294,8 +302,9 @@ def xml_files(spark: SparkSession, sf: str, given: DataFrame | None = None) -> D
         F.lit('"/>\n  </record>\n'),
         F.when(F.col("l_returnflag") == "R", F.lit("")).otherwise(F.lit("</data>\n")),
     )
-    return (shipments(spark, sf) if given is None else given).select(
-        "version_id", F.col("source").alias("module"), _file_of(folder, ".xml").alias("relative_path"),
+    shipped, stem = _shipped(spark, sf, given)
+    return shipped.select(
+        "version_id", F.col("source").alias("module"), _file_of(folder, ".xml", stem).alias("relative_path"),
         text.alias("content"),
     )
 
@@ -308,10 +317,11 @@ def csv_files(spark: SparkSession, sf: str, given: DataFrame | None = None) -> D
         F.col("target"), F.lit(".group_"), number, F.lit(", all"), F.lit('",1')
     )
     text = F.concat(F.lit("id,model_id:id,group_id:id,perm_read"), F.array_join(F.array_repeat(record, F.col("l_linenumber")), ""), F.lit("\n"))
-    return (shipments(spark, sf) if given is None else given).select(
+    shipped, stem = _shipped(spark, sf, given)
+    return shipped.select(
         "version_id",
         F.col("source").alias("module"),
-        _file_of(F.lit("security/"), ".csv").alias("relative_path"),
+        _file_of(F.lit("security/"), ".csv", stem).alias("relative_path"),
         text.alias("content"),
     )
 
@@ -377,7 +387,7 @@ def manifest_files(spark: SparkSession, sf: str) -> DataFrame:
 
 def class_files(spark: SparkSession, sf: str, given: DataFrame | None = None) -> DataFrame:
     """Model files: one per selling nation and version, and one per shipment that uses them."""
-    s = shipments(spark, sf) if given is None else given
+    s, stem = _shipped(spark, sf, given)
     after = ((F.col("s_nationkey") + 1) % 25).cast("string")
     seller = F.col("s_nationkey").cast("string")
     declared = F.concat(
@@ -396,7 +406,7 @@ def class_files(spark: SparkSession, sf: str, given: DataFrame | None = None) ->
         F.lit("'].search([])\n        for one in rec:\n            one.next_id.ship()\n        return self.sudo()._hidden()\n"),
     )
     users = s.select(
-        "version_id", F.col("source").alias("module"), _file_of(F.lit("models/"), ".py").alias("relative_path"),
+        "version_id", F.col("source").alias("module"), _file_of(F.lit("models/"), ".py", stem).alias("relative_path"),
         used.alias("content"),
     )
     return providers.unionByName(users)

@@ -31,27 +31,27 @@ TEST_FILE = (
 
 def is_test_path(path: Column | str) -> Column:
     """In a ``tests`` folder, or named like a test."""
-    return _col(path).rlike(TEST_FILE)
+    low = F.lower(_col(path))  # few paths hold a word that the pattern needs
+    return (F.contains(low, F.lit("test")) | F.contains(low, F.lit("spec"))) & _col(path).rlike(TEST_FILE)
 
 
 def line_category(path: Column | str) -> Column:
     """Category by the last suffix; only Python is split into code and tests."""
-    name = F.lower(file_name(path))
-    suffix = F.when(F.contains(name, F.lit(".")), F.concat(F.lit("."), F.substring_index(name, ".", -1)))
-    table = F.create_map(*[F.lit(x) for kv in SUFFIX_CATEGORY.items() for x in kv])
-    category = F.try_element_at(table, suffix)
-    return F.when(
-        (category == "python_lines") & is_test_path(path), F.lit("python_test_lines")
-    ).otherwise(category)
+    low = F.lower(_col(path))
+    category = F.lit(None).cast("string")
+    for suffix, name in reversed(SUFFIX_CATEGORY.items()):  # no suffix ends another
+        found = F.when(is_test_path(path), F.lit("python_test_lines")).otherwise(F.lit(name)) if name == "python_lines" else F.lit(name)
+        category = F.when(low.endswith(suffix), found).otherwise(category)
+    return category
 
 
 def line_count(text: Column | str) -> Column:
     """Lines as text-mode iteration counts them: any newline style, open last line."""
     given = _col(text)
     unix = F.when(F.contains(given, F.lit("\r")), F.regexp_replace(given, "\r\n?", "\n")).otherwise(given)
-    breaks = F.length(unix) - F.length(F.replace(unix, F.lit("\n"), F.lit("")))
-    open_end = (F.length(unix) > 0) & ~unix.endswith("\n")
-    return (breaks + open_end.cast("int")).cast("long")
+    breaks = F.size(F.split(unix, "\n")) - 1
+    open_end = (unix != "") & ~unix.endswith("\n")
+    return F.when(given.isNotNull(), (breaks + open_end.cast("int")).cast("long"))
 
 
 def top_folder(path: Column | str) -> Column:

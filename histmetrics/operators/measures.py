@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from histmetrics.functions.catalog import FAMILIES, LINE_CATEGORIES
-from histmetrics.functions.text import TEST_FILE, line_category
+from histmetrics.functions.text import file_name, is_test_path, line_category
 from histmetrics.schemas import DISTRIBUTION
 from histmetrics.session import cut_lineage, stored
 
@@ -238,8 +238,7 @@ def line_count_map(wide: DataFrame, categories: Sequence[str] = LINE_CATEGORIES)
 
 def is_measured_python(path: str = "relative_path") -> Column:
     """Production Python: no test, no manifest."""
-    left_out = f"{TEST_FILE}|(^|/)__manifest__[.]py$"
-    return F.col(path).endswith(".py") & ~F.col(path).rlike(left_out)
+    return F.col(path).endswith(".py") & (file_name(path) != "__manifest__.py") & ~is_test_path(path)
 
 
 def file_counts(files: DataFrame, error: str = "error") -> DataFrame:

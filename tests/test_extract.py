@@ -3,6 +3,7 @@ import ast
 import pytest
 from pyspark.sql import functions as F
 
+from histmetrics.demo import frames
 from histmetrics.extract import classes, complexity, contents, references
 from histmetrics.plans.analysis import analyze_files, select_files
 
@@ -380,3 +381,11 @@ def test_equal_texts_of_two_kinds_are_read_as_both(spark, rows):
     counts = {r["relative_path"]: (r["line_counts"]["function_count"], r["line_counts"]["lines"], len(r["metrics"])) for r in tables["file_metric"].collect()}
     assert counts == {"a.py": (1, 3, 12), "b.xml": (0, 3, 0), "c.js": (0, 3, 0), "tests/d.py": (0, 3, 0)} | ({"security/e.csv": (0, 0, 0)} if "security/e.csv" in counts else {})
     assert rows(failed, "file_path") == [("base/b.xml",), ("base/security/e.csv",)]
+
+
+def test_files_of_stored_shipments_are_the_same(spark):
+    sf = "/root/testdata/sf0.001"
+    shipped = frames.stored_shipments(spark, sf)
+    for make in (frames.xml_files, frames.csv_files, frames.class_files):
+        once, joined = make(spark, sf, shipped), make(spark, sf)
+        assert once.count() == joined.count() > 0 and once.exceptAll(joined).isEmpty()
