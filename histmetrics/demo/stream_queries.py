@@ -10,6 +10,7 @@ from histmetrics.session import scratch_path
 from histmetrics.sources.store import HistoryStore
 from histmetrics.streaming import incremental, progress, runs
 
+FILES = 8  # of a batch of arrivals
 TYPES = (progress.COMPLETED, progress.FAILED)
 
 
@@ -64,7 +65,7 @@ def _(spark, sf):
 
 
 def run_arrivals(spark, sf):
-    """The event table as a stream that arrives out of order and in part twice, in four files and a last tick.
+    """The event table as a stream that arrives out of order and in part twice, in four sets of files and a last tick.
 
     The tick belongs to no run; it moves the watermark past every timer.
     """
@@ -79,13 +80,13 @@ def run_arrivals(spark, sf):
     sent.write.partitionBy("_file").parquet(parts)
     schema = sent.drop("_file").schema
     for k in range(4):
-        # A task reads one file's rows and no other's.
-        spark.read.schema(schema).parquet(f"{parts}/_file={k}").coalesce(1).write.mode("append").parquet(folder)
+        # A batch is one part's files; a task reads no other part's rows.
+        spark.read.schema(schema).parquet(f"{parts}/_file={k}").repartition(FILES).write.mode("append").parquet(folder)
     sent = spark.read.schema(schema).parquet(*[f"{parts}/_file={k}" for k in range(4)])
     ends = sent.agg(F.max("arrived_at").alias("t")).select((F.col("t") + F.expr("INTERVAL 4000 DAYS")).alias("arrived_at"))
     tick = ends.select(*[(F.col(f.name) if f.name == "arrived_at" else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
     tick.withColumn("run_id", F.lit("tick")).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES).parquet(folder)
 
 
 def closed_runs(spark, events):

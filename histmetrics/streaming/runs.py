@@ -1,5 +1,6 @@
 """Runs judged while their events arrive: a keyed processor whose state ends with the run.
 
+Runs share keys by a hash of their id, so a batch costs messages by groups of runs.
 Per run the state is one small row, whatever the number of events: counts, extremes,
 and the progress numbers seen as ranges, which are one range as long as none is
 missing. Repeated events (same run and ``seq``) are left out before it, late ones within the
@@ -11,6 +12,7 @@ last event by ``grace`` after a terminal event, or by ``idle`` without one.
 from __future__ import annotations
 
 import datetime as dt
+import json
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -39,6 +41,10 @@ STATE = T.StructType(
     + [T.StructField("first_type", T.StringType()), T.StructField("ranges", T.ArrayType(T.LongType()))]
 )
 
+#: What is kept of a group of runs: when its timer rings, and its runs' names and states as JSON.
+GROUP = T.StructType([T.StructField("timer_ms", T.LongType()), T.StructField("runs", T.StringType())])
+GROUPS = 4096
+
 
 def _less(a: int | None, b: int | None) -> int | None:
     return b if a is None else a if b is None else min(a, b)
@@ -172,6 +178,73 @@ class RunWatcher(StatefulProcessor):
         pass
 
 
+class GroupWatcher(StatefulProcessor):
+    """:class:`RunWatcher` for many runs that share a key, a state row and a timer.
+
+    The messages to the JVM follow the groups and not the runs. The state is a list of the
+    runs' rows as JSON; the timer rings when the first of them may be due, and closes all
+    that are.
+    """
+
+    def __init__(self, idle_ms: int, grace_ms: int):
+        self.judge = RunWatcher(idle_ms, grace_ms)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getValueState("runs", GROUP)
+
+    def _load(self) -> tuple[int | None, dict[str, tuple]]:
+        kept = self.kept.get()
+        return (None, {}) if kept is None else (kept[0], {name: row for name, *row in json.loads(kept[1])})
+
+    def _keep(self, timer: int, rows: dict[str, tuple]) -> None:
+        self.kept.update((timer, json.dumps([(name, *row) for name, row in rows.items()], separators=(",", ":"))))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        timer, kept = self._load()
+        touched: dict[str, Run] = {}
+        for run_id, kind, seq, total, processed, _, at_ms, *_ in rows:
+            run = touched.get(run_id)
+            if run is None:
+                run = touched[run_id] = Run(kept.get(run_id))
+            run.add(kind, seq, total, processed, at_ms)
+        if not touched:
+            return
+        kept.update((name, tuple(run.s[n] for n in STATE.names)) for name, run in touched.items())
+        due = min(self.judge._due(run) for run in touched.values())
+        if timer is None or due < timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+            timer = due
+        self._keep(timer, kept)
+        for name, run in touched.items():
+            yield OUT_ROW(*run.row(name, False))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
+        _, kept = self._load()
+        now, closed, left = timerValues.getCurrentWatermarkInMs(), [], []
+        for name, row in kept.items():
+            run = Run(row)
+            due = self.judge._due(run)
+            if due > now:
+                left.append(due)
+            else:
+                closed.append((name, run))
+        for name, _ in closed:
+            del kept[name]
+        if kept:
+            self.handle.registerTimer(min(left))
+            self._keep(min(left), kept)
+        else:
+            self.kept.clear()
+        for name, run in closed:
+            yield OUT_ROW(*run.row(name, True))
+
+    def close(self) -> None:
+        pass
+
+
 def watch_runs(
     events: DataFrame,
     delay: str = "10 minutes",
@@ -179,9 +252,13 @@ def watch_runs(
     grace: dt.timedelta = dt.timedelta(minutes=30),
     seq: str = "seq",
     arrived: str = "arrived_at",
+    groups: int = GROUPS,
 ) -> DataFrame:
     """State, percentage and validity of each run of a stream, in update mode.
 
+    Runs are kept in ``groups`` by a hash of their id; the number must stay what it was
+    when the stream began.
+
     A row per run that a batch touched, with ``closed`` false, and one with ``closed``
     true when its state is dropped; the last row of a run equals
     :func:`judge_runs` over its events. Events without a time or a run are left out.
@@ -200,7 +277,8 @@ def watch_runs(
         .dropDuplicatesWithinWatermark(["run_id", "seq"])
     )
     ms = [int(span.total_seconds() * 1000) for span in (idle, grace)]
-    return once.groupBy("run_id").transformWithState(RunWatcher(*ms), OUT, "Update", "EventTime")
+    grouped = once.withColumn("group", F.pmod(F.xxhash64("run_id"), F.lit(groups)))
+    return grouped.groupBy("group").transformWithState(GroupWatcher(*ms), OUT, "Update", "EventTime")
 
 
 def judge_runs(events: DataFrame, seq: str = "seq") -> DataFrame:

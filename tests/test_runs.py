@@ -130,3 +130,57 @@ def test_a_batch_sends_few_messages_and_a_timer_that_rings_early_is_set_again():
     assert list(watcher.handleExpiredTimer(("r",), Clock(1200), None)) == [] and handle.said == [("register", 1500), "update"]
     assert batch(COMPLETED, 600) == [False] and handle.said == [("delete", 1500), ("register", 610), "update"]
     assert [r["closed"] for r in watcher.handleExpiredTimer(("r",), Clock(700), None)] == [True] and handle.held is None
+
+
+def test_runs_of_a_group_share_their_messages():
+    """A batch of a hundred runs says as little as one of a single run; each run is closed when it is due."""
+
+    class Handle:
+        def __init__(self):
+            self.said, self.held = [], None
+
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            self.said.append("get")
+            return self.held
+
+        def update(self, row):
+            self.said.append("update")
+            self.held = row
+
+        def clear(self):
+            self.held = None
+
+        def registerTimer(self, at):
+            self.said.append(("register", at))
+
+        def deleteTimer(self, at):
+            self.said.append(("delete", at))
+
+    class Clock:
+        def __init__(self, now):
+            self.now = now
+
+        def getCurrentWatermarkInMs(self):
+            return self.now
+
+    def batch(kind, at, names):
+        handle.said = []
+        rows = [(name, kind, at, 3, None, None, at, 0) for name in names]
+        return sorted((r["run_id"], r["closed"]) for r in watcher.handleInputRows((0,), iter(rows), None))
+
+    def ring(now):
+        handle.said = []
+        return sorted((r["run_id"], r["state"]) for r in watcher.handleExpiredTimer((0,), Clock(now), None))
+
+    names = sorted(f"r{k}" for k in range(100))
+    handle, watcher = Handle(), runs.GroupWatcher(1000, 10)
+    watcher.init(handle)
+    assert batch(STARTED, 0, names) == [(n, False) for n in names] and handle.said == ["get", ("register", 1000), "update"]
+    assert batch(PROGRESS, 500, names[1:]) == [(n, False) for n in names[1:]] and handle.said == ["get", "update"]
+    assert batch(COMPLETED, 600, names[-1:]) == [(names[-1], False)] and handle.said == ["get", ("delete", 1000), ("register", 610), "update"]
+    assert ring(700) == [(names[-1], "completed")] and handle.said == ["get", ("register", 1000), "update"]
+    assert ring(1000) == [(names[0], "running")] and handle.said == ["get", ("register", 1500), "update"]
+    assert ring(2000) == [(n, "running") for n in names[1:-1]] and handle.held is None
