@@ -16,12 +16,12 @@ import json
 from bisect import bisect_right
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from histmetrics.streaming.progress import COMPLETED, PROGRESS, STARTED, TERMINAL, check_progress, run_status
+from histmetrics.streaming.progress import COMPLETED, FAILED, PROGRESS, STARTED, TERMINAL, check_progress, run_status
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -178,6 +178,27 @@ class RunWatcher(StatefulProcessor):
         pass
 
 
+#: An event as one text, since each cell that goes to Python or back costs more than its value: a letter
+#: for its type (none for others, which count as no type), numbers (empty where NULL), and the run's id last.
+CODES = {"s": STARTED, "p": PROGRESS, "c": COMPLETED, "f": FAILED}
+SAID = Row("told")
+
+
+def _as_text() -> Column:
+    kind = F.lit("")
+    for code, name in CODES.items():
+        kind = F.when(F.col("type") == name, code).otherwise(kind)
+    numbers = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("seq", "commits_total", "processed", "at_ms")]
+    return F.concat_ws(",", kind, *numbers, "run_id")
+
+
+def _told() -> list[Column]:
+    """The columns of ``OUT`` from a row's JSON array."""
+    names = [c.split(" ") for c in OUT.split(", ")]
+    text = F.from_json("told", "array<string>")
+    return [F.get(text, F.lit(k)).cast(kind).alias(name) for k, (name, kind) in enumerate(names)]
+
+
 class GroupWatcher(StatefulProcessor):
     """:class:`RunWatcher` for many runs that share a key, a state row and a timer.
 
@@ -203,11 +224,13 @@ class GroupWatcher(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
         timer, kept = self._load()
         touched: dict[str, Run] = {}
-        for run_id, kind, seq, total, processed, _, at_ms, *_ in rows:
+        for row in rows:
+            kind, seq, total, processed, at_ms, run_id = row["event"].split(",", 5)
             run = touched.get(run_id)
             if run is None:
                 run = touched[run_id] = Run(kept.get(run_id))
-            run.add(kind, seq, total, processed, at_ms)
+            numbers = [int(x) if x else None for x in (seq, total, processed)]
+            run.add(CODES.get(kind), *numbers, int(at_ms))
         if not touched:
             return
         kept.update((name, tuple(run.s[n] for n in STATE.names)) for name, run in touched.items())
@@ -219,7 +242,7 @@ class GroupWatcher(StatefulProcessor):
             timer = due
         self._keep(timer, kept)
         for name, run in touched.items():
-            yield OUT_ROW(*run.row(name, False))
+            yield SAID(json.dumps(run.row(name, False)))
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
         _, kept = self._load()
@@ -239,7 +262,7 @@ class GroupWatcher(StatefulProcessor):
         else:
             self.kept.clear()
         for name, run in closed:
-            yield OUT_ROW(*run.row(name, True))
+            yield SAID(json.dumps(run.row(name, True)))
 
     def close(self) -> None:
         pass
@@ -277,8 +300,9 @@ def watch_runs(
         .dropDuplicatesWithinWatermark(["run_id", "seq"])
     )
     ms = [int(span.total_seconds() * 1000) for span in (idle, grace)]
-    grouped = once.withColumn("group", F.pmod(F.xxhash64("run_id"), F.lit(groups)))
-    return grouped.groupBy("group").transformWithState(GroupWatcher(*ms), OUT, "Update", "EventTime")
+    grouped = once.select(F.pmod(F.xxhash64("run_id"), F.lit(groups)).alias("group"), _as_text().alias("event"))
+    told = grouped.groupBy("group").transformWithState(GroupWatcher(*ms), "told string", "Update", "EventTime")
+    return told.select(*_told())
 
 
 def judge_runs(events: DataFrame, seq: str = "seq") -> DataFrame:

@@ -1,6 +1,7 @@
 """Runs as a stream: equal to the batch twin on shuffled, late and repeated events; state ends."""
 
 import datetime as dt
+import json
 import random
 
 from pyspark.sql import functions as F
@@ -168,14 +169,18 @@ def test_runs_of_a_group_share_their_messages():
 
     def batch(kind, at, names):
         handle.said = []
-        rows = [(name, kind, at, 3, None, None, at, 0) for name in names]
-        return sorted((r["run_id"], r["closed"]) for r in watcher.handleInputRows((0,), iter(rows), None))
+        code = {name: code for code, name in runs.CODES.items()}[kind]
+        sent = [{"event": f"{code},{at},3,,{at},{name}"} for name in names]
+        return sorted((r[0], r[-1]) for r in told(watcher.handleInputRows((0,), iter(sent), None)))
+
+    def told(rows):
+        return [json.loads(r["told"]) for r in rows]
 
     def ring(now):
         handle.said = []
-        return sorted((r["run_id"], r["state"]) for r in watcher.handleExpiredTimer((0,), Clock(now), None))
+        return sorted((r[0], r[3]) for r in told(watcher.handleExpiredTimer((0,), Clock(now), None)))
 
-    names = sorted(f"r{k}" for k in range(100))
+    names = sorted(f"r,{k}" for k in range(100))
     handle, watcher = Handle(), runs.GroupWatcher(1000, 10)
     watcher.init(handle)
     assert batch(STARTED, 0, names) == [(n, False) for n in names] and handle.said == ["get", ("register", 1000), "update"]
